@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, sharding, simhash
+from tidemark.llm import decontaminate, linededup, packing, rules, secrets, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,32 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *[f"m.{n}" for n in names], (~rules.passes("base-1")).alias("base_failed"), rules.passes("prose-1").alias("kept"), "fail_bits")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    place = F.array(*[F.lit(k) for k in secrets.KINDS])
+
+    def joined(spans):
+        order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("s"), F.array_position(place, s["kind"]).alias("k"), s["end"].alias("e"), s["kind"].alias("name"))))
+        return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["name"], s["s"], s["e"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("strong", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("strong")), 256).alias("base_sha256"), joined(F.concat("strong", "linked")).alias("spans"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.benchmark_matches(docs, _read(spark, sf_dir, "benchmark"))
@@ -35,7 +56,14 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op5_simhash, op7_decontamination, op8_rendezvous)}
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.delete_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    removed = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r["end"] - r["start"] + 1)
+    return out.select("doc_id", lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("removed_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_rules, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op10_line_runs)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
