@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, linededup, packing, rules, secrets, sharding, simhash
+from tidemark.llm import decontaminate, language, linededup, packing, quality, rules, secrets, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"m.{n}" for n in names], (~rules.passes("base-1")).alias("base_failed"), rules.passes("prose-1").alias("kept"), "fail_bits")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, ~out)
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -56,6 +63,11 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.posteriors(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
+
+
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.delete_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
@@ -63,7 +75,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("removed_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_rules, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op10_line_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_rules, op4_language, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op9_quality, op10_line_runs)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
