@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, linededup, packing, quality, rules, secrets, sharding, simhash
+from tidemark.llm import decontaminate, language, linededup, packing, quality, rules, secrets, sharding, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -75,7 +80,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("removed_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_rules, op4_language, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op9_quality, op10_line_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring, op3_rules, op4_language, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op9_quality, op10_line_runs)}
 
 #: DuckDB SQL for those that SQL can express.
 SQL: dict[str, str] = {}
