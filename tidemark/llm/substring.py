@@ -5,7 +5,7 @@ bound.  The reference is therefore cut into shards that belong together, and eac
 shards that can match it:
 
 1. Anchors.  Of each window of `window` words, the least hash of its GRAM-word sequences is its anchor.  Equal windows
-   have equal anchors, and neighbouring windows mostly share one, so a fifth of the words suffices.  Anchors seen in
+   have equal anchors, and neighbouring windows mostly share one, so about two sevenths of the words suffice.  Anchors seen in
    one document only are dropped; the others get a leader, the least document that has them.
 2. Regions.  The windows of a document with a shared anchor form regions, each sent, as words, to the shard of its
    anchors' leader.  All documents with a window send it to the same shard.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._text import NON_SPACE, checkpoint, partitions, slices, span_hash, word_hashes, words
 from tidemark.llm.automaton import SuffixAutomaton
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 8
 #: Documents above which an anchor's windows are matched by hash instead of in one shard.
 HOT = 1000
 COLD, WARM = 0, 1
