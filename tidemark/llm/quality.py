@@ -67,46 +67,76 @@ def _score(model: dict, who: np.ndarray, bucket: np.ndarray, dense: np.ndarray)
     return z
 
 
-def _telling(who: np.ndarray, bucket: np.ndarray, n: int, truth: np.ndarray) -> np.ndarray:
+def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, end text, *features) of runs of texts of about `most` characters, so that training holds little at once."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= most):
+            size += len(texts[b])
+            b += 1
+        raw = [x.encode() for x in texts[a:b]]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        yield a, b, *_features(np.frombuffer(b"".join(raw), np.uint8), off)
+        a = b
+
+
+def _telling(with_yes: np.ndarray, with_no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
     """Buckets whose share among texts with the target differs from that among the others by TELLING standard errors."""
-    yes, no = np.nan_to_num(truth) >= 0.5, np.nan_to_num(truth, nan=1) < 0.5
-    a, b = np.bincount(bucket[yes[who]], minlength=BUCKETS), np.bincount(bucket[no[who]], minlength=BUCKETS)
-    p = np.clip((a + b) / max(yes.sum() + no.sum(), 1), 1e-9, 1 - 1e-9)
-    error = np.sqrt(p * (1 - p) * (1 / max(yes.sum(), 1) + 1 / max(no.sum(), 1)))
-    z = (a / max(yes.sum(), 1) - b / max(no.sum(), 1)) / error
-    return np.flatnonzero((np.abs(z) >= TELLING) & (a + b >= LEAST_DOCS))
+    n_yes, n_no = max(n_yes, 1), max(n_no, 1)
+    p = np.clip((with_yes + with_no) / (n_yes + n_no), 1e-9, 1 - 1e-9)
+    z = (with_yes / n_yes - with_no / n_no) / np.sqrt(p * (1 - p) * (1 / n_yes + 1 / n_no))
+    return np.flatnonzero((np.abs(z) >= TELLING) & (with_yes + with_no >= LEAST_DOCS))
+
+
+def _fit_one(dense: np.ndarray, rows: np.ndarray, at: np.ndarray, n_words: int, target: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word weights, other weights) of one target by full-batch AdaGrad on the mean log loss; NaN adds nothing."""
+    known = ~np.isnan(target)
+    truth = np.where(known, target, 0)
+    w, d = np.zeros(n_words), np.zeros(DENSE)
+    slope_w, slope_d = np.full(n_words, 1e-6), np.full(DENSE, 1e-6)
+    for _ in range(steps):
+        z = dense @ d + np.bincount(rows, w[at], len(dense))
+        error = np.where(known, truth - 1 / (1 + np.exp(-z)), 0) / len(dense)
+        gd = dense.T @ error - 1e-4 * d
+        gw = np.bincount(at, error[rows], n_words) - 1e-4 * w
+        slope_d += gd * gd
+        slope_w += gw * gw
+        d += 0.3 * gd / np.sqrt(slope_d)
+        w += 0.3 * gw / np.sqrt(slope_w)
+    return w, d
 
 
 def train(texts: list[str], targets: np.ndarray, steps: int = 400) -> dict:
-    """Full-batch AdaGrad on the mean log loss of each target, over its telling words; a missing target (NaN) adds nothing."""
+    """Logistic regression of each target over its telling words; a missing target (NaN) adds nothing."""
     k = targets.shape[1] if len(targets) else len(TARGETS)
-    model = {"words": np.zeros((BUCKETS, k)), "dense": np.zeros((DENSE, k))}
-    if len(texts):
-        raw = [x.encode() for x in texts]
-        off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        who, bucket, dense = _features(np.frombuffer(b"".join(raw), np.uint8), off)
+    model = {"words": np.zeros((BUCKETS, k), np.float32), "dense": np.zeros((DENSE, k), np.float32)}
+    if not len(texts):
+        return model
+    yes, no = np.nan_to_num(targets) >= 0.5, np.nan_to_num(targets, nan=1) < 0.5
+    with_yes, with_no = np.zeros((k, BUCKETS), np.int32), np.zeros((k, BUCKETS), np.int32)
+    dense = []
+    for a, b, who, bucket, rest in _parts(texts):
+        dense.append(rest)
+        for j in range(k):
+            np.add.at(with_yes[j], bucket[yes[a:b, j][who]], 1)
+            np.add.at(with_no[j], bucket[no[a:b, j][who]], 1)
+    dense = np.concatenate(dense)
+    telling = [_telling(with_yes[j], with_no[j], int(yes[:, j].sum()), int(no[:, j].sum())) for j in range(k)]
+    del with_yes, with_no
+    kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(k)]
+    for a, _, who, bucket, _ in _parts(texts):
         for j in range(k):
-            telling = _telling(who, bucket, len(texts), targets[:, j])
-            at = np.searchsorted(telling, bucket)
-            ok = at < len(telling)
-            ok[ok] = telling[at[ok]] == bucket[ok]
-            rows, at = who[ok], at[ok]
-            known = ~np.isnan(targets[:, j])
-            truth = np.where(known, targets[:, j], 0)
-            w, d = np.zeros(len(telling)), np.zeros(DENSE)
-            slope_w, slope_d = np.full(len(w), 1e-6), np.full(len(d), 1e-6)
-            for _ in range(steps):
-                z = dense @ d + np.bincount(rows, w[at], len(texts))
-                error = np.where(known, truth - 1 / (1 + np.exp(-z)), 0) / len(texts)
-                gd = dense.T @ error - 1e-4 * d
-                gw = np.bincount(at, error[rows], len(w)) - 1e-4 * w
-                slope_d += gd * gd
-                slope_w += gw * gw
-                d += 0.3 * gd / np.sqrt(slope_d)
-                w += 0.3 * gw / np.sqrt(slope_w)
-            model["words"][telling, j] = w
-            model["dense"][:, j] = d
-    return {x: y.astype(np.float32) for x, y in model.items()}
+            at = np.searchsorted(telling[j], bucket)
+            ok = at < len(telling[j])
+            ok[ok] = telling[j][at[ok]] == bucket[ok]
+            kept[j].append((who[ok] + a, at[ok]))
+    for j in range(k):
+        rows, at = (np.concatenate(x) for x in zip(*kept[j]))
+        w, d = _fit_one(dense, rows, at, len(telling[j]), targets[:, j], steps)
+        model["words"][telling[j], j] = w
+        model["dense"][:, j] = d
+    return model
 
 
 def _one_label(labels: DataFrame) -> DataFrame:
