@@ -12,9 +12,9 @@ shards that can match it:
 3. Shards.  A shard streams its documents in order of their ids through its automaton, which holds the regions of all smaller
    ones.  The matching statistics mark every span of `window` words or more; what did not match is then added, so copies add nothing.
 4. Anchors in more than HOT documents (a boilerplate line, a huge group of copies) would put too much into one shard.
-   Their windows are reduced by hash to the least document that has each, pre-aggregated before the shuffle, and found
-   again by a join whose hot keys Spark may split.  Which way a window goes depends on its anchor alone, so it is the
-   same for all documents.
+   Their windows are matched by a 128-bit hash instead.  Among the documents of one slice of a task, all but the first with a window are
+   settled on the spot; one row for each slice is left to be compared with the other slices', in a stream that holds
+   one row.  Which way a window goes depends on its anchor alone, so it is the same for all documents.
 
 `remove_reference_spans` is the plain form for a given reference of bounded size: its automata are broadcast.
 """
@@ -28,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import NON_SPACE, checkpoint, partitions, slices, span_hash, word_hashes, words
+from tidemark.llm._text import NON_SPACE, mix, partitions, slices, span_hash, word_hashes, words
 from tidemark.llm.automaton import SuffixAutomaton
 
-WINDOW, GRAM = 13, 8
+WINDOW, GRAM = 13, 6
 #: Documents above which an anchor's windows are matched by hash instead of in one shard.
 HOT = 1000
-COLD, WARM = 0, 1
+#: Rows of the region table: a region for a shard, a hot window to compare, a span that is settled.
+COLD, WARM, DONE = 0, 1, 2
+#: Anchors only propose; 48 bits keep the shuffles small.
+ANCHOR_BITS = 48
 
 
 def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int =
         none = np.zeros(0, np.int64)
         return none, none, none
     at = np.arange(len(h) - gram + 1)
-    low = span_hash(h, at, at + gram)
+    low = span_hash(h, at, at + gram) >> np.uint64(64 - ANCHOR_BITS)
     span, step = window - gram + 1, 1
     while step < span:  # least of `span` neighbours, by doubling
         move = min(step, span - step)
@@ -55,9 +58,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int =
     return start, doc[start], low[start].view(np.int64)
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
+def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, off in slices(batch, 1):
@@ -67,59 +68,89 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                     new = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
                     yield pa.RecordBatch.from_arrays([pa.array(low[new]), batch.column(0).take(pa.array(doc[new] + a))], names=["h", "doc_id"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"h long, doc_id {kind}")
+    return keyed.where("doc_id is not null").select(F.col("_key").alias("doc_id"), "text").mapInArrow(run, "h long, doc_id long")
+
+
+def _run_starts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(out)
+
+
+def _composite(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return mix(anchor.astype(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
+REGION = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
+
+
+def _region_batch(kind: int, key, key2, doc, start, stop, raw=None) -> pa.RecordBatch:
+    n = len(key)
+    raw = pa.array(raw, pa.binary()) if raw is not None else pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.asarray(x, np.int64)) for x in (key, key2, doc, start, stop)), raw], schema=REGION)
+
+
+def _hot_windows(h: np.ndarray, owner: np.ndarray, start: np.ndarray, place: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """Rows for hot windows at words `start` of the slice; place is the word number in the text, owner the doc_id."""
+    one = span_hash(h, start, start + window).view(np.int64)
+    two = span_hash(h ^ np.uint64(0x5851F42D4C957F2D), start, start + window).view(np.int64)
+    order = np.lexsort((place, owner, two, one))
+    one, two, owner, place = one[order], two[order], owner[order], place[order]
+    head = _run_starts(one, two)
+    least = np.repeat(owner[head], np.diff(np.append(head, len(one))))
+    mine = owner == least
+    yield _region_batch(WARM, one[mine], two[mine], owner[mine], place[mine], place[mine] + window)
+    owner, place = owner[~mine], place[~mine]
+    if len(owner):
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + window)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(owner)) - 1
+        yield _region_batch(DONE, owner[first], np.zeros(len(first)), owner[first], place[first], place[last] + window)
 
 
 def _region_rows(joined: DataFrame, window: int) -> DataFrame:
-    """kind, key, key2, doc_id, start, words: regions (COLD: key is the leader) and hot windows (WARM: two hashes)."""
+    """Rows (_key, text, shared, ...) to the region table: kind, key, key2, doc_id, start, stop, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-            for a, b, data, off in slices(batch, 1):
+            owners = batch.column("_key").to_numpy()
+            column = batch.column("shared")
+            offsets, parts = column.offsets.to_numpy(), column.values
+            anchor, lead, warm = (np.asarray(parts.field(i)) for i in range(3))
+            for a, b, data, off in slices(batch, batch.schema.names.index("text")):
                 begin, end, first = words(data, off, NON_SPACE)
                 h = span_hash(data, begin, end)
                 start, doc, low = anchors(h, first, window)
-                bounds = np.searchsorted(doc, np.arange(b - a + 1))
-                out: list[list] = [[] for _ in range(6)]
-                for i in range(b - a):
-                    shared = lists[a + i].values
-                    if shared is None or not len(shared):
-                        continue
-                    x, y = bounds[i], bounds[i + 1]
-                    key = np.asarray(shared.field(0))
-                    lead, warm = np.asarray(shared.field(1)), np.asarray(shared.field(2))
-                    order = np.argsort(key)
-                    key, lead, warm = key[order], lead[order], warm[order]
-                    at = np.minimum(np.searchsorted(key, low[x:y]), len(key) - 1)
-                    hit = key[at] == low[x:y]
-                    owner = batch.column(0)[a + i].as_py()
-                    w = np.flatnonzero(hit & warm[at])
-                    if len(w):
-                        s = start[x:y][w]
-                        out[0] += [WARM] * len(s)
-                        out[1] += span_hash(h, s, s + window).view(np.int64).tolist()
-                        out[2] += span_hash(h ^ np.uint64(0x5851F42D4C957F2D), s, s + window).view(np.int64).tolist()
-                        out[3] += [owner] * len(s)
-                        out[4] += (s - first[i]).tolist()
-                        out[5] += [None] * len(s)
-                    c = np.flatnonzero(hit & ~warm[at])
-                    if len(c):
-                        leader = lead[at][c]
-                        cut = np.flatnonzero((np.diff(c) > 1) | (leader[1:] != leader[:-1])) + 1
-                        for p, q in zip([0, *cut.tolist()], [*cut.tolist(), len(c)]):
-                            s, e = start[x + c[p]], start[x + c[q - 1]] + window
-                            out[0].append(COLD)
-                            out[1].append(int(leader[p]))
-                            out[2].append(0)
-                            out[3].append(owner)
-                            out[4].append(int(s - first[i]))
-                            out[5].append(b" ".join(data[begin[s] : end[e - 1]].tobytes().split()))
-                if out[0]:
-                    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["kind", "key", "key2", "doc_id", "start", "words"])
-
-    return joined.mapInArrow(run, "kind tinyint, key long, key2 long, doc_id long, start long, words binary")
+                if not len(start):
+                    continue
+                x, y = offsets[a], offsets[b]
+                given = _composite(np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), anchor[x:y])
+                order = np.argsort(given)
+                head = _run_starts(low, doc)
+                want = _composite(doc[head], low[head])
+                at = np.minimum(np.searchsorted(given, want, sorter=order), len(given) - 1)
+                at = order[at]
+                size = np.diff(np.append(head, len(low)))
+                hit = np.repeat(given[at] == want, size)
+                leader, is_warm = np.repeat(lead[x:y][at], size), np.repeat(warm[x:y][at], size)
+                w = np.flatnonzero(hit & is_warm)
+                if len(w):
+                    yield from _hot_windows(h, owners[a + doc[w]], start[w], start[w] - first[doc[w]], window)
+                c = np.flatnonzero(hit & ~is_warm)
+                if len(c):
+                    cut = _run_starts(c - np.arange(len(c)), leader[c], doc[c])
+                    p, q = c[cut], c[np.append(cut[1:], len(c)) - 1]
+                    s, e = start[p], start[q] + window
+                    raw = data.tobytes()
+                    text = [b" ".join(raw[i:j].split()) for i, j in zip(begin[s].tolist(), end[e - 1].tolist())]
+                    yield _region_batch(COLD, leader[p], np.zeros(len(p)), owners[a + doc[p]], s - first[doc[p]], e - first[doc[p]], text)
+
+    return joined.mapInArrow(run, "kind tinyint, key long, key2 long, doc_id long, start long, stop long, words binary")
 
 
 def _matched(stat: list[int], window: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -163,46 +194,57 @@ class Shard:
 
 
 def _stream_shards(window: int):
-    """Batches sorted by (key, doc_id, start): a shard's rows come together."""
+    """Region rows sorted by (kind, key, key2, doc_id, start) to spans: the rows of a shard, and of a hot window, come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, key, owner = None, None, None
+        shard, key, owner, least = None, None, None, None
         for batch in batches:
             doc, start, end = [], [], []
-            for k, d, s, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if shard is None or k != key:
-                    shard, key, owner = Shard(window), k, d
-                elif d != owner:
-                    shard.settle()
-                    owner = d
-                for x, y in shard.stream(raw):
+            for kind, k, k2, d, s, e, raw in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                now = (kind, k, k2)
+                if now != key:
+                    shard, key, owner, least = Shard(window) if kind == COLD else None, now, d, d
+                if kind == COLD:
+                    if d != owner:
+                        shard.settle()
+                        owner = d
+                    for x, y in shard.stream(raw):
+                        doc.append(d)
+                        start.append(s + x)
+                        end.append(s + y)
+                elif kind == DONE or d > least:
                     doc.append(d)
-                    start.append(s + x)
-                    end.append(s + y)
+                    start.append(s)
+                    end.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, end)], names=["doc_id", "start", "end"])
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with text last, never null, and _key: doc_id, or the least long for null - never null, so that both joins on it read one exchange."""
+    own = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept", "_key")]
+    return docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc_id, start, end (word numbers) of spans whose windows also start in a document with a smaller doc_id.
 
     Spans of one document may overlap and repeat.  doc_id must be an integer; rows of null doc_id have no order, so
     they neither lose words nor take them from others.  Rows that repeat a doc_id are one document with several texts.
     """
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    seen = _anchor_rows(ids, window)
+    return _spans(_keyed(docs), window, hot)
+
+
+def _spans(keyed: DataFrame, window: int, hot: int) -> DataFrame:
+    seen = _anchor_rows(keyed, window)
     shared = seen.groupBy("h").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("lead < _last")
     shared = shared.select("h", "lead", (F.col("_n") > hot).alias("warm"))
     lists = seen.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "lead", "warm")).alias("shared"))
-    regions = checkpoint(_region_rows(ids.join(lists, "doc_id").select("doc_id", "text", "shared"), window))
-    cold = regions.where(F.col("kind") == COLD).select("key", "doc_id", "start", "words")
-    cold = cold.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "doc_id", "start")
-    found = cold.mapInArrow(_stream_shards(window), "doc_id long, start long, end long")
-    warm = regions.where(F.col("kind") == WARM).select("key", "key2", "doc_id", "start")
-    least = warm.groupBy("key", "key2").agg(F.min("doc_id").alias("least"))
-    hits = warm.join(least, ["key", "key2"]).where("least < doc_id")
-    return found.unionByName(hits.select("doc_id", "start", (F.col("start") + window).alias("end")))
+    regions = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", "_id"), F.col("_key") == F.col("_id")).drop("_id"), window)
+    order = ["kind", "key", "key2"]
+    dealt = regions.repartition(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order, "doc_id", "start")
+    return dealt.mapInArrow(_stream_shards(window), "doc_id long, start long, end long")
 
 
 def _cut():
@@ -228,22 +270,19 @@ def _cut():
     return run
 
 
-def _with_cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    own = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce("text", F.lit("")).alias("text")).join(lists.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    joined = joined.select(*[F.col(f"`{c}`") for c in own], "text", "_spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
-    return joined.mapInArrow(_cut(), f"{fields}, n_words long, n_removed long, kept string")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """docs without text, with n_words, n_removed and kept (the words left, joined by one space).
 
     Null and empty texts have no words.  Repeated rows lose the same words and take none from each other.  Columns so
     named are replaced; an empty table gives no rows.
     """
-    return _with_cut(docs, repeated_spans(docs, window, hot))
+    keyed = _keyed(docs)
+    own = [c for c in keyed.columns if c not in ("_key", "text")]
+    lists = _spans(keyed, window, hot).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    joined = keyed.join(lists.withColumnRenamed("doc_id", "_id"), F.col("_key") == F.col("_id"), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in own], "text", "_spans")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields[:-2])
+    return joined.mapInArrow(_cut(), f"{fields}n_words long, n_removed long, kept string")
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int = WINDOW, shard_words: int = 1 << 20, most_words: int = 1 << 22) -> DataFrame:
