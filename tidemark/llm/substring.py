@@ -33,7 +33,7 @@ from tidemark.llm.automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 6
 #: Documents above which an anchor's windows are matched by hash instead of in one shard.
-HOT = 1000
+HOT = 64
 #: Rows of the region table: a region for a shard, a hot window to compare, a span that is settled.
 COLD, WARM, DONE = 0, 1, 2
 #: Anchors only propose; 48 bits keep the shuffles small.
