@@ -101,18 +101,26 @@ def _hot_windows(h: np.ndarray, owner: np.ndarray, start: np.ndarray, place: np.
     head = _run_starts(one, two)
     least = np.repeat(owner[head], np.diff(np.append(head, len(one))))
     mine = owner == least
-    yield _region_batch(WARM, one[mine], two[mine], owner[mine], place[mine], place[mine] + window)
+    one, two, held, at = one[mine], two[mine], owner[mine], place[mine]
+    first, last = _touching(window, at, one, two, held)
+    yield _region_batch(WARM, one[first], two[first], held[first], at[first], at[last] + window)
     owner, place = owner[~mine], place[~mine]
     if len(owner):
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + window)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner)) - 1
+        first, last = _touching(window, place, owner)
         yield _region_batch(DONE, owner[first], np.zeros(len(first)), owner[first], place[first], place[last] + window)
 
 
+def _touching(window: int, place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row of each stretch of sorted rows whose windows touch and whose other columns agree."""
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] > place[:-1] + window
+    new[_run_starts(*same)] = True
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(place)) - 1
+
+
 def _region_rows(joined: DataFrame, window: int) -> DataFrame:
     """Rows (_key, text, shared, ...) to the region table: kind, key, key2, doc_id, start, stop, words."""
 
