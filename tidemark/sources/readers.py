@@ -50,7 +50,7 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sidecar(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(clip, line_no, line) of every file below a path whose name ends in suffix; the clip is the name without it."""
-    x = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true").text(path)
+    x = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
     x = x.withColumn("_n", name).select(F.expr(f"substring(_n, 1, length(_n) - {len(suffix)})").alias("clip"), "value")
     return x.select("clip", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
