@@ -182,8 +182,8 @@ def shrink(groups: DataFrame, n: str, s: str, mean: str) -> DataFrame:
     v0 = F.col("noise") / F.col("rows")  # mean (1 - mean), over rows
     between = (F.col("gap") - F.col("groups") * v0) / F.greatest(F.col("rows") - F.col("groups"), F.lit(1.0))
     strength = F.when(between > 1e-9, F.greatest(v0 / between - 1, F.lit(1.0))).otherwise(F.lit(1e6))
-    k = spread.select(F.coalesce(F.least(strength, F.lit(1e6)), F.lit(1e6)).alias("_k"))
-    return groups.join(F.broadcast(k)).withColumn("post", (F.col(s) + F.col("_k") * m) / (F.col(n) + F.col("_k"))).drop("_k")
+    k = spread.select(F.coalesce(F.least(strength, F.lit(1e6)), F.lit(1e6))).first()[0]  # one number for the level
+    return groups.withColumn("post", (F.col(s) + k * m) / (F.col(n) + k))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, model: dict | None = None) -> DataFrame:
@@ -200,8 +200,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     sums = scored.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *[F.sum(f"c_{t}").alias(f"s_{t}") for t in TARGETS])
     paths = checkpoint(sums)
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS])
-    whole = hosts.agg(*[(F.sum(f"s_{t}") / F.sum("n")).alias(f"all_{t}") for t in TARGETS])
-    hosts = hosts.join(F.broadcast(whole))
+    whole = hosts.agg(*[F.coalesce(F.try_divide(F.sum(f"s_{t}"), F.sum("n")), F.lit(0.5)).alias(t) for t in TARGETS]).first()
+    hosts = hosts.withColumns({f"all_{t}": F.lit(whole[t]) for t in TARGETS})
     for t in TARGETS:
         hosts = shrink(hosts, "n", f"s_{t}", f"all_{t}").withColumnRenamed("post", f"host_{t}")
     paths = paths.join(hosts.select("_host", *[f"{x}_{t}" for t in TARGETS for x in ("all", "host")]), "_host")

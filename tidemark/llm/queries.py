@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, linededup, packing, quality, rules, secrets, sharding, simhash, substring
+from tidemark.llm.sql import SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +83,4 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring, op3_rules, op4_language, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op9_quality, op10_line_runs)}
 
-#: DuckDB SQL for those that SQL can express.
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
