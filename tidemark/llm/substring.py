@@ -247,7 +247,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
 def _spans(keyed: DataFrame, window: int, hot: int) -> DataFrame:
     seen = _anchor_rows(keyed, window)
     shared = seen.groupBy("h").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("lead < _last")
-    shared = shared.select("h", "lead", (F.col("_n") > hot).alias("warm"))
+    # the anchor is rewritten (to itself), so that this small side of the join is dealt anew: Spark splits a hot anchor only then
+    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), "lead", (F.col("_n") > hot).alias("warm"))
     lists = seen.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "lead", "warm")).alias("shared"))
     regions = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", "_id"), F.col("_key") == F.col("_id")).drop("_id"), window)
     order = ["kind", "key", "key2"]
