@@ -96,3 +96,42 @@ def test_odd_rows(odd, none):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_documents_against_jaccard(spark, docs):
+    rng = random.Random(8)
+    base = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if len(r.text.split()) > 120][:60]
+    rows, near = list(base), {}
+    for k, (i, text) in enumerate(base):
+        w = text.split()
+        for p in rng.sample(range(len(w)), max(1, len(w) // 80)):
+            w[p] = "changed"
+        rows.append((5000 + k, " ".join(w)))
+        near[5000 + k] = len(shingles(text) & shingles(rows[-1][1])) / len(shingles(text) | shingles(rows[-1][1]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [got[5000 + k] == got[i] for k, (i, _) in enumerate(base) if near[5000 + k] >= 0.85]
+    assert len(caught) > 40 and np.mean(caught) > 0.97
+    # documents that share little stay apart
+    sets = {i: shingles(t) for i, t in base}
+    for i, _ in base:
+        if got[i] != i and got[i] in sets:
+            assert len(sets[i] & sets[got[i]]) / len(sets[i] | sets[got[i]]) > 0.5
+
+
+def test_similar_odd_rows(odd, none):
+    got = simhash.similar_documents(odd).collect()
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and len(got) == odd.count()
+    assert simhash.similar_documents(none).count() == 0
+    kept = simhash.drop_similar(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
+
+
+def test_triples_repeat_no_pair():
+    pairs = [frozenset(p) for t in simhash.TRIPLES.tolist() for p in ((t[0], t[1]), (t[0], t[2]), (t[1], t[2]))]
+    assert len(pairs) == len(set(pairs))

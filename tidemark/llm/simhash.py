@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import checkpoint, partitions
+from tidemark.llm._text import checkpoint, mix, partitions
 from tidemark.llm.components import components
 
 BYTES, MAX_BITS, SEED = 8, 3, 42
@@ -213,13 +213,162 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fp.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
+# Wide fingerprints, for similarities that three bits of 64 cannot tell.
+
+WIDE, WIDTH, SIMILARITY = 4, 5, 0.8
+#: Triples of the 32 positions, at strides that repeat no pair of distances: each is a list key of 24 bits.
+TRIPLES = np.array([(i, (i + a) % (8 * WIDE), (i + b) % (8 * WIDE)) for a, b in ((1, 4), (2, 11), (5, 13)) for i in range(8 * WIDE)])
+
+
+def most_bits(similarity: float = SIMILARITY, bits: int = 64 * WIDE) -> int:
+    """Differing bits up to which fingerprints are linked.
+
+    A Jaccard similarity s of the shingle sets is the cosine 2 s / (1 + s), whose angle is the expected share of
+    differing bits; one standard error is added, so that five pairs in six at this very similarity are linked.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprint(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """WIDE words of 64 bits over the distinct shingles; zero without words."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(WIDE, np.uint64)
+    one = b" ".join(w)
+    k = min(width, len(w))
+    size = np.fromiter(map(len, w), np.int64, len(w))
+    start = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
+    end = (start + size)[k - 1 :]
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(one[a:b], SEED) for a, b in zip(start[: len(end)].tolist(), end.tolist())), np.uint64, len(end)))
+    return np.array([_majority(mix(h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i in range(WIDE)], np.uint64)
+
+
+def _node(f: np.ndarray) -> np.ndarray:
+    """One signed 64-bit name of each wide fingerprint (rows of f)."""
+    out = np.zeros(len(f), np.uint64)
+    for i in range(WIDE):
+        out = mix(out ^ mix(f[:, i] + np.uint64(i + 1)))
+    return out.view(np.int64)
+
+
+_NAMES = [f"f{i}" for i in range(WIDE)]
+
+
+def _wide_rows(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, node and the words of the wide fingerprint of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
+            f = np.array([wide_fingerprint(x.as_py() or b"", width) for x in texts], np.uint64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_node(f)), *(pa.array(f[:, i].view(np.int64) if f.flags.f_contiguous else np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(WIDE))], names=["doc_id", "node", *_NAMES])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, " + ", ".join(f"{n} long" for n in _NAMES))
+
+
+def _words(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(WIDE)], axis=1)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints to list entries: key (triple and its three bytes) and fingerprint."""
+    for batch in batches:
+        f = _words(batch, 0)
+        for a in range(0, len(f), 2048):
+            part = f[a : a + 2048]
+            raw = np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
+            t = raw[:, TRIPLES]
+            key = (np.arange(len(TRIPLES)) << 24) | (t[:, :, 0] << 16) | (t[:, :, 1] << 8) | t[:, :, 2]
+            many = np.repeat(part, len(TRIPLES), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.ascontiguousarray(many[:, i]).view(np.int64)) for i in range(WIDE))], names=["key", *_NAMES])
+
+
+def link_wide(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (rows a, rows b) of the links of a list: pairs of at most `most` differing bits."""
+    found_a, found_b = [], []
+    for i in range(len(f) - 1):
+        near = np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]).sum(1) <= most) + i + 1
+        found_a.append(np.full(len(near), i))
+        found_b.append(near)
+    forest = _forest(np.concatenate(found_a), np.concatenate(found_b), len(f))
+    return tuple(np.array(forest, np.int64).reshape(-1, 2).T)
+
+
+def _linked_wide(most: int):
+    """Batches sorted by key: lists of two or more fingerprints to links; a list may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_key, rest = np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
+
+        def links(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch | None:
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            out = []
+            for k in np.flatnonzero(np.diff(cut) > 1).tolist():
+                part = np.unique(f[cut[k] : cut[k + 1]], axis=0)
+                if len(part) > 1:
+                    a, b = link_wide(part, most)
+                    if len(a):
+                        node = _node(part)
+                        out.append((node[a], node[b]))
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return None
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.concatenate([rest_key, batch.column(0).to_numpy(zero_copy_only=False)])
+            f = np.concatenate([rest, _words(batch, 1)])
+            last = int(np.searchsorted(key, key[-1]))  # the last list may not be whole yet
+            rest_key, rest = key[last:], f[last:]
+            if last and (x := links(key[:last], f[:last])) is not None:
+                yield x
+        if len(rest_key) and (x := links(rest_key, rest)) is not None:
+            yield x
+
+    return run
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row: groups linked at this Jaccard similarity of their shingles, as wide fingerprints tell it.
+
+    The 256-bit fingerprints are listed under 96 triples of positional bytes.  Pairs that share a triple are verified by
+    their differing bits (see most_bits).  A pair is listed together with probability 0.85 at a
+    similarity of 0.8, 0.97 at 0.85 and over 0.999 from 0.9 on; groups have many pairs.  Equal shingle sets are always linked.
+    Null and wordless texts are one group; null doc_ids and repeated rows are as in near_duplicates.
+    """
+    fp = checkpoint(_wide_rows(docs, width))
+    groups = fp.groupBy("node", *_NAMES).agg(F.min("doc_id").alias("least"))
+    posted = groups.select(*_NAMES).mapInArrow(_posted, "key long, " + ", ".join(f"{n} long" for n in _NAMES))
+    dealt = posted.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    roots = components(dealt.mapInArrow(_linked_wide(most_bits(similarity)), "a long, b long")).withColumnRenamed("a", "node")
+    named = groups.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = named.select("node", "root").join(ids, "root").select("node", "component_id")
+    return fp.select("doc_id", "node").join(whole, "node").select("doc_id", "component_id")
+
+
 def hex_digits(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (the first by text among repeated ids)."""
-    kept = near_duplicates(docs, width).where("doc_id <=> component_id").select("doc_id").distinct()
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each component of groups(doc_id, component_id): that of the smallest doc_id (the first by its other columns among repeated ids)."""
+    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     return one.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One row of each group that near_duplicates links."""
+    return first_of_groups(docs, near_duplicates(docs, width))
+
+
+def drop_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group that similar_documents links."""
+    return first_of_groups(docs, similar_documents(docs, width, similarity))
