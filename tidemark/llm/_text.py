@@ -33,12 +33,17 @@ _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df.checkpoint()` in the shared folder that spark.checkpoint.dir names; its own folder only if that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: what spark.checkpoint.dir names, and a folder of this machine only where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df.checkpoint()` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
