@@ -195,3 +195,30 @@ def test_records(spark, tmp_path):
     d = spark.createDataFrame([("c", 0, 10, 0.5)], "clip string, id long, t long, conf double")
     doc = sinks.events_document(d.select("clip"), d, d.limit(0)).first().document
     assert json.loads(doc)["shots"] == [{"t": 10, "id": 0, "conf": 0.5}]
+
+
+def test_cached_tables_are_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    path = str(tmp_path / "t")
+    assert readers.cached(spark, path, build).count() == 1
+    assert readers.cached(spark, path, build).count() == 1 and len(built) == 1
+    assert readers.cached(spark, path, build, rebuild=True).count() == 2
+
+
+def test_records_and_overrides(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"record_type":"fp","audit_id":"a|FP|0001"}\n{"record_type":"skip","audit_id":null}\n')
+    assert [r.audit_id for r in readers.read_manifest(spark, str(tmp_path / "m.jsonl"), "fp").collect()] == ["a|FP|0001"]
+    (tmp_path / "o.csv").write_text("\ufeffaudit_id,human_primary\na|FP|0001,echo\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.read_label_overrides(spark, str(tmp_path / "o.csv")).collect()] == [("a|FP|0001", "echo")]
+    files = spark.createDataFrame([(".git", "xcali.txt"), ("b/tmp", "acali.txt"), ("z", "1beep.txt"), ("c/d", "2cali.txt")], "folder string, name string")
+    assert readers.annotation_folder(files).first().folder == "c/d"
+    labels = spark.createDataFrame([("v", 30, 1)], "clip string, frame long, shot int")
+    sure = spark.createDataFrame([("v", 1, True)], "clip string, shot int, motion_confirmed boolean")
+    assert sinks.overlay_labels(labels, sure, labels.select("clip")).first().colour == "green"
+    ocr = spark.createDataFrame([("9.99 x 1.25 2.5",)], "t string").select(parse.ocr_times(F.col("t"), F.lit(2)).alias("x")).first().x
+    assert ocr == [1.25, 2.5]

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +133,15 @@ def beep_truth(files: DataFrame) -> DataFrame:
     key = F.regexp_extract("name", r"^(.*)beep\.txt$", 1)
     clip = F.when(key.rlike(r"^S\d+$"), F.concat(key, F.lit("-main"))).otherwise(key)
     return files.where("line_no = 0").select(clip.alias("clip"), F.trim("line").try_cast("double").alias("t")).where("t is not null")
+
+
+def cached(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
+    """The Parquet table at path; if it isn't there (or rebuild is set), build() is written there first."""
+    if not rebuild:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
