@@ -72,10 +72,8 @@ def asof_backward(left: DataFrame, right: DataFrame, strict: bool = False) -> Da
     Among right rows of that same time the least id is taken.
     """
     both = _merged(left, right)
-    # one right row for each time, so that the last one seen is the least id of its time
-    first = F.row_number().over(Window.partitionBy("clip", "t", "side").orderBy("_order"))
-    both = both.withColumn("v", F.when((F.col("side") == 0) & (first == 1), F.col("v")))
-    order = [F.col("t"), (F.col("side").desc() if strict else F.col("side").asc()), F.col("_order")]
+    # larger ids first, so that the last one seen is the least id of its time
+    order = [F.col("t"), (F.col("side").desc() if strict else F.col("side").asc()), F.col("_order").desc()]
     w = Window.partitionBy("clip").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("prev", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("l.*", "prev")
 
@@ -86,9 +84,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None
     Rows beyond the tolerance have null for both.  One exchange on clip; no pair is made.
     """
     both = _merged(left, right)
-    first = F.row_number().over(Window.partitionBy("clip", "t", "side").orderBy("_order"))
-    both = both.withColumn("v", F.when((F.col("side") == 0) & (first == 1), F.col("v")))
-    w = Window.partitionBy("clip").orderBy("t", "side", "_order")
+    w = Window.partitionBy("clip").orderBy(F.col("t"), F.col("side"), F.col("_order").desc())
     back = F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # the next right row is found by reading time backwards, where a frame up to the current row is running, too
     r = Window.partitionBy("clip").orderBy(F.col("t").desc(), F.col("side").desc(), F.col("_order").desc())
