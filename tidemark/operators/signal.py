@@ -54,9 +54,16 @@ def _points(s: DataFrame, value: str, window: Column, step: Column, name: str, m
     low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("idx") - F.col("_h")) / F.col("_s")) + 1)
     high = F.least(F.floor((F.col("_n") - 1) / F.col("_s")), F.floor((F.col("idx") + F.col("_h")) / F.col("_s")))
     dealt = x.where(high >= low).select("clip", "_s", "_n", "v", F.explode(F.sequence(low, high)).alias("m"))
-    med = dealt.groupBy("clip", "m", "_s", "_n").agg(F.expr("percentile(v, 0.5)").alias("med"), F.stddev_pop("v").alias("_std"))
-    dev = dealt.join(med, ["clip", "m", "_s", "_n"]).groupBy("clip", "m", "_s", "_n", "med", "_std").agg(F.expr("percentile(abs(v - med), 0.5)").alias("_mad"))
-    return dev.select("clip", (F.col("m") * F.col("_s")).alias("at"), "med", mad.alias("dev")).withColumnRenamed("dev", name)
+    g = dealt.groupBy("clip", "m", "_s", "_n").agg(F.array_sort(F.collect_list("v")).alias("_xs"), F.stddev_pop("v").alias("_std"))
+    g = g.withColumn("med", _middle(F.col("_xs")))
+    g = g.withColumn("_devs", F.array_sort(F.transform("_xs", lambda x: F.abs(x - F.col("med"))))).withColumn("_mad", _middle(F.col("_devs")))
+    return g.select("clip", (F.col("m") * F.col("_s")).alias("at"), "med", mad.alias(name))
+
+
+def _middle(xs: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(xs)
+    return (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
 
 
 def interpolate(s: DataFrame, points: DataFrame, names: list[str]) -> DataFrame:
