@@ -194,3 +194,13 @@ def test_offset_scan_finds_the_shift(spark):
     d = secs(spark, [1.3, 2.3, 3.8])
     best = matching.offset_scan(r, d, micros(0.04), [micros(k / 10) for k in range(-5, 6)]).where("best").first()
     assert (best.offset, best.n) == (300_000, 3)
+
+
+def test_semi_anti_and_label_at_the_edges(spark):
+    rows, other = randoms(9), randoms(10)
+    a, b = table(spark, rows), table(spark, other)
+    for before, after in ((0, 0), (20, 20), (0, 30), (30, 10)):
+        hit = {(x[0], x[1]) for x in rows for y in other if x[0] == y[0] and -before <= y[2] - x[2] <= after}
+        assert {(r.clip, r.id) for r in matching.semi(a, b, before, after).collect()} == hit
+        assert {(r.clip, r.id) for r in matching.anti(a, b, before, after).collect()} == {(x[0], x[1]) for x in rows} - hit
+        assert {(r.clip, r.id) for r in matching.label(a, b, after, before).where("label = 1").collect()} == hit

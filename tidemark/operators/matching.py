@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_join(left: DataFrame, right: DataFrame, before: int, after: int, strict: bool = False, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, before: int, after: int, strict: bool = False) -> DataFrame:
     """Pairs with left.t - before <= right.t <= left.t + after in the same clip (strictly inside if strict).
 
     Columns of the right side are prefixed r_ (r_id, r_t, ...).  Each pair comes once: a left row is dealt to the buckets
@@ -23,31 +23,38 @@ def range_join(left: DataFrame, right: DataFrame, before: int, after: int, stric
     r = right.select(F.col("clip").alias("r_clip"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "clip"])
     r = r.withColumn("_rb", F.expr(f"floor(r_t / {width})"))
     touched = F.sequence(F.floor((F.col("t") - before) / width), F.floor((F.col("t") + after) / width))
-    if how == "inner":
-        dealt = left.withColumn("_b", F.explode(touched))
-    else:  # semi and anti need one row for each left row: deal out, join, and reduce
-        raise ValueError("use semi() or anti()")
+    dealt = left.withColumn("_b", F.explode(touched))
     d = F.col("r_t") - F.col("t")
     inside = (d > -before) & (d < after) if strict else (d >= -before) & (d <= after)
     return dealt.join(r, (F.col("clip") == F.col("r_clip")) & (F.col("_b") == F.col("_rb")) & inside).drop("_b", "_rb", "r_clip")
 
 
+def _within(left: DataFrame, right: DataFrame, before: int, after: int) -> DataFrame:
+    """left with _hit: whether a right row lies in [t - before, t + after].
+
+    The last right row up to t and the next one from t on decide, so no pair is made, and one exchange on clip serves both.
+    """
+    both = _merged(left, right.select("clip", "id", "t")).withColumn("_t", F.when(F.col("side") == 0, F.col("t")))
+    w = Window.partitionBy("clip").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    r = Window.partitionBy("clip").orderBy(F.col("t").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_a", F.last("_t", ignorenulls=True).over(w)).withColumn("_b", F.last("_t", ignorenulls=True).over(r))
+    hit = (F.col("t") - F.col("_a") <= before) | (F.col("_b") - F.col("t") <= after)
+    return both.where("side = 1").select("l.*", F.coalesce(hit, F.lit(False)).alias("_hit"))
+
+
 def semi(left: DataFrame, right: DataFrame, before: int, after: int) -> DataFrame:
     """Left rows with a right row in [t - before, t + after]."""
-    hit = range_join(left.select("clip", "id", "t"), right.select("clip", "id", "t"), before, after).select("clip", "id").distinct()
-    return left.join(hit, ["clip", "id"], "left_semi")
+    return _within(left, right, before, after).where("_hit").drop("_hit")
 
 
 def anti(left: DataFrame, right: DataFrame, before: int, after: int) -> DataFrame:
     """Left rows without any right row in [t - before, t + after]."""
-    hit = range_join(left.select("clip", "id", "t"), right.select("clip", "id", "t"), before, after).select("clip", "id").distinct()
-    return left.join(hit, ["clip", "id"], "left_anti")
+    return _within(left, right, before, after).where("not _hit").drop("_hit")
 
 
 def label(candidates: DataFrame, refs: DataFrame, before: int, after: int) -> DataFrame:
     """Candidates with label 1 if some reference r has -before <= t - r <= after, else 0."""
-    hit = range_join(candidates.select("clip", "id", "t"), refs.select("clip", "id", "t"), after, before).select("clip", "id").distinct().withColumn("label", F.lit(1))
-    return candidates.join(hit, ["clip", "id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return _within(candidates, refs, after, before).withColumn("label", F.col("_hit").cast("int")).drop("_hit")
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
