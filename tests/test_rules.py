@@ -204,3 +204,13 @@ def test_semi_anti_and_label_at_the_edges(spark):
         assert {(r.clip, r.id) for r in matching.semi(a, b, before, after).collect()} == hit
         assert {(r.clip, r.id) for r in matching.anti(a, b, before, after).collect()} == {(x[0], x[1]) for x in rows} - hit
         assert {(r.clip, r.id) for r in matching.label(a, b, after, before).where("label = 1").collect()} == hit
+
+
+def test_auc_against_pairs(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(12) / 11, rng.randrange(2)) for _ in range(200)]
+    got = metrics.auc(spark.createDataFrame(rows, "p double, y int"), "p", "y").first()
+    pos, neg = [p for p, y in rows if y], [p for p, y in rows if not y]
+    assert got.auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
+    none = metrics.auc(spark.createDataFrame([], "p double, y int"), "p", "y").first()
+    assert none.auc == 0.0

@@ -115,14 +115,16 @@ def class_means(df: DataFrame, features: str, label: str) -> DataFrame:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by ranks, ties sharing; and precision, recall, f1 at 0.5.
 
-    Scores are reduced to counts by distinct value, numbered within range partitions and offset by their sums, so the
-    ranking is not one task.
+    Scores are reduced to counts by distinct value and dealt into ranges at approximate quantiles; a range's sums and the
+    places within it give the ranks, so the ranking is not one task.  The quantiles are numbers in the plan: every part of it sees the same ranges.
     """
     by = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("_p"), F.sum((F.col(label) != 1).cast("long")).alias("_q"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = by.repartitionByRange(n, score).withColumn("_part", F.spark_partition_id())
+    cuts = sorted(set(df.stat.approxQuantile(score, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(score))) if cuts else F.lit(0)
+    dealt = by.withColumn("_part", part)
     sums = dealt.groupBy("_part").agg(F.sum("_q").alias("_qs"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     base = sums.select("_part", F.coalesce(F.sum("_qs").over(before), F.lit(0)).alias("_base"))
     below = F.col("_base") + F.coalesce(F.sum("_q").over(Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     area = dealt.join(F.broadcast(base), "_part").withColumn("_below", below)
