@@ -28,6 +28,8 @@ from tidemark.llm._text import LOWER, NON_SPACE, _power, mix, slices, words
 BUCKETS = 1 << 16
 PER_LANGUAGE = 150
 BLOCK = 64
+#: Bytes of text labelled at once; a longer single text is taken whole.
+SLICE = 2 << 20
 UNKNOWN = "und"
 AFFIXES = (1, 2, 3, 4)
 NGRAMS = (2, 3)
@@ -273,7 +275,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             column = batch.schema.names.index("text")
             names = np.full(len(batch), UNKNOWN, object)
             scores = np.zeros(len(batch))
-            for a, b, data, off in slices(batch, column, 8 << 20):
+            for a, b, data, off in slices(batch, column, SLICE):
                 if not m["names"] or not len(data):
                     continue
                 marginal, lettered, first = label_slice(m, data, off)
@@ -300,7 +302,7 @@ def word_labels(docs: DataFrame, model: dict) -> DataFrame:
         m = held.value
         for batch in batches:
             out: list[list] = [[] for _ in range(len(batch))]
-            for a, _, data, off in slices(batch, 1, 8 << 20):
+            for a, _, data, off in slices(batch, 1, SLICE):
                 if not m["names"] or not len(data):
                     continue
                 marginal, _, first = label_slice(m, data, off)
