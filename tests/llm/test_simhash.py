@@ -123,6 +123,59 @@ def test_similar_documents_against_jaccard(spark, docs):
             assert len(sets[i] & sets[got[i]]) / len(sets[i] | sets[got[i]]) > 0.5
 
 
+def near_copies(seed):
+    """Texts in pairs around a similarity of 0.8, chains of them, short texts, and phrases that most texts hold."""
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(400)]
+    hot = [" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(3)]
+    rows = []
+    for k in range(60):
+        w = [rng.choice(vocab) for _ in range(rng.choice([6, 9, 25, 60, 150]))]
+        w += hot[k % 3].split() * (k % 2)
+        rows.append(" ".join(w))
+        for _ in range(rng.randrange(1, 4)):
+            for _ in range(max(1, round(len(w) * rng.choice([0.01, 0.02, 0.023])))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append(" ".join(w))
+    return [(k, x) for k, x in enumerate(rows + ["a b", "A  b", "a b c d e", "a b c d e f", "a b c d e a b c d e f"])]
+
+
+def similar_roots(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    at, near = sorted(sets), 0
+    for n, i in enumerate(at):
+        for j in at[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                near += both * 20 < 17 * (len(sets[i]) + len(sets[j]) - both)
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}, near
+
+
+def test_similar_documents_are_exact(spark, monkeypatch):
+    for seed, pairs in ((1, simhash.PAIRS), (2, 7)):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        rows = near_copies(seed)
+        want, near = similar_roots(rows)
+        assert near > 10
+        got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_similar_documents_of_the_table(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text) < 20000]
+    got = simhash.similar_documents(docs.where("length(text) < 20000")).collect()
+    assert {r.doc_id: r.component_id for r in got} == similar_roots(rows)[0]
+
+
 def test_similar_odd_rows(odd, none):
     got = simhash.similar_documents(odd).collect()
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and len(got) == odd.count()

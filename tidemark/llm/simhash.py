@@ -11,6 +11,7 @@ their differing bits.  Lists only say which distinct fingerprints are linked; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fp.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-# Wide fingerprints, for similarities that three bits of 64 cannot tell.
+# Wide fingerprints: an estimate of similarities that three bits of 64 cannot tell.  No stage uses them; similar_documents is exact.
 
 WIDE, WIDTH, SIMILARITY = 4, 5, 0.8
 #: Triples of the 32 positions, at strides that repeat no pair of distances: each is a list key of 24 bits.
@@ -232,124 +233,218 @@ def most_bits(similarity: float = SIMILARITY, bits: int = 64 * WIDE) -> int:
 
 def wide_fingerprint(text: bytes, width: int = WIDTH) -> np.ndarray:
     """WIDE words of 64 bits over the distinct shingles; zero without words."""
+    h = shingle_hashes(text, width)
+    if not len(h):
+        return np.zeros(WIDE, np.uint64)
+    return np.array([_majority(mix(h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i in range(WIDE)], np.uint64)
+
+
+# Similar shingle sets, exactly.
+
+#: Documents of the sample that tells frequent shingles, how often a shingle must stand in it, and how many are kept.
+SAMPLE, OFTEN, FREQUENT = 16384, 4, 1 << 16
+#: Pairs of a task that are gathered before they are handed on.
+PAIRS = 1 << 20
+#: Bits of the filter that names the texts of candidate pairs; more of them than this make it weaker, never wrong.
+FILTER = 1 << 22
+
+
+def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles as sorted hashes; fewer words than `width` are one shingle."""
     w = text.lower().split()
     if not w:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     one = b" ".join(w)
     k = min(width, len(w))
     size = np.fromiter(map(len, w), np.int64, len(w))
     start = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
     end = (start + size)[k - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(one[a:b], SEED) for a, b in zip(start[: len(end)].tolist(), end.tolist())), np.uint64, len(end)))
-    return np.array([_majority(mix(h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i in range(WIDE)], np.uint64)
+    return np.unique(np.fromiter((digest(one[a:b], SEED) for a, b in zip(start[: len(end)].tolist(), end.tolist())), np.uint64, len(end)))
 
 
-def _node(f: np.ndarray) -> np.ndarray:
-    """One signed 64-bit name of each wide fingerprint (rows of f)."""
-    out = np.zeros(len(f), np.uint64)
-    for i in range(WIDE):
-        out = mix(out ^ mix(f[:, i] + np.uint64(i + 1)))
-    return out.view(np.int64)
+def prefix(h: np.ndarray, often: np.ndarray, rank: np.ndarray, share: Fraction) -> np.ndarray:
+    """The first shingles of a set in the order of all (rare ones by hash, then the frequent ones by rank).
 
+    Two sets at a similarity of `share` or more have at least share x size shingles in common, so one of them is in both prefixes.
+    """
+    n = len(h)
+    at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+    place = np.where(often[at] == h, rank[at], 0) if len(often) else np.zeros(n, np.int64)
+    return h[np.lexsort((h, place))][: n + share.numerator * -n // share.denominator + 1]
 
-_NAMES = [f"f{i}" for i in range(WIDE)]
 
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, rank from 1, most frequent last) of the shingles that many documents of a sample hold.
 
-def _wide_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node and the words of the wide fingerprint of every row."""
+    They come last in prefixes, which keeps lists short.  Any order gives the same pairs, so the sample cannot lose one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            f = np.array([wide_fingerprint(x.as_py() or b"", width) for x in texts], np.uint64).reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_node(f)), *(pa.array(f[:, i].view(np.int64) if f.flags.f_contiguous else np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(WIDE))], names=["doc_id", "node", *_NAMES])
+            for x in batch.column(0).cast(pa.large_binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(x.as_py() or b"", width).view(np.int64))], names=["h"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, " + ", ".join(f"{n} long" for n in _NAMES))
+    texts = docs.select("text", F.xxhash64("text").alias("tid"))
+    step = max(1, docs.count() // SAMPLE)
+    some = texts.where(F.pmod("tid", F.lit(step)) == 0).dropDuplicates(["tid"]).select("text")
+    found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    rows = found.orderBy(F.col("count").desc(), "h").limit(FREQUENT).collect()
+    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(rows) - np.arange(len(rows), dtype=np.int64))[order]
 
 
-def _words(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(WIDE)], axis=1)
+def _set_rows(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """doc_id, tid (names the text), node (names the shingle set), n (its size), its prefix and its sketch (how many hashes end in each byte, 255 at most) of every row."""
+    often = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, first, sketch = [], [], [], []
+            for x in batch.column(2).cast(pa.large_binary()):
+                h = shingle_hashes(x.as_py() or b"", width)
+                node.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
+                n.append(len(h))
+                first.append(prefix(h, *often.value, share).tobytes() if len(h) else b"")
+                sketch.append(np.minimum(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "tid", "node", "n", "first", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, node long, n long, first binary, sketch binary")
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints to list entries: key (triple and its three bytes) and fingerprint."""
+    """Prefixes to list entries: shingle, size and name of the set, place of the shingle in the set's order."""
     for batch in batches:
-        f = _words(batch, 0)
-        for a in range(0, len(f), 2048):
-            part = f[a : a + 2048]
-            raw = np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
-            t = raw[:, TRIPLES]
-            key = (np.arange(len(TRIPLES)) << 24) | (t[:, :, 0] << 16) | (t[:, :, 1] << 8) | t[:, :, 2]
-            many = np.repeat(part, len(TRIPLES), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.ascontiguousarray(many[:, i]).view(np.int64)) for i in range(WIDE))], names=["key", *_NAMES])
-
-
-def link_wide(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (rows a, rows b) of the links of a list: pairs of at most `most` differing bits."""
-    found_a, found_b = [], []
-    for i in range(len(f) - 1):
-        near = np.flatnonzero(np.bitwise_count(f[i + 1 :] ^ f[i]).sum(1) <= most) + i + 1
-        found_a.append(np.full(len(near), i))
-        found_b.append(near)
-    forest = _forest(np.concatenate(found_a), np.concatenate(found_b), len(f))
-    return tuple(np.array(forest, np.int64).reshape(-1, 2).T)
-
-
-def _linked_wide(most: int):
-    """Batches sorted by key: lists of two or more fingerprints to links; a list may go on in the next batch."""
+        tid, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        first = batch.column(2).to_pylist()
+        ends = np.cumsum([len(x) // 8 for x in first])
+        a = 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+            size = np.array([len(x) // 8 for x in first[a:b]])
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            h = np.frombuffer(b"".join(first[a:b]), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(n[a:b], size)), pa.array(np.repeat(tid[a:b], size)), pa.array(place)], names=["h", "n", "tid", "place"])
+            a = b
+
+
+def list_pairs(h: np.ndarray, n: np.ndarray, tid: np.ndarray, place: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (lesser name, greater name) of entries sorted by (h, n).
+
+    Sizes must allow the similarity, and so must what is left of both sets from the shared shingle on: a pair at the
+    similarity passes at the first shingle that it shares.
+    """
+    p, q = share.numerator, share.denominator
+    i, d = np.arange(len(h) - 1), 1
+    out, held = [], 0
+    while len(i):
+        i = i[i + d < len(h)]
+        i = i[(h[i] == h[i + d]) & (n[i] * q >= n[i + d] * p)]
+        j = i + d
+        near = np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= (n[i] + n[j]) * p
+        a, b = tid[i[near]], tid[j[near]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        held += len(a)
+        d += 1
+        if held > PAIRS:
+            yield tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+            out, held = [], 0
+    if held:
+        yield tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def _paired(share: Fraction):
+    """Batches sorted by (h, n) to candidate pairs; a list may go on in the next batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_key, rest = np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
-
-        def links(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch | None:
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            out = []
-            for k in np.flatnonzero(np.diff(cut) > 1).tolist():
-                part = np.unique(f[cut[k] : cut[k + 1]], axis=0)
-                if len(part) > 1:
-                    a, b = link_wide(part, most)
-                    if len(a):
-                        node = _node(part)
-                        out.append((node[a], node[b]))
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            return None
-
+        rest = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             if not len(batch):
                 continue
-            key = np.concatenate([rest_key, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([rest, _words(batch, 1)])
-            last = int(np.searchsorted(key, key[-1]))  # the last list may not be whole yet
-            rest_key, rest = key[last:], f[last:]
-            if last and (x := links(key[:last], f[:last])) is not None:
-                yield x
-        if len(rest_key) and (x := links(rest_key, rest)) is not None:
-            yield x
+            now = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last list may not be whole yet
+            rest = [x[last:] for x in now]
+            for a, b in list_pairs(*[x[:last] for x in now], share):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for a, b in list_pairs(*rest, share):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _possible(share: Fraction):
+    """Pairs whose sketches allow the similarity: the sets differ in as many shingles as the sketches, or more."""
+    p, q = share.numerator, share.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for i in (4, 5))
+            near = np.abs(one - two).sum(1, dtype=np.int64) * (p + q) <= n * (q - p)
+            yield batch.select([0, 1]).filter(pa.array(near))
 
     return run
 
 
+def _sets(bits, width: int):
+    """Texts that the filter names to their shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = bits.value
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False) & (FILTER - 1)
+            batch = batch.filter(pa.array((named[at >> 5] >> (at & 31)) & 1 == 1))
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                h = [shingle_hashes(x.as_py() or b"", width) for x in part.column(1).cast(pa.large_binary())]
+                off = np.concatenate([[0], np.cumsum([len(x) for x in h])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(h).view(np.int64)))], names=["tid", "h"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """(a, b): all pairs of sets of groups(tid, n, first, sketch), named by one text of each, whose Jaccard similarity is `share` or more."""
+    spark = docs.sparkSession
+    posted = groups.where("n > 0").select("tid", "n", "first").mapInArrow(_posted, "h long, n long, tid long, place long")
+    dealt = posted.repartition(partitions(spark), "h").sortWithinPartitions("h", "n")
+    pairs = dealt.mapInArrow(_paired(share), "a long, b long").distinct()
+    for c in "ab":
+        pairs = pairs.join(groups.select(F.col("tid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    pairs = checkpoint(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(share), "a long, b long"))
+    # a fixed number of bits names the texts of the pairs, so that no text is shuffled
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("tid"))
+    at = needed.select(F.col("tid").bitwiseAND(F.lit(FILTER - 1)).alias("at"))
+    word = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
+    named = np.zeros(FILTER >> 5, np.int64)
+    for r in word.collect():
+        named[r.w] = r.bits
+    bits = spark.sparkContext.broadcast(named)
+    texts = docs.select(F.xxhash64("text").alias("tid"), "text")
+    sets = checkpoint(texts.mapInArrow(_sets(bits, width), "tid long, h array<long>").dropDuplicates(["tid"]))
+    one, two = (sets.select(F.col("tid").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
+    both = F.size(F.array_intersect("ha", "hb")).cast("long")
+    total = F.size("ha") + F.size("hb") - both
+    return pairs.join(one, "a").join(two, "b").where(both * share.denominator >= total * share.numerator).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of every row: groups linked at this Jaccard similarity of their shingles, as wide fingerprints tell it.
+    """doc_id and component_id of every row: groups linked at this Jaccard similarity (above 0) of their shingle sets, or more.
 
-    The 256-bit fingerprints are listed under 96 triples of positional bytes.  Pairs that share a triple are verified by
-    their differing bits (see most_bits).  A pair is listed together with probability 0.85 at a
-    similarity of 0.8, 0.97 at 0.85 and over 0.999 from 0.9 on; groups have many pairs.  Equal shingle sets are always linked.
+    Every pair at the similarity is found: such sets share a shingle of their prefixes (see prefix), which are the keys of
+    lists, and every candidate pair of a list that its sketches allow is verified on the whole sets.  Equal sets are one node, named by one of their texts.
     Null and wordless texts are one group; null doc_ids and repeated rows are as in near_duplicates.
     """
-    fp = checkpoint(_wide_rows(docs, width))
-    groups = fp.groupBy("node", *_NAMES).agg(F.min("doc_id").alias("least"))
-    posted = groups.select(*_NAMES).mapInArrow(_posted, "key long, " + ", ".join(f"{n} long" for n in _NAMES))
-    dealt = posted.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    roots = components(dealt.mapInArrow(_linked_wide(most_bits(similarity)), "a long, b long")).withColumnRenamed("a", "node")
-    named = groups.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    share = Fraction(similarity).limit_denominator(10**6)
+    rows = checkpoint(_set_rows(docs, width, share))
+    groups = checkpoint(rows.groupBy("node", "n", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
+    roots = components(similar_links(docs, groups, width, share)).withColumnRenamed("a", "tid")
+    named = groups.select("node", "tid", "least").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = named.select("node", "root").join(ids, "root").select("node", "component_id")
-    return fp.select("doc_id", "node").join(whole, "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "node").join(whole, "node").select("doc_id", "component_id")
 
 
 def hex_digits(column):
