@@ -56,6 +56,23 @@ def test_odd_rows(spark, odd, none):
     assert sorted((str(r.doc_id), r.text, r.n_chars) for r in out.collect()) == [("3", "own", 3), ("3", "own", 3), ("None", line, 1)]
 
 
+def test_repeated_rows_are_one_document(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        pool = ["a a a", "b b b", "c c", "d", "", "e e e e"]
+        rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(3, 9)))) for k in range(20)]
+        rows += [(100, "a a a\nb b b\nc c c\nf"), (101, "a a a\nb b b\nc c c\ng")]
+        copies = rows + rng.choices(rows, k=15) + [rows[-1]] * 2 + [rows[-2]] * (seed > 0)
+        rng.shuffle(copies)
+        got = linededup.delete_repeats(spark.createDataFrame(copies, "doc_id long, text string")).collect()
+        want = brute(rows, 8)
+        assert sorted((r.doc_id, r.kept_text) for r in got) == sorted((d, want[d]) for d, _ in copies)
+        assert want[101] == "g"
+    line = "a a a\nb b b\nc c c"
+    lost = linededup.delete_repeats(spark.createDataFrame([(None, line), (None, line), (2, line), (2, line)], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.kept_text) for r in lost) == [("2", "")] * 2 + [("None", line)] * 2
+
+
 def test_no_python_in_the_plan(docs):
     import io
     from contextlib import redirect_stdout

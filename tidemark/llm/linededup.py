@@ -39,6 +39,9 @@ def shortest_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     words = F.size(F.array_remove(F.split("x", SPACE), ""))
     lines = lines.select("doc_id", "uid", "i", F.xxhash64("x").alias("n0"), F.hash("x").alias("g"), words.alias("w"))
     suffixes = Window.partitionBy("uid", "doc_id").orderBy("i")
+    # the copies of a repeated row are one document: of equal line numbers one stays (on the exchange and order of the rest)
+    copy = F.lag("i").over(suffixes)
+    lines = lines.withColumn("copy", F.coalesce(copy == F.col("i"), F.lit(False))).where("not copy").drop("copy")
     level, size = 0, 1
     rows = lines.withColumn("before", F.sum("w").over(suffixes.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.coalesce("before", F.lit(0))).withColumn("r", F.row_number().over(suffixes))
     while size * 2 <= min_words:  # level by level: the name of 2 * size lines from two names of size lines
