@@ -74,6 +74,22 @@ def test_proximity(spark):
     assert wider[1] == ["7"] and wider[2] == [] and wider[3] == ["7"]
 
 
+def test_proximity_of_several_texts_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(4)
+    # term 0 is the rarest; it stands near the start of its texts, behind texts that end in the other terms
+    texts = [[rng.choice([1, 2, 1, 2, -1]) for _ in range(rng.randrange(1, 6))] for _ in range(400)]
+    for t in texts[::8]:
+        t[min(len(t) - 1, rng.randrange(3))] = 0
+    tid, doc = np.array(sum(texts, []), np.int32), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    index = {"terms": np.arange(3), "table": np.array([[1, 0, 2]]), "length": np.array([3])}
+    for slop in (1, 2, 3):
+        want = {d for d, t in enumerate(texts) for i, x in enumerate(t) if x == 0 and all(any(t[j] == term and abs(j - i - off) <= slop for j in range(len(t))) for term, off in ((1, -1), (2, 1)))}
+        _, low, _ = decontaminate.match(index, tid, doc, slop)
+        assert want and set(doc[low].tolist()) == want
+
+
 def test_odd_rows(spark, odd, none):
     b = spark.createDataFrame([(None, "lost words here"), (1, None), (2, "text long")], "item_id long, text string")
     got = decontaminate.benchmark_matches(odd, b)

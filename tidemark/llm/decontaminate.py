@@ -72,6 +72,7 @@ def match(index: dict, tid: np.ndarray, doc: np.ndarray, slop: int = 0) -> tuple
     todo = count[rare]
     live = np.flatnonzero((freq.min(1) > 0) & (length > 0))
     live = live[todo[live] > 0]
+    head = np.searchsorted(doc, doc) if slop else None  # first word of each word's document
     key = tid[postings].astype(np.int64) * (len(tid) + 1) + postings if slop else None
     out = []
     ends = np.cumsum(todo[live])
@@ -98,7 +99,7 @@ def match(index: dict, tid: np.ndarray, doc: np.ndarray, slop: int = 0) -> tuple
                 w, start, hit = w[ok], start[ok], hit[ok]
             else:
                 want = start + offset
-                probe = term.astype(np.int64) * (len(tid) + 1) + np.maximum(want - slop, 0)
+                probe = term.astype(np.int64) * (len(tid) + 1) + np.maximum(want - slop, head[hit])
                 near = np.minimum(np.searchsorted(key, probe), len(key) - 1)
                 pos = postings[near]
                 ok = (term < 0) | ((tid[pos] == term) & (pos <= want + slop) & (pos >= want - slop) & (doc[pos] == doc[hit]))
