@@ -65,3 +65,98 @@ def test_odd_rows(odd, none):
     assert secrets.scan(odd).count() == odd.count()
     assert all(r.strong == [] and r.linked == [] for r in secrets.scan(odd).collect())
     assert secrets.scan(none).count() == 0
+
+
+def test_scope_is_in_code_points():
+    """150 letters lie between the parts, of one byte or three each."""
+    for letter in ("a ", "語 "):
+        text = "10.0.0.1 " + letter * 75 + "password = hunter22"
+        assert [k for _, _, k in secrets.scan_text(text)[1]] == ["endpoint"], letter
+        text = "10.0.0.1 " + letter * 85 + "password = hunter22"
+        assert secrets.scan_text(text)[1] == []
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for x in ("abcdefgh1" * 600000 + ":", "a@" * 2500000 + ":", "a.b@c." * 800000, "user " * 1000000 + ":", "user:" + " " * 5000000):
+        began = time.process_time()
+        secrets.scan_text(x)
+        assert time.process_time() - began < 15
+
+
+def plain_weak(text):
+    """The weak parts by loops over characters."""
+    out = []
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def run(i, chars):
+        j = i
+        while j < len(text) and text[j] in chars:
+            j += 1
+        return j
+
+    i = 0
+    while i < len(text):  # account
+        end = 0
+        for name in ("username", "user_name", "user", "login", "account", "clientid", "client_id"):
+            if text[i : i + len(name)].lower() == name and not end:
+                j = i + len(name)
+                j += text[j : j + 1] in ("'", '"') and j < len(text)
+                j = run(j, " ")
+                if text[j : j + 1] in (":", "=") and j < len(text):
+                    j = run(j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"') and j < len(text)
+                    end = k if (k := run(j, letters + "_.@-")) - j >= 3 else 0
+        if not end and text[i] in letters + "._-" and (i == 0 or text[i - 1] not in letters + "._-"):
+            j = run(i, letters + "._-")
+            if text[j : j + 1] == "@":
+                k = last = run(j + 1, letters + "-")
+                while k > j + 1 and text[k : k + 1] == "." and run(k + 1, letters + "-") > k + 1:
+                    k = run(k + 1, letters + "-")
+                end = k if k > last else 0
+        if end:
+            out.append((i, end, "account"))
+        i = end or i + 1
+    i = 0
+    while i < len(text):  # token
+        j = run(i, letters + "+/_=-")
+        x = text[i:j]
+        if j - i >= 16 and any(c.isdigit() for c in x) and any(c.isupper() for c in x) and any(c.islower() for c in x):
+            out.append((i, j, "token"))
+        i = j + 1
+    i = 0
+    while i < len(text):  # endpoint: addresses, and the schemes that the texts of the test use
+        end = 0
+        for scheme in ("https://", "http://", "redis://"):
+            if text[i : i + len(scheme)].lower() == scheme:
+                j = i + len(scheme)
+                while j < len(text) and text[j] not in " \t\n\r\f\v\"'<>":
+                    j += 1
+                end = j if j > i + len(scheme) else 0
+        if not end and text[i].isdigit() and (i == 0 or text[i - 1] not in "0123456789."):
+            j, parts = i, 0
+            while parts < 4 and 1 <= run(j, "0123456789") - j <= 3:
+                j, parts = run(j, "0123456789"), parts + 1
+                if parts < 4:
+                    if text[j : j + 1] != ".":
+                        break
+                    j += 1
+            if parts == 4:
+                k = run(j + 1, "0123456789") if text[j : j + 1] == ":" else j
+                for stop in ([min(k, j + 6)] if k > j + 1 else []) + [j]:
+                    if not end and text[stop : stop + 1] not in list("0123456789."):
+                        end = stop
+        if end:
+            out.append((i, end, "endpoint"))
+        i = end or i + 1
+    return sorted(out)
+
+
+def test_weak_finders_against_loops():
+    rng = random.Random(11)
+    bits = ["user", "User_Name", "login", "client_id", ":", "=", " ", "'", '"', "bob", "a.b", "@", ".", "x-y", "Ab3", "dEfGh1jKlMnOp", "+/", "10.0", "192.168.1.20", ":80", ":123456", "https://", "redis://h", "<", "é", "\n", "12"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(14))
+        found = [(s, e, k) for s, e, k in secrets._points(text.encode(), secrets.weak_spans(text.encode()))]
+        assert sorted(found) == plain_weak(text), text
