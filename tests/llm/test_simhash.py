@@ -46,45 +46,43 @@ def test_against_brute_force(spark, docs):
     assert {r.doc_id: r.component_id for r in found} == brute_components(fps)
 
 
-def test_every_five_positions_hold_a_set():
-    from itertools import combinations
-
-    for five in combinations(range(8), 5):
-        assert any(set(s) <= set(five) for s in simhash.SETS)
+def test_linked_pairs_meet_in_one_list():
+    rng = random.Random(2)
+    for _ in range(500):
+        x = rng.getrandbits(64)
+        y = x
+        for bit in rng.sample(range(64), 3):
+            y ^= 1 << bit
+        keys = [tuple(f >> (8 * p) & 255 for p in s) for f in (x, y) for s in simhash.SETS]
+        assert any(a == b for a, b in zip(keys[: len(simhash.SETS)], keys[len(simhash.SETS) :]))
+
+
+def test_long_lists_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", 100)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 63))
+    fps = set()
+    for _ in range(600):  # they agree in five bytes
+        x = base
+        for bit in rng.choice(24, rng.integers(0, 7), replace=False):
+            x ^= 1 << int(bit)
+        fps.add(x)
+    fps = np.array(sorted(fps), np.uint64)
+    links = simhash.link_list(fps)
+    assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 3 for a, b in links)
+    want = brute_components({i: int(f) for i, f in enumerate(fps)})
+    root = list(range(len(fps)))
 
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-def test_long_lists_link_as_short_ones(monkeypatch):
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
-    free = [8 * p + k for p in range(4, 8) for k in range(8)]
-    base &= np.uint64(0xFFFFFFFF00000000)
-    fps = []
-    for b in base[:1]:
-        for _ in range(400):
-            x = int(b)
-            for bit in rng.choice(free, rng.integers(0, 6), replace=False):
-                x ^= 1 << int(bit)
-            fps.append(x)
-    fps = np.unique(np.array(fps, np.uint64))
-
-    def groups(forest):
-        root = list(range(len(fps)))
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for a, b in forest:
-            root[max(find(a), find(b))] = min(find(a), find(b))
-        return [find(i) for i in range(len(fps))]
-
-    # the positions given are those that agree; the rest may differ
-    positions = tuple(p for p in range(8) if all(len({int(f) >> (8 * p) & 255 for f in fps}) == 1 for _ in [0]))[:4]
-    short = groups(simhash.link_list(fps, positions))
-    monkeypatch.setattr(simhash, "PAIR_LIST", 10)
-    assert groups(simhash.link_list(fps, positions)) == short
-    assert len(set(short)) > 1
+    for a, b in links:
+        assert find(a) != find(b)
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert [find(i) for i in range(len(fps))] == [want[i] for i in range(len(fps))]
+    assert len(links) > 100
 
 
 def test_odd_rows(odd, none):
@@ -183,8 +181,3 @@ def test_similar_odd_rows(odd, none):
     kept = simhash.drop_similar(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
-
-
-def test_triples_repeat_no_pair():
-    pairs = [frozenset(p) for t in simhash.TRIPLES.tolist() for p in ((t[0], t[1]), (t[0], t[2]), (t[1], t[2]))]
-    assert len(pairs) == len(set(pairs))

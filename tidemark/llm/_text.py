@@ -6,6 +6,7 @@ occurs inside a multi-byte character, so bytes and code points give the same wor
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -34,10 +35,17 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: what spark.checkpoint.dir names, and a folder of this machine only where that is unset."""
+    """The session's checkpoint folder: what spark.checkpoint.dir names.
+
+    A folder of this machine is taken only where that is unset and the driver runs the tasks itself (a local master);
+    executors elsewhere could not read it, so a cluster without the setting is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +55,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_name(name: str, *frames: DataFrame) -> str:
+    """`name` with as many underscores in front as make it a column of none of the frames, whatever the case of its letters."""
+    used = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,16 +12,22 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): each node's least neighbour.  The node is rewritten (to itself), so that its join with the edges deals this small
+    side anew: Spark splits a hub of a join only if both sides come straight from a shuffle."""
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a node to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _least(both).select("a", F.least("m", "a").alias("m"))
     return _directed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Joins a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(edges)
     joined = edges.join(least, "a")
     return _directed(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
 

@@ -1,11 +1,10 @@
 """SimHash fingerprints, linked through an inverted index of positional bytes with count filtering.
 
 A 64-bit fingerprint is eight (position, byte) tokens.  Two fingerprints within three bits differ in at most three
-bytes, so they share at least five of the eight tokens.  Single-token lists would hold a 256th of the corpus each,
-so lists are kept for conjunctions of tokens: a fixed family of 4-position sets such that any five positions contain
-one of them.  Every pair that the count filter must keep thus meets in a list, no matter how large the corpus is.
-Inside a list the shared bytes of a pair are tallied, pairs with five or more remain, and those are verified by
-their differing bits.  Lists only say which distinct fingerprints are linked; a list emits a spanning forest of its links, not the links.
+bytes, so they share at least five of the eight tokens: the guaranteed minimum.  The index keeps its lists by the 56 choices of
+five positions, since a list of one token would hold a 256th of the corpus: every pair with five shared tokens meets in
+the list of five of them, and no other pair meets at all.  Inside a list the shared bytes of a pair are tallied and pairs with five or more are
+verified by their differing bits, block after block.  A list holds distinct fingerprints only, and emits a spanning forest of their links, not the links.
 """
 
 from __future__ import annotations
@@ -20,26 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import checkpoint, mix, partitions
+from tidemark.llm._text import checkpoint, new_name, partitions
 from tidemark.llm.components import components
 
 BYTES, MAX_BITS, SEED = 8, 3, 42
-#: Lists of more fingerprints than this are linked by shared flipped variants instead of a comparison of pairs.
-PAIR_LIST = 2048
-
-
-def position_sets(size: int = 4, shared: int = BYTES - MAX_BITS) -> list[tuple[int, ...]]:
-    """Sets of `size` byte positions, such that every `shared` positions include one of them (greedy, deterministic)."""
-    left = {frozenset(c) for c in combinations(range(BYTES), shared)}
-    out = []
-    while left:
-        best = max(combinations(range(BYTES), size), key=lambda s: sum(x.issuperset(s) for x in left))
-        out.append(best)
-        left = {x for x in left if not x.issuperset(best)}
-    return out
-
-
-SETS = position_sets()
+#: Every choice of as many positions as linked fingerprints share.
+SETS = list(combinations(range(BYTES), BYTES - MAX_BITS))
+#: Fingerprints of a list that are compared at once with so many of those behind them.
+BLOCK, WIDE_BLOCK = 64, 1 << 15
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
@@ -84,70 +71,44 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _variants(x: np.ndarray, bits: list[int], flips: int) -> np.ndarray:
-    """x with every choice of up to `flips` of `bits` flipped; one row for each choice."""
-    masks = [sum(1 << b for b in c) for k in range(flips + 1) for c in combinations(bits, k)]
-    return x[None, :] ^ np.array(masks, np.uint64)[:, None]
+class Forest:
+    """A spanning forest of the links among n nodes, as they come."""
 
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b among n nodes."""
-    up = list(range(n))
-
-    def root(i: int) -> int:
+    def _root(self, i: int) -> int:
+        up = self.up
         while up[i] != i:
             up[i] = up[up[i]]
             i = up[i]
-        return i
+        return int(i)
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.up[a] != self.up[b]
+        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+            p, q = self._root(x), self._root(y)
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                self.links.append((x, y))
+        while (self.up != (flat := self.up[self.up])).any():  # every node hangs on its root, so the next links are sifted at once
+            self.up = flat
 
 
-def link_list(fps: np.ndarray, positions: tuple[int, ...]) -> list[tuple[int, int]]:
+def link_list(fps: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among the distinct fingerprints of one list."""
     n = len(fps)
-    if n <= PAIR_LIST:
-        found_a, found_b = [], []
-        raw = fps.view(np.uint8).reshape(-1, BYTES)
-        for i in range(n - 1):
-            tally = (raw[i + 1 :] == raw[i]).sum(1)
-            near = np.flatnonzero(tally >= BYTES - MAX_BITS) + i + 1
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= MAX_BITS]
-            found_a.append(np.full(len(near), i))
-            found_b.append(near)
-        return _forest(np.concatenate(found_a), np.concatenate(found_b), n)
-    # Two fingerprints are within 3 bits exactly if one reaches, by 1 flip at most, what the other reaches by 2.
-    bits = [8 * p + k for p in range(BYTES) if p not in positions for k in range(8)]
-    out_a, out_b = [], []
-    # variants are dealt into blocks by their hash, so that memory stays bounded however long the list is
-    blocks = -(-n * 530 // (1 << 22))
-    step = max(1, (1 << 22) // 530)
-    for block in range(blocks):
-        keys, who, kind = [], [], []
-        for flips, mark in ((1, 0), (2, 1)):
-            for a in range(0, n, step):
-                v = _variants(fps[a : a + step], bits, flips)
-                node = np.broadcast_to(np.arange(a, a + v.shape[1]), v.shape)
-                pick = (v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(blocks) == block
-                keys.append(v[pick])
-                who.append(node[pick])
-                kind.append(np.full(int(pick.sum()), mark, np.int8))
-        keys, who, kind = np.concatenate(keys), np.concatenate(who), np.concatenate(kind)
-        order = np.lexsort((kind, keys))
-        keys, who, kind = keys[order], who[order], kind[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        hub = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-        link = ~first & (kind[hub] == 0) & (who != who[hub])
-        pairs = np.unique(np.stack([who[hub][link], who[link]]), axis=1)
-        out_a.append(pairs[0])
-        out_b.append(pairs[1])
-    return _forest(np.concatenate(out_a), np.concatenate(out_b), n)
+    raw = fps.view(np.uint8).reshape(-1, BYTES)
+    forest = Forest(n)
+    for i in range(0, n - 1, BLOCK):
+        for j in range(i + 1, n, WIDE_BLOCK):
+            tally = (raw[i : i + BLOCK, None] == raw[None, j : j + WIDE_BLOCK]).sum(2, dtype=np.int8)
+            a, b = np.nonzero(tally >= BYTES - MAX_BITS)
+            a, b = a + i, b + j
+            ok = (a < b) & (np.bitwise_count(fps[a] ^ fps[b]) <= MAX_BITS)
+            forest.add(a[ok], b[ok])
+    return forest.links
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +120,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps = np.unique(np.concatenate(held))
         if len(fps) < 2:
             return None
-        forest = link_list(fps, SETS[mark[0]])
+        forest = link_list(fps)
         if not forest:
             return None
         signed = fps.view(np.int64)
@@ -214,30 +175,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fp.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-# Wide fingerprints: an estimate of similarities that three bits of 64 cannot tell.  No stage uses them; similar_documents is exact.
-
-WIDE, WIDTH, SIMILARITY = 4, 5, 0.8
-#: Triples of the 32 positions, at strides that repeat no pair of distances: each is a list key of 24 bits.
-TRIPLES = np.array([(i, (i + a) % (8 * WIDE), (i + b) % (8 * WIDE)) for a, b in ((1, 4), (2, 11), (5, 13)) for i in range(8 * WIDE)])
-
-
-def most_bits(similarity: float = SIMILARITY, bits: int = 64 * WIDE) -> int:
-    """Differing bits up to which fingerprints are linked.
-
-    A Jaccard similarity s of the shingle sets is the cosine 2 s / (1 + s), whose angle is the expected share of
-    differing bits; one standard error is added, so that five pairs in six at this very similarity are linked.
-    """
-    p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    return round(bits * p + np.sqrt(bits * p * (1 - p)))
-
-
-def wide_fingerprint(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """WIDE words of 64 bits over the distinct shingles; zero without words."""
-    h = shingle_hashes(text, width)
-    if not len(h):
-        return np.zeros(WIDE, np.uint64)
-    return np.array([_majority(mix(h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i in range(WIDE)], np.uint64)
-
+WIDTH, SIMILARITY = 5, 0.8
 
 # Similar shingle sets, exactly.
 
@@ -456,7 +394,8 @@ def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
     one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    return one.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    place = new_name("place", docs)
+    return one.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
