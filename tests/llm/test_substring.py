@@ -45,12 +45,37 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot", [1, 3, 1000])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("span", "fan"), [(4096, 512), (20, 2), (7, 5)])
+def test_against_brute_force(spark, span, fan):
+    """Shards of a few words, and parts of a few documents in every round, decide as whole ones."""
     for seed in range(2):
         rows = made(seed)
-        df = spark.createDataFrame(rows, "doc_id long, text string")
-        assert got(substring.remove_repeats(df, hot=hot)) == brute(rows, 13)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+        assert got(substring.remove_repeats(df, span=span, fan=fan)) == brute(rows, 13)
+
+
+def test_one_text_in_most_documents(spark):
+    """Copies and quotes of one text, near copies among them, in three rounds."""
+    rng = random.Random(5)
+    source = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(150):
+        w = list(source) if k % 3 else source[k : k + 60]
+        if k % 2:
+            w[rng.randrange(len(w))] = f"x{k}"
+        rows.append((rng.randrange(500), " ".join([f"a{k}", *w, f"b{k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    assert got(substring.remove_repeats(df, span=50, fan=4)) == brute(rows, 13)
+
+
+def test_names_in_use(spark):
+    names = ["_id", "id", "key", "_key", "spans", "shared", "lead", "h"]
+    docs = spark.createDataFrame([(k, "one two three " * 6 if k < 3 else None, *[f"{n}{k}" for n in names]) for k in range(4)], "doc_id int, text string, " + ", ".join(f"{n} string" for n in names))
+    out = substring.remove_repeats(docs).collect()
+    assert len(out) == 4 and all(r[n] == f"{n}{r.doc_id}" for r in out for n in names)
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(0, 0), (1, 18), (2, 18), (3, 0)]
+    with pytest.raises(TypeError):
+        substring.remove_repeats(docs.withColumn("doc_id", docs["text"]))
 
 
 def test_driver_table(docs):

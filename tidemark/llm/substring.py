@@ -8,13 +8,14 @@ shards that can match it:
    have equal anchors, and neighbouring windows mostly share one, so about two sevenths of the words suffice.  Anchors seen in
    one document only are dropped; the others get a leader, the least document that has them.
 2. Regions.  The windows of a document with a shared anchor form regions, each sent, as words, to the shard of its
-   anchors' leader.  All documents with a window send it to the same shard.
+   anchors: SPAN words of their leader.  All documents with a window send it to the same shard.
 3. Shards.  A shard streams its documents in order of their ids through its automaton, which holds the regions of all smaller
    ones.  The matching statistics mark every span of `window` words or more; what did not match is then added, so copies add nothing.
-4. Anchors in more than HOT documents (a boilerplate line, a huge group of copies) would put too much into one shard.
-   Their windows are matched by a 128-bit hash instead.  Among the documents of one slice of a task, all but the first with a window are
-   settled on the spot; one row for each slice is left to be compared with the other slices', in a stream that holds
-   one row.  Which way a window goes depends on its anchor alone, so it is the same for all documents.
+4. Rounds.  The more documents share an anchor, the more rounds its regions take, FAN documents to a factor: all
+   but the last round deal them into parts by their document, each with an automaton of its own.  A window that a smaller document of its part has is
+   settled there; each part hands on the rest, which holds the least document of the part with any window, so that the next round
+   decides as if all documents had come.  A copy that meets its like in the same slice of a task is settled at once.
+   So a task holds FAN documents' regions of SPAN words, or what is new in FAN parts, however often a text is copied.
 
 `remove_reference_spans` is the plain form for a given reference of bounded size: its automata are broadcast.
 """
@@ -25,17 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import NON_SPACE, mix, partitions, slices, span_hash, word_hashes, words
+from tidemark.llm._text import NON_SPACE, mix, new_name, partitions, slices, span_hash, word_hashes, words
 from tidemark.llm.automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 6
-#: Documents above which an anchor's windows are matched by hash instead of in one shard.
-HOT = 64
-#: Rows of the region table: a region for a shard, a hot window to compare, a span that is settled.
-COLD, WARM, DONE = 0, 1, 2
+#: Words of a leader that make a shard, documents of a part, and rounds at most.
+SPAN, FAN, ROUNDS = 4096, 512, 3
 #: Anchors only propose; 48 bits keep the shuffles small.
 ANCHOR_BITS = 48
 
@@ -58,17 +58,20 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int =
     return start, doc[start], low[start].view(np.int64)
 
 
-def _anchor_rows(keyed: DataFrame, window: int) -> DataFrame:
+def _anchor_rows(keyed: DataFrame, window: int, span: int) -> DataFrame:
+    """h, doc_id and span (`span` words each, from 0) of the anchors of keyed(key, text), once for each run of windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, off in slices(batch, 1):
                 h, first = word_hashes(data, off, NON_SPACE)
-                _, doc, low = anchors(h, first, window)
+                start, doc, low = anchors(h, first, window)
                 if len(low):
-                    new = np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(low[new]), batch.column(0).take(pa.array(doc[new] + a))], names=["h", "doc_id"])
+                    new = _run_starts(low, doc)
+                    at = ((start[new] - first[doc[new]]) // span).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(low[new]), batch.column(0).take(pa.array(doc[new] + a)), pa.array(at)], names=["h", "doc_id", "span"])
 
-    return keyed.where("doc_id is not null").select(F.col("_key").alias("doc_id"), "text").mapInArrow(run, "h long, doc_id long")
+    return keyed.mapInArrow(run, "h long, doc_id long, span int")
 
 
 def _run_starts(*columns: np.ndarray) -> np.ndarray:
@@ -83,57 +86,34 @@ def _composite(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return mix(anchor.astype(np.uint64) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
 
 
-REGION = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
-
+def text_name(raw: bytes) -> int:
+    """Tells the texts of rows with the same doc_id apart."""
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
-def _region_batch(kind: int, key, key2, doc, start, stop, raw=None) -> pa.RecordBatch:
-    n = len(key)
-    raw = pa.array(raw, pa.binary()) if raw is not None else pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.asarray(x, np.int64)) for x in (key, key2, doc, start, stop)), raw], schema=REGION)
 
+REGION = pa.schema([("rounds", pa.int8()), ("shard", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
 
-def _hot_windows(h: np.ndarray, owner: np.ndarray, start: np.ndarray, place: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """Rows for hot windows at words `start` of the slice; place is the word number in the text, owner the doc_id."""
-    one = span_hash(h, start, start + window).view(np.int64)
-    two = span_hash(h ^ np.uint64(0x5851F42D4C957F2D), start, start + window).view(np.int64)
-    order = np.lexsort((place, owner, two, one))
-    one, two, owner, place = one[order], two[order], owner[order], place[order]
-    head = _run_starts(one, two)
-    least = np.repeat(owner[head], np.diff(np.append(head, len(one))))
-    mine = owner == least
-    one, two, held, at = one[mine], two[mine], owner[mine], place[mine]
-    first, last = _touching(window, at, one, two, held)
-    yield _region_batch(WARM, one[first], two[first], held[first], at[first], at[last] + window)
-    owner, place = owner[~mine], place[~mine]
-    if len(owner):
-        order = np.lexsort((place, owner))
-        owner, place = owner[order], place[order]
-        first, last = _touching(window, place, owner)
-        yield _region_batch(DONE, owner[first], np.zeros(len(first)), owner[first], place[first], place[last] + window)
 
+def _region_batch(fan: int, rounds, shard, doc, name, start, stop, raw) -> pa.RecordBatch:
+    """Rows of the region table.  rounds: how many a region still takes; 0 is a settled span, dealt by its document alone."""
+    rounds, shard, doc, name, start, stop = (np.asarray(x, np.int64) for x in (rounds, shard, doc, name, start, stop))
+    part = (mix(doc.view(np.uint64)) % (np.uint64(fan) ** np.maximum(rounds - 1, 0).astype(np.uint64))).view(np.int64)
+    columns = [pa.array(rounds.astype(np.int8)), *(pa.array(x) for x in (np.where(rounds > 0, shard, doc), part, doc, name, start, stop)), pa.array(raw, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, schema=REGION)
 
-def _touching(window: int, place: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last row of each stretch of sorted rows whose windows touch and whose other columns agree."""
-    new = np.ones(len(place), bool)
-    new[1:] = place[1:] > place[:-1] + window
-    new[_run_starts(*same)] = True
-    first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(place)) - 1
 
-
-def _region_rows(joined: DataFrame, window: int) -> DataFrame:
-    """Rows (_key, text, shared, ...) to the region table: kind, key, key2, doc_id, start, stop, words."""
+def _region_rows(joined: DataFrame, window: int, fan: int) -> DataFrame:
+    """Rows (..., key, text, shared anchors) to the region table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners = batch.column("_key").to_numpy()
-            column = batch.column("shared")
+            last = batch.num_columns - 1
+            owners, column = batch.column(last - 2).to_numpy(), batch.column(last)
             offsets, parts = column.offsets.to_numpy(), column.values
-            anchor, lead, warm = (np.asarray(parts.field(i)) for i in range(3))
-            for a, b, data, off in slices(batch, batch.schema.names.index("text")):
+            anchor, shard, rounds = (np.asarray(parts.field(i)) for i in range(3))
+            for a, b, data, off in slices(batch, last - 1):
                 begin, end, first = words(data, off, NON_SPACE)
-                h = span_hash(data, begin, end)
-                start, doc, low = anchors(h, first, window)
+                start, doc, low = anchors(span_hash(data, begin, end), first, window)
                 if not len(start):
                     continue
                 x, y = offsets[a], offsets[b]
@@ -141,24 +121,29 @@ def _region_rows(joined: DataFrame, window: int) -> DataFrame:
                 order = np.argsort(given)
                 head = _run_starts(low, doc)
                 want = _composite(doc[head], low[head])
-                at = np.minimum(np.searchsorted(given, want, sorter=order), len(given) - 1)
-                at = order[at]
+                at = order[np.minimum(np.searchsorted(given, want, sorter=order), len(given) - 1)]
                 size = np.diff(np.append(head, len(low)))
-                hit = np.repeat(given[at] == want, size)
-                leader, is_warm = np.repeat(lead[x:y][at], size), np.repeat(warm[x:y][at], size)
-                w = np.flatnonzero(hit & is_warm)
-                if len(w):
-                    yield from _hot_windows(h, owners[a + doc[w]], start[w], start[w] - first[doc[w]], window)
-                c = np.flatnonzero(hit & ~is_warm)
-                if len(c):
-                    cut = _run_starts(c - np.arange(len(c)), leader[c], doc[c])
-                    p, q = c[cut], c[np.append(cut[1:], len(c)) - 1]
-                    s, e = start[p], start[q] + window
-                    raw = data.tobytes()
-                    text = [b" ".join(raw[i:j].split()) for i, j in zip(begin[s].tolist(), end[e - 1].tolist())]
-                    yield _region_batch(COLD, leader[p], np.zeros(len(p)), owners[a + doc[p]], s - first[doc[p]], e - first[doc[p]], text)
-
-    return joined.mapInArrow(run, "kind tinyint, key long, key2 long, doc_id long, start long, stop long, words binary")
+                c = np.flatnonzero(np.repeat(given[at] == want, size))
+                if not len(c):
+                    continue
+                to, left = np.repeat(shard[x:y][at], size)[c], np.repeat(rounds[x:y][at], size)[c]
+                cut = _run_starts(c - np.arange(len(c)), to, left, doc[c])
+                p, q = c[cut], c[np.append(cut[1:], len(c)) - 1]
+                s, e = start[p], start[q] + window
+                raw = data.tobytes()
+                text = [b" ".join(raw[i:j].split()) for i, j in zip(begin[s].tolist(), end[e - 1].tolist())]
+                name = np.zeros(b - a, np.int64)
+                for i in np.unique(doc[p]).tolist():
+                    name[i] = text_name(raw[off[i] : off[i + 1]])
+                owner, to, left = owners[a + doc[p]], to[cut], left[cut].astype(np.int64)
+                least: dict[tuple, int] = {}  # of the slice's documents with the same region, the least goes on
+                keys = list(zip(to.tolist(), left.tolist(), text))
+                for key, d in zip(keys, owner.tolist()):
+                    least[key] = min(d, least.get(key, d))
+                done = owner > np.array([least[key] for key in keys])
+                yield _region_batch(fan, np.where(done, 0, left), to, owner, name[doc[p]], s - first[doc[p]], e - first[doc[p]], [None if x else t for x, t in zip(done.tolist(), text)])
+
+    return joined.mapInArrow(run, "rounds tinyint, shard long, part long, doc_id long, text long, start long, stop long, words binary")
 
 
 def _matched(stat: list[int], window: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -191,73 +176,79 @@ class Shard:
             self.whole.add(raw)
         self.pending = []
 
-    def stream(self, raw: bytes) -> list[tuple[int, int]]:
-        """Spans of a region that earlier documents have."""
+    def stream(self, raw: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list]:
+        """(spans of a region that earlier documents have, spans with a window that they don't have, words)."""
         if raw in self.whole:
-            return [(0, raw.count(b" ") + 1)]
+            return [(0, raw.count(b" ") + 1)], [], []
         sequence = raw.split(b" ")
         hit, rest = _matched(self.automaton.statistics(sequence), self.window)
         self.pending.append((raw, sequence, rest))
-        return hit
+        return hit, rest, sequence
 
 
-def _stream_shards(window: int):
-    """Region rows sorted by (kind, key, key2, doc_id, start) to spans: the rows of a shard, and of a hot window, come together."""
+def _stream_shards(window: int, fan: int):
+    """A round: region rows sorted by (shard, part, rounds, doc_id, start), so that those of a part come together, to settled spans and what the next round gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, key, owner, least = None, None, None, None
+        shard, key, owner = None, None, None
         for batch in batches:
-            doc, start, end = [], [], []
-            for kind, k, k2, d, s, e, raw in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                now = (kind, k, k2)
-                if now != key:
-                    shard, key, owner, least = Shard(window) if kind == COLD else None, now, d, d
-                if kind == COLD:
-                    if d != owner:
-                        shard.settle()
-                        owner = d
-                    for x, y in shard.stream(raw):
-                        doc.append(d)
-                        start.append(s + x)
-                        end.append(s + y)
-                elif kind == DONE or d > least:
-                    doc.append(d)
-                    start.append(s)
-                    end.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, end)], names=["doc_id", "start", "end"])
+            out: list[tuple] = []
+            for left, to, part, d, name, s, e, raw in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if not left:
+                    out.append((0, to, d, name, s, e, None))
+                    continue
+                if (left, to, part) != key:
+                    shard, key, owner = Shard(window), (left, to, part), d
+                if d != owner:
+                    shard.settle()
+                    owner = d
+                hit, rest, sequence = shard.stream(raw)
+                out += [(0, to, d, name, s + x, s + y, None) for x, y in hit]
+                if left > 1:
+                    out += [(left - 1, to, d, name, s + x, s + y, b" ".join(sequence[x:y])) for x, y in rest]
+            if out:
+                yield _region_batch(fan, *zip(*out))
 
     return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with text last, never null, and _key: doc_id, or the least long for null - never null, so that both joins on it read one exchange."""
-    own = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept", "_key")]
-    return docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
+    """docs with two columns behind the others: a key (doc_id, or the least long for null - never null, so that both joins on it read one exchange) and text, never null."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be an integer")
+    own = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept")]
+    return docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(new_name("key", docs)), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """doc_id, start, end (word numbers) of spans whose windows also start in a document with a smaller doc_id.
+def repeated_spans(docs: DataFrame, window: int = WINDOW, span: int = SPAN, fan: int = FAN) -> DataFrame:
+    """doc_id, text (the text's name), start, stop (word numbers) of spans whose windows also start in a document with a smaller doc_id.
 
     Spans of one document may overlap and repeat.  doc_id must be an integer; rows of null doc_id have no order, so
     they neither lose words nor take them from others.  Rows that repeat a doc_id are one document with several texts.
     """
-    return _spans(_keyed(docs), window, hot)
+    return _spans(_keyed(docs), window, span, fan)
 
 
-def _spans(keyed: DataFrame, window: int, hot: int) -> DataFrame:
-    seen = _anchor_rows(keyed, window)
-    shared = seen.groupBy("h").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("lead < _last")
+def _spans(keyed: DataFrame, window: int, span: int, fan: int) -> DataFrame:
+    key = keyed.columns[-2]
+    seen = _anchor_rows(keyed.where("doc_id is not null").select(key, "text"), window, span)
+    shared = seen.groupBy("h").agg(F.min(F.struct("doc_id", "span")).alias("lead"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("lead.doc_id < _last")
+    rounds = F.lit(1)
+    for k in range(1, ROUNDS):
+        rounds = rounds + (F.col("_n") > fan**k).cast("int")
     # the anchor is rewritten (to itself), so that this small side of the join is dealt anew: Spark splits a hot anchor only then
-    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), "lead", (F.col("_n") > hot).alias("warm"))
-    lists = seen.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "lead", "warm")).alias("shared"))
-    regions = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", "_id"), F.col("_key") == F.col("_id")).drop("_id"), window)
-    order = ["kind", "key", "key2"]
-    dealt = regions.repartition(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order, "doc_id", "start")
-    return dealt.mapInArrow(_stream_shards(window), "doc_id long, start long, end long")
+    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), F.xxhash64("lead.doc_id", "lead.span").alias("shard"), rounds.cast("tinyint").alias("rounds"))
+    lists = seen.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "shard", "rounds")).alias(new_name("shared", keyed)))
+    rows = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", name := new_name("id", keyed)), F.col(key) == F.col(name)).drop(name), window, fan)
+    order = ["shard", "part", "rounds"]
+    for _ in range(ROUNDS):
+        dealt = rows.repartition(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order, "doc_id", "start")
+        rows = dealt.mapInArrow(_stream_shards(window, fan), rows.schema)
+    return rows.select("doc_id", "text", "start", "stop")
 
 
 def _cut():
-    """Rows (columns..., text, spans): adds n_words, n_removed and kept, the words left, joined by one space."""
+    """Rows (columns..., text, spans): adds n_words, n_removed and kept, the words left, joined by one space.  Spans may begin with the name of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,11 +256,16 @@ def _cut():
             texts = batch.column(last - 1).cast(pa.large_binary())
             n_words, n_removed, kept = [], [], []
             for text, spans in zip(texts, batch.column(last)):
-                w = (text.as_py() or b"").split()
+                raw = text.as_py() or b""
+                w = raw.split()
                 gone = np.zeros(len(w) + 1, np.int32)
                 if spans.values is not None and len(spans.values):
-                    np.add.at(gone, np.asarray(spans.values.field(0)), 1)
-                    np.add.at(gone, np.asarray(spans.values.field(1)), -1)
+                    *name, start, stop = (np.asarray(spans.values.field(i)) for i in range(spans.values.type.num_fields))
+                    if name:
+                        own = name[0] == text_name(raw)
+                        start, stop = start[own], stop[own]
+                    np.add.at(gone, start, 1)
+                    np.add.at(gone, stop, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 n_words.append(len(w))
                 n_removed.append(int(gone.sum()))
@@ -279,17 +275,19 @@ def _cut():
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, span: int = SPAN, fan: int = FAN) -> DataFrame:
     """docs without text, with n_words, n_removed and kept (the words left, joined by one space).
 
-    Null and empty texts have no words.  Repeated rows lose the same words and take none from each other.  Columns so
-    named are replaced; an empty table gives no rows.
+    Null and empty texts have no words; a very long text is one document like any other, in regions of its own for each
+    shard.  Repeated rows lose the same words and take none from each other.  doc_id must be an integer; rows without one
+    lose nothing.  Columns named n_words, n_removed and kept are replaced, all others return; an empty table gives no rows.
     """
     keyed = _keyed(docs)
-    own = [c for c in keyed.columns if c not in ("_key", "text")]
-    lists = _spans(keyed, window, hot).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    joined = keyed.join(lists.withColumnRenamed("doc_id", "_id"), F.col("_key") == F.col("_id"), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in own], "text", "_spans")
+    key, own = keyed.columns[-2], keyed.columns[:-2]
+    spans, name = new_name("spans", keyed), new_name("id", keyed)
+    lists = _spans(keyed, window, span, fan).groupBy("doc_id").agg(F.collect_set(F.struct("text", "start", "stop")).alias(spans))
+    joined = keyed.join(lists.withColumnRenamed("doc_id", name), F.col(key) == F.col(name), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in own], "text", F.when(F.col("doc_id").isNotNull(), F.col(spans)).alias(spans))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields[:-2])
     return joined.mapInArrow(_cut(), f"{fields}n_words long, n_removed long, kept string")
 
@@ -331,7 +329,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int =
                 for text in batch.column(batch.num_columns - 1).cast(pa.large_binary()):
                     w = text.as_py().split()
                     spans.append([{"start": s, "end": e} for a in automata for s, e in _matched(a.statistics(w), window)[0]])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, shape)], names=[*batch.schema.names, "_spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, shape)], names=[*batch.schema.names, ""])
 
         yield from _cut()(marked())
 
