@@ -55,7 +55,7 @@ def test_against_brute_force(spark):
 
 def test_blocks_give_the_same(spark):
     docs, items, d, b = planted(spark, 6)
-    assert rows(decontaminate.benchmark_matches(d, b, block_bytes=200)) == brute(docs, items)
+    assert rows(decontaminate.benchmark_matches(d, b, block_windows=7)) == brute(docs, items)
 
 
 def test_driver_tables(spark, docs):
@@ -82,12 +82,44 @@ def test_proximity_of_several_texts_against_brute_force():
     texts = [[rng.choice([1, 2, 1, 2, -1]) for _ in range(rng.randrange(1, 6))] for _ in range(400)]
     for t in texts[::8]:
         t[min(len(t) - 1, rng.randrange(3))] = 0
-    tid, doc = np.array(sum(texts, []), np.int32), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    index = {"terms": np.arange(3), "table": np.array([[1, 0, 2]]), "length": np.array([3])}
+    tid = np.array(sum(texts, []))
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    position = np.flatnonzero(tid >= 0)
+    position = position[np.argsort(tid[position], kind="stable")]
+    built = decontaminate.block_index(["x"], np.array([3]), np.array([1, 0, 2]), window=3)
+    index = decontaminate.ranked(built, np.array([1, 2, 3]))
     for slop in (1, 2, 3):
         want = {d for d, t in enumerate(texts) for i, x in enumerate(t) if x == 0 and all(any(t[j] == term and abs(j - i - off) <= slop for j in range(len(t))) for term, off in ((1, -1), (2, 1)))}
-        _, low, _ = decontaminate.match(index, tid, doc, slop)
-        assert want and set(doc[low].tolist()) == want
+        _, low, _ = decontaminate.match(index, tid[position], position, first, slop)
+        assert want and set((np.searchsorted(first, low, "right") - 1).tolist()) == want
+
+
+def test_index_serves_many_benchmarks(spark):
+    docs, items, d, b = planted(spark, 9)
+    index = decontaminate.build_index(d.repartition(3), segment_bytes=300)
+    assert index.where("term is null").select("segment").distinct().count() > 5
+    for part in (items[:5], items[5:]):
+        found = decontaminate.search(index, spark.createDataFrame(part, "item_id long, text string"))
+        assert rows(found) == brute(docs, part)
+
+
+def test_rarity_is_that_of_the_corpus():
+    import numpy as np
+
+    built = decontaminate.block_index(["a", "b", "a"], np.array([3, 3, 2]), np.array([10, 20, 30, 10, 20, 30, 20, 40]), window=3)
+    index = decontaminate.ranked(built, np.array([9, 2, 5, 0]))
+    at = {tuple(r): k for k, r in enumerate(built["table"].tolist())}
+    whole, gone = at[0, 1, 2], at[1, 3, -1]
+    assert len(built["table"]) == 2 and index["ranks"][whole].tolist() == [1, 2, 0]
+    assert index["alive"][whole] and not index["alive"][gone]
+    assert [built["names"][i] for i in built["items"][built["first"][whole] : built["first"][whole + 1]]] == ["a", "b"]
+
+
+def test_names_in_use(spark):
+    names = ["spans", "items", "n_words", "name", "doc", "segment", "place"]
+    docs = spark.createDataFrame([(k, "lost words here" if k else "other", *[f"{n}{k}" for n in names]) for k in range(2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = decontaminate.decontaminate(docs, spark.createDataFrame([(1, "lost words here")], "item_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0] and all(kept[0][n] == f"{n}0" for n in names)
 
 
 def test_odd_rows(spark, odd, none):
