@@ -168,6 +168,37 @@ def test_similar_documents_are_exact(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_many_copies_make_few_pairs(spark):
+    """A text in 200 variants and a second group beside it: pairs grow with the copies, not with their square."""
+    rng = random.Random(6)
+    rows = []
+    for base in range(2):
+        source = [f"b{base}x{k}" for k in range(120)]
+        for k in range(200 if base else 30):
+            w = list(source)
+            for p in rng.sample(range(120), 1 + k % 3):
+                w[p] = f"c{base}{k}{p}"
+            rows.append((1000 * base + k, " ".join(w)))
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == similar_roots(rows)[0]
+
+
+def test_list_pairs_against_all_pairs():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    share = Fraction(4, 5)
+    for size in (1, 2, 3, 40):
+        n = np.sort(rng.integers(10, 30, size))
+        place, label = rng.integers(0, 4, size), rng.integers(0, 4, size)
+        tid = rng.permutation(size) + 100
+        got = set()
+        for a, b in simhash.list_pairs(n, tid, place, label, share):
+            got |= set(zip(a.tolist(), b.tolist()))
+        want = {(min(tid[i], tid[j]), max(tid[i], tid[j])) for i in range(size) for j in range(i + 1, size) if label[i] != label[j] and n[i] * 5 >= n[j] * 4 and min(n[i] - place[i], n[j] - place[j]) * 9 >= (n[i] + n[j]) * 4}
+        assert got == want
+
+
 def test_similar_documents_of_the_table(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.text and len(r.text) < 20000]
     got = simhash.similar_documents(docs.where("length(text) < 20000")).collect()

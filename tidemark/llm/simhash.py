@@ -181,8 +181,8 @@ WIDTH, SIMILARITY = 5, 0.8
 
 #: Documents of the sample that tells frequent shingles, how often a shingle must stand in it, and how many are kept.
 SAMPLE, OFTEN, FREQUENT = 16384, 4, 1 << 16
-#: Pairs of a task that are gathered before they are handed on.
-PAIRS = 1 << 20
+#: Pairs of a task that are gathered before they are handed on, and bytes of a sketch.
+PAIRS, SKETCH = 1 << 20, 128
 #: Bits of the filter that names the texts of candidate pairs; more of them than this make it weaker, never wrong.
 FILTER = 1 << 22
 
@@ -234,7 +234,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_rows(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """doc_id, tid (names the text), node (names the shingle set), n (its size), its prefix and its sketch (how many hashes end in each byte, 255 at most) of every row."""
+    """doc_id, tid (names the text), node (names the shingle set), n (its size), its prefix and its sketch (how many hashes have each remainder by SKETCH, 255 at most) of every row."""
     often = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def _set_rows(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
                 node.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
                 n.append(len(h))
                 first.append(prefix(h, *often.value, share).tobytes() if len(h) else b"")
-                sketch.append(np.minimum(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
+                sketch.append(np.minimum(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "tid", "node", "n", "first", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -264,28 +264,75 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(x) // 8 for x in first[a:b]])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             h = np.frombuffer(b"".join(first[a:b]), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(n[a:b], size)), pa.array(np.repeat(tid[a:b], size)), pa.array(place)], names=["h", "n", "tid", "place"])
+            columns = (h, np.repeat(n[a:b], size).astype(np.int32), np.repeat(tid[a:b], size), place.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "n", "tid", "place"])
             a = b
 
 
-def list_pairs(h: np.ndarray, n: np.ndarray, tid: np.ndarray, place: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (lesser name, greater name) of entries sorted by (h, n).
+def _allowed(n1, place1, n2, place2, share: Fraction):
+    """Whether what is left of two sets from a shared shingle on allows the similarity: a pair at the similarity passes at the first shingle that it shares."""
+    p, q = share.numerator, share.denominator
+    return np.minimum(n1 - place1, n2 - place2) * (p + q) >= (n1 + n2) * p
+
+
+def _chained(share: Fraction):
+    """List entries sorted by (h, n, tid), in batches, to rows (a, b, h, n, place).
 
-    Sizes must allow the similarity, and so must what is left of both sets from the shared shingle on: a pair at the
-    similarity passes at the first shingle that it shares.
+    Without h: the candidate pair of an entry and the one before it, if their sizes allow the similarity.  With h: the entries (a is the tid) of three or more in
+    a row whose sizes do, which may make further pairs.  Two entries are held between batches, however long a list is.
     """
     p, q = share.numerator, share.denominator
-    i, d = np.arange(len(h) - 1), 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        joined = third = np.zeros(0, bool)  # of the entries held: whether they join the one before, and that one another
+
+        def rows(end: bool, now: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal held, joined, third
+            old = len(held[0])
+            h, n, tid, place = (np.concatenate([a, b]) for a, b in zip(held, now))
+            link = np.zeros(len(h), bool)
+            link[1:] = (h[1:] == h[:-1]) & (n[:-1] * q >= n[1:] * p)
+            link[:old] = joined
+            two = link.copy()
+            two[1:] &= link[:-1]
+            two[:old] = third
+            new = np.arange(len(h)) >= old
+            i = np.flatnonzero(link & new)
+            i = i[_allowed(n[i - 1], place[i - 1], n[i], place[i], share)]
+            more = np.append(link[1:], False)
+            many = two | (link & more) | (more & np.append(more[1:], False))
+            keep = len(h) if end else max(0, len(h) - 2)
+            e = np.flatnonzero(many[:keep])
+            held, joined, third = [x[keep:] for x in (h, n, tid, place)], link[keep:], two[keep:]
+            a = np.concatenate([np.minimum(tid[i - 1], tid[i]), tid[e]])
+            b = pa.concat_arrays([pa.array(np.maximum(tid[i - 1], tid[i])), pa.nulls(len(e), pa.int64())])
+            rest = [pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(x[e])]) for x in (h, n, place)]
+            return pa.RecordBatch.from_arrays([pa.array(a), b, *rest], names=["a", "b", "h", "n", "place"])
+
+        for batch in batches:
+            if len(batch):
+                yield rows(False, [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        yield rows(True, [np.zeros(0, np.int64)] * 4)
+
+    return run
+
+
+def list_pairs(n: np.ndarray, tid: np.ndarray, place: np.ndarray, label: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (lesser name, greater name) of different labels among one list's entries, sorted by n.
+
+    Every entry without the list's most common label is compared with those whose sizes allow the similarity.
+    """
+    p, q = share.numerator, share.denominator
+    names, which, count = np.unique(label, return_inverse=True, return_counts=True)
+    most = which == count.argmax()
+    low, high = np.searchsorted(n * q, n * p, "left"), np.searchsorted(n * p, n * q, "right")
     out, held = [], 0
-    while len(i):
-        i = i[i + d < len(h)]
-        i = i[(h[i] == h[i + d]) & (n[i] * q >= n[i + d] * p)]
-        j = i + d
-        near = np.minimum(n[i] - place[i], n[j] - place[j]) * (p + q) >= (n[i] + n[j]) * p
-        a, b = tid[i[near]], tid[j[near]]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        held += len(a)
-        d += 1
+    for i in np.flatnonzero(~most):
+        j = np.arange(low[i], high[i])
+        j = j[(which[j] != which[i]) & (most[j] | (j > i)) & _allowed(n[i], place[i], n[j], place[j], share)]
+        out.append(np.stack([np.minimum(tid[i], tid[j]), np.maximum(tid[i], tid[j])]))
+        held += len(j)
         if held > PAIRS:
             yield tuple(np.unique(np.concatenate(out, axis=1), axis=1))
             out, held = [], 0
@@ -293,21 +340,28 @@ def list_pairs(h: np.ndarray, n: np.ndarray, tid: np.ndarray, place: np.ndarray,
         yield tuple(np.unique(np.concatenate(out, axis=1), axis=1))
 
 
-def _paired(share: Fraction):
-    """Batches sorted by (h, n) to candidate pairs; a list may go on in the next batch."""
+def _crossed(share: Fraction):
+    """Batches of (h, n, tid, place, label) sorted by (h, n) to candidate pairs; a list may go on in the next batch."""
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = columns[0]
+        edges = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+        for x, y in zip(edges, edges[1:]):
+            for a, b in list_pairs(*[c[x:y] for c in columns[1:]], share):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             if not len(batch):
                 continue
-            now = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
+            now = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest)]
             last = int(np.searchsorted(now[0], now[0][-1]))  # the last list may not be whole yet
             rest = [x[last:] for x in now]
-            for a, b in list_pairs(*[x[:last] for x in now], share):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        for a, b in list_pairs(*rest, share):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if last:
+                yield from pairs([x[:last] for x in now])
+        if len(rest[0]):
+            yield from pairs(rest)
 
     return run
 
@@ -319,7 +373,7 @@ def _possible(share: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for i in (4, 5))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
             near = np.abs(one - two).sum(1, dtype=np.int64) * (p + q) <= n * (q - p)
             yield batch.select([0, 1]).filter(pa.array(near))
 
@@ -343,12 +397,9 @@ def _sets(bits, width: int):
     return run
 
 
-def similar_links(docs: DataFrame, groups: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """(a, b): all pairs of sets of groups(tid, n, first, sketch), named by one text of each, whose Jaccard similarity is `share` or more."""
+def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Those of pairs(a, b) of sets whose Jaccard similarity is `share` or more: first by their sketches, which lose none, then by the whole sets."""
     spark = docs.sparkSession
-    posted = groups.where("n > 0").select("tid", "n", "first").mapInArrow(_posted, "h long, n long, tid long, place long")
-    dealt = posted.repartition(partitions(spark), "h").sortWithinPartitions("h", "n")
-    pairs = dealt.mapInArrow(_paired(share), "a long, b long").distinct()
     for c in "ab":
         pairs = pairs.join(groups.select(F.col("tid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
     pairs = checkpoint(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(share), "a long, b long"))
@@ -368,18 +419,43 @@ def similar_links(docs: DataFrame, groups: DataFrame, width: int, share: Fractio
     return pairs.join(one, "a").join(two, "b").where(both * share.denominator >= total * share.numerator).select("a", "b")
 
 
+def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """(tid, root): the components of the sets of groups(tid, n, first, sketch), named by one text of each, linked at a Jaccard similarity of `share` or more.
+
+    First each entry of a list is paired with the one before it, at most a pair for each entry.  That joins the copies of a text, whose
+    lists are long, to one component.  Then the lists of three entries or more that still hold several components give all pairs across them.
+    """
+    spark = docs.sparkSession
+    posted = groups.where("n > 0").select("tid", "n", "first").mapInArrow(_posted, "h long, n int, tid long, place int")
+    dealt = posted.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid")
+    listed = checkpoint(dealt.mapInArrow(_chained(share), "a long, b long, h long, n long, place long"))
+    links = _verified(docs, groups, listed.where("h is null").select("a", "b").distinct(), width, share)
+    first = checkpoint(components(links).withColumnRenamed("a", "tid"))
+    entries = listed.where("h is not null").select("h", "n", F.col("a").alias("tid"), "place").join(first, "tid", "left").withColumn("label", F.coalesce("root", "tid")).drop("root")
+    # the shingle is rewritten (to itself), so that Spark can split a hot one of this join
+    mixed = entries.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"))
+    entries = entries.join(mixed, "h", "left_semi").select("h", "n", "tid", "place", "label")
+    pairs = entries.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(_crossed(share), "a long, b long").distinct()
+    links = _verified(docs, groups, pairs, width, share)
+    for c in "ab":
+        links = links.join(first.select(F.col("tid").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    second = components(links).select(F.col("a").alias("root"), F.col("root").alias("_top"))
+    # what the second round joins: roots of the first, and sets that had no link before
+    known = groups.select("tid").join(first, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    return known.join(second, "root", "left").select("tid", F.coalesce("_top", "root").alias("root"))
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row: groups linked at this Jaccard similarity (above 0) of their shingle sets, or more.
 
     Every pair at the similarity is found: such sets share a shingle of their prefixes (see prefix), which are the keys of
-    lists, and every candidate pair of a list that its sketches allow is verified on the whole sets.  Equal sets are one node, named by one of their texts.
-    Null and wordless texts are one group; null doc_ids and repeated rows are as in near_duplicates.
+    lists; every pair of a list that may join two components is verified on the whole sets, unless its sketches rule it out.  Equal sets are one node, named by one of their texts.
+    Null and wordless texts are one group; a very long text is one set; null doc_ids and repeated rows are as in near_duplicates.
     """
     share = Fraction(similarity).limit_denominator(10**6)
     rows = checkpoint(_set_rows(docs, width, share))
     groups = checkpoint(rows.groupBy("node", "n", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
-    roots = components(similar_links(docs, groups, width, share)).withColumnRenamed("a", "tid")
-    named = groups.select("node", "tid", "least").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    named = groups.select("node", "tid", "least").join(similar_roots(docs, groups, width, share), "tid")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = named.select("node", "root").join(ids, "root").select("node", "component_id")
     return rows.select("doc_id", "node").join(whole, "node").select("doc_id", "component_id")
