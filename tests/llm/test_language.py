@@ -56,6 +56,47 @@ def test_held_out_accuracy(spark):
     assert np.mean([a == b for a, b in zip(word, ["en"] * 40 + ["de"] * 40 + ["fr"] * 40)]) > 0.85
 
 
+def test_query_against_plain_loops(spark, docs):
+    """Labels and scores of whole texts from features word by word and the plain recursion."""
+    model = language.fit(docs, per_language=20)
+    w, t = model["weights"], model["t"]
+    texts = [r.text for r in docs.limit(60).collect()] + ["one", "123 ?!", "", None, "Ünïcode WÖRD und the le 77 !!"]
+    rows = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        found = []
+        for word in (texts[r.doc_id] or "").encode().split():
+            data = language._lowered(np.frombuffer(word, np.uint8))
+            _, bucket = language._features(data, np.array([0]), np.array([len(data)]))
+            lettered = any(language.LETTER[x] for x in word)
+            z = w[bucket].astype(float).sum(0) if lettered else np.zeros(w.shape[1])
+            found.append((np.exp(np.maximum(z - z.max(), -30)), lettered))
+        if not any(x for _, x in found):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        marginal, _ = brute_forward_backward(np.array([e for e, _ in found]), t)
+        mass = marginal[[x for _, x in found]].mean(0)
+        assert r.lang_pred == model["names"][mass.argmax()] and np.isclose(r.score, mass.max())
+
+
+def test_names_in_use(spark, docs):
+    model = language.fit(docs, per_language=5)
+    odd = spark.createDataFrame([(1, "the word", "own", 5)], "doc_id long, text string, lang_pred string, score int")
+    r = language.predict(odd, model, "_label", "_score").first()
+    assert (r.lang_pred, r.score) == ("own", 5) and r._label in model["names"]
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, "word " * (10 if i else 5000), "en") for i in range(50)]
+    seen = []
+    train = language.train
+    language.train = lambda texts, labels: seen.extend(texts) or train(texts, labels)
+    try:
+        language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10, sample_bytes=300)
+    finally:
+        language.train = train
+    assert seen and (len(seen) == 1 or sum(map(len, seen)) <= 300)
+
+
 def test_odd_rows(spark, odd, none, docs):
     model = language.fit(docs, per_language=10)
     got = language.predict(odd, model)

@@ -80,3 +80,15 @@ def test_no_python_in_the_plan(docs):
     with redirect_stdout(out := io.StringIO()):
         linededup.delete_repeats(docs).explain()
     assert "Python" not in out.getvalue() and "Pandas" not in out.getvalue()
+
+
+def test_names_in_use(spark):
+    from tidemark.llm import linededup
+
+    names = ["runs", "uid", "doc", "_id", "removed_runs", "kept_text", "i", "x", "l"]
+    text = "a b c d e f g h\nx y"
+    docs = spark.createDataFrame([(k, text, *[f"{n}{k}" for n in names]) for k in range(2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = {r.doc_id: r for r in linededup.drop_repeats(docs).collect()}
+    assert out[0].text == text and out.get(1) is None
+    kept = linededup.delete_repeats(docs).collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in kept for n in names if n not in ("removed_runs", "kept_text"))

@@ -17,25 +17,52 @@ def test_held_out_labels(spark):
     assert np.mean(good) > 0.98
 
 
-def brute_shrink(n, s, m):
-    rows, groups = n.sum(), len(n)
-    v0 = (n * m * (1 - m)).sum() / rows
-    between = ((n * (s / n - m) ** 2).sum() - groups * v0) / max(rows - groups, 1)
-    k = min(max(v0 / between - 1, 1), 1e6) if between > 1e-9 else 1e6
-    return (s + k * m) / (n + k)
-
-
-def test_shrinking_against_numpy(spark):
-    rng = np.random.default_rng(1)
-    n = rng.integers(1, 200, 40).astype(float)
-    s = np.array([rng.binomial(int(x), p) for x, p in zip(n, rng.beta(2, 3, 40))], float)
-    df = spark.createDataFrame([(i, float(a), float(b), 0.4) for i, (a, b) in enumerate(zip(n, s))], "g int, n double, s double, m double")
-    got = [r.post for r in quality.shrink(df, "n", "s", "m").orderBy("g").collect()]
-    want = brute_shrink(n, s, np.full(40, 0.4))
-    assert np.allclose(got, want)
-    # sparse groups move further towards the level above
-    pull = np.abs(want - s / n) / np.maximum(np.abs(s / n - 0.4), 1e-9)
-    assert pull[n.argmin()] > pull[n.argmax()]
+def brute_strength(groups, means):
+    """Of a list of value lists: within over between variance."""
+    n = sum(map(len, groups))
+    within = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups) / (n - len(groups)) if n > len(groups) else 0
+    gap = sum(len(g) * (np.mean(g) - m) ** 2 for g, m in zip(groups, means))
+    between = (gap - len(groups) * within) / n
+    return min(max(within / between, 0.01), 1e6) if between > 1e-9 else 1e6
+
+
+def test_query_against_loops(spark):
+    """The whole operator, with sites of one document and of many, on a model that gives random evidence."""
+    rng = np.random.default_rng(5)
+    model = {"words": rng.normal(0, 1, (quality.BUCKETS, 2)).astype(np.float32), "dense": rng.normal(0, 0.3, (quality.DENSE, 2)).astype(np.float32)}
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), 6)), str(rng.choice(["x", "y", "z", None])), str(rng.choice(["p", "q"]))) for i in range(120)] + [(200, None, "alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(rows[i][2] == "x"), int(i % 5 == 0)) for i in range(0, 120, 3)], "doc_id long, quality int, toxic int")
+    truth = {r.doc_id: r for r in labels.collect()}
+    got = {r.doc_id: r for r in quality.posteriors(docs, labels, model=model).collect()}
+    assert len(got) == 121
+    logit = lambda p: np.log(p / (1 - p))
+    for t in ("quality", "toxic"):
+        value = {i: float(truth[i][t]) if i in truth else got[i][f"e_{t}"] for i, *_ in rows}
+        hosts, paths = {}, {}
+        for i, _, h, p in rows:
+            hosts.setdefault(h, []).append(i)
+            paths.setdefault((h, p), []).append(i)
+        of = lambda ids: [value[i] for i in ids]
+        mean = np.mean(list(value.values()))
+        kh = brute_strength([of(x) for x in hosts.values()], [mean] * len(hosts))
+        host = {h: (sum(of(x)) + kh * mean) / (len(x) + kh) for h, x in hosts.items()}
+        kp = brute_strength([of(x) for x in paths.values()], [host[h] for h, _ in paths])
+        for i, _, h, p in rows:
+            assert np.isclose(got[i][f"host_{t}"], host[h])
+            assert np.isclose(got[i][f"path_{t}"], (sum(of(paths[h, p])) + kp * host[h]) / (len(paths[h, p]) + kp))
+            without = lambda ids: [value[j] for j in ids if j != i]  # noqa: E731, B023
+            base = np.mean(without(value))
+            up = (sum(without(hosts[h])) + kh * base) / (len(hosts[h]) - 1 + kh)
+            rate = (sum(without(paths[h, p])) + kp * up) / (len(paths[h, p]) - 1 + kp)
+            z = logit(got[i][f"e_{t}"]) + logit(rate) - logit(base)
+            assert np.isclose(got[i][f"p_{t}"], 1 / (1 + np.exp(-z)), atol=1e-6)
+
+
+def test_sites_of_urls(spark):
+    host, path = quality.url_sites(F.col("url"))
+    rows = spark.createDataFrame([("https://A.example.com/fr/825?x=1",), ("http://b.example.net",), ("no url",), (None,)], "url string").select(host, path).collect()
+    assert [tuple(r) for r in rows] == [("a.example.com", "fr"), ("b.example.net", None), (None, None), (None, None)]
 
 
 def test_a_bad_host_lowers_its_documents(spark):

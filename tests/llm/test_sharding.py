@@ -20,6 +20,23 @@ def test_contract(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_query_against_draws(docs):
+    """The shard of every document from its draws, one for each shard, by hand."""
+    import math
+
+    import xxhash
+
+    def draw(doc_id, shard):
+        # Spark's hash of several columns is that of the last one, seeded with that of those before
+        h = xxhash.xxh64_intdigest(f"k{doc_id}".encode(), 42)
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), h)
+        return -1 / math.log(((h >> 11) + 0.5) / (1 << 53))
+
+    for r in sharding.shard_documents(docs).collect():
+        for got, n in ((r.shard, 8), (r.grown_shard, 9)):
+            assert got == max(range(n), key=lambda s: draw(r.doc_id, s))
+
+
 def test_shares_follow_weights(spark):
     df = spark.range(40000).select(sharding.shard_of(F.col("id"), [1, 2, 5, 0]).alias("s"))
     share = Counter(r.s for r in df.collect())

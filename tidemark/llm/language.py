@@ -5,8 +5,8 @@ prefixes and suffixes, and byte n-grams - and neighbouring words are tied by lea
 Forward-backward gives each word's marginal distribution, so code-switched texts are labelled word by word; a document's language is the one
 with the largest mean marginal over its words with letters, and that mean is its score.
 
-Training is on the driver over a bounded sample: the `per_language` documents of each language that come first by a
-hash of their id, whole texts, and languages only from their labels.  Their runs of words are spliced into code-switched sequences, from which
+Training is on the driver over a bounded sample: the documents of each language that come first by a
+hash of their id, whole texts, up to a number and a number of bytes, and languages only from their labels.  Their runs of words are spliced into code-switched sequences, from which
 the transitions are learned.  Prediction reads the text alone.
 
 Forward-backward runs over all texts of a slice at once: sequences are cut into blocks, each block's transfer matrix is
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._text import LOWER, NON_SPACE, _power, mix, slices, words
 
 BUCKETS = 1 << 16
-PER_LANGUAGE = 150
+#: Documents of a language in the sample, bytes of their texts (a first text of more is taken all the same), and languages at most.
+PER_LANGUAGE, SAMPLE_BYTES, LANGUAGES = 150, 1 << 20, 256
 BLOCK = 64
 #: Bytes of text labelled at once; a longer single text is taken whole.
 SLICE = 2 << 20
@@ -235,18 +236,26 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7) -
     return {"names": names, "weights": weights.astype(np.float32), "t": np.exp(trans - trans.max())}
 
 
-def fit(docs: DataFrame, train_rows: Column | None = None, per_language: int = PER_LANGUAGE) -> dict:
+def fit(docs: DataFrame, train_rows: Column | None = None, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> dict:
     """Trains on a bounded sample of the rows with text and lang (and train_rows, if given).
 
-    The sample: for each language its per_language rows least by a hash of doc_id; repeated ids add at most as many rows again.
+    The sample: for each language its per_language rows least by a hash of doc_id, as long as their texts have sample_bytes at most; repeated ids count once.
+    The model has a row for each language, so more than LANGUAGES labels are refused.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if train_rows is None else rows.where(train_rows)
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
-    found = rows.select("doc_id", "lang", "text").join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["lang"] == chosen["lang"]), "left_semi")
-    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = found.withColumn("n", F.row_number().over(again)).where(F.col("n") <= 2 * per_language).orderBy("lang", "n").collect()
+    rows = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("name"))
+    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "name")
+    first = rows.select("doc_id", "lang", "name", F.octet_length("text").cast("long").alias("size")).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= per_language)
+    total = F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("total", total).where((F.col("n") == 1) | (F.col("total") <= sample_bytes)).select("doc_id", "lang", "name").distinct()
+    langs = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if langs > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    # at most per_language rows for each of LANGUAGES, without texts
+    same = rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["lang"] == chosen["lang"]) & (rows["name"] == chosen["name"])
+    found = rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["doc_id", "lang", "name"])
+    sample = sorted(found.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "name", "text").collect(), key=lambda r: (r.lang, r.h, r.name))
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
@@ -257,14 +266,14 @@ def label_slice(model: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     return marginal, lettered, first
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of docs, then lang_pred and score.
+def predict(docs: DataFrame, model: dict, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of docs, then the columns named by `label` and `score`.
 
-    Null texts, texts without a letter and all texts under a model without languages are `und` with score 0.
-    Repeated rows are labelled alike; columns named lang_pred and score are replaced; an empty table gives no rows.
-    The model has a fixed size and is broadcast.
+    Null texts, texts without a letter and all texts under a model without languages are `und` with score 0.  A very long text is labelled whole, in a slice of its own.
+    Repeated rows are labelled alike; columns named as the two are replaced; an empty table gives no rows.
+    The model has a bounded size and is broadcast.
     """
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in (label, score)]
     held = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[F.col(f"`{c}`") for c in own])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
@@ -287,9 +296,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     if any(map(str.isalpha, batch.column(column)[a + i].as_py())):
                         names[a + i] = m["names"][best[i]]
                         scores[a + i] = min(1.0, mass[i, best[i]] / total[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, label, score])
 
-    return base.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return base.mapInArrow(run, f"{fields}, `{label}` string, `{score}` double")
 
 
 def word_labels(docs: DataFrame, model: dict) -> DataFrame:

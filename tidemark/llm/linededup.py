@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._text import new_name
+
 MIN_WORDS = 8
 KEY = ["l", "a", "b", "g"]
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -98,34 +100,35 @@ def _kept(lines: Column, runs: Column) -> Column:
     return F.array_join(F.flatten(stretch), "\n")
 
 
-def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs, with kept_text (null for null) and removed_runs (empty if none).
+def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, kept: str = "kept_text", removed: str = "removed_runs") -> DataFrame:
+    """All columns of docs, with the columns named by `kept` (the text left, null for null) and `removed` (the runs deleted, empty if none).
 
-    Null, empty and wordless texts lose nothing; a wordless line goes if the lines with words on both sides of it go.  Repeated rows (equal doc_id and text) are one document and keep or lose the same lines.
-    The names added, and uid and _lines, replace columns so named.  An empty table gives no rows.
+    Null, empty and wordless texts lose nothing; a wordless line goes if the lines with words on both sides of it go.  A very long text has as many rows as
+    lines, like many short ones.  Repeated rows (equal doc_id and text) are one document and keep or lose the same lines.
+    Columns named as the two are replaced, all others return.  An empty table gives no rows.
     """
-    runs = repeated_runs(docs, min_words)
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "removed_runs", "uid", "_id")])
-    base = base.withColumn("uid", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
-    runs = runs.withColumnRenamed("doc_id", "_id")
-    joined = base.join(runs, (base["uid"] == runs["uid"]) & base["doc_id"].eqNullSafe(runs["_id"]), "left").drop(runs["uid"]).drop("_id", "uid")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda x: _kept(x, F.col("runs")))[0])
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (kept, removed)])
+    doc, uid, runs = (new_name(n, docs) for n in ("doc", "uid", "runs"))
+    found = repeated_runs(docs, min_words).select(F.col("doc_id").alias(doc), F.col("uid").alias(uid), F.col("runs").alias(runs))
+    same = (F.xxhash64(base["doc_id"], F.coalesce(base["text"], F.lit(""))) == found[uid]) & base["doc_id"].eqNullSafe(found[doc])
+    joined = base.join(found, same, "left").drop(doc, uid)
+    left = F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.transform(F.array(F.split("text", "\n")), lambda x: _kept(x, F.col(runs)))[0])
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.withColumn("kept_text", kept).withColumn("removed_runs", F.coalesce("runs", none)).drop("runs")
+    return joined.withColumns({kept: left, removed: F.coalesce(runs, none)}).drop(runs)
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their own columns and text without repeats; n_chars, if there, follows.  Documents that lose their last word go."""
-    out = delete_repeats(docs, min_words)
-    lost = (F.size("removed_runs") > 0) & ~F.col("kept_text").rlike(WORD)
+    kept, removed = new_name("kept", docs), new_name("removed", docs)
+    out = delete_repeats(docs, min_words, kept, removed)
+    lost = (F.size(removed) > 0) & ~F.col(kept).rlike(WORD)
     out = out.where(~F.coalesce(lost, F.lit(False)))
     columns = []
     for c, kind in docs.dtypes:
         if c == "text":
-            columns.append(F.col("kept_text").alias("text"))
+            columns.append(F.col(kept).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.size("removed_runs") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(kind).alias(c))
+            columns.append(F.when(F.size(removed) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(kind).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return out.select(*columns)

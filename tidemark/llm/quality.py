@@ -1,13 +1,16 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
 A document classifier (logistic regression on hashed words and a few measures) gives each document's evidence.  Sites form
-a hierarchy: all documents, hosts, paths within hosts.  Each level's rate is a beta posterior whose prior is centred on
-the level above, with a strength estimated from how much the sites of that level really differ (method of moments), so sparse sites
-shrink to their host and sparse hosts to the whole.  A document's posterior is its evidence times the odds ratio of its
-path's posterior rate against the overall rate.  All counts come from grouped aggregation over every document; labelled documents count with
-their label, others with their evidence.
+a hierarchy: all documents, hosts, paths within hosts.  Each level's rate is shrunk to the level above, with a strength
+k = within / between: the variance of documents within the level's sites over that of the sites' true rates, both from sums over all
+sites (method of moments), so sparse sites shrink to their host and sparse hosts to the whole.  Evidence between 0 and 1 varies less
+than coin flips do, so the variance within sites is measured, not taken from the rate.
 
-The classifier alone is fitted on a bounded sample: the `sample` labelled documents least by a hash of their id.
+A document's posterior odds are those of its evidence times the ratio of its path's odds to the overall odds: the rule of Bayes for a text and a site
+that are independent given the class.  The site is judged without the document itself, so no evidence counts twice.  All counts come from grouped aggregation over every document;
+labelled documents count with their label, others with their evidence.
+
+The classifier alone is fitted on a bounded sample: the `sample` labelled documents least by a hash of their id, of those with at most LONGEST bytes.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ TELLING = 5.0
 MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 #: Features that are not words.
 DENSE = 8 + len(MARKS)
-SAMPLE = 4000
-#: Share of a site's odds that a document's posterior takes over.
-SITE_WEIGHT = 0.5
+#: Documents of the sample, and bytes of a text in it.
+SAMPLE, LONGEST = 4000, 1 << 15
 TARGETS = ("quality", "toxic")
 
 
@@ -146,9 +148,10 @@ def _one_label(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     truth = _one_label(labels)
-    chosen = docs.select("doc_id").distinct().join(truth, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * sample).collect()
+    fits = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST))
+    chosen = fits.select("doc_id").distinct().join(truth, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).join(F.broadcast(chosen), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()
     return train([r.text for r in rows], np.array([[np.nan if r[f"_{t}"] is None else r[f"_{t}"] for t in TARGETS] for r in rows], float).reshape(len(rows), len(TARGETS)))
 
 
@@ -170,26 +173,39 @@ def evidence(docs: DataFrame, model: dict) -> DataFrame:
 
 
 
-def shrink(groups: DataFrame, n: str, s: str, mean: str) -> DataFrame:
-    """Adds post: the beta posterior mean of s successes in n, around `mean` (the level above), for each group.
+def strengths(groups: DataFrame, mean: dict[str, str]) -> dict[str, float]:
+    """For each target, how many documents the level above counts for: within / between variance over all groups of a level.
 
-    The prior's strength k is mean (1 - mean) / v - 1, with v the variance between groups beyond sampling noise: one
-    value for the level, from sums over all its groups.
+    groups: n documents, s_ and q_ (sums of their values and of the squares), and the column `mean` names for the level above.  Held in [0.01, 1e6].
     """
-    m = F.col(mean)
-    gap = F.col(n) * F.pow(F.col(s) / F.col(n) - m, 2)
-    spread = groups.where(F.col(n) > 0).agg(F.sum(gap).alias("gap"), F.sum(F.col(n) * m * (1 - m)).alias("noise"), F.count("*").alias("groups"), F.sum(n).alias("rows"))
-    v0 = F.col("noise") / F.col("rows")  # mean (1 - mean), over rows
-    between = (F.col("gap") - F.col("groups") * v0) / F.greatest(F.col("rows") - F.col("groups"), F.lit(1.0))
-    strength = F.when(between > 1e-9, F.greatest(v0 / between - 1, F.lit(1.0))).otherwise(F.lit(1e6))
-    k = spread.select(F.coalesce(F.least(strength, F.lit(1e6)), F.lit(1e6))).first()[0]  # one number for the level
-    return groups.withColumn("post", (F.col(s) + k * m) / (F.col(n) + k))
+    sums = [F.count("*").alias("groups"), F.sum("n").alias("n")]
+    for t, m in mean.items():
+        sums.append(F.sum(F.col(f"q_{t}") - F.col(f"s_{t}") * F.col(f"s_{t}") / F.col("n")).alias(f"in_{t}"))
+        sums.append(F.sum(F.col("n") * F.pow(F.col(f"s_{t}") / F.col("n") - F.col(m), 2)).alias(f"gap_{t}"))
+    r = groups.where("n > 0").agg(*sums).first()
+    out = {}
+    for t in mean:
+        within = r[f"in_{t}"] / (r["n"] - r["groups"]) if r["groups"] and r["n"] > r["groups"] else 0.0
+        between = (r[f"gap_{t}"] - r["groups"] * within) / r["n"] if r["groups"] else 0.0
+        out[t] = min(max(within / between, 0.01), 1e6) if between > 1e-9 else 1e6
+    return out
+
+
+def shrunk(n: Column | str, s: Column | str, mean: Column | str, k: float) -> Column:
+    """The posterior rate of s in n around `mean`, which counts for k documents."""
+    n, s, mean = (F.col(x) if isinstance(x, str) else x for x in (n, s, mean))
+    return (s + k * mean) / (n + k)
+
+
+def url_sites(url: Column) -> tuple[Column, Column]:
+    """(host, first part of the path) of a URL; null for what it lacks."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST"))), F.nullif(F.split_part(F.try_parse_url(url, F.lit("PATH")), F.lit("/"), F.lit(2)), F.lit(""))
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, model: dict | None = None) -> DataFrame:
     """doc_id, and for each target e_ (evidence), host_ and path_ (site posteriors) and p_ (document posterior).
 
-    A null host or path is a site of its own.  Null and empty texts have the evidence of an empty text.  Repeated rows each count and each return.
+    A null host or path is a site of its own.  Null and empty texts have the evidence of an empty text; a very long text is measured whole.  Repeated rows each count and each return.
     Without labels every probability is 0.5.  An empty table gives no rows; columns other than doc_id, text, host and path are ignored.
     """
     own = docs.select("doc_id", "text", F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("")).alias("_host"), F.coalesce(F.concat(F.lit("="), F.col(f"`{path}`").cast("string")), F.lit("")).alias("_path"))
@@ -197,25 +213,32 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     for t in TARGETS:
         scored = scored.withColumn(f"c_{t}", F.coalesce(f"_{t}", f"e_{t}"))
     scored = checkpoint(scored.drop(*[f"_{t}" for t in TARGETS]))
-    sums = scored.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *[F.sum(f"c_{t}").alias(f"s_{t}") for t in TARGETS])
-    paths = checkpoint(sums)
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS])
-    whole = hosts.agg(*[F.coalesce(F.try_divide(F.sum(f"s_{t}"), F.sum("n")), F.lit(0.5)).alias(t) for t in TARGETS]).first()
-    hosts = hosts.withColumns({f"all_{t}": F.lit(whole[t]) for t in TARGETS})
-    for t in TARGETS:
-        hosts = shrink(hosts, "n", f"s_{t}", f"all_{t}").withColumnRenamed("post", f"host_{t}")
-    paths = paths.join(hosts.select("_host", *[f"{x}_{t}" for t in TARGETS for x in ("all", "host")]), "_host")
-    for t in TARGETS:
-        paths = shrink(paths, "n", f"s_{t}", f"host_{t}").withColumnRenamed("post", f"path_{t}")
-    sites = checkpoint(paths.select("_host", "_path", *[f"{x}_{t}" for t in TARGETS for x in ("all", "host", "path")]))
-    out = scored.join(sites, ["_host", "_path"])
-
-    def logit(c: str) -> Column:
-        p = F.greatest(F.least(F.col(c), F.lit(1 - 1e-9)), F.lit(1e-9))
+    sums = [f(c).alias(f"{k}_{t}") for t in TARGETS for k, f, c in (("s", F.sum, F.col(f"c_{t}")), ("q", F.sum, F.col(f"c_{t}") * F.col(f"c_{t}")))]
+    # one row for each path, read by every level
+    paths = checkpoint(scored.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *sums))
+    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), *[F.sum(f"{k}_{t}").alias(f"{k}_{t}") for t in TARGETS for k in "sq"])
+    whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), *[F.coalesce(F.sum(f"s_{t}"), F.lit(0.0)).alias(t) for t in TARGETS]).first()
+    rate = {t: whole[t] / whole["n"] if whole["n"] else 0.5 for t in TARGETS}
+    hosts = hosts.withColumns({f"all_{t}": F.lit(rate[t]) for t in TARGETS})
+    k_host = strengths(hosts, {t: f"all_{t}" for t in TARGETS})
+    hosts = hosts.withColumns({f"host_{t}": shrunk("n", f"s_{t}", f"all_{t}", k_host[t]) for t in TARGETS})
+    above = hosts.select("_host", F.col("n").alias("n_host"), *[F.col(f"s_{t}").alias(f"sh_{t}") for t in TARGETS], *[f"host_{t}" for t in TARGETS])
+    paths = paths.join(above, "_host")
+    k_path = strengths(paths, {t: f"host_{t}" for t in TARGETS})
+    paths = paths.withColumns({f"path_{t}": shrunk("n", f"s_{t}", f"host_{t}", k_path[t]) for t in TARGETS})
+    out = scored.join(paths.drop(*[f"q_{t}" for t in TARGETS]), ["_host", "_path"])
+
+    def logit(p: Column) -> Column:
+        p = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
         return F.ln(p / (1 - p))
 
     columns = []
     for t in TARGETS:
-        z = logit(f"e_{t}") + SITE_WEIGHT * (logit(f"path_{t}") - logit(f"all_{t}"))
+        c = F.col(f"c_{t}")  # the document leaves its site before the site judges it
+        rest = F.lit((whole[t] if whole["n"] > 1 else 0.0))
+        all_ = (rest - c) / (whole["n"] - 1) if whole["n"] > 1 else F.lit(0.5)
+        at_host = shrunk(F.col("n_host") - 1, F.col(f"sh_{t}") - c, all_, k_host[t])
+        at_path = shrunk(F.col("n") - 1, F.col(f"s_{t}") - c, at_host, k_path[t])
+        z = logit(F.col(f"e_{t}")) + logit(at_path) - logit(all_)
         columns += [F.col(f"e_{t}"), F.col(f"host_{t}"), F.col(f"path_{t}"), (1 / (1 + F.exp(-z))).alias(f"p_{t}")]
     return out.select("doc_id", *columns)
