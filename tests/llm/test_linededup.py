@@ -7,15 +7,15 @@ def words(x):
     return len([w for w in x.replace("\t", " ").split(" ") if w.strip("\x0b\x0c\r")])
 
 
-def brute(rows, m):
-    """rows: (doc_id, text), unique. Marks lines of every repeated run with m words or more, by trying all runs."""
+def brute(rows, m, longest=None):
+    """rows: (doc_id, text), unique. Marks lines of every repeated run with m words or more, by trying all runs (of `longest` lines at most: a longer one is the union of such)."""
     rows = sorted(rows, key=lambda r: r[0])
     seqs = {d: [(i, x) for i, x in enumerate((t or "").split("\n")) if words(x)] for d, t in rows}
     first = {}
     for d, _ in rows:
         s = seqs[d]
         for a in range(len(s)):
-            for b in range(a, len(s)):
+            for b in range(a, len(s) if longest is None else min(len(s), a + longest)):
                 key = tuple(x for _, x in s[a : b + 1])
                 first.setdefault(key, (d, a))
                 first[key] = min(first[key], (d, a))
@@ -23,7 +23,7 @@ def brute(rows, m):
     for d, t in rows:
         s, gone = seqs[d], set()
         for a in range(len(s)):
-            for b in range(a, len(s)):
+            for b in range(a, len(s) if longest is None else min(len(s), a + longest)):
                 key = tuple(x for _, x in s[a : b + 1])
                 if sum(words(x) for x in key) >= m and first[key] < (d, a):
                     gone |= {i for i, _ in s[a : b + 1]}
