@@ -11,11 +11,11 @@ shards that can match it:
    anchors: SPAN words of their leader.  All documents with a window send it to the same shard.
 3. Shards.  A shard streams its documents in order of their ids through its automaton, which holds the regions of all smaller
    ones.  The matching statistics mark every span of `window` words or more; what did not match is then added, so copies add nothing.
-4. Rounds.  The more documents share an anchor, the more rounds its regions take, FAN documents to a factor: all
-   but the last round deal them into parts by their document, each with an automaton of its own.  A window that a smaller document of its part has is
-   settled there; each part hands on the rest, which holds the least document of the part with any window, so that the next round
-   decides as if all documents had come.  A copy that meets its like in the same slice of a task is settled at once.
-   So a task holds FAN documents' regions of SPAN words, or what is new in FAN parts, however often a text is copied.
+4. Rounds.  Where more than FAN documents share an anchor, its shard is dealt into parts of about FAN documents, each with an automaton of
+   its own.  A window that a smaller document of its part has is settled there.  The others - the first of each part, and
+   those that only look alike, such as the surroundings of a common line - go on one by one, each to the shard of its own words, where it meets the
+   other parts' (in parts again, if there are very many).  A copy that meets its like in the same slice of a task is settled at once.
+   So a task holds FAN documents' regions of SPAN words, or a window of one document of each part, however often a text is copied.
 
 `remove_reference_spans` is the plain form for a given reference of bounded size: its automata are broadcast.
 """
@@ -34,8 +34,10 @@ from tidemark.llm._text import NON_SPACE, mix, new_name, partitions, slices, spa
 from tidemark.llm.automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 6
-#: Words of a leader that make a shard, documents of a part, and rounds at most.
-SPAN, FAN, ROUNDS = 4096, 512, 3
+#: Words of a leader that make a shard, and documents of a part.
+SPAN, FAN = 4096, 512
+#: Regions take a round, windows of parted shards another, and a third where they come from more than 2^MANY parts.
+ROUNDS, MANY = 3, 9
 #: Anchors only propose; 48 bits keep the shuffles small.
 ANCHOR_BITS = 48
 
@@ -94,15 +96,15 @@ def text_name(raw: bytes) -> int:
 REGION = pa.schema([("rounds", pa.int8()), ("shard", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
 
 
-def _region_batch(fan: int, rounds, shard, doc, name, start, stop, raw) -> pa.RecordBatch:
-    """Rows of the region table.  rounds: how many a region still takes; 0 is a settled span, dealt by its document alone."""
-    rounds, shard, doc, name, start, stop = (np.asarray(x, np.int64) for x in (rounds, shard, doc, name, start, stop))
-    part = (mix(doc.view(np.uint64)) % (np.uint64(fan) ** np.maximum(rounds - 1, 0).astype(np.uint64))).view(np.int64)
+def _region_batch(rounds, shard, part, doc, name, start, stop, raw) -> pa.RecordBatch:
+    """Rows of the region table.  rounds: how many a region still takes; 0 is a settled span, dealt by its document alone.  part: by the document, one of so many."""
+    rounds, shard, part, doc, name, start, stop = (np.asarray(x, np.int64) for x in (rounds, shard, part, doc, name, start, stop))
+    part = (mix(doc.view(np.uint64)) % part.astype(np.uint64)).view(np.int64)
     columns = [pa.array(rounds.astype(np.int8)), *(pa.array(x) for x in (np.where(rounds > 0, shard, doc), part, doc, name, start, stop)), pa.array(raw, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, schema=REGION)
 
 
-def _region_rows(joined: DataFrame, window: int, fan: int) -> DataFrame:
+def _region_rows(joined: DataFrame, window: int) -> DataFrame:
     """Rows (..., key, text, shared anchors) to the region table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def _region_rows(joined: DataFrame, window: int, fan: int) -> DataFrame:
             last = batch.num_columns - 1
             owners, column = batch.column(last - 2).to_numpy(), batch.column(last)
             offsets, parts = column.offsets.to_numpy(), column.values
-            anchor, shard, rounds = (np.asarray(parts.field(i)) for i in range(3))
+            anchor, shard, level = (np.asarray(parts.field(i)) for i in range(3))
             for a, b, data, off in slices(batch, last - 1):
                 begin, end, first = words(data, off, NON_SPACE)
                 start, doc, low = anchors(span_hash(data, begin, end), first, window)
@@ -126,8 +128,8 @@ def _region_rows(joined: DataFrame, window: int, fan: int) -> DataFrame:
                 c = np.flatnonzero(np.repeat(given[at] == want, size))
                 if not len(c):
                     continue
-                to, left = np.repeat(shard[x:y][at], size)[c], np.repeat(rounds[x:y][at], size)[c]
-                cut = _run_starts(c - np.arange(len(c)), to, left, doc[c])
+                to, parted = np.repeat(shard[x:y][at], size)[c], np.repeat(level[x:y][at], size)[c]
+                cut = _run_starts(c - np.arange(len(c)), to, parted, doc[c])
                 p, q = c[cut], c[np.append(cut[1:], len(c)) - 1]
                 s, e = start[p], start[q] + window
                 raw = data.tobytes()
@@ -135,13 +137,14 @@ def _region_rows(joined: DataFrame, window: int, fan: int) -> DataFrame:
                 name = np.zeros(b - a, np.int64)
                 for i in np.unique(doc[p]).tolist():
                     name[i] = text_name(raw[off[i] : off[i + 1]])
-                owner, to, left = owners[a + doc[p]], to[cut], left[cut].astype(np.int64)
+                owner, to, parted = owners[a + doc[p]], to[cut], parted[cut].astype(np.int64)
                 least: dict[tuple, int] = {}  # of the slice's documents with the same region, the least goes on
-                keys = list(zip(to.tolist(), left.tolist(), text))
+                keys = list(zip(to.tolist(), parted.tolist(), text))
                 for key, d in zip(keys, owner.tolist()):
                     least[key] = min(d, least.get(key, d))
                 done = owner > np.array([least[key] for key in keys])
-                yield _region_batch(fan, np.where(done, 0, left), to, owner, name[doc[p]], s - first[doc[p]], e - first[doc[p]], [None if x else t for x, t in zip(done.tolist(), text)])
+                left = np.where(done, 0, 1 + (parted > 0) + (parted > MANY))
+                yield _region_batch(left, to, 1 << parted, owner, name[doc[p]], s - first[doc[p]], e - first[doc[p]], [None if x else t for x, t in zip(done.tolist(), text)])
 
     return joined.mapInArrow(run, "rounds tinyint, shard long, part long, doc_id long, text long, start long, stop long, words binary")
 
@@ -186,8 +189,8 @@ class Shard:
         return hit, rest, sequence
 
 
-def _stream_shards(window: int, fan: int):
-    """A round: region rows sorted by (shard, part, rounds, doc_id, start), so that those of a part come together, to settled spans and what the next round gets."""
+def _stream_shards(window: int):
+    """A round: region rows sorted by (shard, part, rounds, doc_id, start), so that those of a part come together, to settled spans and the windows that the next round gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, key, owner = None, None, None
@@ -195,7 +198,7 @@ def _stream_shards(window: int, fan: int):
             out: list[tuple] = []
             for left, to, part, d, name, s, e, raw in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 if not left:
-                    out.append((0, to, d, name, s, e, None))
+                    out.append((0, to, 1, d, name, s, e, None))
                     continue
                 if (left, to, part) != key:
                     shard, key, owner = Shard(window), (left, to, part), d
@@ -203,11 +206,15 @@ def _stream_shards(window: int, fan: int):
                     shard.settle()
                     owner = d
                 hit, rest, sequence = shard.stream(raw)
-                out += [(0, to, d, name, s + x, s + y, None) for x, y in hit]
+                out += [(0, to, 1, d, name, s + x, s + y, None) for x, y in hit]
                 if left > 1:
-                    out += [(left - 1, to, d, name, s + x, s + y, b" ".join(sequence[x:y])) for x, y in rest]
-            if out:
-                yield _region_batch(fan, *zip(*out))
+                    parts = 1 << MANY if left > 2 else 1
+                    for x, y in rest:
+                        for i in range(x, y - window + 1):
+                            one = b" ".join(sequence[i : i + window])
+                            out.append((left - 1, text_name(one), parts, d, name, s + i, s + i + window, one))
+            for a in range(0, len(out), 1 << 16):
+                yield _region_batch(*zip(*out[a : a + (1 << 16)]))
 
     return run
 
@@ -233,17 +240,15 @@ def _spans(keyed: DataFrame, window: int, span: int, fan: int) -> DataFrame:
     key = keyed.columns[-2]
     seen = _anchor_rows(keyed.where("doc_id is not null").select(key, "text"), window, span)
     shared = seen.groupBy("h").agg(F.min(F.struct("doc_id", "span")).alias("lead"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("lead.doc_id < _last")
-    rounds = F.lit(1)
-    for k in range(1, ROUNDS):
-        rounds = rounds + (F.col("_n") > fan**k).cast("int")
+    level = F.greatest(F.ceil(F.log2(F.col("_n") / fan)), F.lit(0)).cast("tinyint")
     # the anchor is rewritten (to itself), so that this small side of the join is dealt anew: Spark splits a hot anchor only then
-    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), F.xxhash64("lead.doc_id", "lead.span").alias("shard"), rounds.cast("tinyint").alias("rounds"))
-    lists = seen.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "shard", "rounds")).alias(new_name("shared", keyed)))
-    rows = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", name := new_name("id", keyed)), F.col(key) == F.col(name)).drop(name), window, fan)
+    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), F.xxhash64("lead.doc_id", "lead.span").alias("shard"), level.alias("level"))
+    lists = seen.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "shard", "level")).alias(new_name("shared", keyed)))
+    rows = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", name := new_name("id", keyed)), F.col(key) == F.col(name)).drop(name), window)
     order = ["shard", "part", "rounds"]
     for _ in range(ROUNDS):
         dealt = rows.repartition(partitions(keyed.sparkSession), *order).sortWithinPartitions(*order, "doc_id", "start")
-        rows = dealt.mapInArrow(_stream_shards(window, fan), rows.schema)
+        rows = dealt.mapInArrow(_stream_shards(window), rows.schema)
     return rows.select("doc_id", "text", "start", "stop")
 
 
