@@ -183,6 +183,43 @@ def test_many_copies_make_few_pairs(spark):
     assert {r.doc_id: r.component_id for r in got} == similar_roots(rows)[0]
 
 
+def test_chains_hang_together_in_any_batches():
+    """Pairs and entries of lists do not depend on where batches end, and a list of equal sizes hangs together by few steps."""
+    from fractions import Fraction
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    h = np.sort(np.concatenate([rng.integers(0, 300, 400), np.full(3000, 77)]))
+    n = np.where(h == 77, 100, rng.integers(50, 120, len(h)))
+    tid = rng.integers(-(1 << 62), 1 << 62, len(h))
+    order = np.lexsort((tid, n, h))
+    table = [x[order] for x in (h, n, tid, np.zeros(len(h), np.int64))]
+    results = []
+    for size in (len(h), 1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + size]) for x in table], names=["h", "n", "tid", "place"]) for a in range(0, len(h), size)]
+        rows = [r for batch in simhash._chained(Fraction(4, 5))(iter(batches)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+        results.append((sorted({r[:2] for r in rows if r[2] is None}), sorted(r for r in ((r[0], *r[2:]) for r in rows if r[2] is not None))))
+    assert all(r == results[0] for r in results)
+    pairs, entries = results[0]
+    assert len(pairs) <= 2 * len(h)
+    H, N = table[0], table[1]
+    link = [False] + [H[i] == H[i - 1] and N[i - 1] * 5 >= N[i] * 4 for i in range(1, len(H))] + [False] * 2
+    want = {int(table[2][i]) for i in range(len(H)) if (link[i] and link[i - 1]) or (link[i] and link[i + 1]) or (link[i + 1] and link[i + 2])}
+    assert {e[0] for e in entries} == want
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    start = int(table[2][np.flatnonzero(H == 77)[1500]])
+    seen, steps, edge = {start}, 0, [start]
+    while edge:
+        edge = list({y for x in edge for y in near[x]} - seen)
+        seen |= set(edge)
+        steps += bool(edge)
+    assert len(seen & set(table[2][H == 77].tolist())) >= 3000 and steps < 40
+
+
 def test_list_pairs_against_all_pairs():
     from fractions import Fraction
 

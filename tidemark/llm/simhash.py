@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import checkpoint, new_name, partitions
+from tidemark.llm._text import checkpoint, mix, new_name, partitions
 from tidemark.llm.components import components
 
 BYTES, MAX_BITS, SEED = 8, 3, 42
@@ -227,8 +227,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     step = max(1, docs.count() // SAMPLE)
     some = texts.where(F.pmod("tid", F.lit(step)) == 0).dropDuplicates(["tid"]).select("text")
     found = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    rows = found.orderBy(F.col("count").desc(), "h").limit(FREQUENT).collect()
-    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    rows = found.orderBy(F.col("count").desc(), "h").limit(FREQUENT).select("h").toArrow()
+    h = rows.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], (len(rows) - np.arange(len(rows), dtype=np.int64))[order]
 
@@ -275,22 +275,52 @@ def _allowed(n1, place1, n2, place2, share: Fraction):
     return np.minimum(n1 - place1, n2 - place2) * (p + q) >= (n1 + n2) * p
 
 
+#: Ranks of list entries, each held by a 16th of the one below.
+RANKS = 5
+
+
+def _rank(tid: np.ndarray) -> np.ndarray:
+    """How many of the last hexadecimal digits of a hash are zero, RANKS - 1 at most."""
+    low = mix(tid.view(np.uint64))
+    return sum(((low & np.uint64(16**k - 1)) == 0).astype(np.int64) for k in range(1, RANKS))
+
+
+def _elders(h: np.ndarray, tid: np.ndarray) -> np.ndarray:
+    """For each entry the last one before it, in its list, of a higher rank, or else of its own or a higher; -1 if there is none."""
+    rank, at = _rank(tid), np.arange(len(tid))
+    out = np.full(len(tid), -1)
+    for k in range(RANKS):
+        for least in (k, k + 1):
+            last = np.concatenate([[-1], np.maximum.accumulate(np.where(rank >= least, at, -1))])[:-1]
+            out = np.where((rank == k) & (last >= 0) & (h[last] == h), last, out)
+    return out
+
+
 def _chained(share: Fraction):
     """List entries sorted by (h, n, tid), in batches, to rows (a, b, h, n, place).
 
-    Without h: the candidate pair of an entry and the one before it, if their sizes allow the similarity.  With h: the entries (a is the tid) of three or more in
-    a row whose sizes do, which may make further pairs.  Two entries are held between batches, however long a list is.
+    Without h: candidate pairs, at most two for each entry: with the one before it and with its elder, so that a long list of copies
+    hangs together by few steps.  With h: the entries (a is the tid) of three or more in a row whose sizes allow the similarity, which may make further pairs.
+    A few entries are held between batches, however long a list is.
     """
     p, q = share.numerator, share.denominator
 
+    def pairs(entries: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        h, n, tid, place = entries
+        ok = (j >= 0) & (n[j] * q >= n[i] * p) & _allowed(n[j], place[j], n[i], place[i], share)
+        a, b = tid[j[ok]], tid[i[ok]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        none = [np.zeros(0, np.int64)] * 4
+        held, elders = none, none
         joined = third = np.zeros(0, bool)  # of the entries held: whether they join the one before, and that one another
 
         def rows(end: bool, now: list[np.ndarray]) -> pa.RecordBatch:
-            nonlocal held, joined, third
+            nonlocal held, joined, third, elders
             old = len(held[0])
-            h, n, tid, place = (np.concatenate([a, b]) for a, b in zip(held, now))
+            entries = [np.concatenate([a, b]) for a, b in zip(held, now)]
+            h, n, tid, place = entries
             link = np.zeros(len(h), bool)
             link[1:] = (h[1:] == h[:-1]) & (n[:-1] * q >= n[1:] * p)
             link[:old] = joined
@@ -299,21 +329,30 @@ def _chained(share: Fraction):
             two[:old] = third
             new = np.arange(len(h)) >= old
             i = np.flatnonzero(link & new)
-            i = i[_allowed(n[i - 1], place[i - 1], n[i], place[i], share)]
+            found = pairs(entries, i, i - 1)
+            known = [np.concatenate([a, b]) for a, b in zip(elders, now)]
+            at = _elders(known[0], known[2])
+            i = np.arange(len(elders[0]), len(at))
+            found = np.unique(np.concatenate([found, pairs(known, i, at[i])], axis=1), axis=1)
+            rank = _rank(known[2])
+            last = known[0] == known[0][-1] if len(rank) else np.zeros(0, bool)
+            keep = sorted({int(x[-1]) for k in range(RANKS) if len(x := np.flatnonzero(last & (rank >= k)))})
+            elders = [x[keep] for x in known]
             more = np.append(link[1:], False)
             many = two | (link & more) | (more & np.append(more[1:], False))
-            keep = len(h) if end else max(0, len(h) - 2)
-            e = np.flatnonzero(many[:keep])
-            held, joined, third = [x[keep:] for x in (h, n, tid, place)], link[keep:], two[keep:]
-            a = np.concatenate([np.minimum(tid[i - 1], tid[i]), tid[e]])
-            b = pa.concat_arrays([pa.array(np.maximum(tid[i - 1], tid[i])), pa.nulls(len(e), pa.int64())])
-            rest = [pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(x[e])]) for x in (h, n, place)]
+            cut = len(h) if end else max(0, len(h) - 2)
+            e = np.flatnonzero(many[:cut])
+            held, joined, third = [x[cut:] for x in entries], link[cut:], two[cut:]
+            m = found.shape[1]
+            a = np.concatenate([found[0], tid[e]])
+            b = pa.concat_arrays([pa.array(found[1]), pa.nulls(len(e), pa.int64())])
+            rest = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(x[e])]) for x in (h, n, place)]
             return pa.RecordBatch.from_arrays([pa.array(a), b, *rest], names=["a", "b", "h", "n", "place"])
 
         for batch in batches:
             if len(batch):
                 yield rows(False, [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-        yield rows(True, [np.zeros(0, np.int64)] * 4)
+        yield rows(True, none)
 
     return run
 
@@ -408,8 +447,8 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int,
     at = needed.select(F.col("tid").bitwiseAND(F.lit(FILTER - 1)).alias("at"))
     word = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
     named = np.zeros(FILTER >> 5, np.int64)
-    for r in word.collect():
-        named[r.w] = r.bits
+    words = word.toArrow()
+    named[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     bits = spark.sparkContext.broadcast(named)
     texts = docs.select(F.xxhash64("text").alias("tid"), "text")
     sets = checkpoint(texts.mapInArrow(_sets(bits, width), "tid long, h array<long>").dropDuplicates(["tid"]))
@@ -422,7 +461,7 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int,
 def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fraction) -> DataFrame:
     """(tid, root): the components of the sets of groups(tid, n, first, sketch), named by one text of each, linked at a Jaccard similarity of `share` or more.
 
-    First each entry of a list is paired with the one before it, at most a pair for each entry.  That joins the copies of a text, whose
+    First each entry of a list is paired with the one before it and with an elder, at most two pairs for each entry.  That joins the copies of a text, whose
     lists are long, to one component.  Then the lists of three entries or more that still hold several components give all pairs across them.
     """
     spark = docs.sparkSession
