@@ -23,7 +23,7 @@ def in_time(clip: str = "clip", t: str = "t", id: str = "id"):
     return Window.partitionBy(clip).orderBy(t, id)
 
 
-def segments(df: DataFrame, gap: int, join_equal: bool = False, name: str = "_segment") -> DataFrame:
+def segments(df: DataFrame, gap: int | Column, join_equal: bool = False, name: str = "_segment") -> DataFrame:
     """Numbers stretches of a clip between gaps of `gap` or more (more than `gap` if join_equal)."""
     w = in_time()
     step = F.col("t") - F.lag("t").over(w)
@@ -82,7 +82,7 @@ def thin_keep_first(df: DataFrame, gap: int) -> DataFrame:
     return _fold(df, gap, lambda cur, anchor, x: (x["t"] - cur["t"] < gap, F.lit(False)))
 
 
-def cluster_gap_chain(df: DataFrame, window: int) -> DataFrame:
+def cluster_gap_chain(df: DataFrame, window: int | Column) -> DataFrame:
     """Adds cluster, from 0 in each clip: a row joins the one before it if the gap is at most `window`."""
     return segments(df, window, join_equal=True, name="cluster").withColumn("cluster", F.col("cluster") - 1)
 

@@ -7,18 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, kernels, score
+from tidemark.operators import dedup, kernels, matching, metrics, score
 from tidemark.operators.signal import candidate_features
-from tidemark.params import Beep, Candidates, Energy, Motion, Selection, Stft, micros
+from tidemark.params import Beep, Candidates, Energy, Legacy, Motion, Selection, Stft, micros
 
 SHOT = "clip string, id long, t long, conf double, value double"
 
 
 def _shots(clip, t: np.ndarray, conf: np.ndarray, value: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"clip": [clip] * len(t), "id": np.arange(len(t)), "t": np.round(t * 1e6).astype(np.int64), "conf": conf, "value": value})
+    """Times to four decimals of a second, as they are reported."""
+    return pd.DataFrame({"clip": [clip] * len(t), "id": np.arange(len(t)), "t": np.array([_reported(v) for v in t], np.int64), "conf": conf, "value": value})
+
+
+def _reported(seconds: float) -> int:
+    """A time as it is reported, to four decimals of a second, in microseconds."""
+    return round(round(float(seconds), 4) * 1e6)
 
 
 def _each(kernel, audio: DataFrame, schema: str, columns: tuple[str, ...] = ("clip", "sr", "samples")) -> DataFrame:
@@ -44,7 +50,7 @@ def stft_frames(audio: DataFrame, p: Stft = Stft()) -> DataFrame:
 def energy_shots(audio: DataFrame, p: Energy = Energy()) -> DataFrame:
     """Peaks of the normalised envelope above the threshold; conf 1, value the envelope.  A silent clip has none."""
     def kernel(clip, sr, x):
-        e = kernels.moving_average(np.abs(kernels.bandpass(np.asarray(x, float), sr, p.low_hz, p.high_hz)), max(1, int(sr * p.smooth)))
+        e = kernels.moving_average(np.abs(kernels.crack_band(np.asarray(x, float), sr, p.low_hz, p.high_hz)), max(1, int(sr * p.smooth)))
         if not len(e) or e.max() <= 1e-12:
             return None
         e = e / e.max()
@@ -54,22 +60,59 @@ def energy_shots(audio: DataFrame, p: Energy = Energy()) -> DataFrame:
     return _each(kernel, audio, SHOT)
 
 
-def legacy_shots(audio: DataFrame, coef: float = 5.0, percentile: float | None = None, min_dist: float = 0.10, prominence: float = 0.5, smooth_ms: float = 6.0, least: float = 0.0, band: tuple[float, float] = (400.0, 6000.0)) -> DataFrame:
-    """Peaks of the band-passed envelope by height and prominence, then post-filter, moving-best de-duplication and cap."""
+def legacy_grid(audio: DataFrame, grid: list[Legacy]) -> DataFrame:
+    """legacy_shots under every setting; clip is a struct of clip and setting, its place in the grid.  A clip is filtered once for each band."""
     def kernel(clip, sr, x):
-        e = kernels.moving_average(np.abs(kernels.bandpass(np.asarray(x, float), sr, *band)), max(1, int(sr * smooth_ms / 1000)))
-        if not len(e):
-            return None
-        height = np.percentile(e, percentile) if percentile is not None else np.median(e) + coef * e.std()
-        at = kernels.find_peaks(e, height, max(1, int(sr * min_dist)), prominence * e.std())
-        if not len(at):
+        x = np.asarray(x, float)
+        if not len(x):
             return None
-        rise = kernels.prominences(e, at)
-        conf = 0.6 * e[at] / e[at].max() + 0.4 * rise / max(rise.max(), 1e-12)
-        return _shots(clip, at / sr, np.minimum(conf, 1.0), e[at])
-
-    found = _each(kernel, audio, SHOT).where(F.col("conf") >= least)
-    return dedup.legacy_cap(dedup.dedup_moving_best(dedup.post_filter(found), micros(0.15)))
+        bands = {}
+        out = []
+        for i, p in enumerate(grid):
+            key = (p.band, p.envelope)
+            if key not in bands:
+                bands[key] = kernels.moving_average(np.abs(kernels.crack_band(x, sr, *p.band)), max(1, int(sr * p.envelope)))
+            e = kernels.moving_average(bands[key], max(1, int(sr * p.smooth_ms / 1000)))
+            base, std = np.median(e), e.std()
+            height = base + p.coef * max(std, 1e-9) if p.percentile is None else np.percentile(e, p.percentile)
+            spread = max(std, 0.3 * (np.percentile(e, 95) - base))
+            at = kernels.find_peaks(e, height, max(1, int(sr * p.min_dist)), max(p.prominence * spread, 1e-9))
+            if len(at):
+                rise = kernels.prominences(e, at)
+                share = [v / v.max() if v.max() > 0 else np.full(len(at), 0.5) for v in (e[at], rise)]
+                conf = np.round(0.6 * share[0] + 0.4 * share[1], 3)
+                keep = conf >= p.least if p.least > 0 else np.ones(len(at), bool)
+                out.append(_shots(clip, at[keep] / sr, conf[keep], e[at][keep]).assign(setting=i, post=p.post_filter, gap=micros(p.gap)))
+        return pd.concat(out) if out else None
+
+    found = _each(kernel, audio, f"{SHOT}, setting int, post boolean, gap long")
+    found = found.withColumn("clip", F.struct("clip", "setting")).drop("setting")
+    # more than five shots are filtered, and only then joined and capped, whatever the filter leaves
+    many = found.withColumn("_many", F.col("post") & (F.count("*").over(Window.partitionBy("clip")) > 5)).drop("post")
+    few = many.where("not _many").select("clip", "id", "t", "conf")
+    gaps = {micros(p.gap) for p in grid}
+    for gap in sorted(gaps):
+        part = many.where(F.col("_many") & (F.col("gap") == gap)).select("clip", "id", "t", "conf")
+        few = few.unionByName(dedup.legacy_cap(dedup.dedup_last_kept(dedup.post_filter(part), gap)))
+    return few
+
+
+def legacy_shots(audio: DataFrame, p: Legacy = Legacy()) -> DataFrame:
+    """Peaks of the band-passed, twice smoothed envelope by height and prominence; of more than five, those that pass the
+    post-filter, de-duplicated by the running best, and capped."""
+    return legacy_grid(audio, [p]).withColumn("clip", F.col("clip.clip"))
+
+
+def _motion_curve(values, fps: float, p: Motion) -> np.ndarray:
+    """A motion series over its maximum, smoothed over an odd number of frames."""
+    x = np.asarray(values, float)
+    top = x.max(initial=0)
+    k = max(3, int(fps * p.smooth))
+    return kernels.moving_average(x / top if top > 0 else x, k | 1)
+
+
+def _motion_shots(clip, fps: float, s: np.ndarray, at: np.ndarray, top: float) -> pd.DataFrame:
+    return _shots(clip, at / fps, s[at] / top if top > 0 else np.full(len(at), 0.5), s[at])
 
 
 def motion_peaks(series: DataFrame, p: Motion = Motion(), refs: DataFrame | None = None) -> DataFrame:
@@ -78,18 +121,15 @@ def motion_peaks(series: DataFrame, p: Motion = Motion(), refs: DataFrame | None
     Series of fewer than ten frames have none.  With directions, only recoil directions stay.
     """
     def kernel(clip, fps, values, directions):
-        x = np.asarray(values, float)
-        if len(x) < 10:
+        s = _motion_curve(values, fps, p)
+        if len(s) < 10:
             return None
-        x = x / x.max() if x.max() > 0 else x
-        k = max(3, int(fps * p.smooth))
-        s = kernels.moving_average(x, k + (k % 2 == 0))
         base = np.median(s)
-        at = kernels.find_peaks(s, max(base + p.deviations * s.std(), p.least), max(1, int(fps * p.distance)), p.prominence * (s.max() - base))
+        rise = p.prominence * (s.max() - base)
+        at = kernels.find_peaks(s, max(base + p.deviations * s.std(), p.least), max(1, int(fps * p.distance)), rise)
         if directions is not None and len(directions) == len(s):
-            at = at[[recoil(directions[i]) for i in at]] if len(at) else at
-        top = s[at].max() if len(at) else 1.0
-        return _shots(clip, at / fps, s[at] / top if top > 0 else np.full(len(at), 0.5), s[at])
+            at = at[np.array([recoil(directions[i]) for i in at], bool)]
+        return _motion_shots(clip, fps, s, at, s[at].max(initial=0))
 
     return _each(kernel, series, SHOT, ("clip", "fps", "values", "directions"))
 
@@ -104,41 +144,38 @@ def motion_learned(series: DataFrame, before: float = 0.02, after: float = 0.08,
     series: clip, fps, values, refs (seconds).  Returns the peaks of the whole series; those at the references if there are none.
     """
     def kernel(clip, fps, values, refs):
-        x = np.asarray(values, float)
-        refs = [] if refs is None else refs
-        if not len(x):
+        s = _motion_curve(values, fps, p)
+        if not len(s):
             return None
-        x = x / x.max() if x.max() > 0 else x
-        k = max(3, int(fps * p.smooth))
-        s = kernels.moving_average(x, k + (k % 2 == 0))
         t = np.arange(len(s)) / fps
-        guided = [int(np.flatnonzero(m)[s[m].argmax()]) for r in refs if (m := (t >= r - before) & (t <= r + after)).any()]
-        at = np.array(sorted(set(guided)), int)
-        if len(at) and len(x) >= 10:
+        spans = [np.flatnonzero((t >= r - before) & (t <= r + after)) for r in ([] if refs is None else refs)]
+        guided = np.array([i[s[i].argmax()] for i in spans if len(i)], int)
+        at = np.unique(guided)
+        if len(guided) and len(s) >= 10:
             base = np.median(s)
-            least = max(np.percentile(s[guided], 30), 0.5 * (base + 1.5 * s.std()))
-            found = kernels.find_peaks(s, least, max(1, int(fps * p.distance)), 0.05 * (s.max() - base))
+            height = max(np.percentile(s[guided], 30), 0.5 * (base + 1.5 * s.std()))
+            found = kernels.find_peaks(s, height, max(1, int(fps * p.distance)), 0.05 * (s.max() - base))
             at = found if len(found) else at
-        top = s.max()
-        return _shots(clip, at / fps, s[at] / top if top > 0 else np.full(len(at), 0.5), s[at])
+        return _motion_shots(clip, fps, s, at, s.max())
 
     return _each(kernel, series, SHOT, ("clip", "fps", "values", "refs"))
 
 
-def _beep_peaks(x: np.ndarray, sr: float, p: Beep) -> tuple[np.ndarray, np.ndarray]:
-    s = kernels.moving_average(np.abs(kernels.bandpass(x, sr, p.low_hz, p.high_hz)), max(1, int(sr * p.smooth)))
+def _beep_envelope(x: np.ndarray, sr: float, p: Beep) -> np.ndarray:
+    return kernels.moving_average(np.abs(kernels.bandpass(x, sr, p.low_hz, p.high_hz)), max(1, int(sr * p.smooth)))
+
+
+def _beep_candidates(s: np.ndarray, sr: float, p: Beep) -> np.ndarray:
+    """Times of the strong peaks: above the head's mean by some deviations, inside the searched range if any is, of at least a share of the highest."""
     head = s[: int(sr * p.head)]
     if not len(head):
-        return np.zeros(0, int), np.zeros(0)
-    at = kernels.find_peaks(s, head.mean() + min(p.ladder) * max(head.std(), 1e-12), int(sr * p.distance))
+        return np.zeros(0)
+    at = kernels.find_peaks(s, head.mean() + p.deviations * max(head.std(), 1e-12), int(sr * p.distance))
     t = at / sr
-    last = min(p.search_to, len(x) / sr - 0.5)
-    ok = (t >= p.search_from) & (t <= last)
-    ok = ok if ok.any() else t <= last
-    at = at[ok]
-    strong = s[at] >= p.height_share * s[at].max() if len(at) else np.zeros(0, bool)
-    at = at[strong] if strong.any() else at
-    return at, s
+    early_enough = t <= min(p.search_to, len(s) / sr - 0.5)
+    searched = early_enough & (t >= p.search_from)
+    t, height = (v[searched if searched.any() else early_enough] for v in (t, s[at]))
+    return t[height >= p.height_share * height.max(initial=0)]
 
 
 def _tonal(x: np.ndarray, sr: float, t: float, p: Beep) -> bool:
@@ -146,50 +183,131 @@ def _tonal(x: np.ndarray, sr: float, t: float, p: Beep) -> bool:
     return f is not None and p.tonal_low <= f <= p.tonal_high
 
 
-def beep_near_kernel(x: np.ndarray, sr: float, about: float, window: float = 2.0, p: Beep = Beep()) -> float | None:
-    """The peak nearest to `about` at the first threshold of the ladder that has one."""
-    s = kernels.moving_average(np.abs(kernels.bandpass(x, sr, p.low_hz, p.high_hz)), max(1, int(sr * 0.01)))
-    a, b = int(max(0.0, about - window) * sr), int(min(len(x) / sr, about + window) * sr)
+def _nearest_beep(s: np.ndarray, sr: float, about: float, window: float, p: Beep) -> float | None:
+    """The peak of an envelope nearest to `about` at the first threshold of the ladder that has one."""
+    a, b = int(max(0.0, about - window) * sr), int(min(len(s) / sr, about + window) * sr)
     part = s[a:b]
-    if len(part) < int(sr * 0.1) or part.std() < 1e-9:
+    if not len(part) or len(part) < int(sr * 0.1) or part.std() < 1e-9:
         return None
     for k in p.ladder:
-        at = kernels.find_peaks(part, part.mean() + k * part.std(), int(sr * 0.15))
+        at = kernels.find_peaks(part, part.mean() + k * part.std(), int(sr * p.near_distance))
         if len(at):
             t = (a + at) / sr
-            return float(t[np.abs(t - about).argmin()])
+            return round(float(t[np.abs(t - about).argmin()]), 4)
     return None
 
 
-def beeps(audio: DataFrame, p: Beep = Beep(), first_only: bool = True, min_gap: float = 1.5) -> DataFrame:
-    """Beeps by rule: strong band peaks, isolated ones preferred, tonal ones among those near the first preferred.
-
-    With first_only False, all tonal peaks at least min_gap apart, each refined in its neighbourhood and, if several, kept only if still tonal.
+def beep_near_kernel(x: np.ndarray, sr: float, about: float, window: float = 2.0, p: Beep = Beep()) -> float | None:
+    """The beep nearest to `about`, within the window."""
+    return _nearest_beep(_beep_envelope(x, sr, p), sr, about, window, p)
+
+
+def _scored_steps(x: np.ndarray, sr: float, p: Beep, score) -> tuple[np.ndarray, np.ndarray]:
+    """(times of tonal windows in steps through the searched range, their probabilities by the network)."""
+    t = p.search_from + p.step * np.arange(max(0, int((min(p.search_to, len(x) / sr - 0.4) - p.search_from) / p.step + 1e-9) + 1))
+    t = t[[_tonal(x, sr, v, p) for v in t]] if len(t) else t
+    return t, np.asarray(score(np.stack([kernels.mel_patch(x, sr, v) for v in t])), float) if len(t) else np.zeros(0)
+
+
+def _one_beep(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score) -> float | None:
+    """The start beep: by the network's windows where it has any that is likely enough, else by rule; then looked for elsewhere if it lies where first shots lie."""
+    t0, candidates = None, np.zeros(0)
+    if score is not None:
+        t, q = _scored_steps(x, sr, p, score)
+        if (q >= p.probability).any():
+            t0 = t[q >= p.probability][0]
+        elif q.max(initial=0) >= p.fallback:
+            t0 = t[q.argmax()]
+        if t0 is not None:
+            near = _nearest_beep(s, sr, t0, p.refine, p)
+            t0 = t0 if near is None else near
+    if t0 is None:
+        candidates = _beep_candidates(s, sr, p)
+        if not len(candidates):
+            return None
+        gap = np.diff(candidates, prepend=-np.inf)
+        alone = candidates[gap > p.isolated]
+        order = alone if len(alone) else candidates
+        order = order[order <= order[0] + p.tonal_span]
+        if score is not None:
+            q = np.asarray(score(np.stack([kernels.mel_patch(x, sr, v) for v in order])), float)
+            t0 = order[q.argmax()] if q.max() >= p.fallback else None
+        if t0 is None:
+            t0 = next((v for v in order if _tonal(x, sr, v, p)), order[0])
+        if p.early[0] < t0 < p.early[1] and not (candidates >= p.late).any():
+            near = _nearest_beep(s, sr, p.early_at, p.early_window, p)
+            if near is not None and p.early_found[0] <= near <= p.early_found[1]:
+                t0 = max(near, p.early_floor)
+    if p.probe is not None:
+        first_shot = ((candidates > p.probe[0]) & (candidates < p.probe[1])).any()
+        if p.probe[0] < t0 < p.probe[1] or (t0 < p.late and first_shot):
+            near = _nearest_beep(s, sr, p.probe_at, p.probe_window, p)
+            if near is not None and p.search_from <= near <= p.probe_to:
+                t0 = near
+    return float(t0)
+
+
+def _all_beeps(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score, min_gap: float) -> list[float]:
+    """Tonal peaks at least min_gap apart, each looked for in its neighbourhood and, if several, kept only if still tonal (and likely to the network)."""
+    if score is not None:
+        t, q = _scored_steps(x, sr, p, score)
+        coarse: list[tuple[float, float]] = []
+        for v, w in zip(t[q >= p.probability].tolist(), q[q >= p.probability].tolist()):
+            if coarse and v - coarse[-1][0] < min_gap:
+                coarse[-1] = max(coarse[-1], (v, w), key=lambda c: c[1])
+            else:
+                coarse.append((v, w))
+        places = [v for v, _ in coarse]
+    else:
+        places = []
+        for v in _beep_candidates(s, sr, p).tolist():
+            if _tonal(x, sr, v, p) and (not places or v - places[-1] >= min_gap):
+                places.append(v)
+    found = [v if (near := _nearest_beep(s, sr, v, p.refine, p)) is None else near for v in places]
+    if len(found) > 1:
+        found = [v for v in found if _tonal(x, sr, v, p)]
+        if score is not None and found:
+            sure = np.asarray(score(np.stack([kernels.mel_patch(x, sr, v) for v in found])), float) >= p.probability
+            found = [v for v, ok in zip(found, sure) if ok]
+    return found
+
+
+def beeps(audio: DataFrame, p: Beep = Beep(), first_only: bool = True, min_gap: float = 1.5, load=None) -> DataFrame:
+    """The start beep of each clip, or all its beeps.  Clips without one give no row.
+
+    load() returns a network: a function from a batch of patches to probabilities.  Without one the rules decide.
     """
     def kernel(clip, sr, x):
         x = np.asarray(x, float)
-        at, _ = _beep_peaks(x, sr, p)
-        t = np.sort(at / sr)
-        if not len(t):
-            return None
+        score = load() if load else None
+        s = _beep_envelope(x, sr, p)
         if first_only:
-            alone = np.array([not ((t >= c - p.isolated) & (t < c)).any() for c in t])
-            order = t[alone] if alone.any() else t
-            near = [c for c in order if c <= order[0] + 5.0 and _tonal(x, sr, c, p)]
-            found = [near[0] if near else order[0]]
+            t = _one_beep(x, sr, p, s, score)
+            found = [] if t is None else [t]
         else:
-            coarse: list[float] = []
-            for c in t:
-                if _tonal(x, sr, c, p) and (not coarse or c - coarse[-1] >= min_gap):
-                    coarse.append(float(c))
-            found = [r if (r := beep_near_kernel(x, sr, c, 0.5, p)) is not None else c for c in coarse]
-            if len(found) > 1:
-                found = [c for c in found if _tonal(x, sr, c, p)]
-        return _shots(clip, np.array(found), np.full(len(found), 0.95), np.zeros(len(found)))
+            found = _all_beeps(x, sr, p, s, score, min_gap)
+        return _shots(clip, np.array(found, float), np.full(len(found), 0.95), np.zeros(len(found)))
 
     return _each(kernel, audio, SHOT)
 
 
+def beep_grid(audio: DataFrame, grid: list[Beep]) -> DataFrame:
+    """(clip, setting, t): the start beep by rule under every setting, its place in the grid."""
+    def kernel(clip, sr, x):
+        x = np.asarray(x, float)
+        envelopes, out = {}, []
+        for i, p in enumerate(grid):
+            key = (p.low_hz, p.high_hz, p.smooth)
+            if key not in envelopes:
+                envelopes[key] = _beep_envelope(x, sr, p)
+            t = _one_beep(x, sr, p, envelopes[key], None)
+            if t is not None:
+                out.append((clip, i, _reported(t)))
+        return pd.DataFrame(out, columns=["clip", "setting", "t"])
+
+    return _each(kernel, audio, "clip string, setting int, t long")
+
+
 def beep_near(audio: DataFrame, window: float = 2.0, p: Beep = Beep()) -> DataFrame:
     """(clip, t): the beep near each clip's `about` seconds; clips without one give no row."""
     def kernel(clip, sr, x, about):
@@ -199,82 +317,224 @@ def beep_near(audio: DataFrame, window: float = 2.0, p: Beep = Beep()) -> DataFr
     return _each(kernel, audio, "clip string, t long", ("clip", "sr", "samples", "about"))
 
 
-def beep_frequency(audio: DataFrame, seconds: float = 0.3) -> DataFrame:
-    """(clip, hz): the dominant frequency at each clip's `about` seconds."""
-    def kernel(clip, sr, x, about):
-        f = kernels.dominant_freq(np.asarray(x, float), sr, about or 0.0, seconds)
-        return pd.DataFrame({"clip": [clip], "hz": [f]})
+def at_marks(audio: DataFrame, marks: DataFrame, measure, schema: str) -> DataFrame:
+    """clip, id, t and what measure(samples, rate, seconds) returns, a tuple of the schema, for every mark (clip, id, t); a clip's samples come once for all its marks."""
+    listed = marks.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("marks"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def kernel(clip, sr, x, found):
+        x = np.asarray(x, float)
+        rows = [(clip, m["id"], m["t"], *measure(x, sr, m["t"] / 1e6)) for m in found]
+        return pd.DataFrame(rows, columns=["clip", "id", "t", *names])
+
+    return _each(kernel, audio.join(listed, "clip"), f"clip string, id long, t long, {schema}", ("clip", "sr", "samples", "marks"))
+
+
+def dominant_frequencies(audio: DataFrame, marks: DataFrame, seconds: float = 0.3) -> DataFrame:
+    """clip, id, t, hz: the dominant frequency from every mark on; null where too little sound is left."""
+    return at_marks(audio, marks, lambda x, sr, t: (kernels.dominant_freq(x, sr, t, seconds),), "hz double")
+
+
+def mel_patches(audio: DataFrame, marks: DataFrame, **options) -> DataFrame:
+    """clip, id, t, patch: the mel patch around every mark, band by band."""
+    return at_marks(audio, marks, lambda x, sr, t: (kernels.mel_patch(x, sr, t, **options).astype(float).tolist(),), "patch array<array<double>>")
 
-    return _each(kernel, audio, "clip string, hz double", ("clip", "sr", "samples", "about"))
 
+def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, starts: DataFrame, before: int, after: int, **options) -> DataFrame:
+    """clip, id, t, label, patch: the candidates from their clip's start (clip, t) on, labelled by the references around them, each with its patch."""
+    first = starts.groupBy("clip").agg(F.min("t").alias("_start"))
+    late = candidates.join(first, "clip").where("t >= _start").select("clip", "id", "t")
+    labelled = matching.label(late, refs, before, after)
+    return mel_patches(audio, late, **options).join(labelled.select("clip", "id", "label"), ["clip", "id"])
 
-def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates()) -> DataFrame:
-    """(clip, idx, onset, threshold, peak, e_low, e_mid, e_high, flatness, attack) of every frame, in one pass over the samples."""
+
+FRAME = "clip string, idx long, rate double, before int, after int, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double, frame_t long, onset_t long, envelope_t long"
+
+
+def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection()) -> DataFrame:
+    """Every frame's onset, threshold, band energies, flatness and attack, in one pass over the samples.
+
+    rate is frames a second; before and after are a feature window's frames at the clip's own rate.  Reported times of a frame: its own, and
+    for peaks those moved to the onset and to the envelope's peak.
+    """
     def kernel(clip, sr, x):
         x = np.asarray(x, float)
         m = kernels.stft(x, stft.n_fft, stft.hop)
         n, rate = len(m), sr / stft.hop
+        frames = lambda seconds: int(sr * seconds / stft.hop)
         freq = np.fft.rfftfreq(stft.n_fft, 1 / sr)
         logs = np.log1p(m) * ((freq >= stft.low_hz) & (freq <= stft.high_hz))
         onset = np.concatenate([[0.0], np.maximum(np.diff(logs, axis=0), 0).sum(1)])
-        onset = kernels.moving_average(onset, max(1, int(sr * 0.01 / stft.hop)))
-        limit = mad_curve(onset, rate, c.window, c.mad_k)
-        gap = max(1, int(sr * c.min_distance / stft.hop))
+        onset = kernels.moving_average(onset, max(1, frames(0.01)))
+        if c.threshold == "mad":
+            limit = mad_curve(onset, rate, c.window, c.mad_k)
+        elif c.threshold == "multi":
+            limit = multi_curve(onset, rate)
+        else:
+            limit = np.full(n, np.percentile(onset, float(c.threshold)))
+        gap = max(1, frames(c.min_distance))
         at = kernels.find_peaks(onset, distance=gap)
         at = at[onset[at] >= limit[at]]
-        at = kernels.recover_second(onset, limit, at, c.recovery_ratio, max(1, int(sr * c.recovery_from / stft.hop)), min(n - 1, int(sr * c.recovery_to / stft.hop)), gap)
+        at = kernels.recover_second(onset, limit, at, c.recovery_ratio, max(1, frames(c.recovery_from)), min(n - 1, frames(c.recovery_to)), gap)
         e = {k: (m[:, (freq >= a) & (freq < b)] ** 2).sum(1) for k, (a, b) in zip(("e_low", "e_mid", "e_high"), stft.bands)}
         ok = m > 1e-9
-        count = np.maximum(ok.sum(1), 1)
-        flat = np.where(ok.any(1), np.exp(np.where(ok, np.log(np.where(ok, m, 1)), 0).sum(1) / count) / (np.where(ok, m, 0).sum(1) / count + 1e-9), 0)
-        env = kernels.moving_average(np.abs(x), max(1, int(sr * 0.002)))
-        k = max(1, int(sr * 0.01))
-        rise = np.concatenate([[0.0], np.diff(env)]) if len(env) else np.zeros(0)
-        slope = np.zeros(len(env))
-        if len(env) > k:
-            slope[k:] = np.lib.stride_tricks.sliding_window_view(rise[1:], k).max(1) / (k / sr)
+        logs = np.where(ok, np.log(np.where(ok, m, 1)), 0).sum(1) / np.maximum(ok.sum(1), 1)
+        flat = np.where(ok.any(1), np.exp(logs) / (m.mean(1) + 1e-9), 0)
+        env = kernels.moving_average(np.abs(x), max(1, int(sr * c.envelope)))
+        slope = attack_curve(env, sr, c.attack)
         pad = np.pad(slope, (0, max(0, n * stft.hop - len(slope))))[: n * stft.hop]
-        out = pd.DataFrame({"clip": clip, "idx": np.arange(n), "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1)})
-        return out
+        at_frame = np.array([_reported(i * stft.hop / sr) for i in range(n)])
+        moved = {k: at_frame.copy() for k in ("frame_t", "onset_t", "envelope_t")}
+        half = int(np.rint(sr * s.refine / 2))
+        for i in at:
+            t = round(i * stft.hop / sr, 4)
+            part, a = _around(env, int(np.rint(t * sr)), half)
+            first = np.flatnonzero(part >= s.onset_share * (part.max(initial=0) + 1e-12)) if s.onset_share > 0 else []
+            first = first[0] if len(first) else np.diff(part).argmax() if len(part) > 1 else 0
+            if len(part) >= 4:
+                moved["onset_t"][i] = _reported((a + first) / sr)
+            if len(part) >= 2:
+                moved["envelope_t"][i] = _reported((a + part.argmax()) / sr)
+        around = {"before": max(1, frames(c.before)), "after": max(1, frames(c.after))}
+        return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": rate, **around, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1), **moved})
+
+    return _each(kernel, audio, FRAME)
 
-    return _each(kernel, audio, "clip string, idx long, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double")
+
+def _around(x: np.ndarray, at: int, half: int) -> tuple[np.ndarray, int]:
+    """x[at - half : at + half] as far as it reaches, and where it begins."""
+    a = max(0, at - half)
+    return x[a : max(a, min(len(x), at + half))], a
+
+
+def attack_curve(env: np.ndarray, sr: float, seconds: float) -> np.ndarray:
+    """The steepest rise between neighbours in the samples before each, over the window's seconds; 0 where the window doesn't fit."""
+    k = max(1, int(sr * seconds))
+    slope = np.zeros(len(env))
+    if len(env) > k:
+        slope[k:] = np.lib.stride_tricks.sliding_window_view(np.diff(env), k).max(1) / (k / sr)
+    return slope
+
+
+def _windows(x: np.ndarray, step: int, w: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    at = np.arange(0, len(x), step)
+    return at, [x[max(0, i - w // 2) : i + w // 2] for i in at]
 
 
 def mad_curve(x: np.ndarray, rate: float, window: float, k: float) -> np.ndarray:
     """The adaptive threshold of one array: median + k deviations at every quarter window, interpolated."""
     w = max(10, min(int(rate * window), len(x) // 4))
-    at = np.arange(0, len(x), max(1, w // 4))
+    at, parts = _windows(x, max(1, w // 4), w)
     points = []
-    for i in at:
-        part = x[max(0, i - w // 2) : i + w // 2]
+    for part in parts:
         med = np.median(part)
         mad = np.median(np.abs(part - med))
         points.append(med + k * (1.4826 * mad if mad > 0 else part.std()))
     return np.interp(np.arange(len(x)), at, points)
 
 
-def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] = ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio"), stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None) -> tuple[DataFrame, DataFrame]:
+def multi_curve(x: np.ndarray, rate: float, short: float = 0.5, long: float = 3.0, k_short: float = 4.0, k_long: float = 2.5) -> np.ndarray:
+    """The greater of a short and a long window's median + k deviations, both at every quarter of the long window, interpolated."""
+    ws = max(10, min(int(rate * short), len(x) // 4))
+    wl = max(ws, min(int(rate * long), len(x) // 2))
+    curves = []
+    for w, k in ((ws, k_short), (wl, k_long)):
+        at, parts = _windows(x, max(1, wl // 4), w)
+        points = [np.median(p) + k * 1.4826 * (np.median(np.abs(p - np.median(p))) + 1e-12) for p in parts]
+        curves.append(np.interp(np.arange(len(x)), at, points))
+    return np.maximum(*curves)
+
+
+def features_at(frames: DataFrame, marks: DataFrame) -> DataFrame:
+    """clip, id, t and the candidate features at any times marks(clip, id, t): those of the frame nearest to t, the first or last one beyond the ends.
+
+    frames: what frame_features gives.
+    """
+    clips = frames.groupBy("clip").agg(F.max("rate").alias("_rate"), F.max("idx").alias("_last"))
+    at = F.bround(F.col("t") * F.col("_rate") / 1e6, 0).cast("long")
+    placed = marks.select("clip", "id", "t").join(clips, "clip").select("clip", "id", "t", F.greatest(F.lit(0), F.least(at, F.col("_last"))).alias("idx"))
+    peaks = frames.join(placed.select("clip", "idx").distinct(), ["clip", "idx"], "left_semi")
+    found = candidate_features(peaks, frames, "before", "after")
+    return placed.join(found, ["clip", "idx"])
+
+
+def onset_strength(audio: DataFrame, stft: Stft = Stft(), low: float = 1000.0, high: float = 6000.0) -> DataFrame:
+    """(clip, idx, onset): the rise of log magnitudes in a band from each frame to the next, with zeros up to samples // hop + 1 places."""
+    def kernel(clip, sr, x):
+        m = kernels.stft(np.asarray(x, float), stft.n_fft, stft.hop)
+        freq = np.fft.rfftfreq(stft.n_fft, 1 / sr)
+        flux = np.maximum(np.diff(np.log1p(m[:, (freq >= low) & (freq <= high)]), axis=0), 0).sum(1)
+        n = len(x) // stft.hop + 1
+        return pd.DataFrame({"clip": clip, "idx": np.arange(n), "onset": np.pad(flux, (0, max(0, n - len(flux))))[:n]})
+
+    return _each(kernel, audio, "clip string, idx long, onset double")
+
+
+#: The columns of the score's features, in the order of a model's weights; the ninth is there only in models of nine.
+FEATURES = ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio", "slam", "metal", "mfcc")
+
+
+def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] | None = None, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None, network: DataFrame | None = None, network_only: bool = False, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(shots, candidates).  Frames to candidate peaks to features to scores, then in this order: gap chains, best of each, hard kill,
-    last-kept de-duplication, rate cap, confidence gate, rate limit."""
-    frames = frame_features(audio, stft, c)
-    rate = audio.select("clip", (F.col("sr") / F.lit(float(stft.hop))).alias("_rate"))
-    sr = 48000.0
-    before, after = max(1, int(sr * c.before / stft.hop)), max(1, int(sr * c.after / stft.hop))
-    x = candidate_features(frames.where("peak"), frames, before, after).join(rate, "clip")
-    x = x.withColumn("id", F.col("idx")).withColumn("t", F.round(F.col("idx") * 1e6 / F.col("_rate")).cast("long")).drop("_rate")
-    if model is not None:
-        x = score.logreg_score(x.withColumn("_f", F.array(*[F.col(f).cast("double") for f in features])), "_f", model).drop("_f")
+    refinement of the times, last-kept de-duplication, rate cap, fusion with the network, confidence gate, rate limit.
+
+    network: clip, id (the candidate's frame) and network, a probability; alone (network_only) it is score and confidence at once.  extra: clip, id and further
+    feature columns, such as mfcc.
+    """
+    frames = frame_features(audio, stft, c, s)
+    peaks = frames.where("peak").select("clip", "idx", "rate", "frame_t", "onset_t", "envelope_t")
+    x = candidate_features(frames.where("peak"), frames, "before", "after").join(peaks, ["clip", "idx"])
+    x = x.withColumn("id", F.col("idx")).withColumn("t", F.round(F.col("idx") * 1e6 / F.col("rate")).cast("long"))
+    if extra is not None:
+        x = x.join(extra, ["clip", "id"], "left")
+    if network is not None:
+        x = x.join(network.select("clip", "id", "network"), ["clip", "id"], "left")
+    alone = network is not None and network_only
+    if alone:
+        x = x.withColumn("score", F.col("network"))
+    elif model is not None:
+        names = features or FEATURES[: len(model["weights"])]
+        x = score.logreg_score(x.withColumn("_f", F.array(*[F.col(f).cast("double") for f in names])), "_f", model).drop("_f")
     else:
         x = x.withColumn("score", F.lit(0.0))
-    x = dedup.cluster_gap_chain(x, micros(s.cluster))
-    x = score.fingerprint_confidence(x)
+    window: int | Column = micros(s.cluster)
+    if s.dynamic:
+        low, high = (micros(v) for v in s.dynamic_range)
+        windows = metrics.dynamic_window(x.select("clip", "id", "t"), s.dynamic_share, low, high)
+        three = x.groupBy("clip").agg(F.count("*").alias("_n"))
+        x = x.join(windows, "clip").join(three, "clip").withColumn("_window", F.when(F.col("_n") >= 3, F.col("window")).otherwise(float(window))).drop("window", "_n")
+        window = F.col("_window")
+    x = dedup.cluster_gap_chain(x, window).drop("_window")
+    x = x.withColumn("confidence", F.col("score")) if alone else score.fingerprint_confidence(x)
     candidates = x.withColumn("conf", F.col("score"))
-    w = candidates.withColumn("conf", F.col("score"))
     best = F.row_number().over(Window.partitionBy("clip", "cluster").orderBy(F.col("score").desc(), "t", "id"))
-    win = w.withColumn("_n", best).where("_n = 1").where(~((F.col("attack_norm") < 0.05) & (F.col("e_high_ratio") < 0.08) & (F.col("flatness") < 0.02)))
-    shots = dedup.dedup_last_kept(win.withColumn("conf", F.col("confidence")), micros(s.hard_gap))
-    shots = shots.join(win.select("clip", "id", "score"), ["clip", "id"])
+    win = candidates.withColumn("_n", best).where("_n = 1").where(~((F.col("attack_norm") < 0.05) & (F.col("e_high_ratio") < 0.08) & (F.col("flatness") < 0.02)))
+    # what is reported is rounded first, and the rest decides on what is reported
+    at = {"onset": "onset_t", "envelope_peak": "envelope_t", "none": "frame_t"}[s.align]
+    win = win.withColumns({"t": F.col(at), "conf": F.round("confidence", 3), "score": F.round("score", 3)})
+    shots = dedup.dedup_last_kept(win, micros(s.hard_gap)) if s.hard_gap > 0 else win.select("clip", "id", "t", "conf")
+    shots = shots.join(win.select("clip", "id", "score", *["network"] * (network is not None)), ["clip", "id"])
     capped = dedup.rate_cap(shots.withColumn("_keep", F.col("conf")).withColumn("conf", F.col("score")), s.rate).withColumn("conf", F.col("_keep")).drop("_keep")
+    if network is not None and not alone:
+        capped = capped.withColumn("conf", F.round(score.fuse(F.col("conf"), F.col("network"), s.fusion), 3))
     if least is not None:
         capped = capped.where(F.col("conf") >= least)
-    return dedup.rate_limit(capped, s.rate, s.hit_rate), candidates
+    return dedup.rate_limit(capped, s.rate, s.hit_rate).select("clip", "id", "t", "conf", "score"), candidates
+
+
+def dispatch(audio: DataFrame, config: dict, network: DataFrame | None = None) -> DataFrame:
+    """The shots (clip, id, t, conf) of the detector that a configuration names, under its calibrated values; what it leaves out keeps its default."""
+    g = config.get
+    if g("use_improved", True):
+        scale = "multi" if g("use_multi_scale_threshold") else "mad"
+        c = Candidates(threshold=scale if g("threshold_percentile") is None else float(g("threshold_percentile")), mad_k=float(g("mad_k", 7.0)), min_distance=float(g("candidate_min_dist_ms", 80)) / 1000)
+        align = str(g("shot_marker_alignment", "onset")).strip().lower()
+        s = Selection(
+            cluster=float(g("cluster_window_sec", 0.1)), dynamic=bool(g("use_dynamic_cluster", False)), hard_gap=max(0.0, float(g("hard_dedup_gap_sec", 0.1))), align=align if align in ("onset", "envelope_peak", "none") else "onset",
+            refine=max(0.01, float(g("marker_refine_window_sec", 0.06))), fusion=float(g("cnn_fusion_weight", 0.5)),
+        )
+        least = g("min_confidence_threshold", g("min_score_threshold"))
+        shots, _ = shots_improved(audio, g("logreg_model"), c=c, s=s, least=least, network=network, network_only=bool(g("use_cnn_only", False)))
+        return shots.select("clip", "id", "t", "conf")
+    names = {"threshold_coef": "coef", "threshold_percentile": "percentile", "min_dist_sec": "min_dist", "prominence_frac": "prominence", "smooth_ms": "smooth_ms", "min_confidence": "least", "post_filter": "post_filter"}
+    return legacy_shots(audio, Legacy(**{v: config[k] for k, v in names.items() if k in config}))

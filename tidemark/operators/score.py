@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +53,11 @@ def fuse(confidence: Column, network: Column, weight: float = 0.5) -> Column:
     return F.coalesce((1 - weight) * confidence + weight * network, confidence)
 
 
-def logreg_train(df: DataFrame, features: str, target: str, weight: str | None = None, lr: float = 0.1, epochs: int = 2000, l2: float = 1e-3) -> dict:
+def logreg_train(df: DataFrame, features: str, target: str, weight: str | None = None, lr: float = 0.1, epochs: int = 2000, l2: float = 1e-3, block_bytes: int = 1 << 26) -> dict:
     """Weights by full-batch gradient descent on the weighted log loss over n, with the L2 penalty on the weights alone.
 
-    Each step is a sum over rows.  The rows are reduced to one matrix a partition, held in the executors' cache, and a
-    step sends the driver one gradient a partition: partitions x features numbers, whatever the rows.
+    All epochs run in one barrier stage: a task holds its rows as a matrix of about block_bytes (more only if the cluster has fewer cores than that needs),
+    and in every epoch the tasks exchange one gradient each, features numbers whatever the rows.  A lost task restarts the stage.
     """
     size = df.select(F.size(features)).where(f"{features} is not null").first()
     d = size[0] if size else 0
@@ -67,29 +68,24 @@ def logreg_train(df: DataFrame, features: str, target: str, weight: str | None =
         return {"type": "binary", "weights": [0.0] * d, "bias": 0.0, "mean": [0.0] * d, "std": [0.0] * d}
     mean, std = np.array([stats[f"m{i}"] for i in range(d)]), np.array([stats[f"s{i}"] for i in range(d)])
     scale = np.where(std < 1e-6, 1.0, std)
-
-    def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in it:
-            if len(p):
-                m = (np.stack(p["x"]) - mean) / scale
-                yield pd.DataFrame({"x": [m.tobytes()], "y": [p["y"].to_numpy().tobytes()], "w": [p["w"].to_numpy().tobytes()]})
-
-    held = x.mapInPandas(blocks, "x binary, y binary, w binary").persist()
-    w, b = np.zeros(d), 0.0
-    for _ in range(epochs):
-        def step(it, w=w, b=b):
-            g = np.zeros(d + 1)
-            for p in it:
-                for xb, yb, wb in zip(p["x"], p["y"], p["w"]):
-                    m = np.frombuffer(xb).reshape(-1, d)
-                    e = (1 / (1 + np.exp(-(m @ w + b))) - np.frombuffer(yb)) * np.frombuffer(wb)
-                    g += np.append(m.T @ e, e.sum())
-            yield pd.DataFrame({"g": [g.tolist()]})
-
-        g = np.array([r.g for r in held.mapInPandas(step, "g array<double>").collect()]).sum(0) / n
-        w, b = w - lr * (g[:d] + l2 * w), b - lr * g[d]
-    held.unpersist()
-    return {"type": "binary", "weights": w.tolist(), "bias": float(b), "mean": mean.tolist(), "std": std.tolist()}
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-n * (d + 2) * 8 // block_bytes)))
+
+    def descend(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [((np.stack(p["x"]) - mean) / scale, p["y"].to_numpy(), p["w"].to_numpy()) for p in it if len(p)]
+        m, y, u = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros((0, d)), np.zeros(0), np.zeros(0))
+        context = BarrierTaskContext.get()
+        w, b = np.zeros(d), 0.0
+        for _ in range(epochs):
+            e = (1 / (1 + np.exp(-(m @ w + b))) - y) * u
+            g = np.append(m.T @ e, e.sum())
+            if tasks > 1:
+                g = np.sum([np.frombuffer(bytes.fromhex(x)) for x in context.allGather(g.tobytes().hex())], axis=0)
+            w, b = w - lr * (g[:d] / n + l2 * w), b - lr * g[d] / n
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"w": [w.tolist()], "b": [float(b)]})
+
+    found = x.repartition(tasks).mapInPandas(descend, "w array<double>, b double", barrier=True).first()
+    return {"type": "binary", "weights": list(found.w), "bias": found.b, "mean": mean.tolist(), "std": std.tolist()}
 
 
 def training_set(candidates: DataFrame, refs: DataFrame, before: int, after: int, miss_weight: float = 4.5, synthesized: DataFrame | None = None) -> DataFrame:

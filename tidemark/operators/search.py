@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup
-from tidemark.operators.matching import match_greedy_unused, match_nearest_then_check
+from tidemark.operators import dedup, detect
+from tidemark.operators.matching import match_greedy_unused, match_nearest_then_check, match_order_preserving
 from tidemark.operators.metrics import counts, pooled
+from tidemark.params import (
+    BEEP_HEIGHT_SHARES,
+    BEEP_PROBES,
+    CALIBRATION_COEFFICIENTS,
+    CALIBRATION_DISTANCES,
+    CALIBRATION_PERCENTILES,
+    CALIBRATION_PROMINENCES,
+    CALIBRATION_SMOOTH_COEFFICIENTS,
+    CALIBRATION_SMOOTH_MS,
+    CALIBRATION_SMOOTH_PROMINENCES,
+    Beep,
+    Legacy,
+)
 
 
 def _keyed(df: DataFrame, name: str, values: list) -> DataFrame:
@@ -68,10 +83,43 @@ def calibration_score(per_setting: DataFrame, over: float = 0.10, under: float =
     return out.withColumn("best", F.row_number().over(w) == 1)
 
 
-def calibration_grid() -> list[dict]:
-    """The settings of the calibration search."""
-    out = [{"min_dist": d, "prominence": p, **x} for d in (0.08, 0.10) for p in (0.15, 0.2, 0.25, 0.3, 0.4, 0.5) for x in ([{"coef": k / 2} for k in range(4, 11)] + [{"percentile": q} for q in (88, 90, 92, 95, 97)])]
-    return out + [{"min_dist": 0.08, "prominence": p, "coef": k, "smooth_ms": s} for s in (4.0, 6.0, 8.0) for p in (0.2, 0.3) for k in (2.5, 3.0, 3.5)]
+def calibration_grid() -> list[Legacy]:
+    """The settings of the calibration search: thresholds by coefficient and by percentile, then coefficients under other smoothings."""
+    out = []
+    for d, p in product(CALIBRATION_DISTANCES, CALIBRATION_PROMINENCES):
+        out += [Legacy(min_dist=d, prominence=p, coef=k) for k in CALIBRATION_COEFFICIENTS]
+        out += [Legacy(min_dist=d, prominence=p, percentile=float(q)) for q in CALIBRATION_PERCENTILES]
+    every = product(CALIBRATION_SMOOTH_MS, CALIBRATION_DISTANCES[:1], CALIBRATION_SMOOTH_PROMINENCES, CALIBRATION_SMOOTH_COEFFICIENTS)
+    return out + [Legacy(smooth_ms=s, min_dist=d, prominence=p, coef=k) for s, d, p, k in every]
+
+
+def calibrate(audio: DataFrame, refs: DataFrame, tolerance: int, grid: list[Legacy] | None = None) -> DataFrame:
+    """The legacy detector under every setting of the grid against refs(clip, id, t): setting (its place), n_gt, n_det, n, mae (of all clips together), score and best.
+
+    A clip's samples are read once; clip and setting together are the clip of everything behind the detector.
+    """
+    grid = calibration_grid() if grid is None else grid
+    found = detect.legacy_grid(audio, grid)
+    places = F.explode(F.array(*[F.lit(i) for i in range(len(grid))]))
+    keyed = F.struct(F.col("clip").alias("clip"), F.col("setting").alias("setting")).alias("clip")
+    r = refs.withColumn("setting", places).select(keyed, "id", "t")
+    m = match_order_preserving(r, found, tolerance)
+    per = m.groupBy(F.col("clip.setting").alias("setting")).agg(F.count("*").alias("n_gt"), F.count("det_id").alias("n"), F.avg("dt").alias("mae"))
+    n = found.groupBy(F.col("clip.setting").alias("setting")).agg(F.count("*").alias("n_det"))
+    return calibration_score(per.join(n, "setting", "left").fillna(0, ["n_det"]))
+
+
+def tune_beeps(audio: DataFrame, truth: DataFrame, base: Beep = Beep()) -> DataFrame:
+    """The beep detector under 24 settings against truth(clip, t): setting, height_share, probe_from (null: no probe), mae over the clips with a beep found, and best (least mae, the first on ties).
+
+    A clip's samples are read once for all settings.
+    """
+    grid = [replace(base, height_share=h, probe=(late, base.probe[1]) if probe else None) for h in BEEP_HEIGHT_SHARES for probe in (True, False) for late in BEEP_PROBES]
+    found = detect.beep_grid(audio, grid)
+    errors = found.join(truth.select("clip", F.col("t").alias("_t")), "clip").groupBy("setting").agg(F.avg(F.abs(F.col("t") - F.col("_t"))).alias("mae"), F.count("*").alias("n"))
+    names = audio.sparkSession.createDataFrame([(i, p.height_share, p.probe[0] if p.probe else None) for i, p in enumerate(grid)], "setting int, height_share double, probe_from double")
+    w = Window.orderBy(F.col("mae").asc_nulls_last(), "setting")  # one row for each setting
+    return names.join(errors, "setting", "left").withColumn("best", (F.row_number().over(w) == 1) & F.col("mae").isNotNull())
 
 
 def verified_overrides(overrides: DataFrame, refined: DataFrame) -> DataFrame:

@@ -135,15 +135,15 @@ def band_energy(frames: DataFrame, bands: list[tuple[int, int]], names: list[str
 
 
 def spectral_shape(frames: DataFrame) -> DataFrame:
-    """Adds centroid (energy-weighted mean bin) and flatness (geometric over arithmetic mean of magnitudes above 1e-9)."""
+    """Adds centroid (energy-weighted mean bin) and flatness (geometric mean of the magnitudes above 1e-9 over the arithmetic mean of all)."""
     energy = F.aggregate("mag", F.lit(0.0), lambda s, m: s + m.cast("double") * m)
     weighted = F.aggregate(F.transform("mag", lambda m, i: m.cast("double") * m * i), F.lit(0.0), lambda s, m: s + m)
     positive = F.filter(F.transform("mag", lambda m: m.cast("double")), lambda m: m > 1e-9)
     logs = F.aggregate(positive, F.lit(0.0), lambda s, m: s + F.log(m))
-    total = F.aggregate(positive, F.lit(0.0), lambda s, m: s + m)
+    total = F.aggregate("mag", F.lit(0.0), lambda s, m: s + m.cast("double"))
     x = frames.withColumn("_e", energy).withColumn("_w", weighted).withColumn("_n", F.size(positive)).withColumn("_g", logs).withColumn("_t", total)
     x = x.withColumn("centroid", F.coalesce(F.try_divide("_w", "_e"), F.lit(0.0)))
-    x = x.withColumn("flatness", F.when(F.col("_n") > 0, F.exp(F.col("_g") / F.col("_n")) / (F.col("_t") / F.col("_n") + 1e-9)).otherwise(0.0))
+    x = x.withColumn("flatness", F.when(F.col("_n") > 0, F.exp(F.col("_g") / F.col("_n")) / (F.col("_t") / F.size("mag") + 1e-9)).otherwise(0.0))
     return x.drop("_e", "_w", "_n", "_g", "_t")
 
 
@@ -232,14 +232,17 @@ def decimate(s: DataFrame, most: int) -> DataFrame:
     return s.withColumn("_step", F.greatest(F.lit(1), F.floor(n / most))).where("idx % _step = 0").drop("_step")
 
 
-def candidate_features(peaks: DataFrame, frames: DataFrame, before: int, after: int) -> DataFrame:
+def candidate_features(peaks: DataFrame, frames: DataFrame, before: int | str, after: int | str) -> DataFrame:
     """Band ratios, flatness, attack and flags of each peak (clip, idx, onset) over frames [idx - before, idx + after].
 
-    frames: clip, idx, e_low, e_mid, e_high, flatness, attack.  The clip's 99.5th attack percentile is taken once.
+    frames: clip, idx, e_low, e_mid, e_high, flatness, attack.  The clip's 99.5th attack percentile is taken once.  before and
+    after may name columns of both sides that hold a clip's own numbers.
     """
     ref = frames.groupBy("clip").agg(F.expr("percentile(attack, 0.995)").alias("_ref"))
+    own = [c for c in (before, after) if isinstance(c, str)]
+    before, after = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (before, after))
     width = before + after + 1
-    p = peaks.select("clip", "idx", "onset").withColumn("_b", F.explode(F.sequence(F.floor((F.col("idx") - before) / width), F.floor((F.col("idx") + after) / width))))
+    p = peaks.select("clip", "idx", "onset", *own).withColumn("_b", F.explode(F.sequence(F.floor((F.col("idx") - before) / width), F.floor((F.col("idx") + after) / width))))
     f = frames.select(F.col("clip").alias("_c"), F.col("idx").alias("_i"), F.floor(F.col("idx") / width).alias("_fb"), "e_low", "e_mid", "e_high", "flatness", "attack")
     near = (F.col("_i") >= F.col("idx") - before) & (F.col("_i") <= F.col("idx") + after)
     x = p.join(f, (F.col("clip") == F.col("_c")) & (F.col("_b") == F.col("_fb")) & near).groupBy("clip", "idx", "onset")

@@ -195,14 +195,14 @@ SQL["dominant_cluster"] = f"WITH {EV}, {role('a', DET)}, g AS (SELECT clip, CAST
 @query
 def kmeans_dominant(spark, d):
     """Rows only: cluster labels depend on the starting draws."""
-    x = frames(spark, d).select("clip", F.col("vec_id").alias("id"), F.col("idx").alias("t"), F.lit(0.5).alias("conf"), F.slice("mag", 1, 8).alias("features"))
+    x = frames(spark, d).select("clip", F.col("vec_id").alias("id"), F.col("idx").alias("t"), F.lit(0.5).alias("conf"), F.col("mag").alias("features"))
     return dedup.kmeans_dominant(x).select("clip", "id", "pov_dominant")
 
 
 @query
 def kmeans_annotate(spark, d):
     """Rows only, as kmeans_dominant; nothing is dropped."""
-    x = frames(spark, d).select("clip", F.col("vec_id").alias("id"), F.col("idx").alias("t"), F.lit(0.5).alias("conf"), F.slice("mag", 1, 8).alias("features"))
+    x = frames(spark, d).select("clip", F.col("vec_id").alias("id"), F.col("idx").alias("t"), F.lit(0.5).alias("conf"), F.col("mag").alias("features"))
     return dedup.kmeans_dominant(x, drop=False).select("clip", "id", "pov_dominant")
 
 

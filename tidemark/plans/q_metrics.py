@@ -20,11 +20,10 @@ def query(f):
 @query
 def skip_accounting(spark, d):
     clips = timeline(spark, d).select("clip").distinct()
-    late = timeline(spark, d, REF).where(F.col("id") % 3 == 0)
-    return metrics.skip_accounting(clips, late, timeline(spark, d, BEEP).where(F.col("id") % 5 == 0))
+    return metrics.skip_accounting(clips, timeline(spark, d, REF), timeline(spark, d, BEEP))
 
 
-SQL["skip_accounting"] = f"WITH {EV}, x AS (SELECT clip, min(t) FILTER (WHERE kind = '{BEEP}' AND id % 5 = 0) AS b, max(t) FILTER (WHERE kind = '{REF}' AND id % 3 = 0) AS r FROM ev GROUP BY clip) SELECT CASE WHEN b IS NULL THEN 'no_beep' WHEN r IS NULL THEN 'no_ref' WHEN r < b THEN 'no_ref_after_beep' ELSE 'used' END AS reason, count(*) AS n FROM x GROUP BY 1"
+SQL["skip_accounting"] = f"WITH {EV}, x AS (SELECT clip, min(t) FILTER (WHERE kind = '{BEEP}') AS b, max(t) FILTER (WHERE kind = '{REF}') AS r FROM ev GROUP BY clip) SELECT CASE WHEN b IS NULL THEN 'no_beep' WHEN r IS NULL THEN 'no_ref' WHEN r < b THEN 'no_ref_after_beep' ELSE 'used' END AS reason, count(*) AS n FROM x GROUP BY 1"
 
 
 @query
@@ -104,11 +103,11 @@ SQL["pareto"] = "WITH g AS (SELECT source AS label, count(*) AS n FROM documents
 @query
 def dataset_counts(spark, d):
     clips = timeline(spark, d).select("clip").distinct()
-    out = metrics.dataset_counts(clips, timeline(spark, d, DET), timeline(spark, d, BEEP).where(F.col("id") % 9 == 0))
+    out = metrics.dataset_counts(clips, timeline(spark, d, DET), timeline(spark, d, BEEP))
     return out.select("clips", "shots", "beeps", F.round("shots_per_clip", 6).alias("shots_per_clip"), "without_shots", "without_beep")
 
 
-SQL["dataset_counts"] = f"WITH {EV}, g AS (SELECT clip, count(*) FILTER (WHERE kind = '{DET}') AS s, count(*) FILTER (WHERE kind = '{BEEP}' AND id % 9 = 0) AS b FROM ev GROUP BY clip) SELECT count(*) AS clips, CAST(sum(s) AS BIGINT) AS shots, CAST(sum(b) AS BIGINT) AS beeps, round(avg(s), 6) AS shots_per_clip, count(*) FILTER (WHERE s = 0) AS without_shots, count(*) FILTER (WHERE b = 0) AS without_beep FROM g"
+SQL["dataset_counts"] = f"WITH {EV}, g AS (SELECT clip, count(*) FILTER (WHERE kind = '{DET}') AS s, count(*) FILTER (WHERE kind = '{BEEP}') AS b FROM ev GROUP BY clip) SELECT count(*) AS clips, CAST(sum(s) AS BIGINT) AS shots, CAST(sum(b) AS BIGINT) AS beeps, round(avg(s), 6) AS shots_per_clip, count(*) FILTER (WHERE s = 0) AS without_shots, count(*) FILTER (WHERE b = 0) AS without_beep FROM g"
 
 
 @query
@@ -132,17 +131,19 @@ SQL["auc"] = f"""WITH {EV}, x AS (SELECT round(conf, 0) / 500 AS p, id % 3 = 0 A
 s AS (SELECT CAST(sum(a) AS BIGINT) AS pos, CAST(sum(b) AS BIGINT) AS neg, sum(a * (below + b / 2)) AS area, coalesce(sum(a) FILTER (WHERE p >= 0.5), 0)::DOUBLE AS tp, coalesce(sum(b) FILTER (WHERE p >= 0.5), 0)::DOUBLE AS fp FROM h)
 SELECT pos, neg, round(area::DOUBLE / (pos::DOUBLE * neg), 9) AS auc, round(tp / (tp + fp), 9) AS precision, round(tp / pos, 9) AS recall, round(2 * (tp / (tp + fp)) * (tp / pos) / (tp / (tp + fp) + tp / pos), 9) AS f1 FROM s"""
 
-MODEL = {"weights": [0.8, -0.5, 0.3, 0.1], "bias": -0.2, "mean": [0.1, 0.0, -0.1, 0.05], "std": [1.0, 0.5, 1e-9, 2.0]}
+#: A model over all 64 numbers of a vector; every ninth does not vary enough to be scaled.
+MODEL = {"weights": [(i * 7 % 11 - 5) / 10 for i in range(64)], "bias": -0.2, "mean": [(i % 5 - 2) / 20 for i in range(64)], "std": [1e-9 if i % 9 == 2 else 0.5 + i % 4 / 2 for i in range(64)]}
 
 
 @query
 def logreg_score(spark, d):
     e = read(spark, d, "embeddings")
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return e.select("vec_id", F.round(logit_score(x, **MODEL), 9).alias("score"))
 
 
-SQL["logreg_score"] = "SELECT vec_id, round(1 / (1 + exp(-((embedding[1]::DOUBLE - 0.1) * 0.8 + (embedding[2]::DOUBLE / 0.5) * -0.5 + (embedding[3]::DOUBLE + 0.1) * 0.3 + ((embedding[4]::DOUBLE - 0.05) / 2.0) * 0.1 - 0.2))), 9) AS score FROM embeddings"
+_TERMS = " + ".join(f"(embedding[{i + 1}]::DOUBLE - ({m!r})) / {s if s >= 1e-6 else 1.0!r} * ({w!r})" for i, (w, m, s) in enumerate(zip(MODEL["weights"], MODEL["mean"], MODEL["std"])))
+SQL["logreg_score"] = f"SELECT vec_id, round(1 / (1 + exp(-({_TERMS} - 0.2))), 9) AS score FROM embeddings"
 
 
 def _scored(spark, d):
@@ -183,8 +184,8 @@ SQL["weighted_score"] = f"WITH {EV} SELECT clip, id, round(0.6 * conf / 500 + 0.
 @query
 def logreg_train(spark, d):
     """Rows only: gradient descent; tests compare it with NumPy."""
-    e = read(spark, d, "embeddings").select(F.slice("embedding", 1, 8).alias("x"), (F.col("label") < 5).cast("int").alias("y"))
-    m = score.logreg_train(e, "x", "y", epochs=25)
+    e = read(spark, d, "embeddings").select(F.col("embedding").alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+    m = score.logreg_train(e, "x", "y")
     rows = [(i, float(w), float(a), float(s)) for i, (w, a, s) in enumerate(zip(m["weights"], m["mean"], m["std"]))] + [(-1, m["bias"], 0.0, 1.0)]
     return spark.createDataFrame(rows, "i int, weight double, mean double, std double")
 
@@ -228,16 +229,20 @@ def random_negatives(spark, d):
 
 @query
 def shell_features(spark, d):
+    """Twelve values around every detection, four of them before it."""
     from tidemark.operators.signal import as_series
 
-    s = as_series(timeline(spark, d)).where("idx < 12").select("clip", F.lit(0).cast("long").alias("id"), "idx", (F.col("value") / 1999).alias("value"))
-    out = score.shell_features(s, 4)
-    return out.select("clip", *[F.round(F.col("features")[i], 6).alias(f"f{i}") for i in range(8)])
+    s = as_series(timeline(spark, d))
+    marks = s.join(timeline(spark, d, DET).select("clip", "id"), ["clip", "id"], "left_semi").select("clip", "id", (F.col("idx") - 4).alias("at"))
+    near = marks.withColumn("idx", F.explode(F.sequence(F.col("at"), F.col("at") + 11)))
+    near = near.join(s.select("clip", "idx", "value"), ["clip", "idx"]).select("clip", "id", (F.col("idx") - F.col("at")).alias("idx"), (F.col("value") / 1999).alias("value"))
+    out = score.shell_features(near, 4)
+    return out.select("clip", "id", *[F.round(F.col("features")[i], 6).alias(f"f{i}") for i in range(8)])
 
 
-SQL["shell_features"] = f"""WITH {EV}, x AS (SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY t, id) - 1 AS i, conf / 1999 AS v FROM ev), y AS (SELECT * FROM x WHERE i < 12),
-g AS (SELECT clip, coalesce(max(v) FILTER (WHERE i < 4), 0) AS b, coalesce(max(v) FILTER (WHERE i >= 4), 0) AS a, coalesce(avg(v) FILTER (WHERE i >= 4), 0) AS m, list(i ORDER BY v DESC, i)[1] AS pk, count(*) AS n, list(v) FILTER (WHERE i >= 4) AS xs FROM y GROUP BY clip)
-SELECT clip, round(least(1.0, a / 0.08), 6) AS f0, round(least(1.0, b / 0.08), 6) AS f1, round(least(1.0, (a - b) / 0.08), 6) AS f2, round(least(1.0, m / 0.08), 6) AS f3, CASE WHEN pk >= 4 THEN 1.0 ELSE 0.0 END AS f4, round(len(list_filter(coalesce(xs, []), lambda q: q > greatest(b * 1.5, 1e-5)))::DOUBLE / greatest(len(coalesce(xs, [])), 1), 6) AS f5, round(pk::DOUBLE / greatest(n - 1, 1), 6) AS f6, round(least(1.0, greatest(0.0, a / (b + 1e-6) - 1) / 5), 6) AS f7 FROM g"""
+SQL["shell_features"] = f"""WITH {EV}, x AS (SELECT clip, id, kind, row_number() OVER (PARTITION BY clip ORDER BY t, id) - 1 AS p, conf / 1999 AS v FROM ev), y AS (SELECT m.clip, m.id, x.p - m.p + 4 AS i, x.v FROM x m JOIN x ON x.clip = m.clip AND x.p BETWEEN m.p - 4 AND m.p + 7 WHERE m.kind = '{DET}'),
+g AS (SELECT clip, id, coalesce(max(v) FILTER (WHERE i < 4), 0) AS b, coalesce(max(v) FILTER (WHERE i >= 4), 0) AS a, coalesce(avg(v) FILTER (WHERE i >= 4), 0) AS m, list(i ORDER BY v DESC, i)[1] AS pk, count(*) AS n, list(v) FILTER (WHERE i >= 4) AS xs FROM y GROUP BY clip, id)
+SELECT clip, id, round(least(1.0, a / 0.08), 6) AS f0, round(least(1.0, b / 0.08), 6) AS f1, round(least(1.0, (a - b) / 0.08), 6) AS f2, round(least(1.0, m / 0.08), 6) AS f3, CASE WHEN pk >= 4 THEN 1.0 ELSE 0.0 END AS f4, round(len(list_filter(coalesce(xs, []), lambda q: q > greatest(b * 1.5, 1e-5)))::DOUBLE / greatest(len(coalesce(xs, [])), 1), 6) AS f5, round(pk::DOUBLE / greatest(n - 1, 1), 6) AS f6, round(least(1.0, greatest(0.0, a / (b + 1e-6) - 1) / 5), 6) AS f7 FROM g"""
 
 
 @query

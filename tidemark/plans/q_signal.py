@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, kernels, signal
-from tidemark.plans.bind import BEEP, DET, EV, FRAMES, HOUR, REF, SERIES, frames, role, timeline
+from tidemark.plans.bind import BEEP, CAND, DET, EV, FRAMES, HOUR, REF, SERIES, frames, role, timeline
 
 QUERIES, SQL = {}, {}
 S = f"{EV}, {SERIES}"
@@ -126,7 +126,7 @@ def spectral_shape(spark, d):
     return _rounded(signal.spectral_shape(frames(spark, d)).select("clip", "idx", "centroid", "flatness"), "centroid", "flatness")
 
 
-SQL["spectral_shape"] = f"WITH {FRAMES} SELECT clip, idx, round(list_sum(list_transform(range(64), lambda i: i * mag[i + 1] * mag[i + 1])) / list_sum(list_transform(mag, lambda v: v * v)), 6) AS centroid, round(exp(list_avg(list_transform(list_filter(mag, lambda v: v > 1e-9), lambda v: ln(v)))) / (list_avg(list_filter(mag, lambda v: v > 1e-9)) + 1e-9), 6) AS flatness FROM f"
+SQL["spectral_shape"] = f"WITH {FRAMES} SELECT clip, idx, round(list_sum(list_transform(range(64), lambda i: i * mag[i + 1] * mag[i + 1])) / list_sum(list_transform(mag, lambda v: v * v)), 6) AS centroid, round(exp(list_avg(list_transform(list_filter(mag, lambda v: v > 1e-9), lambda v: ln(v)))) / (list_avg(mag) + 1e-9), 6) AS flatness FROM f"
 
 
 @query
@@ -214,14 +214,14 @@ SQL["decimate"] = f"WITH {S}, n AS (SELECT *, greatest(1, count(*) OVER (PARTITI
 @query
 def candidate_features(spark, d):
     f = signal.spectral_shape(signal.band_energy(frames(spark, d), [(0, 10), (10, 30), (30, 64)], ["e_low", "e_mid", "e_high"])).withColumn("attack", F.col("mag")[0])
-    p = f.where("idx % 5 = 2").select("clip", "idx", F.col("mag")[1].alias("onset"))
+    p = f.select("clip", "idx", F.col("mag")[1].alias("onset"))
     out = signal.candidate_features(p, f, 2, 3)
     names = ["r1", "r2", "r1_log", "r2_log", "flatness", "attack_norm", "onset_log", "e_low_ratio", "e_high_ratio", "r1_penalty"]
     return _rounded(out.select("clip", "idx", *names, "slam", "metal"), *names, digits=5)
 
 
-SQL["candidate_features"] = f"""WITH {FRAMES}, x AS (SELECT clip, idx, mag, mag[1] AS attack, list_sum(list_transform(mag[1:10], lambda v: v * v)) AS el, list_sum(list_transform(mag[11:30], lambda v: v * v)) AS em, list_sum(list_transform(mag[31:64], lambda v: v * v)) AS eh, exp(list_avg(list_transform(list_filter(mag, lambda v: v > 1e-9), lambda v: ln(v)))) / (list_avg(list_filter(mag, lambda v: v > 1e-9)) + 1e-9) AS fl FROM f),
-rf AS (SELECT clip, quantile_cont(attack, 0.995) AS ref FROM x GROUP BY clip), g AS (SELECT p.clip, p.idx, p.mag[2] AS onset, avg(x.el) AS l, avg(x.em) AS m, avg(x.eh) AS h, avg(x.fl) AS flat, max(x.attack) AS att FROM x p JOIN x ON x.clip = p.clip AND x.idx BETWEEN p.idx - 2 AND p.idx + 3 WHERE p.idx % 5 = 2 GROUP BY 1, 2, 3),
+SQL["candidate_features"] = f"""WITH {FRAMES}, x AS (SELECT clip, idx, mag, mag[1] AS attack, list_sum(list_transform(mag[1:10], lambda v: v * v)) AS el, list_sum(list_transform(mag[11:30], lambda v: v * v)) AS em, list_sum(list_transform(mag[31:64], lambda v: v * v)) AS eh, exp(list_avg(list_transform(list_filter(mag, lambda v: v > 1e-9), lambda v: ln(v)))) / (list_avg(mag) + 1e-9) AS fl FROM f),
+rf AS (SELECT clip, quantile_cont(attack, 0.995) AS ref FROM x GROUP BY clip), g AS (SELECT p.clip, p.idx, p.mag[2] AS onset, avg(x.el) AS l, avg(x.em) AS m, avg(x.eh) AS h, avg(x.fl) AS flat, max(x.attack) AS att FROM x p JOIN x ON x.clip = p.clip AND x.idx BETWEEN p.idx - 2 AND p.idx + 3 GROUP BY 1, 2, 3),
 y AS (SELECT g.*, m / (l + 1e-9) AS r1, h / (m + 1e-9) AS r2, ln(m + 1e-9) - ln(l + 1e-9) AS r1l, ln(h + 1e-9) - ln(m + 1e-9) AS r2l, least(att / (ref + 1e-9), 1.0) AS an, l / (l + m + h + 1e-9) AS lr FROM g JOIN rf ON rf.clip = g.clip)
 SELECT clip, idx, round(r1, 5) AS r1, round(r2, 5) AS r2, round(r1l, 5) AS r1_log, round(r2l, 5) AS r2_log, round(flat, 5) AS flatness, round(an, 5) AS attack_norm, round(ln(1 + onset), 5) AS onset_log, round(lr, 5) AS e_low_ratio, round(r1 * r2 / (1 + r1 + r1 * r2 + 1e-9), 5) AS e_high_ratio, round(greatest(0, 0.7 - r1l), 5) AS r1_penalty, lr > 0.65 OR (lr > 0.55 AND flat < 0.22) AS slam, r2l > 1.2 AND flat > 0.5 AND an < 0.4 AS metal FROM y"""
 
@@ -267,7 +267,7 @@ def confidence_gate(spark, d):
 
 SQL["confidence_gate"] = f"WITH {EV}, {role('d', DET)} SELECT clip, id, conf FROM d WHERE conf >= 45"
 
-# Kernels: a user's values are samples at 1000 a second.
+# Kernels: a user's values are samples at 1000 a second, and so are the places of the events among them.
 RATE = 1000.0
 
 
@@ -276,16 +276,39 @@ def _audio(spark, d) -> DataFrame:
     return rows.select("clip", F.lit(RATE).alias("sr"), F.transform("x", lambda r: r["conf"]).alias("samples"))
 
 
-@query
-def stft_frames(spark, d):
+def _places(spark, d, kind, rate=RATE) -> DataFrame:
+    """(clip, id, t): the events of a kind, t their place among the clip's samples in microseconds."""
+    s = signal.as_series(timeline(spark, d))
+    at = s.join(timeline(spark, d, kind).select("clip", "id"), ["clip", "id"], "left_semi")
+    return at.select(F.col("clip").cast("string").alias("clip"), "id", (F.col("idx") * int(1e6 / rate)).alias("t"))
+
+
+def _small():
     from tidemark.params import Stft
 
-    f = detect.stft_frames(_audio(spark, d), Stft(n_fft=16, hop=4))
+    return Stft(n_fft=16, hop=4, low_hz=80, high_hz=400, bands=((50, 150), (150, 300), (300, 450)))
+
+
+@query
+def stft_frames(spark, d):
+    f = detect.stft_frames(_audio(spark, d), _small())
     return f.select("clip", "idx", F.posexplode("mag").alias("bin", "mag")).select("clip", "idx", "bin", F.round("mag", 5).alias("mag"))
 
 
 _SIN = "list_sum(list_transform(range(16), lambda i: coalesce(xs[idx * 4 + i + 1], 0) * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * {f}(2 * pi() * i * bin / 16)))"
-SQL["stft_frames"] = f"WITH {EV}, g AS (SELECT clip, list(conf ORDER BY t, id) AS xs, count(*) AS n FROM ev GROUP BY clip), k AS (SELECT *, unnest(range(greatest(1, (n - 16) // 4 + 1))) AS idx FROM g), b AS (SELECT *, unnest(range(9)) AS bin FROM k) SELECT CAST(clip AS VARCHAR) AS clip, idx, CAST(bin AS INT) AS bin, round(sqrt(pow({_SIN.format(f='cos')}, 2) + pow({_SIN.format(f='sin')}, 2)), 5) AS mag FROM b"
+_STFT = f"{EV}, g AS (SELECT clip, list(conf ORDER BY t, id) AS xs, count(*) AS n FROM ev GROUP BY clip), k AS (SELECT *, unnest(range(greatest(1, (n - 16) // 4 + 1))) AS idx FROM g), b AS (SELECT *, unnest(range(9)) AS bin FROM k), st AS (SELECT clip, n, idx, bin, sqrt(pow({_SIN.format(f='cos')}, 2) + pow({_SIN.format(f='sin')}, 2)) AS mag FROM b)"
+SQL["stft_frames"] = f"WITH {_STFT} SELECT CAST(clip AS VARCHAR) AS clip, idx, CAST(bin AS INT) AS bin, round(mag, 5) AS mag FROM st"
+
+
+@query
+def onset_strength(spark, d):
+    out = detect.onset_strength(_audio(spark, d), _small(), 100.0, 350.0)
+    return out.select("clip", "idx", F.round("onset", 5).alias("onset"))
+
+
+SQL["onset_strength"] = f"""WITH {_STFT}, r AS (SELECT clip, n, idx, lead(ln(1 + mag)) OVER (PARTITION BY clip, bin ORDER BY idx) - ln(1 + mag) AS up FROM st WHERE bin * 62.5 BETWEEN 100 AND 350),
+f AS (SELECT clip, idx, sum(greatest(up, 0)) AS flux FROM r GROUP BY clip, idx), p AS (SELECT clip, unnest(range(n // 4 + 1)) AS idx FROM g)
+SELECT CAST(p.clip AS VARCHAR) AS clip, p.idx, round(coalesce(f.flux, 0)::DOUBLE, 5) AS onset FROM p LEFT JOIN f ON f.clip = p.clip AND f.idx = p.idx"""
 
 
 @query
@@ -298,31 +321,29 @@ def bandpass_energy(spark, d):
 
 @query
 def dominant_freq(spark, d):
-    """Rows only: transforms of 2048 points; tests use sine waves."""
-    return detect.beep_frequency(_audio(spark, d).withColumn("about", F.lit(0.0)), 0.06)
+    """Rows only: transforms of 2048 points, from every detection on; tests use sine waves."""
+    return detect.dominant_frequencies(_audio(spark, d), _places(spark, d, DET), 0.06)
 
 
 @query
 def mel_patch(spark, d):
-    """Rows only: one pooled number for each clip's patch; tests check shape and padding."""
-    def kernel(clip, sr, x):
-        import pandas as pd
+    """Rows only: one pooled number for each detection's patch; tests check shape and padding."""
+    p = detect.mel_patches(_audio(spark, d), _places(spark, d, DET), before=0.02, after=0.02, n_mels=16)
+    total = F.aggregate(F.flatten("patch"), F.lit(0.0), lambda s, v: s + v)
+    return p.select("clip", "id", "t", F.size("patch").alias("bands"), F.size(F.col("patch")[0]).alias("frames"), (total / F.size(F.flatten("patch"))).alias("mean"))
 
-        m = kernels.mel_patch(np.asarray(x, float), sr, 0.03, 0.02, 0.02, n_mels=16)
-        return pd.DataFrame({"clip": [clip], "bands": [m.shape[0]], "frames": [m.shape[1]], "mean": [float(m.mean())]})
 
-    return detect._each(kernel, _audio(spark, d), "clip string, bands int, frames int, mean double")
+@query
+def mel_training_set(spark, d):
+    """Rows only, as mel_patch: the candidates from the first beep on, with their labels."""
+    p = detect.mel_training_set(_audio(spark, d), _places(spark, d, CAND), _places(spark, d, REF), _places(spark, d, BEEP), 20000, 20000, before=0.02, after=0.02, n_mels=16)
+    return p.select("clip", "id", "t", "label", F.size("patch").alias("bands"))
 
 
 @query
 def mfcc_band(spark, d):
     """Rows only, as mel_patch."""
-    def kernel(clip, sr, x):
-        import pandas as pd
-
-        return pd.DataFrame({"clip": [clip], "band": [kernels.mfcc_band(np.asarray(x, float), sr, 0.03)]})
-
-    return detect._each(kernel, _audio(spark, d), "clip string, band double")
+    return detect.at_marks(_audio(spark, d), _places(spark, d, DET), lambda x, sr, t: (kernels.mfcc_band(x, sr, t),), "band double")
 
 
 @query
@@ -341,10 +362,27 @@ def second_recovery(spark, d):
     return detect._each(kernel, _audio(spark, d), "clip string, idx long, recovered boolean")
 
 
+def _legacy():
+    from tidemark.params import Legacy
+
+    return Legacy(coef=0.5, min_dist=0.003, prominence=0.1, smooth_ms=2.0, band=(50.0, 200.0))
+
+
 @query
 def legacy_detector(spark, d):
-    """Rows only: the composite detector."""
-    return detect.legacy_shots(_audio(spark, d), coef=0.5, min_dist=0.003, prominence=0.1, smooth_ms=2.0, band=(50.0, 200.0))
+    """Rows only: the composite detector; tests compare it with plain loops."""
+    return detect.legacy_shots(_audio(spark, d), _legacy())
+
+
+@query
+def calibrate_legacy(spark, d):
+    """Rows only: the calibration search over its 162 settings, with shorter times and a lower band, as the clips are short and slow."""
+    from dataclasses import replace
+
+    from tidemark.operators.search import calibrate, calibration_grid
+
+    grid = [replace(p, min_dist=p.min_dist / 25, smooth_ms=p.smooth_ms / 3, band=(50.0, 200.0)) for p in calibration_grid()]
+    return calibrate(_audio(spark, d), _places(spark, d, REF), 4000, grid)
 
 
 @query
@@ -356,24 +394,55 @@ def motion_detector(spark, d):
 
 @query
 def motion_learned(spark, d):
-    """Rows only: threshold learned at the references."""
-    s = _audio(spark, d).select("clip", F.lit(20.0).alias("fps"), F.col("samples").alias("values"), F.array(F.lit(1.0), F.lit(2.0)).alias("refs"))
+    """Rows only: threshold learned at the clip's references."""
+    refs = _places(spark, d, REF, 20.0).groupBy("clip").agg(F.array_sort(F.collect_list(F.col("t") / 1e6)).alias("refs"))
+    s = _audio(spark, d).join(refs, "clip", "left").select("clip", F.lit(20.0).alias("fps"), F.col("samples").alias("values"), "refs")
     return detect.motion_learned(s)
 
 
+def _slow_beeps():
+    from tidemark.params import Beep
+
+    return Beep(low_hz=0.5, high_hz=2.0, distance=0.5, smooth=0.3)
+
+
 @query
 def beep_detector(spark, d):
-    """Rows only: the composite detector."""
-    from tidemark.params import Beep
+    """Rows only: the composite detector; tests compare it with plain loops."""
+    return detect.beeps(_audio(spark, d).withColumn("sr", F.lit(10.0)), _slow_beeps())
+
+
+@query
+def all_beeps(spark, d):
+    """Rows only, as beep_detector."""
+    return detect.beeps(_audio(spark, d).withColumn("sr", F.lit(10.0)), _slow_beeps(), first_only=False)
+
+
+@query
+def tune_beeps(spark, d):
+    """Rows only: the beep search over its 24 settings."""
+    from tidemark.operators.search import tune_beeps as tune
 
-    slow = _audio(spark, d).withColumn("sr", F.lit(10.0))
-    return detect.beeps(slow, Beep(low_hz=0.5, high_hz=2.0, distance=0.5, smooth=0.3))
+    truth = _places(spark, d, BEEP, 10.0).groupBy("clip").agg(F.min("t").alias("t"))
+    return tune(_audio(spark, d).withColumn("sr", F.lit(10.0)), truth, _slow_beeps())
 
 
 @query
 def improved_detector(spark, d):
-    """Rows only: frames to shots in one composition."""
-    from tidemark.params import Stft
-
-    shots, _ = detect.shots_improved(_audio(spark, d), stft=Stft(n_fft=16, hop=4, low_hz=80, high_hz=400, bands=((50, 150), (150, 300), (300, 450))))
+    """Rows only: frames to shots in one composition; tests compare it with plain loops."""
+    shots, _ = detect.shots_improved(_audio(spark, d), stft=_small())
     return shots.select("clip", "id", "t", F.round("conf", 6).alias("conf"))
+
+
+@query
+def features_at_times(spark, d):
+    """Rows only: the candidate features at every reference."""
+    out = detect.features_at(detect.frame_features(_audio(spark, d), _small()), _places(spark, d, REF))
+    return out.select("clip", "id", "t", "idx", *[F.round(c, 5).alias(c) for c in ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio")], "slam", "metal")
+
+
+@query
+def detector_dispatch(spark, d):
+    """Rows only: the detector that a configuration names."""
+    config = {"use_improved": False, "threshold_coef": 0.5, "min_dist_sec": 0.0005, "prominence_frac": 0.1, "smooth_ms": 0.5}
+    return detect.dispatch(_audio(spark, d).withColumn("sr", F.lit(8000.0)), config).select("clip", "id", "t", "conf")
