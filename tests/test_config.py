@@ -17,3 +17,12 @@ def test_roots_and_paths(monkeypatch):
     monkeypatch.setenv("TRAINING_DATA_ROOT", "/e")
     assert config.data_root("/d") == "/e"
     assert config.resolve("a/b", "/r") == "/r/a/b" and config.resolve("/a", "/r") == "/a" and config.resolve("hdfs://x/a", "/r") == "hdfs://x/a"
+
+
+def test_a_model_is_written_back(spark, tmp_path):
+    (tmp_path / "first.json").write_text('{"mad_k": 7.0, "logreg_model": null}')
+    target = str(tmp_path / "settings")
+    model = {"type": "binary", "weights": [0.5, -1.0], "bias": 0.1, "mean": [0.0, 0.0], "std": [1.0, 1.0]}
+    for paths in ([str(tmp_path / "first.json")], [target]):
+        config.write_setting(spark, paths, "logreg_model", model, target)
+        assert config.read_config(spark, [target]) == {"mad_k": 7.0, "logreg_model": model}

@@ -214,3 +214,54 @@ def test_auc_against_pairs(spark):
     assert got.auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg))
     none = metrics.auc(spark.createDataFrame([], "p double, y int"), "p", "y").first()
     assert none.auc == 0.0
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_rules_do_not_depend_on_batches(spark, size):
+    rows, other = randoms(21, 5, 40), randoms(22, 5, 40)
+    a, b = table(spark, rows), table(spark, other)
+    ops = {
+        "nms": lambda: dedup.nms_anchored(a, 40), "last": lambda: dedup.dedup_last_kept(a, 40), "first": lambda: dedup.thin_keep_first(a, 40), "greedy": lambda: matching.match_greedy_unused(a, b, 20),
+        "ordered": lambda: matching.match_order_preserving(a, b, 20), "optimal": lambda: matching.match_optimal(a, b, 20), "recover": lambda: matching.recover_missed(a, b.where("id < 5"), b, 20, 60, 0.1, 30),
+    }
+    whole = {k: sorted(map(str, f().collect())) for k, f in ops.items()}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, size)
+    try:
+        for k, f in ops.items():
+            assert sorted(map(str, f().collect())) == whole[k], k
+    finally:
+        spark.conf.unset(key)
+
+
+def test_optimal_matching_against_a_whole_table():
+    import numpy as np
+
+    def whole(r, d, tolerance):
+        best = {(i, j): (0, 0) for i in range(len(r) + 1) for j in range(len(d) + 1) if not i or not j}
+        for i in range(1, len(r) + 1):
+            for j in range(1, len(d) + 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1])
+                if abs(r[i - 1] - d[j - 1]) <= tolerance:
+                    n, x = best[i - 1, j - 1]
+                    best[i, j] = max(best[i, j], (n + 1, x - abs(r[i - 1] - d[j - 1])))
+        return best[len(r), len(d)]
+
+    rng = np.random.default_rng(3)
+    for _ in range(120):
+        r, d = (np.sort(rng.integers(0, 150, rng.integers(0, 45))) for _ in range(2))
+        tolerance = int(rng.integers(0, 12))
+        got = matching.best_assignment(r, d, tolerance)
+        assert all(a < b and c < e for (a, c), (b, e) in zip(got, got[1:]))
+        assert all(abs(r[i] - d[j]) <= tolerance for i, j in got)
+        assert (len(got), -sum(abs(int(r[i]) - int(d[j])) for i, j in got)) == whole(r.tolist(), d.tolist(), tolerance)
+
+
+def test_one_busy_clip(spark):
+    """A single stretch without gaps, in time linear in its rows."""
+    n = 60000
+    r = spark.range(n).select(F.lit("a").alias("clip"), "id", (F.col("id") * 10).alias("t"), (F.col("id") % 7 / 7.0).alias("conf"))
+    d = r.withColumn("t", F.col("t") + 3)
+    assert dedup.dedup_last_kept(r, 25).count() > 1000
+    for op in (matching.match_greedy_unused, matching.match_order_preserving, matching.match_optimal):
+        assert op(r.select("clip", "id", "t"), d.select("clip", "id", "t"), 12).where("det_id = ref_id").count() == n, op.__name__

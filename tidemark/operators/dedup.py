@@ -1,8 +1,8 @@
 """De-duplication of timed rows.  Five rules that differ in what they compare with; none replaces another.
 
-Every rule works on (clip, t, id, conf) rows, t in integer microseconds; `id` breaks ties.  Rows further apart than the
-rule's gap cannot influence one another, so a clip is first cut into segments at such gaps and each segment is folded
-on its own: the state a fold holds is bounded by a busy stretch, not by a clip, and one exchange on clip serves both steps.
+Every rule works on (clip, t, id, conf) rows, t in integer microseconds; `id` breaks ties.  The order-dependent ones pass over a
+clip's rows in order and hold the current survivor alone (see ordered); suppression by priority first cuts a clip where a gap
+is larger than its distance, since rows on both sides cannot influence one another.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.kernels import thin_by_height
-
-Step = Callable[[Column, Column, Column], tuple[Column, Column]]
-
+from tidemark.operators.ordered import more, survivors
 
 def in_time(clip: str = "clip", t: str = "t", id: str = "id"):
     return Window.partitionBy(clip).orderBy(t, id)
@@ -31,34 +29,26 @@ def segments(df: DataFrame, gap: int | Column, join_equal: bool = False, name: s
     return df.withColumn("_opens", opens.cast("int")).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def _fold(df: DataFrame, gap: int, step: Step, join_equal: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Folds each segment in time order.  step(current, anchor, row) says whether the row joins the current survivor, and whether it replaces it."""
-    row = F.struct("t", "id", "conf", *extra)
-    grouped = segments(df, gap, join_equal).groupBy("clip", "_segment").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.element_at("rows", 1)
-    zero = F.struct(F.slice("rows", 1, 0).alias("done"), first.alias("cur"), first["t"].alias("anchor"))
+def _kept(df: DataFrame, step, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The survivors under step(current, anchor, row), rows being (t, id, conf, *extra)."""
+    return survivors(df, ("clip",), ("t", "id", "conf", *extra), step).select("clip", "id", "t", "conf", *extra)
 
-    def merge(s: Column, x: Column) -> Column:
-        joins, replaces = step(s["cur"], s["anchor"], x)
-        inside = F.struct(s["done"].alias("done"), F.when(replaces, x).otherwise(s["cur"]).alias("cur"), s["anchor"].alias("anchor"))
-        opened = F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), x.alias("cur"), x["t"].alias("anchor"))
-        return F.when(joins, inside).otherwise(opened)
 
-    rest = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
-    kept = F.aggregate(rest, zero, merge, lambda s: F.concat(s["done"], F.array(s["cur"])))
-    return grouped.select("clip", F.explode(kept).alias("k")).select("clip", "k.id", "k.t", "k.conf", *[f"k.{c}" for c in extra])
+def nms_anchored(df: DataFrame, window: int | str) -> DataFrame:
+    """A cluster is every row less than `window` after its first row; the best confidence stays, the first on ties.
 
-
-def nms_anchored(df: DataFrame, window: int) -> DataFrame:
-    """A cluster is every row less than `window` after its first row; the best confidence stays, the first on ties."""
+    window may name a column that is the same for all rows of a clip, which then comes along.
+    """
+    if isinstance(window, str):
+        return _kept(df, lambda cur, anchor, x: (x[0] - anchor < x[3], more(x[2], cur[2])), (window,))
     if window <= 0:
         return df.select("clip", "id", "t", "conf")
-    return _fold(df, window, lambda cur, anchor, x: (x["t"] - anchor < window, x["conf"] > cur["conf"]))
+    return _kept(df, lambda cur, anchor, x: (x[0] - anchor < window, more(x[2], cur[2])))
 
 
 def dedup_last_kept(df: DataFrame, gap: int) -> DataFrame:
     """A row less than `gap` after the last survivor joins it and takes its place if its confidence is strictly higher."""
-    return _fold(df, gap, lambda cur, anchor, x: (x["t"] - cur["t"] < gap, x["conf"] > cur["conf"]))
+    return _kept(df, lambda cur, anchor, x: (x[0] - cur[0] < gap, more(x[2], cur[2])))
 
 
 def dedup_moving_best(df: DataFrame, gap: int, more_than: int = 5) -> DataFrame:
@@ -71,15 +61,15 @@ def dedup_moving_best(df: DataFrame, gap: int, more_than: int = 5) -> DataFrame:
 def dedup_soft(df: DataFrame, low: int, high: int, value: str, near: float) -> DataFrame:
     """A row from low to high after the last survivor (both included) whose `value` differs by less than `near` joins it."""
     def step(cur, anchor, x):
-        dt = x["t"] - cur["t"]
-        return (dt >= low) & (dt <= high) & (F.abs(x[value] - cur[value]) < near), x["conf"] > cur["conf"]
+        alike = x[3] is not None and cur[3] is not None and abs(x[3] - cur[3]) < near
+        return low <= x[0] - cur[0] <= high and alike, more(x[2], cur[2])
 
-    return _fold(df, high, step, join_equal=True, extra=(value,))
+    return _kept(df, step, (value,))
 
 
 def thin_keep_first(df: DataFrame, gap: int) -> DataFrame:
     """A row stays if it is `gap` or more after the last one that stayed."""
-    return _fold(df, gap, lambda cur, anchor, x: (x["t"] - cur["t"] < gap, F.lit(False)))
+    return _kept(df, lambda cur, anchor, x: (x[0] - cur[0] < gap, False))
 
 
 def cluster_gap_chain(df: DataFrame, window: int | Column) -> DataFrame:

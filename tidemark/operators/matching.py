@@ -1,17 +1,22 @@
 """Joins of timed rows with a tolerance.
 
 References and detections are (clip, id, t[, conf]) tables with t in integer microseconds.  Range joins use buckets as
-wide as the range, so they are equi-joins on (clip, bucket) with a residual test.  Assignments that depend on order are
-folded over segments: stretches without a gap of more than the tolerance, which cannot compete for each other's rows.
+wide as the range, so they are equi-joins on (clip, bucket) with a residual test.  Assignments that depend on order pass over a
+clip's rows of both sides in order of time and hold those within the tolerance (see ordered); the optimal one holds a stretch without a
+gap of more than the tolerance, since rows of different stretches cannot compete.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import each_key
+
 
 def range_join(left: DataFrame, right: DataFrame, before: int, after: int, strict: bool = False) -> DataFrame:
     """Pairs with left.t - before <= right.t <= left.t + after in the same clip (strictly inside if strict).
@@ -106,27 +111,60 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None
     return out
 
 
-def _grouped(refs: DataFrame, dets: DataFrame, tolerance: int, keys: tuple[str, ...] = ("clip",)) -> DataFrame:
-    """One row for each segment with a reference: sorted arrays refs and dets of structs (t, id, conf)."""
-    conf = F.col("conf") if "conf" in dets.columns else F.lit(None).cast("double")
-    rconf = F.col("conf") if "conf" in refs.columns else F.lit(None).cast("double")
-    both = refs.select(*keys, F.lit(1).alias("side"), "t", "id", rconf.alias("conf")).unionByName(dets.select(*keys, F.lit(0).alias("side"), "t", "id", conf.alias("conf")))
-    w = Window.partitionBy(*keys).orderBy("t", "side", "id")
-    opens = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("int"), F.lit(1))
-    both = both.withColumn("_opens", opens).withColumn("_segment", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    row = F.struct("t", "id", "conf")
-    sides = [F.array_sort(F.collect_list(F.when(F.col("side") == s, row))).alias(n) for n, s in (("refs", 1), ("dets", 0))]
-    return both.groupBy(*keys, "_segment").agg(*sides).where(F.size("refs") > 0).drop("_segment")
+def _sides(refs: DataFrame, dets: DataFrame, keys: tuple[str, ...], limit: Column) -> DataFrame:
+    """Both sides in one table: keys, t, side (1 for references), id and each reference's limit."""
+    r = refs.select(*keys, "t", F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), limit.cast("double").alias("limit"))
+    return r.unionByName(dets.select(*keys, "t", F.lit(0).alias("side"), F.col("id").cast("long").alias("id"), F.lit(None).cast("double").alias("limit")))
+
 
+PAIR = "ref_id long, ref_t long, det_id long, det_t long"
 
-def _pairs(grouped: DataFrame, out: Column, keys: tuple[str, ...]) -> DataFrame:
-    x = grouped.select(*keys, F.explode(out).alias("p"))
-    return x.select(*keys, F.col("p.r.id").alias("ref_id"), F.col("p.r.t").alias("ref_t"), F.col("p.d.id").alias("det_id"), F.col("p.d.t").alias("det_t"), F.abs(F.col("p.d.t") - F.col("p.r.t")).alias("dt"))
 
+def _with_distance(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("dt", F.abs(F.col("det_t") - F.col("ref_t")))
 
-def _nearest(dets: Column, t: Column) -> Column:
-    """(distance, place from 1) of the nearest row of an array, the first on ties; null if it is empty."""
-    return F.array_min(F.transform(dets, lambda d, i: F.struct(F.abs(d["t"] - t).alias("dt"), (i + 1).alias("at"))))
+
+def _in_turn(refs: DataFrame, dets: DataFrame, tolerance: int, keys: tuple[str, ...], limit: Column, strict: bool, behind: bool) -> DataFrame:
+    """References in order of (t, id) take the nearest free detection (the earlier on ties), if within their limit.
+
+    What was taken is no longer free; with `behind`, nor is what stands before it.
+    """
+    def make(emit):
+        waiting: deque[tuple] = deque()
+        free: list[tuple] = []  # (t, id) in order
+
+        def settle() -> None:
+            t, ref, most = waiting.popleft()
+            del free[: bisect_left(free, (t - tolerance,))]
+            i = bisect_left(free, (t,))
+            if i and (i == len(free) or t - free[i - 1][0] <= free[i][0] - t):
+                i = bisect_left(free, (free[i - 1][0],))
+            d = free[i] if i < len(free) else None
+            if d is not None and most is not None and (abs(d[0] - t) < most or (not strict and abs(d[0] - t) == most)):
+                del free[0 if behind else i : i + 1]
+                emit((ref, t, d[1], d[0]))
+            else:
+                emit((ref, t, None, None))
+
+        def take(row) -> None:
+            t, side, i, most = row
+            while waiting and waiting[0][0] + tolerance < t:
+                settle()
+            if side:
+                waiting.append((t, i, most))
+            else:
+                free.append((t, i))
+                if not waiting:  # what lies further back than the tolerance is of no use to anyone to come
+                    del free[: bisect_left(free, (t - tolerance,))]
+
+        def end() -> None:
+            while waiting:
+                settle()
+            free.clear()
+
+        return take, end
+
+    return _with_distance(each_key(_sides(refs, dets, keys, limit), keys, ("t", "side", "id", "limit"), ("t", "side", "id"), make, PAIR))
 
 
 def match_greedy_unused(refs: DataFrame, dets: DataFrame, tolerance: int, keys: tuple[str, ...] = ("clip",), strict: bool = False, per_row: str | None = None) -> DataFrame:
@@ -135,25 +173,7 @@ def match_greedy_unused(refs: DataFrame, dets: DataFrame, tolerance: int, keys:
     Returns every reference, with null det_id if none.  With `strict`, closer than the tolerance.  `per_row` names a
     column of refs that holds each reference's own tolerance, at most `tolerance`.
     """
-    refs_in = refs.withColumn("conf", F.col(per_row).cast("double")) if per_row else refs
-    g = _grouped(refs_in, dets, tolerance, keys)
-    pair = F.struct(F.get("refs", F.lit(0)).alias("r"), F.get("dets", F.lit(0)).alias("d"))
-    empty = F.slice(F.array(pair), 1, 0)
-
-    def merge(s: Column, r: Column) -> Column:
-        near = _nearest(s["free"], r["t"])
-        limit = r["conf"] if per_row else F.lit(tolerance)
-
-        def take(n: Column) -> Column:
-            ok = F.coalesce((n["dt"] < limit) if strict else (n["dt"] <= limit), F.lit(False))
-            hit = F.when(ok, F.get(s["free"], n["at"] - 1))
-            free = F.when(ok, F.filter(s["free"], lambda d, i: i != n["at"] - 1)).otherwise(s["free"])
-            return F.struct(free.alias("free"), F.concat(s["out"], F.array(F.struct(r.alias("r"), hit.alias("d")))).alias("out"))
-
-        return F.transform(F.array(near), take)[0]
-
-    out = F.aggregate("refs", F.struct(F.col("dets").alias("free"), empty.alias("out")), merge, lambda s: s["out"])
-    return _pairs(g, out, keys)
+    return _in_turn(refs, dets, tolerance, keys, F.col(per_row) if per_row else F.lit(tolerance), strict, False)
 
 
 def match_nearest_then_check(refs: DataFrame, dets: DataFrame, tolerance: int) -> DataFrame:
@@ -166,65 +186,67 @@ def match_nearest_then_check(refs: DataFrame, dets: DataFrame, tolerance: int) -
 
 def match_order_preserving(refs: DataFrame, dets: DataFrame, tolerance: int, keys: tuple[str, ...] = ("clip",)) -> DataFrame:
     """References in time order take the nearest detection behind the last one taken, if within the tolerance."""
-    g = _grouped(refs, dets, tolerance, keys)
-    pair = F.struct(F.get("refs", F.lit(0)).alias("r"), F.get("dets", F.lit(0)).alias("d"))
-
-    def merge(s: Column, r: Column) -> Column:
-        near = _nearest(s["free"], r["t"])
-
-        def take(n: Column) -> Column:
-            ok = F.coalesce(n["dt"] <= tolerance, F.lit(False))
-            hit = F.when(ok, F.get(s["free"], n["at"] - 1))
-            free = F.when(ok, F.slice(s["free"], n["at"] + 1, F.greatest(F.size(s["free"]) - n["at"], F.lit(0)))).otherwise(s["free"])
-            return F.struct(free.alias("free"), F.concat(s["out"], F.array(F.struct(r.alias("r"), hit.alias("d")))).alias("out"))
-
-        return F.transform(F.array(near), take)[0]
-
-    out = F.aggregate("refs", F.struct(F.col("dets").alias("free"), F.slice(F.array(pair), 1, 0).alias("out")), merge, lambda s: s["out"])
-    return _pairs(g, out, keys)
+    return _in_turn(refs, dets, tolerance, keys, F.lit(tolerance), False, True)
 
 
 def best_assignment(r: np.ndarray, d: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
     """Most pairs within the tolerance, then least total distance; r and d sorted.
 
-    On a line some best assignment never crosses, so a table over prefixes finds it.
+    On a line some best assignment never crosses, so a table over prefixes finds it.  A reference changes it only at the detections within
+    its tolerance, so no more of it is held, relative to the value before them.
     """
     n, m = len(r), len(d)
-    big = 1 << 50
-    best = np.zeros((n + 1, m + 1), np.int64)  # big for each pair, less the distances
+    low, high = np.searchsorted(d, r - tolerance, "left"), np.searchsorted(d, r + tolerance, "right")
+    big = 1 << max(44, int(n * max(int(tolerance), 1)).bit_length() + 1)  # for each pair, less the distances
+    table: list[tuple[np.ndarray, np.ndarray]] = []
+    value, begin = np.zeros(1, np.int64), 0  # of the prefixes of `begin` detections and more; the last holds for all longer ones
     for i in range(n):
-        gain = np.where(np.abs(d - r[i]) <= tolerance, big - np.abs(d - r[i]), -big)
-        take = best[i, :-1] + gain
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(take, best[i, 1:]))
-    out, i, j = [], n, m
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+        a, b = low[i], high[i]
+        before = value[np.minimum(np.arange(a, b + 1) - begin, len(value) - 1)]
+        before = before - before[0]
+        after = before.copy()
+        after[1:] = np.maximum.accumulate(np.maximum(before[:-1] + big - np.abs(d[a:b] - r[i]), before[1:]))
+        table.append((before, after))
+        value, begin = after, a
+    out, j = [], m
+    for i in range(n - 1, -1, -1):
+        before, after = table[i]
+        k = min(j, high[i]) - low[i]
+        if k > 0 and after[k] != before[k]:
+            k = int(np.searchsorted(after, after[k], "left"))  # the shortest prefix of that value
+            j = low[i] + k - 1
+            out.append((i, int(j)))
     return out[::-1]
 
 
 def match_optimal(refs: DataFrame, dets: DataFrame, tolerance: int) -> DataFrame:
-    """The assignment with most pairs within the tolerance and then least total distance, segment by segment."""
-    g = _grouped(refs, dets, tolerance)
-
-    def run(it):
-        for rows in it:
-            out = []
-            for clip, rs, ds in zip(rows["clip"], rows["refs"], rows["dets"]):
-                r, d = [np.array([x["t"] for x in xs], np.int64) for xs in (rs, ds)]
-                pair = dict(best_assignment(r, d, tolerance))
-                out += [(clip, x["id"], x["t"], ds[pair[i]]["id"] if i in pair else None, ds[pair[i]]["t"] if i in pair else None) for i, x in enumerate(rs)]
-            frame = pd.DataFrame(out, columns=["clip", "ref_id", "ref_t", "det_id", "det_t"])
-            yield frame.assign(det_id=frame["det_id"].astype("Int64"), det_t=frame["det_t"].astype("Int64"))
-
-    kinds = {f.name: f.dataType.simpleString() for f in refs.schema.fields}
-    out = g.mapInPandas(run, f"clip {kinds['clip']}, ref_id long, ref_t long, det_id long, det_t long")
-    return out.withColumn("dt", F.abs(F.col("det_t") - F.col("ref_t")))
+    """The assignment with most pairs within the tolerance and then least total distance, stretch by stretch."""
+    def make(emit):
+        sides: tuple[list, list] = ([], [])
+        last = None
+
+        def end() -> None:
+            nonlocal last
+            ds, rs = sides
+            pair = dict(best_assignment(np.array([t for t, _ in rs], np.int64), np.array([t for t, _ in ds], np.int64), tolerance)) if rs else {}
+            for i, (t, ref) in enumerate(rs):
+                found = ds[pair[i]] if i in pair else (None, None)
+                emit((ref, t, found[1], found[0]))
+            ds.clear()
+            rs.clear()
+            last = None
+
+        def take(row) -> None:
+            nonlocal last
+            t, side, i, _ = row
+            if last is not None and t - last > tolerance:
+                end()
+            last = t
+            sides[side].append((t, i))
+
+        return take, end
+
+    return _with_distance(each_key(_sides(refs, dets, ("clip",), F.lit(None)), ("clip",), ("t", "side", "id", "limit"), ("t", "side", "id"), make, PAIR))
 
 
 def cross_tolerance(a: DataFrame, b: DataFrame, least: int, most: int, share: float = 0.5) -> DataFrame:
@@ -261,9 +283,21 @@ def recover_missed(refs: DataFrame, dets: DataFrame, candidates: DataFrame, tole
     pick = F.min(F.struct(F.abs(F.col("r_t") - F.col("t")).alias("d"), F.col("r_t").alias("ct"), F.col("r_id").alias("cid"), F.col("r_conf").alias("cconf"))).alias("c")
     best = pairs.groupBy("clip", "id", "t").agg(pick).select("clip", F.col("t").alias("rt"), F.col("id").alias("rid"), F.col("c.cid").alias("id"), F.col("c.ct").alias("t"), F.col("c.cconf").alias("conf"))
     free = best.join(anti(best.select("clip", "id", "t").distinct(), dets, apart, apart).select("clip", "id"), ["clip", "id"], "left_semi")
-    rows = free.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("rt", "rid", "t", "id", "conf"))).alias("rows"))
-    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda s, x: F.when(F.exists(s, lambda y: F.abs(y["t"] - x["t"]) <= apart), s).otherwise(F.concat(s, F.array(x))))
-    added = rows.select("clip", F.explode(kept).alias("k")).select("clip", "k.id", "k.t", "k.conf", F.lit(True).alias("recovered"))
+
+    def make(emit):
+        taken: list[int] = []
+
+        def take(row) -> None:
+            rt, rid, t, i = row
+            at = bisect_left(taken, t)
+            if all(abs(v - t) > apart for v in taken[max(0, at - 1) : at + 1]):
+                taken.insert(at, t)
+                emit((i, t))
+
+        return take, taken.clear
+
+    kept = each_key(free, ("clip",), ("rt", "rid", "t", "id"), ("rt", "rid", "t", "id"), make, "id long, t long").distinct()
+    added = free.select("clip", "id", "t", "conf").distinct().join(kept, ["clip", "id", "t"], "left_semi").select("clip", "id", "t", "conf", F.lit(True).alias("recovered"))
     return dets.select("clip", "id", "t", "conf", F.lit(False).alias("recovered")).unionByName(added)
 
 
@@ -290,6 +324,13 @@ def window_stats(refs: DataFrame, frames: DataFrame, before: int, after: int, va
     return out.withColumn("ratio", F.col("after_peak") / (F.col("before_peak") + 1e-9))
 
 
+def window_series(refs: DataFrame, frames: DataFrame, before: int, after: int, value: str = "value") -> DataFrame:
+    """(clip, ref_id, series): the frames (t, value) of each reference's window in order; references without any are left out."""
+    pairs = range_join(refs.select("clip", "id", "t"), frames.select("clip", "id", "t", F.col(value).alias("value")), before, after)
+    row = F.struct(F.col("r_t").alias("t"), F.col("r_id").alias("id"), F.col("r_value").alias("value"))
+    return pairs.groupBy("clip", F.col("id").alias("ref_id")).agg(F.array_sort(F.collect_list(row)).alias("series"))
+
+
 def offset_scan(refs: DataFrame, dets: DataFrame, tolerance: int, offsets: list[int]) -> DataFrame:
     """Order-preserving matches for references moved by each offset: clip, offset, n, mae, and best (most matches, then least mae, then least offset)."""
     moved = refs.select("clip", "id", "t").withColumn("offset", F.explode(F.array(*[F.lit(int(o)).cast("long") for o in offsets]))).withColumn("t", F.col("t") + F.col("offset"))

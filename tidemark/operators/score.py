@@ -145,9 +145,10 @@ def negative_windows(clips: DataFrame, shots: DataFrame, length: int, apart: int
 def random_negatives(clips: DataFrame, beeps: DataFrame, per_clip: int, margin: int, length: int, seed: int = 42) -> DataFrame:
     """(clip, id, t): `per_clip` seeded draws of a start time, those within the margin of a beep left out.
 
-    Draws come from a hash of clip, number and seed, so a rerun gives the same rows.
+    Draws come from the MD5 of clip, number and seed, so a rerun gives the same rows.
     """
     draws = clips.select("clip", "duration", F.explode(F.sequence(F.lit(0), F.lit(per_clip - 1))).alias("id"))
-    u = F.shiftrightunsigned(F.xxhash64("clip", "id", F.lit(seed)), 11).cast("double") / float(1 << 53)
+    digest = F.left(F.md5(F.concat_ws("|", F.col("clip").cast("string"), F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), F.lit(13))
+    u = F.conv(digest, 16, 10).cast("double") / float(1 << 52)
     at = draws.where(F.col("duration") > length).select("clip", F.col("id").cast("long").alias("id"), F.floor(u * (F.col("duration") - length)).cast("long").alias("t"))
     return anti(at, beeps, margin, margin)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
@@ -47,12 +46,11 @@ def threshold_sweep(refs: DataFrame, dets: DataFrame, tolerance: int, thresholds
 
 def grid_search(refs: DataFrame, dets: DataFrame, tolerance: int, thresholds: list[float], windows: list[int]) -> DataFrame:
     """Pooled scores for each confidence threshold and suppression window, and which is best (then the lowest of each)."""
-    d = _keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold"))
-    d = d.withColumn("clip", F.struct("clip", "threshold")).select("clip", "id", "t", "conf")
-    kept = [dedup.nms_anchored(d, w).select(F.struct(F.col("clip.clip").alias("clip"), F.col("clip.threshold").alias("threshold"), F.lit(w).cast("long").alias("window")).alias("clip"), "id", "t") for w in windows]
-    every = reduce(DataFrame.unionByName, kept)
-    r = _keyed(_keyed(refs, "threshold", thresholds), "window", windows)
-    r = r.select(F.struct("clip", "threshold", F.col("window").cast("long").alias("window")).alias("clip"), "id", "t")
+    setting = F.struct("clip", "threshold", "window").alias("clip")
+    windows = [int(w) for w in windows]
+    d = _keyed(_keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold")), "window", windows).withColumn("window", F.col("window").cast("long"))
+    every = dedup.nms_anchored(d.select(setting, "id", "t", "conf", "window"), "window").drop("window")
+    r = _keyed(_keyed(refs, "threshold", thresholds), "window", windows).withColumn("window", F.col("window").cast("long")).select(setting, "id", "t")
     m = match_nearest_then_check(r, every, tolerance)
     per = counts(m, every).withColumn("threshold", F.col("clip.threshold")).withColumn("window", F.col("clip.window"))
     out = pooled(per, ("threshold", "window")).drop("clips")
@@ -62,14 +60,12 @@ def grid_search(refs: DataFrame, dets: DataFrame, tolerance: int, thresholds: li
 
 def energy_sweep(refs: DataFrame, dets: DataFrame, tolerances: list[int], thresholds: list[float], enough: float = 0.9999) -> DataFrame:
     """Scores of greedy matches by tolerance and threshold, and the first setting (tolerances in order, thresholds from the highest) whose recall is enough."""
-    setting = [F.struct(F.lit(i).alias("i"), F.lit(int(t)).cast("long").alias("tolerance")) for i, t in enumerate(tolerances)]
-    frames = []
-    for s, tol in zip(setting, tolerances):
-        d = _keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold"))
-        r = _keyed(refs, "threshold", thresholds)
-        m = match_greedy_unused(r, d, tol, ("clip", "threshold"))
-        frames.append(pooled(counts(m, d, ("clip", "threshold")), ("threshold",)).withColumn("s", s))
-    out = reduce(DataFrame.unionByName, frames).select("s.i", "s.tolerance", "threshold", "n_gt", "n_det", "tp", "fp", "fn", "precision", "recall", "f1")
+    settings = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(int(t)).cast("long").alias("tolerance")) for i, t in enumerate(tolerances)]))
+    keys = ("clip", "i", "tolerance", "threshold")
+    d = _keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold")).withColumn("_s", settings).select("*", "_s.*").drop("_s")
+    r = _keyed(refs, "threshold", thresholds).withColumn("_s", settings).select("*", "_s.*").drop("_s")
+    m = match_greedy_unused(r, d, max(tolerances), keys, per_row="tolerance")
+    out = pooled(counts(m, d, keys), keys[1:]).select("i", "tolerance", "threshold", "n_gt", "n_det", "tp", "fp", "fn", "precision", "recall", "f1")
     w = Window.orderBy((F.col("recall") >= enough).desc(), "i", F.col("threshold").desc())
     return out.withColumn("first", (F.row_number().over(w) == 1) & (F.col("recall") >= enough)).drop("i")
 

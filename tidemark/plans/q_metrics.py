@@ -221,12 +221,15 @@ w AS (SELECT clip, count(*) AS want FROM sh GROUP BY clip) SELECT f.clip, start,
 
 @query
 def random_negatives(spark, d):
-    """Rows only: draws come from a hash that DuckDB lacks."""
     c = _clips(spark, d)
     b = timeline(spark, d, BEEP).join(c, "clip").select("clip", "id", (F.col("t") - F.col("t0")).alias("t"))
     return score.random_negatives(c.select("clip", (F.col("t1") - F.col("t0")).alias("duration")), b, 20, 6 * HOUR, HOUR)
 
 
+SQL["random_negatives"] = f"""WITH {_CL}, be AS (SELECT ev.clip, ev.t - t0 AS t FROM ev JOIN cl ON cl.clip = ev.clip WHERE kind = '{BEEP}'), dr AS (SELECT clip, dur, unnest(range(20)) AS id FROM cl WHERE dur > {HOUR}),
+x AS (SELECT clip, id, CAST(floor(('0x' || left(md5(clip || '|' || id || '|42'), 13))::BIGINT / 4503599627370496.0::DOUBLE * (dur - {HOUR})) AS BIGINT) AS t FROM dr) SELECT clip, id, t FROM x WHERE NOT EXISTS (SELECT 1 FROM be WHERE be.clip = x.clip AND abs(be.t - x.t) <= {6 * HOUR})"""
+
+
 @query
 def shell_features(spark, d):
     """Twelve values around every detection, four of them before it."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from tidemark.plans import q_match
 from tidemark.plans.bind import BEEP, DET, EV, HOUR, read, role, timeline
 from tidemark.sources import parse, readers, sinks
 
@@ -264,14 +267,26 @@ SQL["label_override"] = "SELECT CAST(event_id AS VARCHAR) AS audit_id, CASE WHEN
 
 @query
 def events_document(spark, d):
-    """Rows only: JSON text differs between engines; tests read it back."""
+    """What the JSON of every clip says, read back: the text itself differs between engines."""
     clips = timeline(spark, d).select("clip").distinct().withColumn("fps", F.lit(30.0))
-    return sinks.events_document(clips, timeline(spark, d, DET), timeline(spark, d, BEEP))
+    x = sinks.events_document(clips, timeline(spark, d, DET), timeline(spark, d, BEEP))
+    doc = F.from_json("document", "video struct<clip:long,fps:double>, t0_beep_s double, beeps array<struct<t:long,id:long>>, shots array<struct<t:long,id:long,conf:double>>, shot_times_since_beep array<double>")
+    x = x.select("clip", doc.alias("j"))
+    total = F.aggregate("j.shot_times_since_beep", F.lit(0.0), lambda s, v: s + v)
+    return x.select("clip", F.col("j.video.fps").alias("fps"), F.col("j.t0_beep_s").alias("t0"), F.size(F.coalesce("j.beeps", F.array())).alias("beeps"), F.array_join(F.transform(F.coalesce("j.shots", F.array()), lambda r: r["id"]), ",").alias("shots"), F.round(F.coalesce(total, F.lit(0.0)), 3).alias("since"))
+
+
+SQL["events_document"] = f"""WITH {EV}, c AS (SELECT DISTINCT clip FROM ev), b AS (SELECT clip, count(*) AS n, arg_min(t, (t, id)) AS t0 FROM ev WHERE kind = '{BEEP}' GROUP BY clip), s AS (SELECT clip, t, id FROM ev WHERE kind = '{DET}')
+SELECT c.clip, 30.0::DOUBLE AS fps, coalesce(any_value(t0), 0) / 1e6 AS t0, CAST(coalesce(any_value(b.n), 0) AS INT) AS beeps, coalesce(string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.t, s.id), '') AS shots, round(coalesce(sum((s.t - coalesce(t0, 0)) / 1e6), 0)::DOUBLE, 3) AS since FROM c LEFT JOIN b ON b.clip = c.clip LEFT JOIN s ON s.clip = c.clip GROUP BY c.clip"""
+
+
+_CONFIG = {"tolerance": 4, "nms": 1}
 
 
 @query
 def benchmark_record(spark, d):
-    """Rows only: it holds the time of the run."""
-    from tidemark.plans.q_match import prf_pooled
+    """The record without the time of the run."""
+    return sinks.benchmark_record(q_match.prf_pooled(spark, d), "bench", "users", _CONFIG).select("meta.tag", "meta.split_sha256", "meta.config_sha256", "pooled.*")
+
 
-    return sinks.benchmark_record(prf_pooled(spark, d), "bench", "users", {"tolerance": 4, "nms": 1}).select("meta.tag", "meta.split_sha256", "meta.config_sha256", "pooled.*")
+SQL["benchmark_record"] = f"""SELECT 'bench' AS tag, left(sha256('users'), 16) AS split_sha256, left(sha256('{json.dumps(_CONFIG, sort_keys=True)}'), 16) AS config_sha256, p.* FROM ({q_match.SQL['prf_pooled']}) p"""

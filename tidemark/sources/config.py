@@ -27,6 +27,15 @@ def read_config(spark: SparkSession, paths: list[str]) -> dict[str, Any]:
     return {}
 
 
+def write_setting(spark: SparkSession, paths: list[str], key: str, value: Any, target: str) -> dict[str, Any]:
+    """Writes the settings that read_config finds, with one of them replaced, to target (a folder of one text file, which read_config reads), and returns them."""
+    import json
+
+    config = read_config(spark, paths) | {key: value}
+    spark.createDataFrame([(json.dumps(config, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(target)
+    return config
+
+
 def apply(defaults, config: dict[str, Any]):
     """A copy of a parameter dataclass with the settings whose names and types fit; others are ignored."""
     kinds = {f.name: type(getattr(defaults, f.name)) for f in dataclasses.fields(defaults)}

@@ -4,22 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rounded(column, digits: int):
-    """Half-even rounding of the exact binary value, for sinks only."""
-    @F.pandas_udf("double")
-    def run(x):
-        q = Decimal(1).scaleb(-digits)
-        return x.map(lambda v: v if v is None or v != v else float(Decimal(v).quantize(q, ROUND_HALF_EVEN)))
-
-    return run(column)
-
-
 def events_document(clips: DataFrame, shots: DataFrame, beeps: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """(clip, document): one JSON object a clip, with its beeps, shots in order, times since the first beep, and matched ids."""
     s = shots.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("t", "id", "conf"))).alias("shots"))
@@ -92,3 +81,12 @@ def to_splits(times: DataFrame, digits: int = 4) -> DataFrame:
     """The first time, then the gaps."""
     w = Window.partitionBy("clip").orderBy("idx")
     return times.select("clip", "idx", F.round(F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0.0)), digits).alias("split"))
+
+
+def motion_features(stats: DataFrame, series: DataFrame) -> DataFrame:
+    """(clip, ref_id, document): one JSON object for each reference: its window's statistics, then motion_signal and time_signal."""
+    rest = [c for c in stats.columns if c not in ("clip", "ref_id")]
+    x = stats.join(series, ["clip", "ref_id"])
+    signal = F.transform("series", lambda r: F.round(r["value"], 6)).alias("motion_signal")
+    time = F.transform("series", lambda r: F.round(r["t"] / 1e6, 4)).alias("time_signal")
+    return x.select("clip", "ref_id", F.to_json(F.struct("clip", "ref_id", *rest, signal, time)).alias("document"))
