@@ -340,11 +340,11 @@ def mel_patches(audio: DataFrame, marks: DataFrame, **options) -> DataFrame:
     return at_marks(audio, marks, lambda x, sr, t: (kernels.mel_patch(x, sr, t, **options).astype(float).tolist(),), "patch array<array<double>>")
 
 
-def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, starts: DataFrame, before: int, after: int, **options) -> DataFrame:
+def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, starts: DataFrame, label_before: int, label_after: int, **options) -> DataFrame:
     """clip, id, t, label, patch: the candidates from their clip's start (clip, t) on, labelled by the references around them, each with its patch."""
     first = starts.groupBy("clip").agg(F.min("t").alias("_start"))
     late = candidates.join(first, "clip").where("t >= _start").select("clip", "id", "t")
-    labelled = matching.label(late, refs, before, after)
+    labelled = matching.label(late, refs, label_before, label_after)
     return mel_patches(audio, late, **options).join(labelled.select("clip", "id", "label"), ["clip", "id"])
 
 
