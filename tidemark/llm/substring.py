@@ -6,7 +6,7 @@ shards that can match it:
 
 1. Anchors.  Of each window of `window` words, the least hash of its GRAM-word sequences is its anchor.  Equal windows
    have equal anchors, and neighbouring windows mostly share one, so about two sevenths of the words suffice.  Anchors seen in
-   one document only are dropped; the others get a leader, the least document that has them.
+   one document only are dropped; the others get a leader, the document that has them and comes first by a hash.
 2. Regions.  The windows of a document with a shared anchor form regions, each sent, as words, to the shard of its
    anchors: SPAN words of their leader.  All documents with a window send it to the same shard.
 3. Shards.  A shard streams its documents in order of their ids through its automaton, which holds the regions of all smaller
@@ -34,8 +34,8 @@ from tidemark.llm._text import NON_SPACE, mix, new_name, partitions, slices, spa
 from tidemark.llm.automaton import SuffixAutomaton
 
 WINDOW, GRAM = 13, 6
-#: Words of a leader that make a shard, and documents of a part.
-SPAN, FAN = 4096, 512
+#: Words of a leader that make a shard, shards of a leader at most, and documents of a part.
+SPAN, PARTS, FAN = 4096, 1 << 20, 512
 #: Regions take a round, windows of parted shards another, and a third where they come from more than 2^MANY parts.
 ROUNDS, MANY = 3, 9
 #: Anchors only propose; 48 bits keep the shuffles small.
@@ -61,19 +61,26 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int =
 
 
 def _anchor_rows(keyed: DataFrame, window: int, span: int) -> DataFrame:
-    """h, doc_id and span (`span` words each, from 0) of the anchors of keyed(key, text), once for each run of windows."""
+    """h, doc_id and place of the anchors of keyed(key, text), once for each run of windows.
+
+    place orders documents by a hash (44 bits) and holds the number of the run's `span` words (20 bits), so that the least place of an anchor names a part
+    of one document, the same for most of that part's anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            owners = batch.column(0).to_numpy()
             for a, _, data, off in slices(batch, 1):
                 h, first = word_hashes(data, off, NON_SPACE)
                 start, doc, low = anchors(h, first, window)
                 if len(low):
                     new = _run_starts(low, doc)
-                    at = ((start[new] - first[doc[new]]) // span).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(low[new]), batch.column(0).take(pa.array(doc[new] + a)), pa.array(at)], names=["h", "doc_id", "span"])
+                    part = np.minimum((start[new] - first[doc[new]]) // span, PARTS - 1)
+                    owner = owners[doc[new] + a]
+                    place = (mix(owner.view(np.uint64)) >> np.uint64(20) << np.uint64(20)).view(np.int64) | part
+                    yield pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(owner), pa.array(place)], names=["h", "doc_id", "place"])
 
-    return keyed.mapInArrow(run, "h long, doc_id long, span int")
+    return keyed.mapInArrow(run, "h long, doc_id long, place long")
 
 
 def _run_starts(*columns: np.ndarray) -> np.ndarray:
@@ -239,10 +246,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, span: int = SPAN, fan:
 def _spans(keyed: DataFrame, window: int, span: int, fan: int) -> DataFrame:
     key = keyed.columns[-2]
     seen = _anchor_rows(keyed.where("doc_id is not null").select(key, "text"), window, span)
-    shared = seen.groupBy("h").agg(F.min(F.struct("doc_id", "span")).alias("lead"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("lead.doc_id < _last")
+    shared = seen.groupBy("h").agg(F.min("place").alias("shard"), F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).where("_first < _last")
     level = F.greatest(F.ceil(F.log2(F.col("_n") / fan)), F.lit(0)).cast("tinyint")
     # the anchor is rewritten (to itself), so that this small side of the join is dealt anew: Spark splits a hot anchor only then
-    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), F.xxhash64("lead.doc_id", "lead.span").alias("shard"), level.alias("level"))
+    shared = shared.select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"), "shard", level.alias("level"))
     lists = seen.select("h", "doc_id").join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "shard", "level")).alias(new_name("shared", keyed)))
     rows = _region_rows(keyed.join(lists.withColumnRenamed("doc_id", name := new_name("id", keyed)), F.col(key) == F.col(name)).drop(name), window)
     order = ["shard", "part", "rounds"]
