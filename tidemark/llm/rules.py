@@ -66,10 +66,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     m = _let(F.array_remove(F.split(whole, SPACE), ""), of)
-    flat = docs.withColumn("_m", m)
+    flat = docs.withColumn("m", m)
     names = ["n_words", "word_chars", "n_symbols", "n_repeat_words"]
-    out = flat.withColumn("m", F.struct(*[F.col(f"_m.{n}") for n in names], F.col("_m.lines.n").alias("n_lines"), F.col("_m.lines.dup").alias("n_dup_lines"), F.col("_m.case.capital").alias("n_capital"), F.col("_m.case.letterless").alias("n_letterless")))
-    return out.drop("_m")
+    return flat.withColumn("m", F.struct(*[F.col(f"m.{n}") for n in names], F.col("m.lines.n").alias("n_lines"), F.col("m.lines.dup").alias("n_dup_lines"), F.col("m.case.capital").alias("n_capital"), F.col("m.case.letterless").alias("n_letterless")))
 
 
 def _m(name: str) -> Column:
@@ -99,12 +98,12 @@ def mask(policy: str | Sequence[str]) -> int:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds m (measurements) and fail_bits (one bit for each rule that the document fails).
 
-    A text without words fails few_words alone.  Columns named m and fail_bits are replaced; all others, and repeated rows, stay.
+    A text without words fails few_words alone; a very long text is measured whole.  Columns named m and fail_bits are replaced; all others, and repeated rows, stay.
     """
     bits = F.lit(0).cast("long")
     for name, failed in RULES:
         bits = bits + F.when(failed(), F.lit(BITS[name])).otherwise(F.lit(0))
-    return measure(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("m", "fail_bits", "_m")]), text).withColumn("fail_bits", bits)
+    return measure(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("m", "fail_bits")]), text).withColumn("fail_bits", bits)
 
 
 def passes(policy: str | Sequence[str]) -> Column:

@@ -37,12 +37,12 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown: Sequ
 def add_slots(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
     """Adds slot, a gapless number from 0 within each shard.
 
-    Rows are numbered within (shard, key-hash bucket) groups, and a small table of group sizes gives each group its
-    first number, so no shard is ever gathered in one task.  Ties of the key fall to `order`; equal rows are
-    interchangeable.
+    Rows are numbered within (shard, bucket) groups, and a small table of group sizes gives each group its
+    first number, so no shard is ever gathered in one task.  A bucket comes from the key and `order`, so the rows of a repeated key spread
+    as far as they differ; equal rows are interchangeable.
     """
     n = 4 * partitions(df.sparkSession)
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(n)).cast("int"))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), *order), F.lit(n)).cast("int"))
     sizes = df.groupBy("shard", "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
@@ -54,7 +54,7 @@ def add_slots(df: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, by its doc_id over equal shards.
 
-    Null text: size 1 and the CRC of nothing, 0.  A null doc_id is a key of its own.  Repeated rows each get a slot.
+    Null text: size 1 and the CRC of nothing, 0.  A very long text is read once, for its size and CRC.  A null doc_id is a key of its own.  Repeated rows each get a slot.
     An empty table gives no rows; extra columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links of distinct fingerprints) of every row.
 
     Equal fingerprints always share a component.  Null, empty and wordless texts have fingerprint zero and are linked
-    like any other.  Repeated rows give repeated rows; rows of null doc_id take part, and a component of only such
+    like any other; a very long text is hashed whole in its task.  Columns other than doc_id and text are not read.  Repeated rows give repeated rows; rows of null doc_id take part, and a component of only such
     rows has a null id.  An empty table gives no rows.
     """
     fp = checkpoint(fingerprints(docs, width))
