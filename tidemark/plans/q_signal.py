@@ -412,12 +412,6 @@ def beep_detector(spark, d):
     return detect.beeps(_audio(spark, d).withColumn("sr", F.lit(10.0)), _slow_beeps())
 
 
-@query
-def all_beeps(spark, d):
-    """Rows only, as beep_detector."""
-    return detect.beeps(_audio(spark, d).withColumn("sr", F.lit(10.0)), _slow_beeps(), first_only=False)
-
-
 @query
 def tune_beeps(spark, d):
     """Rows only: the beep search over its 24 settings."""
