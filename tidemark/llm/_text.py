@@ -116,6 +116,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def forget_powers() -> None:
+    """Frees the powers that span_hash keeps from call to call, for processes that do not go on hashing."""
+    _powers.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     with np.errstate(over="ignore"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import LOWER, NON_SPACE, _power, mix, slices, words
+from tidemark.llm._text import LOWER, NON_SPACE, _power, forget_powers, mix, slices, words
 
 BUCKETS = 1 << 16
 #: Documents of a language in the sample, bytes of their texts (a first text of more is taken all the same), and languages at most.
@@ -256,7 +256,9 @@ def fit(docs: DataFrame, train_rows: Column | None = None, per_language: int = P
     same = rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["lang"] == chosen["lang"]) & (rows["name"] == chosen["name"])
     found = rows.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["doc_id", "lang", "name"])
     sample = sorted(found.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "name", "text").collect(), key=lambda r: (r.lang, r.h, r.name))
-    return train([r.text for r in sample], [r.lang for r in sample])
+    model = train([r.text for r in sample], [r.lang for r in sample])
+    forget_powers()  # the driver trains once and then only plans
+    return model
 
 
 def label_slice(model: dict, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

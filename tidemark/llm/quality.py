@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import ALNUM, LOWER, checkpoint, mix, slices, span_hash, words
+from tidemark.llm._text import ALNUM, LOWER, checkpoint, forget_powers, mix, slices, span_hash, words
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -152,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     chosen = fits.select("doc_id").distinct().join(truth, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST)).join(F.broadcast(chosen), "doc_id")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()
-    return train([r.text for r in rows], np.array([[np.nan if r[f"_{t}"] is None else r[f"_{t}"] for t in TARGETS] for r in rows], float).reshape(len(rows), len(TARGETS)))
+    model = train([r.text for r in rows], np.array([[np.nan if r[f"_{t}"] is None else r[f"_{t}"] for t in TARGETS] for r in rows], float).reshape(len(rows), len(TARGETS)))
+    forget_powers()  # the driver trains once and then only plans
+    return model
 
 
 def evidence(docs: DataFrame, model: dict) -> DataFrame:
