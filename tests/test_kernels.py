@@ -53,7 +53,9 @@ def test_beep_is_found_and_refined(spark):
     t = detect.beeps(audio(spark, x, about=1.8), Beep(head=0.15)).first().t / 1e6
     assert abs(t - 1.9) < 0.35
     assert abs(detect.beep_near(audio(spark, x, about=2.0), 0.5).first().t / 1e6 - 1.9) < 0.35
-    assert detect.beep_frequency(audio(spark, x, about=1.9)).first().hz == pytest.approx(3000, abs=30)
+    marks = spark.createDataFrame([("g", 0, 1900000), ("g", 1, 3499000)], "clip string, id long, t long")
+    hz = {r.id: r.hz for r in detect.dominant_frequencies(audio(spark, x), marks).collect()}
+    assert hz[0] == pytest.approx(3000, abs=30) and hz[1] is None
 
 
 def test_silence_has_nothing(spark):
