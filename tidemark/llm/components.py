@@ -13,15 +13,16 @@ def _directed(edges: DataFrame) -> DataFrame:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """(a, m): each node's least neighbour.  The node is rewritten (to itself), so that its join with the edges deals this small
-    side anew: Spark splits a hub of a join only if both sides come straight from a shuffle."""
-    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m")
+    """(a, m): each node's least neighbour.  The node is rewritten (to itself), so that its join with the edges deals this
+    side anew: Spark splits a hub of a join only if both sides come straight from a shuffle.  It is merged, not broadcast: the rounds
+    are many, and the driver would hold a table for each."""
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0)).alias("a"), "m").hint("merge")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a node to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both).select("a", F.least("m", "a").alias("m"))
+    least = _least(both).select("a", F.least("m", "a").alias("m")).hint("merge")
     return _directed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 

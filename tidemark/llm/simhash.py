@@ -452,6 +452,7 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int,
     bits = spark.sparkContext.broadcast(named)
     texts = docs.select(F.xxhash64("text").alias("tid"), "text")
     sets = checkpoint(texts.mapInArrow(_sets(bits, width), "tid long, h array<long>").dropDuplicates(["tid"]))
+    bits.unpersist()
     one, two = (sets.select(F.col("tid").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb")).cast("long")
     total = F.size("ha") + F.size("hb") - both
