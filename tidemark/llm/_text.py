@@ -49,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session wrote, wherever Spark's file systems hold it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """`df.checkpoint()` in the shared folder."""
     shared_folder(df.sparkSession)
