@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, decontaminate, extraction, language, linededup, packing, quality, rules, secrets, sharding, simhash, substring
+from tidemark.llm import alignment, decontaminate, extraction, language, linededup, packing, quality, rules, secrets, sharding, simhash, spelling, substring
 from tidemark.llm.sql import SQL
 
 
@@ -81,6 +81,10 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.size("removed_runs").cast("long").alias("n_runs"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     rows = alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -93,6 +97,6 @@ def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring, op3_rules, op4_language, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op9_quality, op10_line_runs, op12_alignment, op13_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring, op3_rules, op4_language, op5_simhash, op6_secrets, op7_decontamination, op8_rendezvous, op9_quality, op10_line_runs, op11_spelling, op12_alignment, op13_extraction)}
 
 __all__ = ["QUERIES", "SQL"]
