@@ -1,21 +1,23 @@
 """De-duplication of timed rows.  Five rules that differ in what they compare with; none replaces another.
 
 Every rule works on (clip, t, id, conf) rows, t in integer microseconds; `id` breaks ties.  The order-dependent ones pass over a
-clip's rows in order and hold the current survivor alone (see ordered); suppression by priority first cuts a clip where a gap
-is larger than its distance, since rows on both sides cannot influence one another.
+clip's rows in order and hold the current survivor alone (see ordered); suppression by priority holds the rows that later ones may
+still change.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.kernels import thin_by_height
-from tidemark.operators.ordered import more, survivors
+from tidemark.operators.kernels import settle
+from tidemark.operators.ordered import changes, dealt, more, survivors
+
 
 def in_time(clip: str = "clip", t: str = "t", id: str = "id"):
     return Window.partitionBy(clip).orderBy(t, id)
@@ -96,20 +98,38 @@ def cluster_session_window(df: DataFrame, window: int) -> DataFrame:
 
 
 def suppress_priority(df: DataFrame, distance: int) -> DataFrame:
-    """From the highest confidence down, a row that stays removes all others less than `distance` away; later rows win ties."""
-    schema = df.select("clip", "id", "t", "conf").schema
-    rows = segments(df, distance).groupBy("clip", "_segment").agg(F.array_sort(F.collect_list(F.struct("t", "id", "conf"))).alias("rows"))
-
-    def run(it):
-        for part in it:
-            out = []
-            for clip, seg in zip(part["clip"], part["rows"]):
-                at = np.array([r["t"] for r in seg], np.int64)
-                keep = thin_by_height(at, np.array([r["conf"] for r in seg]), distance)
-                out += [(clip, r["id"], r["t"], r["conf"]) for r, k in zip(seg, keep) if k]
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return rows.select("clip", "rows").mapInPandas(run, schema)
+    """From the highest confidence down, a row that stays removes all others less than `distance` away; later rows win ties.
+
+    A clip's rows pass in order of time.  Rows whose fate no later row can change are decided and leave; what is held is the
+    batch and the rows still open, so a stretch without gaps is never one row, group or array.
+    """
+    chosen = df.select("clip", "t", "id", "conf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, settled = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            if len(held) >= 2 * settled:  # so that rows that stay open for long are not gone through with every batch
+                out, held = _decided(held, distance, last=False)
+                settled = len(held)
+                yield out
+        if held is not None:
+            yield _decided(held, distance, last=True)[0]
+
+    return dealt(chosen, ("clip",), ("t", "id")).mapInArrow(run, chosen.schema).select("clip", "id", "t", "conf")
+
+
+def _decided(rows: pa.RecordBatch, distance: int, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """(rows that stay, rows still open) of sorted rows; only the last clip can have open ones, and none if `last`."""
+    at = rows.column(1).to_numpy(zero_copy_only=False)
+    height = rows.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+    begin = np.flatnonzero(changes(rows, 1))
+    keep, open_ = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)]):
+        keep[a:b], open_[a:b] = settle(at[a:b], height[a:b], distance, last or b < len(rows))
+    return rows.filter(pa.array(keep)), rows.filter(pa.array(open_))
 
 
 def _capped(df: DataFrame, rate: float, base: int, more_than: int, when: Callable[[Column, Column], Column] | None = None) -> DataFrame:

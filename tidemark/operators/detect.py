@@ -377,9 +377,7 @@ def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candid
         at = at[onset[at] >= limit[at]]
         at = kernels.recover_second(onset, limit, at, c.recovery_ratio, max(1, frames(c.recovery_from)), min(n - 1, frames(c.recovery_to)), gap)
         e = {k: (m[:, (freq >= a) & (freq < b)] ** 2).sum(1) for k, (a, b) in zip(("e_low", "e_mid", "e_high"), stft.bands)}
-        ok = m > 1e-9
-        logs = np.where(ok, np.log(np.where(ok, m, 1)), 0).sum(1) / np.maximum(ok.sum(1), 1)
-        flat = np.where(ok.any(1), np.exp(logs) / (m.mean(1) + 1e-9), 0)
+        flat = flatness(m)
         env = kernels.moving_average(np.abs(x), max(1, int(sr * c.envelope)))
         slope = attack_curve(env, sr, c.attack)
         pad = np.pad(slope, (0, max(0, n * stft.hop - len(slope))))[: n * stft.hop]
@@ -401,6 +399,13 @@ def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candid
     return _each(kernel, audio, FRAME)
 
 
+def flatness(m: np.ndarray) -> np.ndarray:
+    """Of each frame, the geometric mean of the magnitudes that aren't silence over the mean of all."""
+    ok = m > 1e-9
+    logs = np.where(ok, np.log(np.where(ok, m, 1)), 0).sum(1) / np.maximum(ok.sum(1), 1)
+    return np.where(ok.any(1), np.exp(logs) / (m.mean(1) + 1e-9), 0)
+
+
 def _around(x: np.ndarray, at: int, half: int) -> tuple[np.ndarray, int]:
     """x[at - half : at + half] as far as it reaches, and where it begins."""
     a = max(0, at - half)

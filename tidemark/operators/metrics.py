@@ -68,6 +68,35 @@ def quantiles_linear(df: DataFrame, value: str, qs: tuple[float, ...], key: str
     return df.groupBy(key).agg(*[F.expr(f"percentile({value}, {q})").alias(f"p{round(q * 1000)}") for q in qs])
 
 
+#: Ranks of the sketch that brackets a percentile.
+ACCURACY = 10_000
+
+
+def percentile_by_ranges(df: DataFrame, value: str, q: float, key: str = "clip") -> DataFrame:
+    """(key, n, percentile) as `percentile` gives it, for keys of any number of rows.
+
+    A sketch brackets the percentile between two values of nearly its rank; then only the values in the bracket are counted,
+    one row for each distinct one, and the rows below it added up.  (Keys of few rows have all values as their bracket: ranks of
+    a sketch are off by one or two besides its error.)  Both passes aggregate before they shuffle, and no buffer
+    holds a key's values.  Nulls don't count; a key without values has null.
+    """
+    eps = 3 / ACCURACY
+    v = F.col(value).cast("double")
+    rows = df.select(key, v.alias("_v"))
+    edges = F.expr(f"percentile_approx(_v, array({max(0.0, q - eps)}D, {min(1.0, q + eps)}D), {ACCURACY})")
+    stats = rows.groupBy(key).agg(F.count("_v").alias("n"), edges.alias("_e"), F.array(F.min("_v"), F.max("_v")).alias("_all"))
+    stats = stats.select(key, "n", F.when(F.col("n") < 2 * ACCURACY, F.col("_all")).otherwise(F.col("_e")).alias("_e"))
+    rank = F.lit(q) * (F.col("n") - 1)
+    inside = F.when(F.col("_v") >= F.col("_e")[0], F.col("_v"))
+    counted = rows.join(stats, key).where(F.col("_v") <= F.col("_e")[1]).groupBy(key, "n", inside.alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.struct(F.col("_upto"), F.col("_v"))))["_v"]
+    found = counted.withColumn("_upto", upto).withColumn("_r", rank).groupBy(key, "n", "_r").agg(at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_b"))
+    missed = F.col("_a").isNull() | F.col("_b").isNull()
+    exact = F.when(missed, F.raise_error("the sketch missed its rank")).otherwise(F.col("_a") + (F.col("_r") - F.floor("_r")) * (F.col("_b") - F.col("_a")))
+    return stats.select(key, "n").join(found.select(key, exact.cast("double").alias("percentile")), key, "left")
+
+
 def robust_z(df: DataFrame, value: str, key: str = "clip") -> DataFrame:
     """Adds z = (x - median) / (1.4826 (MAD + 1e-9) + 1e-9) within the key."""
     med = df.groupBy(key).agg(F.expr(f"percentile({value}, 0.5)").alias("_med"))

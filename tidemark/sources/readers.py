@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import rational_fps
 from tidemark.sources.parse import prefix, stem
+from tidemark.sources.wav import samples
 
 
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
@@ -21,14 +22,7 @@ def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
     with wave.open(io.BytesIO(raw)) as w:
         rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
         data = w.readframes(w.getnframes())
-    if width == 1:
-        x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
-    else:
-        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(float) / float(1 << (8 * width - 1))
-    return rate, x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
+    return rate, samples(data, width, channels)
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
