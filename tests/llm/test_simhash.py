@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidemark.llm import simhash
@@ -249,3 +250,39 @@ def test_similar_odd_rows(odd, none):
     kept = simhash.drop_similar(odd)
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "6", "None"]
+
+
+def texts_of(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(rng.choice("abcdefghij") + str(rng.randrange(999)) for _ in range(n))
+
+
+A, B, C = (texts_of(k) for k in range(3))
+NEAR_A = A + " more"
+CASES = [
+    ([(None, A), (None, B), (None, C)], [(None, A), (None, B), (None, C)]),
+    ([(5, B), (5, C), (7, A)], [(5, B), (5, C), (7, A)]),
+    ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
+    ([(None, A), (9, A), (None, B), (None, B)], [(9, A), (None, B)]),
+    ([(5, A), (5, NEAR_A), (5, C), (None, NEAR_A)], None),
+    ([(4, A), (4, B), (2, B), (2, C), (None, C), (None, None), (1, ""), (1, None), (8, " ")], None),
+]
+
+
+@pytest.mark.parametrize("case", range(len(CASES)))
+@pytest.mark.parametrize("drop", ["drop_similar", "drop_near_duplicates"])
+def test_null_and_repeated_ids_lose_no_text(spark, case, drop):
+    """Of every group of linked texts one row is left, whatever the ids are; by brute force over the rows themselves."""
+    rows, want = CASES[case]
+    got = [(r.doc_id, r.text) for r in getattr(simhash, drop)(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    if want is not None:
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    texts = [" ".join((t or "").split()) for _, t in rows]
+    group = {NEAR_A: A}
+    groups = {}
+    for (i, t), key in zip(rows, texts):
+        groups.setdefault(group.get(key, key), []).append((i is None, i or 0))
+    assert len(got) == len(groups)
+    for i, t in got:
+        key = " ".join((t or "").split())
+        assert (i is None, i or 0) == min(groups[group.get(key, key)])

@@ -9,7 +9,7 @@ verified by their differing bits, block after block.  A list holds distinct fing
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import combinations
 
@@ -505,20 +505,26 @@ def hex_digits(column):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of docs for each component of groups(doc_id, component_id): that of the smallest doc_id (the first by its other columns among repeated ids)."""
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
+def first_of_groups(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of docs for each group that find(docs) links: that of the smallest doc_id, null the greatest, and then of the least hash of the text.
+
+    Rows are told apart by doc_id and text, so texts of equal or null doc_id that nothing links all stay; of rows that agree in
+    both, the first by its other columns stays.
+    """
+    tid = F.xxhash64("text")
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", tid.alias("tid")).alias("doc_id"), "text")
+    kept = find(named).select(F.col("component_id.doc_id").alias("_of"), F.col("component_id.tid").alias("_tid")).distinct()
+    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_of"]) & (F.xxhash64(docs["text"]) == kept["_tid"]), "left_semi")
+    order = Window.partitionBy("doc_id", tid).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
     place = new_name("place", docs)
     return one.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each group that near_duplicates links."""
-    return first_of_groups(docs, near_duplicates(docs, width))
+    """One row of each group that near_duplicates links (see first_of_groups)."""
+    return first_of_groups(docs, lambda named: near_duplicates(named, width))
 
 
 def drop_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group that similar_documents links."""
-    return first_of_groups(docs, similar_documents(docs, width, similarity))
+    """One row of each group that similar_documents links (see first_of_groups)."""
+    return first_of_groups(docs, lambda named: similar_documents(named, width, similarity))
