@@ -6,6 +6,7 @@ occurs inside a multi-byte character, so bytes and code points give the same wor
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -61,6 +62,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget_rounds(spark: SparkSession) -> None:
+    """Lets the driver collect what the rounds behind it leave: plans, and by them the shuffle files and checkpoints that nothing refers to any more.
+
+    The JVM would first grow to its limit, since it does not know that the plans of an iterative job are its largest part.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def new_name(name: str, *frames: DataFrame) -> str:
     """`name` with as many underscores in front as make it a column of none of the frames, whatever the case of its letters."""
     used = {c.lower() for df in frames for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import checkpoint
+from tidemark.llm._text import checkpoint, forget_rounds
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -47,4 +47,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select("a", F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("a"), F.col("b").alias("root")).distinct())
         last = stats
         now = checkpoint(small_star(large_star(now)))
+        forget_rounds(edges.sparkSession)
     raise RuntimeError("star contraction did not settle")
