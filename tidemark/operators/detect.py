@@ -206,7 +206,7 @@ def _scored_steps(x: np.ndarray, sr: float, p: Beep, score) -> tuple[np.ndarray,
     """(times of tonal windows in steps through the searched range, their probabilities by the network)."""
     t = p.search_from + p.step * np.arange(max(0, int((min(p.search_to, len(x) / sr - 0.4) - p.search_from) / p.step + 1e-9) + 1))
     t = t[[_tonal(x, sr, v, p) for v in t]] if len(t) else t
-    return t, np.asarray(score(np.stack([kernels.mel_patch(x, sr, v) for v in t])), float) if len(t) else np.zeros(0)
+    return t, np.asarray(score(np.stack([kernels.beep_patch(x, sr, v) for v in t])), float) if len(t) else np.zeros(0)
 
 
 def _one_beep(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score) -> float | None:
@@ -230,7 +230,7 @@ def _one_beep(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score) -> float
         order = alone if len(alone) else candidates
         order = order[order <= order[0] + p.tonal_span]
         if score is not None:
-            q = np.asarray(score(np.stack([kernels.mel_patch(x, sr, v) for v in order])), float)
+            q = np.asarray(score(np.stack([kernels.beep_patch(x, sr, v) for v in order])), float)
             t0 = order[q.argmax()] if q.max() >= p.fallback else None
         if t0 is None:
             t0 = next((v for v in order if _tonal(x, sr, v, p)), order[0])
@@ -267,7 +267,7 @@ def _all_beeps(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score, min_gap:
     if len(found) > 1:
         found = [v for v in found if _tonal(x, sr, v, p)]
         if score is not None and found:
-            sure = np.asarray(score(np.stack([kernels.mel_patch(x, sr, v) for v in found])), float) >= p.probability
+            sure = np.asarray(score(np.stack([kernels.beep_patch(x, sr, v) for v in found])), float) >= p.probability
             found = [v for v, ok in zip(found, sure) if ok]
     return found
 
@@ -348,11 +348,11 @@ def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, s
     return mel_patches(audio, late, **options).join(labelled.select("clip", "id", "label"), ["clip", "id"])
 
 
-FRAME = "clip string, idx long, rate double, before int, after int, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double, frame_t long, onset_t long, envelope_t long"
+FRAME = "clip string, idx long, rate double, before int, after int, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double, mfcc double, frame_t long, onset_t long, envelope_t long"
 
 
-def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection()) -> DataFrame:
-    """Every frame's onset, threshold, band energies, flatness and attack, in one pass over the samples.
+def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False) -> DataFrame:
+    """Every frame's onset, threshold, band energies, flatness and attack, and if asked for the peaks' cepstral band (else 0), in one pass over the samples.
 
     rate is frames a second; before and after are a feature window's frames at the clip's own rate.  Reported times of a frame: its own, and
     for peaks those moved to the onset and to the envelope's peak.
@@ -393,8 +393,11 @@ def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candid
                 moved["onset_t"][i] = _reported((a + first) / sr)
             if len(part) >= 2:
                 moved["envelope_t"][i] = _reported((a + part.argmax()) / sr)
+        band = np.zeros(n)
+        if mfcc:
+            band[at] = [kernels.mfcc_band(x, sr, i * stft.hop / sr) for i in at]
         around = {"before": max(1, frames(c.before)), "after": max(1, frames(c.after))}
-        return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": rate, **around, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1), **moved})
+        return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": rate, **around, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1), "mfcc": band, **moved})
 
     return _each(kernel, audio, FRAME)
 
@@ -479,26 +482,47 @@ def onset_strength(audio: DataFrame, stft: Stft = Stft(), low: float = 1000.0, h
 FEATURES = ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio", "slam", "metal", "mfcc")
 
 
-def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] | None = None, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None, network: DataFrame | None = None, network_only: bool = False, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def network_at(audio: DataFrame, marks: DataFrame, load, patch=kernels.mel_patch) -> DataFrame:
+    """(clip, id, network): the probability that a network gives to the patch at every mark (clip, id, t).
+
+    load() returns a function from a batch of patches to probabilities, and is called once for each task.
+    """
+    listed = marks.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("marks"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = load()
+        for rows in it:
+            for clip, sr, x, found in rows.itertuples(index=False):
+                x = np.asarray(x, float)
+                p = score(np.stack([patch(x, sr, m["t"] / 1e6) for m in found]))
+                yield pd.DataFrame({"clip": clip, "id": [m["id"] for m in found], "network": np.asarray(p, float)})
+
+    return audio.join(listed, "clip").select("clip", "sr", "samples", "marks").mapInPandas(run, "clip string, id long, network double")
+
+
+def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] | None = None, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None, network: DataFrame | None = None, network_only: bool = False, extra: DataFrame | None = None, load=None) -> tuple[DataFrame, DataFrame]:
     """(shots, candidates).  Frames to candidate peaks to features to scores, then in this order: gap chains, best of each, hard kill,
     refinement of the times, last-kept de-duplication, rate cap, fusion with the network, confidence gate, rate limit.
 
-    network: clip, id (the candidate's frame) and network, a probability; alone (network_only) it is score and confidence at once.  extra: clip, id and further
-    feature columns, such as mfcc.
+    A network comes as load, a function that returns a scorer of patches (see network_at): alone (network_only) it scores the candidates at their frames,
+    and is score and confidence at once; else it is fused with the confidence of the shots left, at their refined times.  Or it comes as a table of
+    probabilities at the candidates' frames: clip, id (the frame) and network.  extra: clip, id and further feature columns.
     """
-    frames = frame_features(audio, stft, c, s)
-    peaks = frames.where("peak").select("clip", "idx", "rate", "frame_t", "onset_t", "envelope_t")
+    names = features or FEATURES[: len(model["weights"])] if model is not None else ()
+    frames = frame_features(audio, stft, c, s, "mfcc" in names and (extra is None or "mfcc" not in extra.columns))
+    peaks = frames.where("peak").select("clip", "idx", "rate", "frame_t", "onset_t", "envelope_t", *["mfcc"] * (extra is None or "mfcc" not in extra.columns))
     x = candidate_features(frames.where("peak"), frames, "before", "after").join(peaks, ["clip", "idx"])
     x = x.withColumn("id", F.col("idx")).withColumn("t", F.round(F.col("idx") * 1e6 / F.col("rate")).cast("long"))
     if extra is not None:
         x = x.join(extra, ["clip", "id"], "left")
+    if load is not None and network_only:
+        network = network_at(audio, x.select("clip", "id", "t"), load)
     if network is not None:
         x = x.join(network.select("clip", "id", "network"), ["clip", "id"], "left")
     alone = network is not None and network_only
     if alone:
         x = x.withColumn("score", F.col("network"))
     elif model is not None:
-        names = features or FEATURES[: len(model["weights"])]
         x = score.logreg_score(x.withColumn("_f", F.array(*[F.col(f).cast("double") for f in names])), "_f", model).drop("_f")
     else:
         x = x.withColumn("score", F.lit(0.0))
@@ -520,26 +544,79 @@ def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[
     shots = dedup.dedup_last_kept(win, micros(s.hard_gap)) if s.hard_gap > 0 else win.select("clip", "id", "t", "conf")
     shots = shots.join(win.select("clip", "id", "score", *["network"] * (network is not None)), ["clip", "id"])
     capped = dedup.rate_cap(shots.withColumn("_keep", F.col("conf")).withColumn("conf", F.col("score")), s.rate).withColumn("conf", F.col("_keep")).drop("_keep")
-    if network is not None and not alone:
+    if load is not None and not alone:
+        capped = capped.join(network_at(audio, capped.select("clip", "id", "t"), load), ["clip", "id"])
+    if (network is not None or load is not None) and not alone:
         capped = capped.withColumn("conf", F.round(score.fuse(F.col("conf"), F.col("network"), s.fusion), 3))
     if least is not None:
         capped = capped.where(F.col("conf") >= least)
     return dedup.rate_limit(capped, s.rate, s.hit_rate).select("clip", "id", "t", "conf", "score"), candidates
 
 
-def dispatch(audio: DataFrame, config: dict, network: DataFrame | None = None) -> DataFrame:
-    """The shots (clip, id, t, conf) of the detector that a configuration names, under its calibrated values; what it leaves out keeps its default."""
-    g = config.get
-    if g("use_improved", True):
-        scale = "multi" if g("use_multi_scale_threshold") else "mad"
-        c = Candidates(threshold=scale if g("threshold_percentile") is None else float(g("threshold_percentile")), mad_k=float(g("mad_k", 7.0)), min_distance=float(g("candidate_min_dist_ms", 80)) / 1000)
-        align = str(g("shot_marker_alignment", "onset")).strip().lower()
-        s = Selection(
-            cluster=float(g("cluster_window_sec", 0.1)), dynamic=bool(g("use_dynamic_cluster", False)), hard_gap=max(0.0, float(g("hard_dedup_gap_sec", 0.1))), align=align if align in ("onset", "envelope_peak", "none") else "onset",
-            refine=max(0.01, float(g("marker_refine_window_sec", 0.06))), fusion=float(g("cnn_fusion_weight", 0.5)),
-        )
-        least = g("min_confidence_threshold", g("min_score_threshold"))
-        shots, _ = shots_improved(audio, g("logreg_model"), c=c, s=s, least=least, network=network, network_only=bool(g("use_cnn_only", False)))
-        return shots.select("clip", "id", "t", "conf")
-    names = {"threshold_coef": "coef", "threshold_percentile": "percentile", "min_dist_sec": "min_dist", "prominence_frac": "prominence", "smooth_ms": "smooth_ms", "min_confidence": "least", "post_filter": "post_filter"}
-    return legacy_shots(audio, Legacy(**{v: config[k] for k, v in names.items() if k in config}))
+def _marker(value) -> str:
+    value = str(value).strip().lower()
+    return value if value in ("onset", "envelope_peak", "none") else "onset"
+
+
+#: A configuration's keys, the setting of which each is the value, what holds without it, and how it is read.
+IMPROVED_KEYS = [
+    (Candidates, "mad_k", "mad_k", 7.0, float),
+    (Candidates, "candidate_min_dist_ms", "min_distance", 80, lambda ms: float(ms) / 1000),
+    (Selection, "cluster_window_sec", "cluster", 0.1, float),
+    (Selection, "use_dynamic_cluster", "dynamic", False, bool),
+    (Selection, "hard_dedup_gap_sec", "hard_gap", 0.1, lambda gap: max(0.0, float(gap))),
+    (Selection, "shot_marker_alignment", "align", "onset", _marker),
+    (Selection, "marker_refine_window_sec", "refine", 0.06, lambda width: max(0.01, float(width))),
+    (Selection, "cnn_fusion_weight", "fusion", 0.5, float),
+]
+LEGACY_KEYS = [
+    (Legacy, "threshold_coef", "coef", None, None), (Legacy, "threshold_percentile", "percentile", None, None), (Legacy, "min_dist_sec", "min_dist", None, None), (Legacy, "prominence_frac", "prominence", None, None),
+    (Legacy, "smooth_ms", "smooth_ms", None, None), (Legacy, "min_confidence", "least", None, None), (Legacy, "post_filter", "post_filter", None, None),
+]
+
+
+def _settings(kind: type, keys: list, config: dict, **more):
+    """The settings of one kind under a configuration; a key without a reader sets its value as it is, if it is there."""
+    found = {field: read(config.get(key, default)) if read else config[key] for k, key, field, default, read in keys if k is kind and (read or key in config)}
+    return kind(**found | more)
+
+
+def backend(config: dict, loaders: dict, only: bool | None = None) -> tuple[bool, object, object]:
+    """(whether the network decides alone, the scorer that then decides, the scorer to fuse with).
+
+    loaders: for "ast" and "cnn" a function from a model's path to its `load` (see network_at); a network counts as loaded if the configuration has a path for it
+    and loaders its kind.  Alone, the first kind is taken where the configuration prefers it (by itself, if it has no path of the second), else the second; with
+    a network of the wrong kind only, every score is 0, and with none the other scorers decide.  Only the second kind is fused.
+    """
+    loaded = {kind: loaders[kind](config[f"{kind}_gunshot_path"]) for kind in ("ast", "cnn") if config.get(f"{kind}_gunshot_path") and kind in loaders}
+    only = bool(config.get("use_cnn_only", False)) if only is None else only
+    first = bool(config.get("use_ast_gunshot", config.get("ast_gunshot_path") and not config.get("cnn_gunshot_path")))
+    alone = loaded.get("ast" if first and "ast" in loaded else "cnn") if only else None
+    return bool(only and loaded), alone, loaded.get("cnn")
+
+
+#: Stands for "as the configuration says".
+CONFIGURED = object()
+
+
+def dispatch(audio: DataFrame, config: dict, network: DataFrame | None = None, loaders: dict | None = None, least: object = CONFIGURED, network_only: bool | None = None) -> DataFrame:
+    """The shots (clip, id, t, conf) of the detector that a configuration names, under its calibrated values; what it leaves out keeps its default.
+
+    Networks come by loaders (see backend) or as a table of probabilities; least and network_only, where given, stand above the configuration (least may be None: no gate).
+    """
+    if not config.get("use_improved", True):
+        return legacy_shots(audio, _settings(Legacy, LEGACY_KEYS, config))
+    share = config.get("threshold_percentile")
+    c = _settings(Candidates, IMPROVED_KEYS, config, threshold=float(share) if share is not None else "multi" if config.get("use_multi_scale_threshold") else "mad")
+    s = _settings(Selection, IMPROVED_KEYS, config)
+    least = config.get("min_confidence_threshold", config.get("min_score_threshold")) if least is CONFIGURED else least
+    decides, alone, fused = backend(config, loaders or {}, network_only)
+    model = config.get("logreg_model")
+    if network is not None:
+        only = bool(config.get("use_cnn_only", False)) if network_only is None else network_only
+        shots, _ = shots_improved(audio, model, c=c, s=s, least=least, network=network, network_only=only)
+    elif decides and alone is not None:
+        shots, _ = shots_improved(audio, model, c=c, s=s, least=least, load=alone, network_only=True)
+    else:
+        shots, _ = shots_improved(audio, None if decides else model, c=c, s=s, least=least, load=fused)
+    return shots.select("clip", "id", "t", "conf")
