@@ -6,6 +6,7 @@ occurs inside a multi-byte character, so bytes and code points give the same wor
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -63,12 +64,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def forget_rounds(spark: SparkSession) -> None:
-    """Lets the driver collect what the rounds behind it leave: plans, and by them the shuffle files and checkpoints that nothing refers to any more.
+    """Lets the driver give back what the rounds behind it leave: arrays of a fitted model, plans, and by them the shuffle files and
+    checkpoints that nothing refers to any more.
 
-    The JVM would first grow to its limit, since it does not know that the plans of an iterative job are its largest part.
+    The JVM would first grow to its limit, since it does not know that the plans of an iterative job are its largest part; and freed
+    arrays stay with the C library until it is asked for them.
     """
     gc.collect()
     spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def new_name(name: str, *frames: DataFrame) -> str:

@@ -494,6 +494,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
     lists; every pair of a list that may join two components is verified on the whole sets, unless its sketches rule it out.  Equal sets are one node, named by one of their texts.
     Null and wordless texts are one group; a very long text is one set; null doc_ids and repeated rows are as in near_duplicates.
     """
+    forget_rounds(docs.sparkSession)
     share = Fraction(similarity).limit_denominator(10**6)
     rows = checkpoint(_set_rows(docs, width, share))
     groups = checkpoint(rows.groupBy("node", "n", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
