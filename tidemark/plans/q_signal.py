@@ -335,9 +335,9 @@ def mel_patch(spark, d):
 
 @query
 def mel_training_set(spark, d):
-    """Rows only, as mel_patch: the candidates from the first beep on, with their labels."""
+    """Rows only, as mel_patch: the candidates from the first beep on, with their labels and patches."""
     p = detect.mel_training_set(_audio(spark, d), _places(spark, d, CAND), _places(spark, d, REF), _places(spark, d, BEEP), 20000, 20000, before=0.02, after=0.02, n_mels=16)
-    return p.select("clip", "id", "t", "label", F.size("patch").alias("bands"))
+    return p.select("clip", "id", "t", "label", F.transform(F.flatten("patch"), lambda v: F.round(v, 4)).alias("patch"))
 
 
 @query
@@ -400,16 +400,56 @@ def motion_learned(spark, d):
     return detect.motion_learned(s)
 
 
-def _slow_beeps():
-    from tidemark.params import Beep
+#: Sounds made of a user's events: one every STEP seconds, at SOUND samples a second.
+SOUND, STEP = 16000.0, 0.08
 
-    return Beep(low_hz=0.5, high_hz=2.0, distance=0.5, smooth=0.3)
+
+def _sounds(spark, d) -> DataFrame:
+    """(clip, sr, samples): detections are bursts of noise as loud as their values that die away, beeps are tones of 3 kHz, the rest is faint noise.
+    The noise of an event comes from its id, so that every run hears the same."""
+    rows = timeline(spark, d).join(timeline(spark, d, DET, BEEP).select("clip", "id", F.lit(True).alias("loud")), ["clip", "id"], "left").join(timeline(spark, d, BEEP).select("clip", "id", F.lit(True).alias("tone")), ["clip", "id"], "left")
+    rows = rows.groupBy(F.col("clip").cast("string").alias("clip")).agg(F.array_sort(F.collect_list(F.struct("t", "id", "conf", "loud", "tone"))).alias("x"))
+
+    def run(it):
+        import pandas as pd
+
+        for part in it:
+            out = []
+            for clip, events in zip(part["clip"], part["x"]):
+                step = int(SOUND * STEP)
+                y = np.zeros(len(events) * step + int(0.6 * SOUND))
+                for i, e in enumerate(events):
+                    r, a = np.random.default_rng(e["id"]), i * step
+                    y[a : a + step] += r.normal(0, 0.001, step)
+                    if e["tone"]:
+                        n = int(0.3 * SOUND)
+                        y[a : a + n] += 0.4 * np.sin(2 * np.pi * 3000 * np.arange(n) / SOUND)
+                    elif e["loud"]:
+                        n = int(0.1 * SOUND)
+                        y[a : a + n] += e["conf"] / 200 * r.normal(0, 0.5, n) * np.exp(-np.arange(n) / (0.012 * SOUND))
+                out.append((clip, SOUND, y.tolist()))
+            yield pd.DataFrame(out, columns=["clip", "sr", "samples"])
+
+    return rows.mapInPandas(run, "clip string, sr double, samples array<double>")
+
+
+def _heard(spark, d, kind) -> DataFrame:
+    """(clip, id, t): where the events of a kind begin in their clip's sound."""
+    s = signal.as_series(timeline(spark, d))
+    at = s.join(timeline(spark, d, kind).select("clip", "id"), ["clip", "id"], "left_semi")
+    return at.select(F.col("clip").cast("string").alias("clip"), "id", (F.col("idx") * int(STEP * 1e6)).alias("t"))
 
 
 @query
 def beep_detector(spark, d):
-    """Rows only: the composite detector; tests compare it with plain loops."""
-    return detect.beeps(_audio(spark, d).withColumn("sr", F.lit(10.0)), _slow_beeps())
+    """Rows only: the composite detector on sounds of tones and bursts; tests work cases by hand."""
+    return detect.beeps(_sounds(spark, d))
+
+
+@query
+def all_beeps(spark, d):
+    """Rows only, as beep_detector: every beep of each clip."""
+    return detect.beeps(_sounds(spark, d), first_only=False)
 
 
 @query
@@ -417,14 +457,15 @@ def tune_beeps(spark, d):
     """Rows only: the beep search over its 24 settings."""
     from tidemark.operators.search import tune_beeps as tune
 
-    truth = _places(spark, d, BEEP, 10.0).groupBy("clip").agg(F.min("t").alias("t"))
-    return tune(_audio(spark, d).withColumn("sr", F.lit(10.0)), truth, _slow_beeps())
+    truth = _heard(spark, d, BEEP).groupBy("clip").agg(F.min("t").alias("t"))
+    return tune(_sounds(spark, d), truth)
 
 
 @query
 def improved_detector(spark, d):
-    """Rows only: frames to shots in one composition; tests compare it with plain loops."""
-    shots, _ = detect.shots_improved(_audio(spark, d), stft=_small())
+    """Rows only: frames to shots in one composition, on sounds of tones and bursts, with a model of nine weights; tests compare it with plain loops."""
+    model = {"weights": [0.9, 0.2, -0.1, 0.4, 1.2, -0.6, -0.3, -0.4, 0.2], "bias": -0.3, "mean": [2.0, 1.0, -1.0, 0.4, 0.4, 0.2, 0.1, 0.1, 6.0], "std": [1.0, 1.5, 1.0, 0.2, 0.3, 0.2, 1.0, 0.3, 3.0]}
+    shots, _ = detect.shots_improved(_sounds(spark, d), model, least=0.3)
     return shots.select("clip", "id", "t", F.round("conf", 6).alias("conf"))
 
 

@@ -51,10 +51,11 @@ SQL["parse_times_lenient"] = f"WITH {_L} SELECT clip, CAST(row_number() OVER (PA
 
 @query
 def parse_times_strict(spark, d):
-    return parse.times_strict(_lines(spark, d).where("not startswith(line, '{')"))
+    """The same lines with a number where a document stands, which a strict reader refuses."""
+    return parse.times_strict(_lines(spark, d).withColumn("line", F.when(F.startswith("line", F.lit("{")), F.concat(F.lit("  "), F.length("line"), F.lit(".25"))).otherwise(F.col("line"))))
 
 
-SQL["parse_times_strict"] = f"WITH {_L} SELECT clip, CAST(line_no AS INT) AS line_no, t FROM num WHERE NOT starts_with(line, '{{') AND trim(line) <> '' AND NOT starts_with(trim(line), '#')"
+SQL["parse_times_strict"] = f"WITH {_L} SELECT clip, CAST(line_no AS INT) AS line_no, CASE WHEN starts_with(line, '{{') THEN length(line) + 0.25::DOUBLE ELSE t END AS t FROM num WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')"
 
 
 @query
@@ -210,10 +211,13 @@ SQL["audit_markers"] = "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 ELSE
 
 @query
 def relative_times(spark, d):
-    return sinks.relative_times(timeline(spark, d, DET), timeline(spark, d, BEEP), 6).where("line_no >= 3").select("clip", "line_no", F.col("line").cast("double").alias("t"))
+    return sinks.relative_times(timeline(spark, d, DET), timeline(spark, d, BEEP), 6)
 
 
-SQL["relative_times"] = f"WITH {EV}, {role('d', DET)}, b AS (SELECT clip, min(t) AS t0 FROM ev WHERE kind = '{BEEP}' GROUP BY clip) SELECT d.clip, CAST(row_number() OVER (PARTITION BY d.clip ORDER BY t, id) + 2 AS INT) AS line_no, CAST(printf('%.6f', (t - coalesce(t0, 0)) / 1000000.0) AS DOUBLE) AS t FROM d LEFT JOIN b ON b.clip = d.clip"
+SQL["relative_times"] = f"""WITH {EV}, {role('d', DET)}, b AS (SELECT clip, min(t) AS t0 FROM ev WHERE kind = '{BEEP}' GROUP BY clip),
+h AS (SELECT * FROM (VALUES (0, '# shot times since the beep'), (1, '# seconds'), (2, '# one per line')) AS v(line_no, line))
+SELECT clip, CAST(line_no AS INT) AS line_no, line FROM h, (SELECT DISTINCT clip FROM d) UNION ALL
+SELECT d.clip, CAST(row_number() OVER (PARTITION BY d.clip ORDER BY t, id) + 2 AS INT), printf('%.6f', (t - coalesce(t0, 0)) / 1000000.0) FROM d LEFT JOIN b ON b.clip = d.clip"""
 
 
 @query
