@@ -56,11 +56,26 @@ def weak_spans(raw: bytes) -> list[tuple[int, int, str]]:
 
 
 def linked(strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str]], scope: int = SCOPE) -> list[tuple[int, int, str]]:
-    """The weak parts whose scope holds complementary parts.  Weak parts that overlap a strong one of their kind of role are dropped."""
-    if not weak or not strong:
-        # without a strong part, all three roles must meet
-        if len({ROLE[k] for _, _, k in weak}) < 3:
-            return []
+    """The weak parts whose scope holds complementary parts.
+
+    A weak part that overlaps a strong one of its own role is that part, seen again: it is neither reported nor a complement of
+    others.  One that overlaps a strong part of another role, such as an address with an identifier in it, is beside it.
+    """
+    cover: dict[str, tuple[list[int], list[int]]] = {}  # of each role, the strong parts' starts and the largest end so far
+    for s, e, k in sorted(strong):
+        at, far = cover.setdefault(ROLE[k], ([], []))
+        at.append(s)
+        far.append(max(e, far[-1]) if far else e)
+
+    def seen(s: int, e: int, role: str) -> bool:
+        at, far = cover.get(role, ((), ()))
+        i = bisect_left(at, e)
+        return i > 0 and far[i - 1] > s
+
+    weak = [x for x in weak if not seen(x[0], x[1], ROLE[x[2]])]
+    # without a strong part, all three roles must meet
+    if not weak or (not strong and len({ROLE[k] for _, _, k in weak}) < 3):
+        return []
     starts: dict[tuple[str, bool], list[int]] = {}
     ends: dict[tuple[str, bool], list[int]] = {}
     for parts, is_strong in ((strong, True), (weak, False)):
@@ -69,11 +84,6 @@ def linked(strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str]],
             ends.setdefault((ROLE[k], is_strong), []).append(e)
     for x in ends.values():
         x.sort()
-    cover = sorted((s, e) for s, e, _ in strong)
-    at = [s for s, _ in cover]
-    far = []  # largest end so far
-    for _, e in cover:
-        far.append(max(e, far[-1]) if far else e)
 
     def meets(role: str, is_strong: bool, low: int, high: int) -> bool:
         """Some part [s, e) of the role has s <= high and e >= low."""
@@ -82,9 +92,6 @@ def linked(strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str]],
 
     out = []
     for s, e, k in weak:
-        i = bisect_left(at, e)
-        if i and far[i - 1] > s:
-            continue
         others = {"identifier", "secret", "endpoint"} - {ROLE[k]}
         low, high = s - scope, e + scope
         strong_near = any(meets(r, True, low, high) for r in others)
