@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import replace
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, detect
-from tidemark.operators.matching import match_greedy_unused, match_nearest_then_check, match_order_preserving
-from tidemark.operators.metrics import counts, pooled
+from tidemark.operators import detect
+from tidemark.operators.matching import match_order_preserving
+from tidemark.operators.metrics import with_prf
+from tidemark.operators.ordered import each_key
 from tidemark.params import (
     BEEP_HEIGHT_SHARES,
     BEEP_PROBES,
@@ -26,48 +28,185 @@ from tidemark.params import (
 )
 
 
-def _keyed(df: DataFrame, name: str, values: list) -> DataFrame:
-    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+#: Rows between two looks for references that are decided by their place alone.
+LOOK = 256
 
 
-def threshold_sweep(refs: DataFrame, dets: DataFrame, tolerance: int, thresholds: list[float]) -> DataFrame:
-    """Pooled scores at each confidence threshold, and which has the best f1 (the lowest on ties).
+class _Suppressed:
+    """One setting of a sweep of nearest-then-check matches: detections from a confidence on, after anchored suppression within a window."""
+
+    __slots__ = ("least", "window", "anchor", "best", "seen", "hit", "next_ref", "n_det", "tp")
+
+    def __init__(self, least: float, window: int) -> None:
+        self.least, self.window = least, window
+        self.clear()
+
+    def clear(self) -> None:
+        self.anchor = self.best = self.seen = None  # the open cluster's first time and (time, confidence); the last survivor's time
+        self.hit, self.next_ref, self.n_det, self.tp = False, 0, 0, 0
+
+    def detection(self, t: int, conf: float, refs: list[int], tolerance: int) -> None:
+        if self.anchor is not None:
+            if t - self.anchor < self.window:
+                if conf > self.best[1]:
+                    self.best = t, conf
+                return
+            self.close(refs, tolerance)
+        self.anchor, self.best = t, (t, conf)
+
+    def close(self, refs: list[int], tolerance: int) -> None:
+        """The open cluster's survivor counts, and decides the references up to it."""
+        t, hit = self.best[0], False
+        self.anchor = None
+        self.n_det += 1
+        while self.next_ref < len(refs) and refs[self.next_ref] <= t:
+            r = refs[self.next_ref]
+            self.next_ref += 1
+            if self.seen is not None and r - self.seen <= t - r:
+                self._behind(r, tolerance)
+            elif t - r <= tolerance:
+                hit = True
+        if self.seen != t:  # of survivors at one time the first is the nearest
+            self.seen, self.hit = t, hit
+        self.tp += hit
+
+    def _behind(self, r: int, tolerance: int) -> None:
+        if self.seen is not None and r - self.seen <= tolerance and not self.hit:
+            self.hit = True
+            self.tp += 1
+
+    def settle(self, refs: list[int], now: int, tolerance: int) -> None:
+        """References that no later survivor can be near to are decided by the one behind them."""
+        now = now if self.anchor is None else self.anchor
+        while self.next_ref < len(refs) and refs[self.next_ref] + tolerance < now:
+            self._behind(refs[self.next_ref], tolerance)
+            self.next_ref += 1
 
-    clip and threshold together are the clip of one nearest-then-check match.
+    def finish(self, refs: list[int], tolerance: int) -> None:
+        if self.anchor is not None:
+            self.close(refs, tolerance)
+        for r in refs[self.next_ref :]:
+            self._behind(r, tolerance)
+
+
+def _swept(refs: DataFrame, dets: DataFrame, make, settings: list[dict[str, float]]) -> DataFrame:
+    """(the settings' columns, n_gt, n_det, tp, fp, fn and ratios): the sums over clips of what a rule counts for each setting.
+
+    A clip's references and detections pass once, in order of time, for all settings together, and only counts are shuffled on.
     """
-    d = _keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold"))
-    r = _keyed(refs, "threshold", thresholds)
-    both = lambda x: x.withColumn("_clip", F.col("clip")).withColumn("clip", F.struct("_clip", "threshold")).drop("_clip")
-    m = match_nearest_then_check(both(r).select("clip", "id", "t"), both(d).select("clip", "id", "t"), tolerance)
-    out = pooled(counts(m, both(d)).withColumn("threshold", F.col("clip.threshold")), ("threshold",)).drop("clips")
-    w = Window.orderBy(F.col("f1").desc(), "threshold")  # one row for each setting
-    return out.withColumn("best", F.row_number().over(w) == 1)
+    side = lambda df, k, conf: df.select("clip", "t", F.lit(k).alias("side"), "id", conf.cast("double").alias("conf"))
+    rows = side(dets, 0, F.col("conf")).unionByName(side(refs, 1, F.lit(0.0)))
+    per = each_key(rows, ("clip",), ("t", "side", "id", "conf"), ("t", "side", "id"), make, "setting bigint, n_gt bigint, n_det bigint, tp bigint")
+    sums = per.groupBy("setting").agg(*[F.sum(c).alias(c) for c in ("n_gt", "n_det", "tp")])
+    scored = with_prf(sums.withColumns({"fp": F.col("n_det") - F.col("tp"), "fn": F.col("n_gt") - F.col("tp")}))
+    names = [F.element_at(F.array(*[F.lit(x[k]) for x in settings]), (F.col("setting") + 1).cast("int")).alias(k) for k in settings[0]]
+    return scored.select(*names, "n_gt", "n_det", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def grid_search(refs: DataFrame, dets: DataFrame, tolerance: int, thresholds: list[float], windows: list[int]) -> DataFrame:
-    """Pooled scores for each confidence threshold and suppression window, and which is best (then the lowest of each)."""
-    setting = F.struct("clip", "threshold", "window").alias("clip")
-    windows = [int(w) for w in windows]
-    d = _keyed(_keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold")), "window", windows).withColumn("window", F.col("window").cast("long"))
-    every = dedup.nms_anchored(d.select(setting, "id", "t", "conf", "window"), "window").drop("window")
-    r = _keyed(_keyed(refs, "threshold", thresholds), "window", windows).withColumn("window", F.col("window").cast("long")).select(setting, "id", "t")
-    m = match_nearest_then_check(r, every, tolerance)
-    per = counts(m, every).withColumn("threshold", F.col("clip.threshold")).withColumn("window", F.col("clip.window"))
-    out = pooled(per, ("threshold", "window")).drop("clips")
+    """Pooled scores of nearest-then-check matches for each confidence threshold and window of anchored suppression (0: none), and which
+    is best (then the lowest of each).  One pass over the rows for all settings: see _Suppressed."""
+    grid = [{"threshold": float(h), "window": int(w)} for h, w in product(thresholds, windows)]
+
+    def make(emit):
+        states = [_Suppressed(x["threshold"], x["window"]) for x in grid]
+        held: list[int] = []  # the references that some setting has not decided
+        n = rows = 0
+
+        def take(row) -> None:
+            nonlocal n, rows
+            t, side, _, conf = row
+            rows += 1
+            if side:
+                held.append(t)
+                n += 1
+            else:
+                for s in states:
+                    if conf is not None and conf >= s.least:
+                        s.detection(t, conf, held, tolerance)
+            if rows % LOOK == 0:
+                for s in states:
+                    s.settle(held, t, tolerance)
+                done = min(s.next_ref for s in states)
+                del held[:done]
+                for s in states:
+                    s.next_ref -= done
+
+        def end() -> None:
+            nonlocal n, rows
+            for i, s in enumerate(states):
+                s.finish(held, tolerance)
+                emit((i, n, s.n_det, s.tp))
+                s.clear()
+            held.clear()
+            n = rows = 0
+
+        return take, end
+
     w = Window.orderBy(F.col("f1").desc(), "threshold", "window")  # one row for each setting
-    return out.withColumn("best", F.row_number().over(w) == 1)
+    return _swept(refs, dets, make, grid).withColumn("best", F.row_number().over(w) == 1)
+
+
+def threshold_sweep(refs: DataFrame, dets: DataFrame, tolerance: int, thresholds: list[float]) -> DataFrame:
+    """Pooled scores at each confidence threshold, and which has the best f1 (the lowest on ties): grid_search without suppression."""
+    return grid_search(refs, dets, tolerance, thresholds, [0]).drop("window")
 
 
 def energy_sweep(refs: DataFrame, dets: DataFrame, tolerances: list[int], thresholds: list[float], enough: float = 0.9999) -> DataFrame:
-    """Scores of greedy matches by tolerance and threshold, and the first setting (tolerances in order, thresholds from the highest) whose recall is enough."""
-    settings = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(int(t)).cast("long").alias("tolerance")) for i, t in enumerate(tolerances)]))
-    keys = ("clip", "i", "tolerance", "threshold")
-    d = _keyed(dets, "threshold", thresholds).where(F.col("conf") >= F.col("threshold")).withColumn("_s", settings).select("*", "_s.*").drop("_s")
-    r = _keyed(refs, "threshold", thresholds).withColumn("_s", settings).select("*", "_s.*").drop("_s")
-    m = match_greedy_unused(r, d, max(tolerances), keys, per_row="tolerance")
-    out = pooled(counts(m, d, keys), keys[1:]).select("i", "tolerance", "threshold", "n_gt", "n_det", "tp", "fp", "fn", "precision", "recall", "f1")
+    """Scores of greedy matches by tolerance and threshold, and the first setting (tolerances in order, thresholds from the highest) whose recall is enough.
+
+    One pass over the rows for all settings: the detections within the greatest tolerance are held once, with the settings that used each.
+    """
+    grid = [{"i": i, "tolerance": int(tol), "threshold": float(h)} for i, tol in enumerate(tolerances) for h in thresholds]
+    far = max(int(t) for t in tolerances)
+
+    def make(emit):
+        near: deque[tuple[int, float, set[int]]] = deque()  # time, confidence, settings that used it
+        waiting: deque[int] = deque()  # references whose surroundings are not complete
+        n_det, tp = [0] * len(grid), [0] * len(grid)
+        n = 0
+
+        def decide(r: int) -> None:
+            # in order of distance, the earlier first
+            around = sorted((abs(t - r), k) for k, (t, _, _) in enumerate(near) if abs(t - r) <= far)
+            for j, x in enumerate(grid):
+                for dist, k in around:
+                    if dist > x["tolerance"]:
+                        break
+                    if near[k][1] >= x["threshold"] and j not in near[k][2]:
+                        near[k][2].add(j)
+                        tp[j] += 1
+                        break
+
+        def take(row) -> None:
+            nonlocal n
+            t, side, _, conf = row
+            while waiting and waiting[0] + far < t:
+                decide(waiting.popleft())
+            while near and near[0][0] < (waiting[0] if waiting else t) - far:
+                near.popleft()
+            if side:
+                waiting.append(t)
+                n += 1
+            elif conf is not None:
+                near.append((t, conf, set()))
+                for j, x in enumerate(grid):
+                    n_det[j] += conf >= x["threshold"]
+
+        def end() -> None:
+            nonlocal n
+            while waiting:
+                decide(waiting.popleft())
+            for j in range(len(grid)):
+                emit((j, n, n_det[j], tp[j]))
+                n_det[j] = tp[j] = 0
+            near.clear()
+            n = 0
+
+        return take, end
+
     w = Window.orderBy((F.col("recall") >= enough).desc(), "i", F.col("threshold").desc())
-    return out.withColumn("first", (F.row_number().over(w) == 1) & (F.col("recall") >= enough)).drop("i")
+    return _swept(refs, dets, make, grid).withColumn("first", (F.row_number().over(w) == 1) & (F.col("recall") >= enough)).drop("i")
 
 
 def calibration_score(per_setting: DataFrame, over: float = 0.10, under: float = 0.05) -> DataFrame:

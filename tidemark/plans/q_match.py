@@ -279,16 +279,19 @@ q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY threshold, clip,
 z AS (SELECT threshold, (SELECT count(*) FROM r) AS n_gt, (SELECT count(*) FROM dd WHERE dd.threshold = th.threshold) AS n_det, (SELECT count(DISTINCT (clip, did)) FROM q WHERE q.threshold = th.threshold) AS tp FROM th), y AS (SELECT threshold, {_PRF} FROM z)
 SELECT threshold, {_OUT}, row_number() OVER (ORDER BY {_F1} DESC, threshold) = 1 AS best FROM y"""
 
-WINDOWS = [0, HOUR, 6 * HOUR, 12 * HOUR]
+#: Seven confidences by four windows.
+GRID, WINDOWS = [25.0 * k for k in range(1, 8)], [0, HOUR, 6 * HOUR, 12 * HOUR]
+#: Fourteen thresholds.
+ENERGIES = [10.0 * k for k in range(1, 11)] + [125.0, 150.0, 175.0, 200.0]
 
 
 @query
 def grid_search(spark, d):
-    out = search.grid_search(*_rd(spark, d), TOL, [25.0, 50.0, 100.0, 150.0], WINDOWS)
+    out = search.grid_search(*_rd(spark, d), TOL, GRID, WINDOWS)
     return out.select("threshold", F.col("window").alias("nms_window"), "n_gt", "n_det", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "best")
 
 
-SQL["grid_search"] = f"""WITH RECURSIVE {RD}, th AS (SELECT threshold, win FROM (SELECT unnest([25.0, 50.0, 100.0, 150.0])::DOUBLE AS threshold), (SELECT unnest({WINDOWS!r})::BIGINT AS win)),
+SQL["grid_search"] = f"""WITH RECURSIVE {RD}, th AS (SELECT threshold, win FROM (SELECT unnest({GRID!r})::DOUBLE AS threshold), (SELECT unnest({WINDOWS!r})::BIGINT AS win)),
 o AS (SELECT threshold, win, d.*, row_number() OVER (PARTITION BY threshold, win, clip ORDER BY t, id) AS n FROM d JOIN th ON conf >= threshold),
 w(threshold, win, clip, n, id, t, conf, anchor, grp) AS (SELECT threshold, win, clip, n, id, t, conf, t, 1 FROM o WHERE n = 1 UNION ALL
 SELECT o.threshold, o.win, o.clip, o.n, o.id, o.t, o.conf, CASE WHEN o.t - w.anchor < o.win THEN w.anchor ELSE o.t END, CASE WHEN o.t - w.anchor < o.win THEN w.grp ELSE w.grp + 1 END FROM w JOIN o ON o.clip = w.clip AND o.n = w.n + 1 AND o.threshold = w.threshold AND o.win = w.win),
@@ -301,12 +304,12 @@ SELECT threshold, win AS nms_window, {_OUT}, row_number() OVER (ORDER BY {_F1} D
 
 @query
 def energy_sweep(spark, d):
-    out = search.energy_sweep(*_rd(spark, d), [TOL, 12 * HOUR], [10.0, 50.0, 100.0, 200.0], 0.5)
+    out = search.energy_sweep(*_rd(spark, d), [TOL, 12 * HOUR], ENERGIES, 0.5)
     return out.select("tolerance", "threshold", "n_gt", "n_det", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "first")
 
 
 def _sweep(tol: int) -> str:
-    return f"""(WITH RECURSIVE {RD}, th AS (SELECT unnest([10.0, 50.0, 100.0, 200.0])::DOUBLE AS threshold), rx AS (SELECT {{'c': clip, 'h': threshold}} AS clip, id, t, conf FROM r, th), dx AS (SELECT {{'c': clip, 'h': threshold}} AS clip, id, t, conf FROM d JOIN th ON conf >= threshold),
+    return f"""(WITH RECURSIVE {RD}, th AS (SELECT unnest({ENERGIES!r})::DOUBLE AS threshold), rx AS (SELECT {{'c': clip, 'h': threshold}} AS clip, id, t, conf FROM r, th), dx AS (SELECT {{'c': clip, 'h': threshold}} AS clip, id, t, conf FROM d JOIN th ON conf >= threshold),
 {_walk_refs('rx', 'dx', _near(str(tol)), _UNUSED)}, z AS (SELECT threshold, (SELECT count(*) FROM r) AS n_gt, (SELECT count(*) FROM dx WHERE dx.clip.h = threshold) AS n_det, (SELECT count(hit) FROM w WHERE w.clip.h = threshold) AS tp FROM th) SELECT {tol}::BIGINT AS tolerance, threshold, {_PRF} FROM z)"""
 
 
