@@ -63,15 +63,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def forget_rounds(spark: SparkSession) -> None:
-    """Lets the driver give back what the rounds behind it leave: arrays of a fitted model, plans, and by them the shuffle files and
-    checkpoints that nothing refers to any more.
+def give_back() -> None:
+    """Gives the driver's freed arrays back to the system: those of a fitted model would stay with the C library and Arrow's pool until asked for.
 
-    The JVM would first grow to its limit, since it does not know that the plans of an iterative job are its largest part; and freed
-    arrays stay with the C library until it is asked for them.
+    The JVM is left alone: collecting it between rounds made its heap grow sooner.
     """
     gc.collect()
-    spark._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

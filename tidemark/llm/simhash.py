@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import checkpoint, forget_rounds, mix, new_name, partitions
+from tidemark.llm._text import checkpoint, give_back, mix, new_name, partitions
 from tidemark.llm.components import components
 
 BYTES, MAX_BITS, SEED = 8, 3, 42
@@ -453,7 +453,7 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int,
     texts = docs.select(F.xxhash64("text").alias("tid"), "text")
     sets = checkpoint(texts.mapInArrow(_sets(bits, width), "tid long, h array<long>").dropDuplicates(["tid"]))
     bits.unpersist()
-    forget_rounds(spark)
+    give_back()
     one, two = (sets.select(F.col("tid").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb")).cast("long")
     total = F.size("ha") + F.size("hb") - both
@@ -472,7 +472,7 @@ def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fractio
     listed = checkpoint(dealt.mapInArrow(_chained(share), "a long, b long, h long, n long, place long"))
     links = _verified(docs, groups, listed.where("h is null").select("a", "b").distinct(), width, share)
     first = checkpoint(components(links).withColumnRenamed("a", "tid"))
-    forget_rounds(spark)
+    give_back()
     entries = listed.where("h is not null").select("h", "n", F.col("a").alias("tid"), "place").join(first, "tid", "left").withColumn("label", F.coalesce("root", "tid")).drop("root")
     # the shingle is rewritten (to itself), so that Spark can split a hot one of this join
     mixed = entries.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"))
@@ -494,7 +494,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
     lists; every pair of a list that may join two components is verified on the whole sets, unless its sketches rule it out.  Equal sets are one node, named by one of their texts.
     Null and wordless texts are one group; a very long text is one set; null doc_ids and repeated rows are as in near_duplicates.
     """
-    forget_rounds(docs.sparkSession)
+    give_back()
     share = Fraction(similarity).limit_denominator(10**6)
     rows = checkpoint(_set_rows(docs, width, share))
     groups = checkpoint(rows.groupBy("node", "n", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
