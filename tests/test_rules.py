@@ -265,3 +265,45 @@ def test_one_busy_clip(spark):
     assert dedup.dedup_last_kept(r, 25).count() > 1000
     for op in (matching.match_greedy_unused, matching.match_order_preserving, matching.match_optimal):
         assert op(r.select("clip", "id", "t"), d.select("clip", "id", "t"), 12).where("det_id = ref_id").count() == n, op.__name__
+
+
+def by_dynamic_programming(r, d, tolerance):
+    """(pairs, total distance) of the best assignment, by the full table of prefixes."""
+    best = [[(0, 0)] * (len(d) + 1) for _ in range(len(r) + 1)]
+    for i, x in enumerate(r):
+        for j, y in enumerate(d):
+            pair = (best[i][j][0] + 1, best[i][j][1] - abs(x - y)) if abs(x - y) <= tolerance else (-1, 0)
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], pair)
+    return best[-1][-1][0], -best[-1][-1][1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_assignment_decides_as_it_goes(seed):
+    """With looks after every few references: the best assignment, each reference once and in order, however dense the rows are."""
+    rng = random.Random(seed)
+    tolerance, span = rng.choice([(0, 40), (3, 300), (9, 200), (25, 900)])
+    r, d = (sorted(rng.randrange(span) for _ in range(n)) for n in (rng.choice([60, 150]), rng.choice([20, 150])))
+    for look in (1, 3, 64):
+        out = []
+        one = matching.Assignment(tolerance, out.append)
+        one.LOOK = one.look = look
+        for t, is_ref, i in sorted([(t, False, i) for i, t in enumerate(d)] + [(t, True, i) for i, t in enumerate(r)]):
+            one.take(t, is_ref, i)
+        one.finish()
+        assert [x[0] for x in out] == list(range(len(r)))
+        pairs = [(r[i], d[j], j) for i, _, j, _ in out if j is not None]
+        assert len({j for _, _, j in pairs}) == len(pairs) and all(abs(x - y) <= tolerance for x, y, _ in pairs)
+        assert (len(pairs), sum(abs(x - y) for x, y, _ in pairs)) == by_dynamic_programming(r, d, tolerance)
+
+
+def test_assignment_of_a_long_stretch_holds_little():
+    """In a stretch of 40,000 rows without a gap, the table and the detections held stay short."""
+    rng = random.Random(1)
+    most, out, t = 0, [], 0
+    one = matching.Assignment(40, out.append)
+    for i in range(40_000):
+        t += rng.randrange(1, 30)
+        one.take(t, rng.random() < 0.5, i)
+        most = max(most, len(one.table) + len(one.dets))
+    one.finish()
+    assert most < 1000 and len(out) > 15_000

@@ -2,8 +2,8 @@
 
 References and detections are (clip, id, t[, conf]) tables with t in integer microseconds.  Range joins use buckets as
 wide as the range, so they are equi-joins on (clip, bucket) with a residual test.  Assignments that depend on order pass over a
-clip's rows of both sides in order of time and hold those within the tolerance (see ordered); the optimal one holds a stretch without a
-gap of more than the tolerance, since rows of different stretches cannot compete.
+clip's rows of both sides in order of time and hold those within the tolerance (see ordered); the optimal one holds what later rows may
+still change.
 """
 
 from __future__ import annotations
@@ -189,62 +189,124 @@ def match_order_preserving(refs: DataFrame, dets: DataFrame, tolerance: int, key
     return _in_turn(refs, dets, tolerance, keys, F.lit(tolerance), False, True)
 
 
-def best_assignment(r: np.ndarray, d: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
-    """Most pairs within the tolerance, then least total distance; r and d sorted.
+class Assignment:
+    """Most pairs within the tolerance, then least total distance, of references and detections that come in order of time.
 
-    On a line some best assignment never crosses, so a table over prefixes finds it.  A reference changes it only at the detections within
-    its tolerance, so no more of it is held, relative to the value before them.
+    On a line some best assignment never crosses, so a table over prefixes of the detections finds it.  A reference changes the table
+    only at the detections within its tolerance, so a row of it is no longer than that.  Rows are held until the best assignments
+    of all prefixes still open agree on what they did: those references are decided, whatever follows, and leave.
     """
-    n, m = len(r), len(d)
-    low, high = np.searchsorted(d, r - tolerance, "left"), np.searchsorted(d, r + tolerance, "right")
-    big = 1 << max(44, int(n * max(int(tolerance), 1)).bit_length() + 1)  # for each pair, less the distances
-    table: list[tuple[np.ndarray, np.ndarray]] = []
-    value, begin = np.zeros(1, np.int64), 0  # of the prefixes of `begin` detections and more; the last holds for all longer ones
-    for i in range(n):
-        a, b = low[i], high[i]
-        before = value[np.minimum(np.arange(a, b + 1) - begin, len(value) - 1)]
+
+    #: References between two looks for what is decided; the looks thin out while nothing is.
+    LOOK = 64
+
+    def __init__(self, tolerance: int, emit) -> None:
+        self.tolerance, self.emit = tolerance, emit
+        self.clear()
+
+    def clear(self) -> None:
+        self.dets: list[tuple[int, int]] = []  # (time, id) from number `first` on
+        self.first = 0
+        self.waiting: deque[tuple[int, int]] = deque()  # references whose tolerance has not passed
+        self.table: list[tuple] = []  # (reference, first and end number of its detections, values before and after)
+        self.value, self.begin = np.zeros(1, np.int64), 0  # of the prefixes of `begin` detections and more; the last holds for all longer ones
+        self.pair = 1 << max(44, int(self.tolerance).bit_length() + 8)  # the worth of a pair, more than all distances of the table
+        self.look = self.LOOK
+
+    def take(self, t: int, is_ref: bool, i: int) -> None:
+        while self.waiting and self.waiting[0][0] + self.tolerance < t:
+            self._row(*self.waiting.popleft())
+        if is_ref:
+            self.waiting.append((t, i))
+        else:
+            if not self.waiting:
+                self._idle(t)
+            self.dets.append((t, i))
+
+    def _idle(self, t: int) -> None:
+        """Without references on hand, those in the table are decided once none can meet their detections, and detections that none can reach go."""
+        if self.table and t > self.table[-1][0][0] + 2 * self.tolerance:
+            self._settle(np.array([self.table[-1][2]]))
+        if not self.table and (n := bisect_left(self.dets, (t - self.tolerance,))) > self.LOOK:
+            self._drop(n)
+
+    def _drop(self, n: int) -> None:
+        del self.dets[:n]
+        self.first += n
+
+    def _row(self, r: int, i: int) -> None:
+        a = self.first + bisect_left(self.dets, (r - self.tolerance,))
+        b = self.first + bisect_left(self.dets, (r + self.tolerance + 1,))
+        at = np.array([t for t, _ in self.dets[a - self.first : b - self.first]], np.int64)
+        if 4 * (len(self.table) + 2) * self.tolerance >= self.pair:
+            pairs = (self.value + self.pair // 2) // self.pair
+            self.value = pairs * (4 * self.pair) + (self.value - pairs * self.pair)
+            self.pair *= 4
+        before = self.value[np.minimum(np.arange(a, b + 1) - self.begin, len(self.value) - 1)]
         before = before - before[0]
         after = before.copy()
-        after[1:] = np.maximum.accumulate(np.maximum(before[:-1] + big - np.abs(d[a:b] - r[i]), before[1:]))
-        table.append((before, after))
-        value, begin = after, a
-    out, j = [], m
-    for i in range(n - 1, -1, -1):
-        before, after = table[i]
-        k = min(j, high[i]) - low[i]
-        if k > 0 and after[k] != before[k]:
-            k = int(np.searchsorted(after, after[k], "left"))  # the shortest prefix of that value
-            j = low[i] + k - 1
-            out.append((i, int(j)))
-    return out[::-1]
+        after[1:] = np.maximum.accumulate(np.maximum(before[:-1] + self.pair - np.abs(at - r), before[1:]))
+        self.table.append(((r, i), a, b, before, after))
+        self.value, self.begin = after, a
+        if len(self.table) >= self.look:
+            self._settle(np.arange(a, b + 1))
+            self.look = max(self.LOOK, 2 * len(self.table))
+
+    @staticmethod
+    def _back(row: tuple, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of the detection taken, -1 for none; the prefix before it) of a row entered with prefixes j."""
+        _, a, b, before, after = row
+        k = np.minimum(j, b) - a
+        inside = np.maximum(k, 0)
+        taken = (k > 0) & (after[inside] != before[inside])
+        shortest = a + np.searchsorted(after, after[inside], "left") - 1  # the shortest prefix of that value
+        return np.where(taken, shortest, -1), np.where(taken, shortest, j)
+
+    def _settle(self, open_: np.ndarray) -> None:
+        """Decides all references up to the last one that every open prefix enters alike."""
+        j = open_
+        for s in range(len(self.table) - 1, -1, -1):
+            j = np.unique(np.minimum(j, self.table[s][2]))
+            if len(j) == 1:
+                decided = []
+                for row in reversed(self.table[: s + 1]):
+                    taken, j = self._back(row, j)
+                    decided.append((row[0], int(taken[0])))
+                for (r, i), d in reversed(decided):
+                    found = self.dets[d - self.first] if d >= 0 else (None, None)
+                    self.emit((i, r, found[1], found[0]))
+                del self.table[: s + 1]
+                self._drop((self.table[0][1] if self.table else self.begin) - self.first)
+                return
+            j = self._back(self.table[s], j)[1]
+
+    def finish(self) -> None:
+        """The end: one prefix is left, that of all detections."""
+        while self.waiting:
+            self._row(*self.waiting.popleft())
+        if self.table:
+            self._settle(np.array([self.first + len(self.dets)]))
+        self.clear()
 
 
-def match_optimal(refs: DataFrame, dets: DataFrame, tolerance: int) -> DataFrame:
-    """The assignment with most pairs within the tolerance and then least total distance, stretch by stretch."""
-    def make(emit):
-        sides: tuple[list, list] = ([], [])
-        last = None
+def best_assignment(r: np.ndarray, d: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
+    """Pairs (place in r, place in d) of the best assignment; r and d sorted."""
+    out: list[tuple] = []
+    one = Assignment(tolerance, out.append)
+    for t, is_ref, i in sorted([(int(t), False, i) for i, t in enumerate(d)] + [(int(t), True, i) for i, t in enumerate(r)]):
+        one.take(t, is_ref, i)
+    one.finish()
+    return [(i, j) for i, _, j, _ in out if j is not None]
 
-        def end() -> None:
-            nonlocal last
-            ds, rs = sides
-            pair = dict(best_assignment(np.array([t for t, _ in rs], np.int64), np.array([t for t, _ in ds], np.int64), tolerance)) if rs else {}
-            for i, (t, ref) in enumerate(rs):
-                found = ds[pair[i]] if i in pair else (None, None)
-                emit((ref, t, found[1], found[0]))
-            ds.clear()
-            rs.clear()
-            last = None
 
-        def take(row) -> None:
-            nonlocal last
-            t, side, i, _ = row
-            if last is not None and t - last > tolerance:
-                end()
-            last = t
-            sides[side].append((t, i))
+def match_optimal(refs: DataFrame, dets: DataFrame, tolerance: int) -> DataFrame:
+    """The assignment with most pairs within the tolerance and then least total distance.
 
-        return take, end
+    A clip's rows pass once, in order of time; what is held is the rows of Assignment's table that are not decided.
+    """
+    def make(emit):
+        one = Assignment(tolerance, emit)
+        return (lambda row: one.take(row[0], bool(row[1]), row[2])), one.finish
 
     return _with_distance(each_key(_sides(refs, dets, ("clip",), F.lit(None)), ("clip",), ("t", "side", "id", "limit"), ("t", "side", "id"), make, PAIR))
 
