@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import anti, asof_backward, asof_nearest, match_greedy_unused
+from tidemark.operators.prefix import totals_before
 
 FAR = 999_000_000
 #: The ids of the error taxonomy's two lists are read from its own file; these are the record types.
@@ -52,12 +53,11 @@ def fn_hints(fns: DataFrame, follow: int, reject: int, reject_conf: float, none:
 def manifest(fps: DataFrame, fns: DataFrame, skips: DataFrame | None = None) -> DataFrame:
     """Records for labelling, with audit ids clip|FP|0001 numbered across all clips in order of (clip, t, id).
 
-    Numbers come from a count for each clip and a place within it, so no task orders all records.
+    Numbers come from the records of the clips before (see prefix) and a place within the clip, so no task sees all records or all clips.
     """
     def numbered(df: DataFrame, kind: str) -> DataFrame:
         sizes = df.groupBy("clip").agg(F.count("*").alias("_c"))
-        before = Window.orderBy("clip").rowsBetween(Window.unboundedPreceding, -1)  # one row for each clip
-        base = sizes.select("clip", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+        base = totals_before(sizes, "clip", "_c", "_base")
         place = F.row_number().over(Window.partitionBy("clip").orderBy("t", "id"))
         x = df.withColumn("_place", place).join(base, "clip")
         return x.select(F.lit(kind).alias("record_type"), F.format_string(f"%s|{kind.upper()}|%04d", F.col("clip").cast("string"), F.col("_base") + F.col("_place")).alias("audit_id"), "clip", F.lit(None).cast("string").alias("reason"), "t", (F.col("conf") if kind == "fp" else F.lit(None).cast("double")).alias("conf"), (F.col("distance") if kind == "fp" else F.col("det_dt")).alias("distance"), F.lit(None).cast("string").alias("human_primary"), F.lit("").alias("notes"))
