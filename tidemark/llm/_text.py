@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.shared import checkpoint, delete_folder, shared_folder  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that one vectorised step works on.  A longer single text is still taken whole.
 SLICE_BYTES = 4 << 20
 
@@ -36,33 +36,6 @@ _MASK = (1 << 64) - 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: what spark.checkpoint.dir names.
-
-    A folder of this machine is taken only where that is unset and the driver runs the tasks itself (a local master);
-    executors elsewhere could not read it, so a cluster without the setting is refused.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this session wrote, wherever Spark's file systems hold it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df.checkpoint()` in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def give_back() -> None:
     """Gives the driver's freed arrays back to the system: those of a fitted model would stay with the C library and Arrow's pool until asked for.
 
