@@ -90,18 +90,27 @@ class Side:
     """What one tokenizer's ids need: their bytes, their lengths, and their digits followed by each separator."""
 
     def __init__(self, table: list[bytes], last: str) -> None:
-        self.table = table
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.length = np.array([len(b) for b in table], np.int64)
+        self.start = np.cumsum(self.length) - self.length
         self.inner = np.array([f"{k}," for k in range(len(table))], object)
         self.last = np.array([f"{k}{last}" for k in range(len(table))], object)
 
 
+    def spells(self, ids: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> bool:
+        """Whether the tokens' bytes are these."""
+        if (ends[-1] if len(ends) else 0) != len(whole):
+            return False
+        length = self.length[ids]
+        return bool((self.bytes[np.arange(len(whole)) + np.repeat(self.start[ids] - ends + length, length)] == whole).all())
+
+
 def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place where a token of A and one of B both end: the index of either, in order."""
     at_a = dict(zip(ends_a.tolist(), range(len(ends_a))))
     at_b = dict(zip(ends_b.tolist(), range(len(ends_b))))
-    common = sorted(at_a.keys() & at_b.keys())
-    return np.array([at_a[e] for e in common], np.int64), np.array([at_b[e] for e in common], np.int64)
+    common = [e for e in at_a if e in at_b]  # in the order of A's ends, which is theirs
+    return np.fromiter(map(at_a.__getitem__, common), np.int64, len(common)), np.fromiter(map(at_b.__getitem__, common), np.int64, len(common))
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +143,11 @@ def _digits(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray,
 
 def align_text(text: str, a: list[int], b: list[int], one: Side, two: Side) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
     """(n_a, n_b, n_groups, n_links, groups, pairs ascending, times of each); None if either side's bytes are not the text's."""
-    whole = b" " + text.encode()
-    if b"".join(map(one.table.__getitem__, a)) != whole or b"".join(map(two.table.__getitem__, b)) != whole:
-        return None
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    whole = np.frombuffer(b" " + text.encode(), np.uint8)
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
     ends_a, ends_b = np.cumsum(one.length[a]), np.cumsum(two.length[b])
+    if not (one.spells(a, ends_a, whole) and two.spells(b, ends_b, whole)):
+        return None
     cut_a, cut_b = cuts(ends_a, ends_b)
     at_a, at_b = links(ends_a, ends_b, cut_a, cut_b)
     pairs, times = np.unique(a[at_a] * SIDE + b[at_b], return_counts=True)
