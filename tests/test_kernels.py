@@ -138,6 +138,8 @@ def test_logreg_training_equals_plain_descent(spark):
     x, y, w = rng.normal(size=(60, 3)), rng.integers(0, 2, 60), rng.choice([1.0, 4.5], 60)
     df = spark.createDataFrame([(a.tolist(), int(b), float(c)) for a, b, c in zip(x, y, w)], "x array<double>, y int, w double")
     got = score.logreg_train(df, "x", "y", "w", epochs=15)
+    legs = score.logreg_train(df, "x", "y", "w", epochs=15, leg=4)
+    assert np.allclose(legs["weights"], got["weights"], atol=1e-12) and legs["bias"] == pytest.approx(got["bias"], abs=1e-12)
     z = (x - x.mean(0)) / x.std(0)
     v, b = np.zeros(3), 0.0
     for _ in range(15):

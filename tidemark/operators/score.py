@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +53,12 @@ def fuse(confidence: Column, network: Column, weight: float = 0.5) -> Column:
     return F.coalesce((1 - weight) * confidence + weight * network, confidence)
 
 
-def logreg_train(df: DataFrame, features: str, target: str, weight: str | None = None, lr: float = 0.1, epochs: int = 2000, l2: float = 1e-3, block_bytes: int = 1 << 26) -> dict:
+def logreg_train(df: DataFrame, features: str, target: str, weight: str | None = None, lr: float = 0.1, epochs: int = 2000, l2: float = 1e-3, block_bytes: int = 1 << 26, leg: int = 250) -> dict:
     """Weights by full-batch gradient descent on the weighted log loss over n, with the L2 penalty on the weights alone.
 
-    All epochs run in one barrier stage: a task holds its rows as a matrix of about block_bytes (more only if the cluster has fewer cores than that needs),
-    and in every epoch the tasks exchange one gradient each, features numbers whatever the rows.  A lost task restarts the stage.
+    Epochs run in barrier stages of `leg` each, from the weights that the leg before left: a task holds its rows as a matrix of about block_bytes (more only if
+    the cluster has fewer cores than that needs), and in every epoch the tasks exchange one gradient each, features numbers whatever the rows.  A lost task
+    restarts its leg, not the training; the rows are kept for all legs, on disk where memory is short.
     """
     size = df.select(F.size(features)).where(f"{features} is not null").first()
     d = size[0] if size else 0
@@ -70,22 +71,30 @@ def logreg_train(df: DataFrame, features: str, target: str, weight: str | None =
     scale = np.where(std < 1e-6, 1.0, std)
     tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-n * (d + 2) * 8 // block_bytes)))
 
-    def descend(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [((np.stack(p["x"]) - mean) / scale, p["y"].to_numpy(), p["w"].to_numpy()) for p in it if len(p)]
-        m, y, u = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros((0, d)), np.zeros(0), np.zeros(0))
-        context = BarrierTaskContext.get()
-        w, b = np.zeros(d), 0.0
-        for _ in range(epochs):
-            e = (1 / (1 + np.exp(-(m @ w + b))) - y) * u
-            g = np.append(m.T @ e, e.sum())
-            if tasks > 1:
-                g = np.sum([np.frombuffer(bytes.fromhex(x)) for x in context.allGather(g.tobytes().hex())], axis=0)
-            w, b = w - lr * (g[:d] / n + l2 * w), b - lr * g[d] / n
-        if context.partitionId() == 0:
-            yield pd.DataFrame({"w": [w.tolist()], "b": [float(b)]})
-
-    found = x.repartition(tasks).mapInPandas(descend, "w array<double>, b double", barrier=True).first()
-    return {"type": "binary", "weights": list(found.w), "bias": found.b, "mean": mean.tolist(), "std": std.tolist()}
+    def descend(w: np.ndarray, b: float, epochs: int):
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [((np.stack(p["x"]) - mean) / scale, p["y"].to_numpy(), p["w"].to_numpy()) for p in it if len(p)]
+            m, y, u = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros((0, d)), np.zeros(0), np.zeros(0))
+            context = BarrierTaskContext.get()
+            now, bias = w, b
+            for _ in range(epochs):
+                e = (1 / (1 + np.exp(-(m @ now + bias))) - y) * u
+                g = np.append(m.T @ e, e.sum())
+                if tasks > 1:
+                    g = np.sum([np.frombuffer(bytes.fromhex(x)) for x in context.allGather(g.tobytes().hex())], axis=0)
+                now, bias = now - lr * (g[:d] / n + l2 * now), bias - lr * g[d] / n
+            if context.partitionId() == 0:
+                yield pd.DataFrame({"w": [now.tolist()], "b": [float(bias)]})
+
+        return run
+
+    rows = x.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    w, bias = np.zeros(d), 0.0
+    for done in range(0, epochs, leg):
+        found = rows.mapInPandas(descend(w, bias, min(leg, epochs - done)), "w array<double>, b double", barrier=True).first()
+        w, bias = np.array(found.w), found.b
+    rows.unpersist()
+    return {"type": "binary", "weights": w.tolist(), "bias": bias, "mean": mean.tolist(), "std": std.tolist()}
 
 
 def training_set(candidates: DataFrame, refs: DataFrame, before: int, after: int, miss_weight: float = 4.5, synthesized: DataFrame | None = None) -> DataFrame:
