@@ -1,9 +1,13 @@
 """Detectors over signals.  A clip's samples are one row (clip, sr, samples), decoded by the sources; a detector is a
-kernel over rows of a partition, with the selection rules behind it in the native operators."""
+kernel over rows of a partition, with the selection rules behind it in the native operators.
+
+Where a detector takes `decode`, samples may be any value of which decode(value) makes the array: it is called in the task for one
+clip at a time, so that decoded sounds are never rows, and no batch holds those of many clips.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +19,8 @@ from tidemark.operators.signal import candidate_features
 from tidemark.params import Beep, Candidates, Energy, Legacy, Motion, Selection, Stft, micros
 
 SHOT = "clip string, id long, t long, conf double, value double"
+#: Rows that a task gathers from its clips before it hands them on.
+ROWS = 1 << 14
 
 
 def _shots(clip, t: np.ndarray, conf: np.ndarray, value: np.ndarray) -> pd.DataFrame:
@@ -27,13 +33,22 @@ def _reported(seconds: float) -> int:
     return round(round(float(seconds), 4) * 1e6)
 
 
-def _each(kernel, audio: DataFrame, schema: str, columns: tuple[str, ...] = ("clip", "sr", "samples")) -> DataFrame:
+def _each(kernel, audio: DataFrame, schema: str, columns: tuple[str, ...] = ("clip", "sr", "samples"), decode: Callable | None = None) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for rows in it:
             for row in rows.itertuples(index=False):
+                if decode is not None:
+                    row = tuple(decode(v) if c == "samples" else v for c, v in zip(columns, row))
                 out = kernel(*row)
                 if out is not None and len(out):
-                    yield out
+                    held.append(out)
+                    n += len(out)
+                if n >= ROWS:
+                    yield pd.concat(held, ignore_index=True)
+                    held, n = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     return audio.select(*columns).mapInPandas(run, schema)
 
@@ -272,7 +287,7 @@ def _all_beeps(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score, min_gap:
     return found
 
 
-def beeps(audio: DataFrame, p: Beep = Beep(), first_only: bool = True, min_gap: float = 1.5, load=None) -> DataFrame:
+def beeps(audio: DataFrame, p: Beep = Beep(), first_only: bool = True, min_gap: float = 1.5, load=None, decode: Callable | None = None) -> DataFrame:
     """The start beep of each clip, or all its beeps.  Clips without one give no row.
 
     load() returns a network: a function from a batch of patches to probabilities.  Without one the rules decide.
@@ -288,10 +303,10 @@ def beeps(audio: DataFrame, p: Beep = Beep(), first_only: bool = True, min_gap:
             found = _all_beeps(x, sr, p, s, score, min_gap)
         return _shots(clip, np.array(found, float), np.full(len(found), 0.95), np.zeros(len(found)))
 
-    return _each(kernel, audio, SHOT)
+    return _each(kernel, audio, SHOT, decode=decode)
 
 
-def beep_grid(audio: DataFrame, grid: list[Beep]) -> DataFrame:
+def beep_grid(audio: DataFrame, grid: list[Beep], decode: Callable | None = None) -> DataFrame:
     """(clip, setting, t): the start beep by rule under every setting, its place in the grid."""
     def kernel(clip, sr, x):
         x = np.asarray(x, float)
@@ -305,7 +320,7 @@ def beep_grid(audio: DataFrame, grid: list[Beep]) -> DataFrame:
                 out.append((clip, i, _reported(t)))
         return pd.DataFrame(out, columns=["clip", "setting", "t"])
 
-    return _each(kernel, audio, "clip string, setting int, t long")
+    return _each(kernel, audio, "clip string, setting int, t long", decode=decode)
 
 
 def beep_near(audio: DataFrame, window: float = 2.0, p: Beep = Beep()) -> DataFrame:
@@ -351,7 +366,7 @@ def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, s
 FRAME = "clip string, idx long, rate double, before int, after int, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double, mfcc double, frame_t long, onset_t long, envelope_t long"
 
 
-def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False) -> DataFrame:
+def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
     """Every frame's onset, threshold, band energies, flatness and attack, and if asked for the peaks' cepstral band (else 0), in one pass over the samples.
 
     rate is frames a second; before and after are a feature window's frames at the clip's own rate.  Reported times of a frame: its own, and
@@ -399,7 +414,7 @@ def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candid
         around = {"before": max(1, frames(c.before)), "after": max(1, frames(c.after))}
         return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": rate, **around, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1), "mfcc": band, **moved})
 
-    return _each(kernel, audio, FRAME)
+    return _each(kernel, audio, FRAME, decode=decode)
 
 
 def flatness(m: np.ndarray) -> np.ndarray:
@@ -482,7 +497,7 @@ def onset_strength(audio: DataFrame, stft: Stft = Stft(), low: float = 1000.0, h
 FEATURES = ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio", "slam", "metal", "mfcc")
 
 
-def network_at(audio: DataFrame, marks: DataFrame, load, patch=kernels.mel_patch) -> DataFrame:
+def network_at(audio: DataFrame, marks: DataFrame, load, patch=kernels.mel_patch, decode: Callable | None = None) -> DataFrame:
     """(clip, id, network): the probability that a network gives to the patch at every mark (clip, id, t).
 
     load() returns a function from a batch of patches to probabilities, and is called once for each task.
@@ -493,14 +508,14 @@ def network_at(audio: DataFrame, marks: DataFrame, load, patch=kernels.mel_patch
         score = load()
         for rows in it:
             for clip, sr, x, found in rows.itertuples(index=False):
-                x = np.asarray(x, float)
+                x = np.asarray(x if decode is None else decode(x), float)
                 p = score(np.stack([patch(x, sr, m["t"] / 1e6) for m in found]))
                 yield pd.DataFrame({"clip": clip, "id": [m["id"] for m in found], "network": np.asarray(p, float)})
 
     return audio.join(listed, "clip").select("clip", "sr", "samples", "marks").mapInPandas(run, "clip string, id long, network double")
 
 
-def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] | None = None, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None, network: DataFrame | None = None, network_only: bool = False, extra: DataFrame | None = None, load=None) -> tuple[DataFrame, DataFrame]:
+def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] | None = None, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None, network: DataFrame | None = None, network_only: bool = False, extra: DataFrame | None = None, load=None, decode: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(shots, candidates).  Frames to candidate peaks to features to scores, then in this order: gap chains, best of each, hard kill,
     refinement of the times, last-kept de-duplication, rate cap, fusion with the network, confidence gate, rate limit.
 
@@ -509,14 +524,14 @@ def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[
     probabilities at the candidates' frames: clip, id (the frame) and network.  extra: clip, id and further feature columns.
     """
     names = features or FEATURES[: len(model["weights"])] if model is not None else ()
-    frames = frame_features(audio, stft, c, s, "mfcc" in names and (extra is None or "mfcc" not in extra.columns))
+    frames = frame_features(audio, stft, c, s, "mfcc" in names and (extra is None or "mfcc" not in extra.columns), decode)
     peaks = frames.where("peak").select("clip", "idx", "rate", "frame_t", "onset_t", "envelope_t", *["mfcc"] * (extra is None or "mfcc" not in extra.columns))
     x = candidate_features(frames.where("peak"), frames, "before", "after").join(peaks, ["clip", "idx"])
     x = x.withColumn("id", F.col("idx")).withColumn("t", F.round(F.col("idx") * 1e6 / F.col("rate")).cast("long"))
     if extra is not None:
         x = x.join(extra, ["clip", "id"], "left")
     if load is not None and network_only:
-        network = network_at(audio, x.select("clip", "id", "t"), load)
+        network = network_at(audio, x.select("clip", "id", "t"), load, decode=decode)
     if network is not None:
         x = x.join(network.select("clip", "id", "network"), ["clip", "id"], "left")
     alone = network is not None and network_only
@@ -545,7 +560,7 @@ def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[
     shots = shots.join(win.select("clip", "id", "score", *["network"] * (network is not None)), ["clip", "id"])
     capped = dedup.rate_cap(shots.withColumn("_keep", F.col("conf")).withColumn("conf", F.col("score")), s.rate).withColumn("conf", F.col("_keep")).drop("_keep")
     if load is not None and not alone:
-        capped = capped.join(network_at(audio, capped.select("clip", "id", "t"), load), ["clip", "id"])
+        capped = capped.join(network_at(audio, capped.select("clip", "id", "t"), load, decode=decode), ["clip", "id"])
     if (network is not None or load is not None) and not alone:
         capped = capped.withColumn("conf", F.round(score.fuse(F.col("conf"), F.col("network"), s.fusion), 3))
     if least is not None:

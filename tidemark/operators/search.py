@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import replace
 from itertools import product
 
@@ -244,13 +245,13 @@ def calibrate(audio: DataFrame, refs: DataFrame, tolerance: int, grid: list[Lega
     return calibration_score(per.join(n, "setting", "left").fillna(0, ["n_det"]))
 
 
-def tune_beeps(audio: DataFrame, truth: DataFrame, base: Beep = Beep()) -> DataFrame:
+def tune_beeps(audio: DataFrame, truth: DataFrame, base: Beep = Beep(), decode: Callable | None = None) -> DataFrame:
     """The beep detector under 24 settings against truth(clip, t): setting, height_share, probe_from (null: no probe), mae over the clips with a beep found, and best (least mae, the first on ties).
 
     A clip's samples are read once for all settings.
     """
     grid = [replace(base, height_share=h, probe=(late, base.probe[1]) if probe else None) for h in BEEP_HEIGHT_SHARES for probe in (True, False) for late in BEEP_PROBES]
-    found = detect.beep_grid(audio, grid)
+    found = detect.beep_grid(audio, grid, decode)
     errors = found.join(truth.select("clip", F.col("t").alias("_t")), "clip").groupBy("setting").agg(F.avg(F.abs(F.col("t") - F.col("_t"))).alias("mae"), F.count("*").alias("n"))
     names = audio.sparkSession.createDataFrame([(i, p.height_share, p.probe[0] if p.probe else None) for i, p in enumerate(grid)], "setting int, height_share double, probe_from double")
     w = Window.orderBy(F.col("mae").asc_nulls_last(), "setting")  # one row for each setting

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, kernels, signal
-from tidemark.plans.bind import BEEP, CAND, DET, EV, FRAMES, HOUR, REF, SERIES, frames, role, timeline
+from tidemark.plans.bind import BEEP, CAND, DET, EV, FRAMES, HOUR, REF, SERIES, frames, read, role, timeline
 
 QUERIES, SQL = {}, {}
 S = f"{EV}, {SERIES}"
@@ -404,33 +404,31 @@ def motion_learned(spark, d):
 SOUND, STEP = 16000.0, 0.08
 
 
-def _sounds(spark, d) -> DataFrame:
-    """(clip, sr, samples): detections are bursts of noise as loud as their values that die away, beeps are tones of 3 kHz, the rest is faint noise.
+def _sound(events) -> np.ndarray:
+    """A clip's sound: detections are bursts of noise as loud as their values that die away, beeps are tones of 3 kHz, the rest is faint noise.
     The noise of an event comes from its id, so that every run hears the same."""
-    rows = timeline(spark, d).join(timeline(spark, d, DET, BEEP).select("clip", "id", F.lit(True).alias("loud")), ["clip", "id"], "left").join(timeline(spark, d, BEEP).select("clip", "id", F.lit(True).alias("tone")), ["clip", "id"], "left")
-    rows = rows.groupBy(F.col("clip").cast("string").alias("clip")).agg(F.array_sort(F.collect_list(F.struct("t", "id", "conf", "loud", "tone"))).alias("x"))
+    step = int(SOUND * STEP)
+    y = np.zeros(len(events) * step + int(0.6 * SOUND))
+    for i, e in enumerate(events):
+        r, a = np.random.default_rng(e["id"]), i * step
+        y[a : a + step] += r.normal(0, 0.001, step)
+        if e["kind"] == BEEP:
+            n = int(0.3 * SOUND)
+            y[a : a + n] += 0.4 * np.sin(2 * np.pi * 3000 * np.arange(n) / SOUND)
+        elif e["kind"] == DET:
+            n = int(0.1 * SOUND)
+            y[a : a + n] += e["conf"] / 200 * r.normal(0, 0.5, n) * np.exp(-np.arange(n) / (0.012 * SOUND))
+    return y
 
-    def run(it):
-        import pandas as pd
 
-        for part in it:
-            out = []
-            for clip, events in zip(part["clip"], part["x"]):
-                step = int(SOUND * STEP)
-                y = np.zeros(len(events) * step + int(0.6 * SOUND))
-                for i, e in enumerate(events):
-                    r, a = np.random.default_rng(e["id"]), i * step
-                    y[a : a + step] += r.normal(0, 0.001, step)
-                    if e["tone"]:
-                        n = int(0.3 * SOUND)
-                        y[a : a + n] += 0.4 * np.sin(2 * np.pi * 3000 * np.arange(n) / SOUND)
-                    elif e["loud"]:
-                        n = int(0.1 * SOUND)
-                        y[a : a + n] += e["conf"] / 200 * r.normal(0, 0.5, n) * np.exp(-np.arange(n) / (0.012 * SOUND))
-                out.append((clip, SOUND, y.tolist()))
-            yield pd.DataFrame(out, columns=["clip", "sr", "samples"])
-
-    return rows.mapInPandas(run, "clip string, sr double, samples array<double>")
+def _sounds(spark, d) -> DataFrame:
+    """(clip, sr, samples): a clip's events in order, of which _sound makes its samples."""
+    e = read(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    event = F.struct(at.alias("t"), F.col("event_id").alias("id"), F.col("value").alias("conf"), F.col("event_type").alias("kind"))
+    # a sound is far more work than its events' bytes tell, so clips are dealt to all tasks
+    rows = e.select(F.col("user_id").cast("string").alias("clip"), event.alias("x")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip")
+    return rows.groupBy("clip").agg(F.array_sort(F.collect_list("x")).alias("samples")).select("clip", F.lit(SOUND).alias("sr"), "samples")
 
 
 def _heard(spark, d, kind) -> DataFrame:
@@ -443,13 +441,13 @@ def _heard(spark, d, kind) -> DataFrame:
 @query
 def beep_detector(spark, d):
     """Rows only: the composite detector on sounds of tones and bursts; tests work cases by hand."""
-    return detect.beeps(_sounds(spark, d))
+    return detect.beeps(_sounds(spark, d), decode=_sound)
 
 
 @query
 def all_beeps(spark, d):
     """Rows only, as beep_detector: every beep of each clip."""
-    return detect.beeps(_sounds(spark, d), first_only=False)
+    return detect.beeps(_sounds(spark, d), first_only=False, decode=_sound)
 
 
 @query
@@ -458,14 +456,14 @@ def tune_beeps(spark, d):
     from tidemark.operators.search import tune_beeps as tune
 
     truth = _heard(spark, d, BEEP).groupBy("clip").agg(F.min("t").alias("t"))
-    return tune(_sounds(spark, d), truth)
+    return tune(_sounds(spark, d), truth, decode=_sound)
 
 
 @query
 def improved_detector(spark, d):
     """Rows only: frames to shots in one composition, on sounds of tones and bursts, with a model of nine weights; tests compare it with plain loops."""
     model = {"weights": [0.9, 0.2, -0.1, 0.4, 1.2, -0.6, -0.3, -0.4, 0.2], "bias": -0.3, "mean": [2.0, 1.0, -1.0, 0.4, 0.4, 0.2, 0.1, 0.1, 6.0], "std": [1.0, 1.5, 1.0, 0.2, 0.3, 0.2, 1.0, 0.3, 3.0]}
-    shots, _ = detect.shots_improved(_sounds(spark, d), model, least=0.3)
+    shots, _ = detect.shots_improved(_sounds(spark, d), model, least=0.3, decode=_sound)
     return shots.select("clip", "id", "t", F.round("conf", 6).alias("conf"))
 
 
