@@ -31,3 +31,15 @@ def test_clips_share_the_answers_of_a_filter():
     for _ in range(5):
         kernels.bandpass(x, 1000.0, 50.0, 200.0)
     assert kernels._answers.cache_info().misses == 4
+
+
+def test_peak_features_are_those_of_the_frames(spark):
+    from tidemark.operators.signal import candidate_features
+
+    rows = q_signal._sounds(spark, SF).orderBy("clip").limit(3)
+    frames = detect.frame_features(rows, mfcc=True, decode=q_signal._sound).cache()
+    names = ["clip", "idx", "onset", "e_low", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio", "slam", "metal"]
+    want = sorted(map(tuple, candidate_features(frames.where("peak"), frames, "before", "after").select(*names).collect()))
+    have = sorted(map(tuple, detect.peak_features(rows, mfcc=True, decode=q_signal._sound).select(*names).collect()))
+    assert want and [r[:2] + r[-2:] for r in have] == [r[:2] + r[-2:] for r in want]
+    np.testing.assert_allclose([r[2:-2] for r in have], [r[2:-2] for r in want], rtol=1e-9, atol=1e-12)

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup, kernels, matching, metrics, score
-from tidemark.operators.signal import candidate_features
+from tidemark.operators.signal import candidate_features, features_of_means
 from tidemark.params import Beep, Candidates, Energy, Legacy, Motion, Selection, Stft, micros
+from tidemark.shared import checkpoint
 
 SHOT = "clip string, id long, t long, conf double, value double"
 #: Rows that a task gathers from its clips before it hands them on.
@@ -366,12 +367,8 @@ def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, s
 FRAME = "clip string, idx long, rate double, before int, after int, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double, mfcc double, frame_t long, onset_t long, envelope_t long"
 
 
-def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
-    """Every frame's onset, threshold, band energies, flatness and attack, and if asked for the peaks' cepstral band (else 0), in one pass over the samples.
-
-    rate is frames a second; before and after are a feature window's frames at the clip's own rate.  Reported times of a frame: its own, and
-    for peaks those moved to the onset and to the envelope's peak.
-    """
+def _frame_kernel(stft: Stft, c: Candidates, s: Selection, mfcc: bool):
+    """The rows of FRAME of one clip."""
     def kernel(clip, sr, x):
         x = np.asarray(x, float)
         m = kernels.stft(x, stft.n_fft, stft.hop)
@@ -414,7 +411,31 @@ def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candid
         around = {"before": max(1, frames(c.before)), "after": max(1, frames(c.after))}
         return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": rate, **around, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1), "mfcc": band, **moved})
 
-    return _each(kernel, audio, FRAME, decode=decode)
+    return kernel
+
+
+def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
+    """Every frame's onset, threshold, band energies, flatness and attack, and if asked for the peaks' cepstral band (else 0), in one pass over the samples.
+
+    rate is frames a second; before and after are a feature window's frames at the clip's own rate.  Reported times of a frame: its own, and
+    for peaks those moved to the onset and to the envelope's peak.
+    """
+    return _each(_frame_kernel(stft, c, s, mfcc), audio, FRAME, decode=decode)
+
+
+def peak_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
+    """The candidate features of every peak, with the columns of frame_features at it: a clip's frames stay in the task that makes them."""
+    frame = _frame_kernel(stft, c, s, mfcc)
+
+    def kernel(clip, sr, x):
+        f = frame(clip, sr, x)
+        at = np.flatnonzero(f["peak"])
+        around = [slice(max(0, i - n), i + m + 1) for i, n, m in zip(at, f["before"].to_numpy()[at], f["after"].to_numpy()[at])]
+        means = {k: [f[k].to_numpy()[w].mean() for w in around] for k in ("e_low", "e_mid", "e_high", "flatness")}
+        attack = f["attack"].to_numpy()
+        return f.iloc[at].assign(**means, attack=[attack[w].max() for w in around], ref=np.percentile(attack, 99.5) if len(attack) else 0.0)
+
+    return features_of_means(_each(kernel, audio, f"{FRAME}, ref double", decode=decode), "ref")
 
 
 def flatness(m: np.ndarray) -> np.ndarray:
@@ -524,9 +545,9 @@ def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[
     probabilities at the candidates' frames: clip, id (the frame) and network.  extra: clip, id and further feature columns.
     """
     names = features or FEATURES[: len(model["weights"])] if model is not None else ()
-    frames = frame_features(audio, stft, c, s, "mfcc" in names and (extra is None or "mfcc" not in extra.columns), decode)
-    peaks = frames.where("peak").select("clip", "idx", "rate", "frame_t", "onset_t", "envelope_t", *["mfcc"] * (extra is None or "mfcc" not in extra.columns))
-    x = candidate_features(frames.where("peak"), frames, "before", "after").join(peaks, ["clip", "idx"])
+    own = "mfcc" in names and (extra is None or "mfcc" not in extra.columns)
+    # few rows for each clip, which what follows reads several times
+    x = checkpoint(peak_features(audio, stft, c, s, own, decode).drop("threshold", "peak", "before", "after", *["mfcc"] * (extra is not None and "mfcc" in extra.columns)))
     x = x.withColumn("id", F.col("idx")).withColumn("t", F.round(F.col("idx") * 1e6 / F.col("rate")).cast("long"))
     if extra is not None:
         x = x.join(extra, ["clip", "id"], "left")

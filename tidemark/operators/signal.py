@@ -247,12 +247,17 @@ def candidate_features(peaks: DataFrame, frames: DataFrame, before: int | str, a
     near = (F.col("_i") >= F.col("idx") - before) & (F.col("_i") <= F.col("idx") + after)
     x = p.join(f, (F.col("clip") == F.col("_c")) & (F.col("_b") == F.col("_fb")) & near).groupBy("clip", "idx", "onset")
     x = x.agg(*[F.avg(c).alias(c) for c in ("e_low", "e_mid", "e_high", "flatness")], F.max("attack").alias("attack")).join(ref, "clip")
+    return features_of_means(x, "_ref")
+
+
+def features_of_means(x: DataFrame, ref: str) -> DataFrame:
+    """The candidate features of peaks whose windows' mean e_low, e_mid, e_high and flatness and greatest attack are known; ref, which goes, is their clip's attack percentile."""
     e = 1e-9
     x = x.withColumn("r1", F.col("e_mid") / (F.col("e_low") + e)).withColumn("r2", F.col("e_high") / (F.col("e_mid") + e))
     x = x.withColumn("r1_log", F.log(F.col("e_mid") + e) - F.log(F.col("e_low") + e)).withColumn("r2_log", F.log(F.col("e_high") + e) - F.log(F.col("e_mid") + e))
-    x = x.withColumn("attack_norm", F.least(F.col("attack") / (F.col("_ref") + e), F.lit(1.0))).withColumn("onset_log", F.log1p("onset"))
+    x = x.withColumn("attack_norm", F.least(F.col("attack") / (F.col(ref) + e), F.lit(1.0))).withColumn("onset_log", F.log1p("onset"))
     x = x.withColumn("e_low_ratio", F.col("e_low") / (F.col("e_low") + F.col("e_mid") + F.col("e_high") + e))
     x = x.withColumn("e_high_ratio", F.col("r1") * F.col("r2") / (1 + F.col("r1") + F.col("r1") * F.col("r2") + e))
     x = x.withColumn("slam", (F.col("e_low_ratio") > 0.65) | ((F.col("e_low_ratio") > 0.55) & (F.col("flatness") < 0.22)))
     x = x.withColumn("metal", (F.col("r2_log") > 1.2) & (F.col("flatness") > 0.5) & (F.col("attack_norm") < 0.4))
-    return x.withColumn("r1_penalty", F.greatest(F.lit(0.0), 0.7 - F.col("r1_log"))).drop("_ref")
+    return x.withColumn("r1_penalty", F.greatest(F.lit(0.0), 0.7 - F.col("r1_log"))).drop(ref)
