@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, kernels, signal
+from tidemark.shared import checkpoint
 from tidemark.plans.bind import BEEP, CAND, DET, EV, FRAMES, HOUR, REF, SERIES, frames, read, role, timeline
 
 QUERIES, SQL = {}, {}
@@ -470,7 +471,8 @@ def improved_detector(spark, d):
 @query
 def features_at_times(spark, d):
     """Rows only: the candidate features at every reference."""
-    out = detect.features_at(detect.frame_features(_audio(spark, d), _small()), _places(spark, d, REF))
+    frames = checkpoint(detect.frame_features(_audio(spark, d), _small()))  # read four times
+    out = detect.features_at(frames, _places(spark, d, REF))
     return out.select("clip", "id", "t", "idx", *[F.round(c, 5).alias(c) for c in ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio")], "slam", "metal")
 
 
