@@ -82,27 +82,43 @@ def legacy_grid(audio: DataFrame, grid: list[Legacy]) -> DataFrame:
         x = np.asarray(x, float)
         if not len(x):
             return None
-        bands = {}
-        out = []
+        bands, curves, thinned = {}, {}, {}
+        found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for i, p in enumerate(grid):
             key = (p.band, p.envelope)
             if key not in bands:
                 bands[key] = kernels.moving_average(np.abs(kernels.crack_band(x, sr, *p.band)), max(1, int(sr * p.envelope)))
-            e = kernels.moving_average(bands[key], max(1, int(sr * p.smooth_ms / 1000)))
-            base, std = np.median(e), e.std()
-            height = base + p.coef * max(std, 1e-9) if p.percentile is None else np.percentile(e, p.percentile)
-            spread = max(std, 0.3 * (np.percentile(e, 95) - base))
-            at = kernels.find_peaks(e, height, max(1, int(sr * p.min_dist)), max(p.prominence * spread, 1e-9))
+            key = (*key, max(1, int(sr * p.smooth_ms / 1000)))
+            if key not in curves:
+                # what settings of one smoothing share: the curve, its maxima with their prominences, and its levels
+                e = kernels.moving_average(bands[key[:2]], key[2])
+                tops = kernels.find_maxima(e)
+                shares = sorted({q.percentile for q in grid if q.percentile is not None})
+                curves[key] = e, tops, kernels.prominences(e, tops), np.median(e), e.std(), dict(zip([95, *shares], np.percentile(e, [95, *shares])))
+            e, tops, rises, base, std, levels = curves[key]
+            height = base + p.coef * max(std, 1e-9) if p.percentile is None else levels[p.percentile]
+            distance = max(1, int(sr * p.min_dist))
+            key = (*key, height, distance)
+            if key not in thinned:
+                high = np.flatnonzero(e[tops] >= height)
+                thinned[key] = high[kernels.thin_by_height(tops[high], e[tops[high]], distance)] if distance > 1 else high
+            at = thinned[key]
+            at = at[rises[at] >= max(p.prominence * max(std, 0.3 * (levels[95] - base)), 1e-9)]
             if len(at):
-                rise = kernels.prominences(e, at)
-                share = [v / v.max() if v.max() > 0 else np.full(len(at), 0.5) for v in (e[at], rise)]
+                share = [v / v.max() if v.max() > 0 else np.full(len(at), 0.5) for v in (e[tops[at]], rises[at])]
                 conf = np.round(0.6 * share[0] + 0.4 * share[1], 3)
                 keep = conf >= p.least if p.least > 0 else np.ones(len(at), bool)
-                out.append(_shots(clip, at[keep] / sr, conf[keep], e[at][keep]).assign(setting=i, post=p.post_filter, gap=micros(p.gap)))
-        return pd.concat(out) if out else None
+                found.append((i, tops[at][keep], conf[keep], e[tops[at]][keep]))
+        if not found:
+            return None
+        at, conf, value = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
+        setting = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+        shots = _shots(clip, at / sr, conf, value).assign(id=np.concatenate([np.arange(len(f[1])) for f in found]), setting=setting)
+        return shots.assign(post=np.array([p.post_filter for p in grid])[setting], gap=np.array([micros(p.gap) for p in grid])[setting])
 
     found = _each(kernel, audio, f"{SHOT}, setting int, post boolean, gap long")
-    found = found.withColumn("clip", F.struct("clip", "setting")).drop("setting")
+    # few rows for each clip, which what follows reads several times
+    found = checkpoint(found.withColumn("clip", F.struct("clip", "setting")).drop("setting"))
     # more than five shots are filtered, and only then joined and capped, whatever the filter leaves
     many = found.withColumn("_many", F.col("post") & (F.count("*").over(Window.partitionBy("clip")) > 5)).drop("post")
     few = many.where("not _many").select("clip", "id", "t", "conf")
