@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,39 +98,79 @@ def cluster_session_window(df: DataFrame, window: int) -> DataFrame:
     return df.groupBy("clip", s.alias("s")).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n")).drop("s")
 
 
-def suppress_priority(df: DataFrame, distance: int) -> DataFrame:
+#: Distances that a stretch of suppress_priority spans.
+STRETCH = 16
+
+
+def suppress_priority(df: DataFrame, distance: int, stretches: bool = False) -> DataFrame:
     """From the highest confidence down, a row that stays removes all others less than `distance` away; later rows win ties.
 
     A clip's rows pass in order of time.  Rows whose fate no later row can change are decided and leave; what is held is the
     batch and the rows still open, so a stretch without gaps is never one row, group or array.
+
+    With `stretches`, for clips too long for a task: rows are first dealt by stretches of STRETCH distances, each of which decides what no row beyond its ends can
+    change, then the open rows by stretches that begin half a stretch later, and only what is open even then passes clip by clip.
+    """
+    chosen = df.select("clip", "t", "id", "conf", F.lit(False).alias("_kept"), F.lit(None).cast("long").alias("_part"))
+    width = STRETCH * distance
+
+    def step(begin: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, settled = None, 0
+            for batch in batches:
+                done = batch.column(4)
+                if pc.any(done).as_py():
+                    yield batch.filter(done)
+                    batch = batch.filter(pc.invert(done))
+                if not len(batch):
+                    continue
+                held = batch if held is None else pa.concat_batches([held, batch])
+                if len(held) >= 2 * settled:  # so that rows that stay open for long are not gone through with every batch
+                    out, held, passed = _decided(held, distance, False, width, begin)
+                    settled = len(held)
+                    yield from (out, passed)
+            if held is not None:
+                out, _, passed = _decided(held, distance, True, width, begin)
+                yield from (out, passed)
+
+        return run
+
+    rows = chosen
+    for begin in (0, width // 2, None) if stretches and distance > 0 else (None,):
+        # rows that stay already are dealt anywhere
+        part = F.lit(None).cast("long") if begin is None else F.floor((F.col("t") - begin) / width)
+        rows = rows.withColumn("_part", F.when(F.col("_kept"), F.xxhash64("id")).otherwise(part))
+        rows = dealt(rows, ("clip", "_part"), ("t", "id")).mapInArrow(step(begin), chosen.schema)
+    return rows.select("clip", "id", "t", "conf")
+
+
+def _decided(rows: pa.RecordBatch, distance: int, last: bool, width: int, start: int | None) -> tuple[pa.RecordBatch, pa.RecordBatch, pa.RecordBatch]:
+    """(rows that stay, rows still open, open rows of stretches that have ended) of sorted rows; only the last stretch can have open ones of the former kind, and none if `last`.
+
+    Stretches of `width` begin at `start`; where it is None, they are whole clips, beyond whose ends nothing is.
     """
-    chosen = df.select("clip", "t", "id", "conf")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, settled = None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            held = batch if held is None else pa.concat_batches([held, batch])
-            if len(held) >= 2 * settled:  # so that rows that stay open for long are not gone through with every batch
-                out, held = _decided(held, distance, last=False)
-                settled = len(held)
-                yield out
-        if held is not None:
-            yield _decided(held, distance, last=True)[0]
-
-    return dealt(chosen, ("clip",), ("t", "id")).mapInArrow(run, chosen.schema).select("clip", "id", "t", "conf")
-
-
-def _decided(rows: pa.RecordBatch, distance: int, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """(rows that stay, rows still open) of sorted rows; only the last clip can have open ones, and none if `last`."""
     at = rows.column(1).to_numpy(zero_copy_only=False)
     height = rows.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-    begin = np.flatnonzero(changes(rows, 1))
-    keep, open_ = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    begin = np.flatnonzero(changes(rows, 1) | _moved(rows.column(5)))
+    keep, open_, passed = (np.zeros(len(rows), bool) for _ in range(3))
     for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)]):
-        keep[a:b], open_[a:b] = settle(at[a:b], height[a:b], distance, last or b < len(rows))
-    return rows.filter(pa.array(keep)), rows.filter(pa.array(open_))
+        ended = last or b < len(rows)
+        if start is None:
+            keep[a:b], open_[a:b] = settle(at[a:b], height[a:b], distance, ended)
+            continue
+        first = start + (at[a] - start) // width * width
+        edge = (at[a:b] - first < distance) | ((first + width - at[a:b] <= distance) if ended else False)
+        keep[a:b], left = settle(at[a:b], height[a:b], distance, ended, edge)
+        (passed if ended else open_)[a:b] = left
+    kept = rows.filter(pa.array(keep))
+    kept = kept.set_column(4, kept.schema.field(4), pa.array(np.ones(len(kept), bool)))
+    return kept, rows.filter(pa.array(open_)), rows.filter(pa.array(passed))
+
+
+def _moved(parts: pa.Array) -> np.ndarray:
+    """Whether a row's part differs from that of the row before."""
+    x = parts.fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
 def _capped(df: DataFrame, rate: float, base: int, more_than: int, when: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -99,7 +99,7 @@ SQL["clip_maxima"] = f"WITH {_PEAKS.replace('value AS v', 'floor(value / 40) AS
 @query
 def clip_suppress(spark, d):
     """All events in one clip, which has no gap."""
-    return dedup.suppress_priority(timeline(spark, d).withColumn("clip", F.lit(0)), HOUR).select("id", "t", "conf")
+    return dedup.suppress_priority(timeline(spark, d).withColumn("clip", F.lit(0)), HOUR, stretches=True).select("id", "t", "conf")
 
 
 SQL["clip_suppress"] = f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER (ORDER BY conf DESC, t DESC, id DESC) AS n FROM ev), w(n, id, t, conf, kept, here) AS (
