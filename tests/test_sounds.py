@@ -43,3 +43,16 @@ def test_peak_features_are_those_of_the_frames(spark):
     have = sorted(map(tuple, detect.peak_features(rows, mfcc=True, decode=q_signal._sound).select(*names).collect()))
     assert want and [r[:2] + r[-2:] for r in have] == [r[:2] + r[-2:] for r in want]
     np.testing.assert_allclose([r[2:-2] for r in have], [r[2:-2] for r in want], rtol=1e-9, atol=1e-12)
+
+
+def test_settings_that_share_a_curve_find_what_each_finds_alone(spark):
+    from dataclasses import replace
+
+    from tidemark.params import Legacy
+
+    audio = q_signal._audio(spark, SF)
+    base = q_signal._legacy()
+    grid = [base, replace(base, prominence=0.4), replace(base, percentile=90.0), replace(base, smooth_ms=1.0, coef=1.0)]
+    both = sorted((r.clip.setting, r.clip.clip, r.id, r.t, r.conf) for r in detect.legacy_grid(audio, grid).collect())
+    alone = sorted((i, r.clip, r.id, r.t, r.conf) for i in (0, 2, 3) for r in detect.legacy_shots(audio, grid[i]).collect())
+    assert alone and [r for r in both if r[0] != 1] == alone
