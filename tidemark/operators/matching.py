@@ -371,16 +371,20 @@ def window_argmax(refs: DataFrame, frames: DataFrame, before: int, after: int, v
 
 
 def window_stats(refs: DataFrame, frames: DataFrame, before: int, after: int, value: str = "value") -> DataFrame:
-    """window_argmax with the window's mean, deviation, extremes, rise and fall times, and means up to and from the peak."""
+    """window_argmax with the window's mean, deviation, extremes, rise and fall times, and means up to and from the peak.
+
+    Means add up in order of time, so that no run differs from another in the last digit.
+    """
     peak = window_argmax(refs, frames, before, after, value)
     pairs = range_join(refs.select("clip", "id", "t"), frames.select("clip", "id", "t", F.col(value).alias("value")), before, after)
     p = pairs.withColumnRenamed("id", "ref_id").drop("t").join(peak, ["clip", "ref_id"])
     at = F.struct("r_t", "r_id")
     top = F.struct(F.col("peak_t"), F.col("peak_id"))
-    out = p.groupBy("clip", "ref_id", "ref_t", "peak_id", "peak_t", "peak_value").agg(
-        F.avg("r_value").alias("mean"), F.stddev_pop("r_value").alias("std"), F.min("r_value").alias("low"), F.max("r_value").alias("high"),
-        F.avg(F.when(at <= top, F.col("r_value"))).alias("before_peak"), F.avg(F.when(at >= top, F.col("r_value"))).alias("after_peak"), F.count("*").alias("n"),
-    )
+    so_far = Window.partitionBy("clip", "ref_id").orderBy("r_t", "r_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = {"mean": F.col("r_value"), "before_peak": F.when(at <= top, F.col("r_value")), "after_peak": F.when(at >= top, F.col("r_value"))}
+    p = p.withColumns({f"_{k}": F.sum(v).over(so_far) for k, v in parts.items()})
+    means = [F.try_divide(F.max_by(f"_{k}", at), F.count(v)).alias(k) for k, v in parts.items()]
+    out = p.groupBy("clip", "ref_id", "ref_t", "peak_id", "peak_t", "peak_value").agg(*means, F.stddev_pop("r_value").alias("std"), F.min("r_value").alias("low"), F.max("r_value").alias("high"), F.count("*").alias("n"))
     out = out.withColumn("rise", F.col("peak_t") - (F.col("ref_t") - before)).withColumn("fall", F.col("ref_t") + after - F.col("peak_t")).withColumn("offset", F.col("peak_t") - F.col("ref_t"))
     out = out.withColumn("peak_to_mean", F.when(F.col("mean") > 0, F.col("peak_value") / F.col("mean")).otherwise(0.0))
     return out.withColumn("ratio", F.col("after_peak") / (F.col("before_peak") + 1e-9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
@@ -13,6 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """A double rounded as the SQL rounds: scaled, then to the nearest whole, halves away from zero.  (Spark's own round goes by the decimal digits.)"""
+    return F.round((F.col(value) if isinstance(value, str) else value) * 10.0**digits) / 10.0**digits
+
+
 def timeline(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     """(clip, id, t, conf) of all events, or of some kinds; t in microseconds."""
     e = read(spark, sf_dir, "events")

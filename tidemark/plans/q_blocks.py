@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import blocks, dedup, kernels, metrics
 from tidemark.params import Candidates, Stft
-from tidemark.plans.bind import EV, HOUR, read, timeline
+from tidemark.plans.bind import EV, HOUR, read, rounded, timeline
 
 QUERIES, SQL = {}, {}
 RATE, SIZE = 1000.0, 1000
@@ -25,7 +25,7 @@ def _cut(spark, d):
 @query
 def clip_stft(spark, d):
     f = blocks.stft_frames(blocks.halo(_cut(spark, d), SIZE, *blocks.stft_reach(SMALL)), SMALL)
-    return f.select("idx", F.posexplode("mag").alias("bin", "mag")).select("idx", "bin", F.round("mag", 5).alias("mag"))
+    return f.select("idx", F.posexplode("mag").alias("bin", "mag")).select("idx", "bin", rounded("mag", 5).alias("mag"))
 
 
 _X = "x AS (SELECT event_id AS i, value AS v FROM events), n AS (SELECT max(i) + 1 AS n FROM x)"
@@ -39,7 +39,7 @@ SQL["clip_stft"] = f"WITH {_STFT} SELECT idx, CAST(bin AS INT) AS bin, round(mag
 def clip_features(spark, d):
     c = Candidates()
     f = blocks.frame_features(blocks.halo(_cut(spark, d), SIZE, *blocks.feature_reach(RATE, SMALL, c)), SMALL, c)
-    return f.select("idx", *[F.round(n, 4).alias(n) for n in ("onset", "e_low", "e_mid", "e_high", "flatness", "attack")])
+    return f.select("idx", *[rounded(n, 4).alias(n) for n in ("onset", "e_low", "e_mid", "e_high", "flatness", "attack")])
 
 
 SQL["clip_features"] = f"""WITH {_STFT}, d AS (SELECT idx, bin, greatest(ln(1 + mag) - lag(ln(1 + mag)) OVER (PARTITION BY bin ORDER BY idx), 0) AS up FROM st WHERE bin * 62.5 BETWEEN 80 AND 400),
@@ -54,7 +54,7 @@ SELECT e.idx, round(onset, 4) AS onset, round(e_low, 4) AS e_low, round(e_mid, 4
 @query
 def clip_bandpass(spark, d):
     out = blocks.bandpass(_cut(spark, d), SIZE, 50.0, 200.0)
-    return out.select((F.col("start")).alias("start"), F.posexplode("samples").alias("k", "y")).select((F.col("start") + F.col("k")).alias("idx"), F.round("y", 6).alias("y"))
+    return out.select((F.col("start")).alias("start"), F.posexplode("samples").alias("k", "y")).select((F.col("start") + F.col("k")).alias("idx"), rounded("y", 6).alias("y"))
 
 
 def _recursion() -> str:
@@ -76,7 +76,7 @@ SQL["clip_bandpass"] = f"WITH RECURSIVE {_X}, {_recursion()} SELECT i AS idx, ro
 @query
 def clip_prominence(spark, d):
     cut = _cut(spark, d)
-    return blocks.prominences(cut, blocks.local_maxima(cut, SIZE), SIZE).select("idx", F.round("prominence", 6).alias("prominence"))
+    return blocks.prominences(cut, blocks.local_maxima(cut, SIZE), SIZE).select("idx", rounded("prominence", 6).alias("prominence"))
 
 
 _PEAKS = f"""{_X}, g AS (SELECT *, sum(b) OVER (ORDER BY i) AS run FROM (SELECT *, CASE WHEN v <> lag(v) OVER (ORDER BY i) THEN 1 ELSE 0 END AS b FROM x)),
@@ -115,7 +115,7 @@ def clip_percentiles(spark, d):
     out = None
     for q in (0.3, 0.5, 0.92, 0.995):
         for name, rows in (("all", e.withColumn("clip", F.lit(-1).cast("long"))), ("user", e)):
-            found = metrics.percentile_by_ranges(rows, "conf", q).select(F.lit(name).alias("of"), "clip", F.lit(q).alias("q"), "n", F.round("percentile", 6).alias("percentile"))
+            found = metrics.percentile_by_ranges(rows, "conf", q).select(F.lit(name).alias("of"), "clip", F.lit(q).alias("q"), "n", rounded("percentile", 6).alias("percentile"))
             out = found if out is None else out.unionByName(found)
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup, metrics
-from tidemark.plans.bind import DET, EV, HOUR, frames, read, role, timeline
+from tidemark.plans.bind import DET, EV, HOUR, frames, read, role, rounded, timeline
 
 W6, W1 = 6 * HOUR, HOUR
 QUERIES, SQL = {}, {}
@@ -186,7 +186,7 @@ SQL["post_filter"] = f"WITH {EV}, m AS (SELECT clip, quantile_cont(conf, 0.5) AS
 @query
 def dominant_cluster(spark, d):
     rows = timeline(spark, d, DET).withColumn("label", (F.col("id") % 3).cast("int"))
-    return dedup.dominant_cluster(rows).select("clip", "label", "n", F.round("mean", 6).alias("mean"))
+    return dedup.dominant_cluster(rows).select("clip", "label", "n", rounded("mean", 6).alias("mean"))
 
 
 SQL["dominant_cluster"] = f"WITH {EV}, {role('a', DET)}, g AS (SELECT clip, CAST(id % 3 AS INT) AS label, count(*) AS n, avg(conf) AS mean FROM a GROUP BY 1, 2) SELECT clip, label, n, round(mean, 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY n DESC, mean DESC, label) AS k FROM g) WHERE k = 1"

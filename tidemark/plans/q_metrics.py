@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import logit_score
 from tidemark.operators import audit, matching, metrics, score, search
-from tidemark.plans.bind import BEEP, CAND, DET, EV, HOUR, REF, read, role, timeline
+from tidemark.plans.bind import BEEP, CAND, DET, EV, HOUR, REF, read, role, rounded, timeline
 from tidemark.plans.q_match import _CHECKED, _FP, RD, TOL
 
 QUERIES, SQL = {}, {}
@@ -29,7 +29,7 @@ SQL["skip_accounting"] = f"WITH {EV}, x AS (SELECT clip, min(t) FILTER (WHERE ki
 @query
 def fp_bands(spark, d):
     fp = audit.false_positives(timeline(spark, d, REF), timeline(spark, d, DET), TOL)
-    return metrics.fp_bands(fp, 200.0, 50.0).withColumn("mean", F.round("mean", 6))
+    return metrics.fp_bands(fp, 200.0, 50.0).withColumn("mean", rounded("mean", 6))
 
 
 SQL["fp_bands"] = f"WITH {RD}, {_FP} SELECT CASE WHEN conf > 200 THEN 'high' WHEN conf >= 50 THEN 'middle' ELSE 'low' END AS band, count(*) AS n, min(conf) AS least, max(conf) AS most, round(avg(conf), 6) AS mean FROM fp GROUP BY 1"
@@ -39,7 +39,7 @@ SQL["fp_bands"] = f"WITH {RD}, {_FP} SELECT CASE WHEN conf > 200 THEN 'high' WHE
 def mae_rmse(spark, d):
     m = matching.match_nearest_then_check(timeline(spark, d, REF), timeline(spark, d, DET), TOL)
     out = metrics.errors(m, HOUR)
-    return out.select("n", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), "most", "failures")
+    return out.select("n", rounded("mae", 2).alias("mae"), rounded("rmse", 2).alias("rmse"), "most", "failures")
 
 
 _M = f"{_CHECKED}, m AS (SELECT r.clip, v.dist AS dt FROM r LEFT JOIN v ON v.clip = r.clip AND v.rid = r.id AND v.turn = 1)"
@@ -50,7 +50,7 @@ SQL["mae_rmse"] = f"WITH {_M} SELECT count(dt) AS n, round(avg(dt), 2) AS mae, r
 def weighted_mae(spark, d):
     m = matching.match_nearest_then_check(timeline(spark, d, REF), timeline(spark, d, DET), TOL)
     per = m.groupBy("clip").agg(F.count("dt").alias("n"), F.avg("dt").alias("mae"))
-    return metrics.weighted_mae(per).select("n", F.round("mae", 2).alias("mae"))
+    return metrics.weighted_mae(per).select("n", rounded("mae", 2).alias("mae"))
 
 
 SQL["weighted_mae"] = f"WITH {_M}, g AS (SELECT clip, count(dt) AS n, avg(dt) AS mae FROM m GROUP BY clip) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * mae) / sum(n) FILTER (WHERE mae IS NOT NULL), 2) AS mae FROM g"
@@ -68,7 +68,7 @@ SQL["quantile_nearest_rank"] = f"WITH {EV}, {role('d', DET)}, g AS (SELECT clip,
 def quantile_linear(spark, d):
     qs = (0.3, 0.75, 0.9, 0.92, 0.95, 0.995)
     out = metrics.quantiles_linear(timeline(spark, d), "conf", qs)
-    return out.select("clip", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+    return out.select("clip", *[rounded(c, 6).alias(c) for c in out.columns[1:]])
 
 
 SQL["quantile_linear"] = f"WITH {EV} SELECT clip, " + ", ".join(f"round(quantile_cont(conf, {q}), 6) AS p{round(q * 1000)}" for q in (0.3, 0.75, 0.9, 0.92, 0.95, 0.995)) + " FROM ev GROUP BY clip"
@@ -76,7 +76,7 @@ SQL["quantile_linear"] = f"WITH {EV} SELECT clip, " + ", ".join(f"round(quantile
 
 @query
 def robust_z(spark, d):
-    return metrics.robust_z(timeline(spark, d, DET), "conf").select("clip", "id", F.round("z", 6).alias("z"))
+    return metrics.robust_z(timeline(spark, d, DET), "conf").select("clip", "id", rounded("z", 6).alias("z"))
 
 
 SQL["robust_z"] = f"WITH {EV}, {role('d', DET)}, a AS (SELECT clip, quantile_cont(conf, 0.5) AS med FROM d GROUP BY clip), b AS (SELECT d.clip, quantile_cont(abs(conf - med), 0.5) AS mad FROM d JOIN a ON a.clip = d.clip GROUP BY d.clip) SELECT d.clip, d.id, round((conf - med) / ((mad + 1e-9) * 1.4826 + 1e-9), 6) AS z FROM d JOIN a ON a.clip = d.clip JOIN b ON b.clip = d.clip"
@@ -85,7 +85,7 @@ SQL["robust_z"] = f"WITH {EV}, {role('d', DET)}, a AS (SELECT clip, quantile_con
 @query
 def moments(spark, d):
     out = metrics.moments(timeline(spark, d), "conf")
-    return out.select("clip", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "least", "most", F.round("median", 6).alias("median"))
+    return out.select("clip", "n", rounded("mean", 6).alias("mean"), rounded("std", 6).alias("std"), "least", "most", rounded("median", 6).alias("median"))
 
 
 SQL["moments"] = f"WITH {EV} SELECT clip, count(*) AS n, round(avg(conf), 6) AS mean, round(stddev_pop(conf), 6) AS std, min(conf) AS least, max(conf) AS most, round(quantile_cont(conf, 0.5), 6) AS median FROM ev GROUP BY clip"
@@ -94,7 +94,7 @@ SQL["moments"] = f"WITH {EV} SELECT clip, count(*) AS n, round(avg(conf), 6) AS
 @query
 def pareto(spark, d):
     out = metrics.pareto(read(spark, d, "documents"), "source")
-    return out.select("label", "n", F.col("rank").cast("long").alias("rank"), F.round("pct", 6).alias("pct"), F.round("cum_pct", 6).alias("cum_pct"), "within")
+    return out.select("label", "n", F.col("rank").cast("long").alias("rank"), rounded("pct", 6).alias("pct"), rounded("cum_pct", 6).alias("cum_pct"), "within")
 
 
 SQL["pareto"] = "WITH g AS (SELECT source AS label, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), x AS (SELECT *, row_number() OVER w AS rank, sum(n) OVER w AS run, sum(n) OVER () AS total FROM g WINDOW w AS (ORDER BY n DESC, label ROWS UNBOUNDED PRECEDING)) SELECT label, n, rank, round(100.0 * n / total, 6) AS pct, round(100.0 * run / total, 6) AS cum_pct, run - n < 0.8 * total AS within FROM (SELECT label, n, rank, run::DOUBLE AS run, total::DOUBLE AS total FROM x)"
@@ -104,7 +104,7 @@ SQL["pareto"] = "WITH g AS (SELECT source AS label, count(*) AS n FROM documents
 def dataset_counts(spark, d):
     clips = timeline(spark, d).select("clip").distinct()
     out = metrics.dataset_counts(clips, timeline(spark, d, DET), timeline(spark, d, BEEP))
-    return out.select("clips", "shots", "beeps", F.round("shots_per_clip", 6).alias("shots_per_clip"), "without_shots", "without_beep")
+    return out.select("clips", "shots", "beeps", rounded("shots_per_clip", 6).alias("shots_per_clip"), "without_shots", "without_beep")
 
 
 SQL["dataset_counts"] = f"WITH {EV}, g AS (SELECT clip, count(*) FILTER (WHERE kind = '{DET}') AS s, count(*) FILTER (WHERE kind = '{BEEP}') AS b FROM ev GROUP BY clip) SELECT count(*) AS clips, CAST(sum(s) AS BIGINT) AS shots, CAST(sum(b) AS BIGINT) AS beeps, round(avg(s), 6) AS shots_per_clip, count(*) FILTER (WHERE s = 0) AS without_shots, count(*) FILTER (WHERE b = 0) AS without_beep FROM g"
@@ -114,7 +114,7 @@ SQL["dataset_counts"] = f"WITH {EV}, g AS (SELECT clip, count(*) FILTER (WHERE k
 def class_means(spark, d):
     e = read(spark, d, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
     out = metrics.class_means(e, "embedding", "y")
-    return out.select("i", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "diff")])
+    return out.select("i", *[rounded(c, 6).alias(c) for c in ("pos", "neg", "diff")])
 
 
 SQL["class_means"] = "WITH x AS (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v, label < 5 AS y FROM embeddings), g AS (SELECT i, avg(v) FILTER (WHERE y) AS pos, avg(v) FILTER (WHERE NOT y) AS neg FROM x GROUP BY i) SELECT CAST(i AS INT) AS i, round(pos, 6) AS pos, round(neg, 6) AS neg, round(pos - neg, 6) AS diff FROM g"
@@ -124,7 +124,7 @@ SQL["class_means"] = "WITH x AS (SELECT unnest(range(64)) AS i, unnest(embedding
 def auc(spark, d):
     x = timeline(spark, d, CAND).select((F.round("conf", 0) / 500).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"))
     out = metrics.auc(x, "p", "y")
-    return out.select("pos", "neg", *[F.round(c, 9).alias(c) for c in ("auc", "precision", "recall", "f1")])
+    return out.select("pos", "neg", *[rounded(c, 9).alias(c) for c in ("auc", "precision", "recall", "f1")])
 
 
 SQL["auc"] = f"""WITH {EV}, x AS (SELECT round(conf, 0) / 500 AS p, id % 3 = 0 AS y FROM ev WHERE kind = '{CAND}'), g AS (SELECT p, count(*) FILTER (WHERE y) AS a, count(*) FILTER (WHERE NOT y) AS b FROM x GROUP BY p), h AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
@@ -139,7 +139,7 @@ MODEL = {"weights": [(i * 7 % 11 - 5) / 10 for i in range(64)], "bias": -0.2, "m
 def logreg_score(spark, d):
     e = read(spark, d, "embeddings")
     x = F.transform("embedding", lambda v: v.cast("double"))
-    return e.select("vec_id", F.round(logit_score(x, **MODEL), 9).alias("score"))
+    return e.select("vec_id", rounded(logit_score(x, **MODEL), 9).alias("score"))
 
 
 _TERMS = " + ".join(f"(embedding[{i + 1}]::DOUBLE - ({m!r})) / {s if s >= 1e-6 else 1.0!r} * ({w!r})" for i, (w, m, s) in enumerate(zip(MODEL["weights"], MODEL["mean"], MODEL["std"])))
@@ -153,7 +153,7 @@ def _scored(spark, d):
 
 @query
 def fingerprint_confidence(spark, d):
-    return score.fingerprint_confidence(_scored(spark, d)).select("clip", "id", F.round("confidence", 6).alias("confidence"))
+    return score.fingerprint_confidence(_scored(spark, d)).select("clip", "id", rounded("confidence", 6).alias("confidence"))
 
 
 SQL["fingerprint_confidence"] = f"""WITH {EV}, x AS (SELECT clip, id, id % 4 AS cluster, conf / 500 + 0.08 * (id % 7 / 7.0) + 0.05 * (id % 5 / 5.0) + 0.05 * (id % 3 / 3.0) AS s FROM ev WHERE kind = '{CAND}'),
@@ -165,7 +165,7 @@ SELECT x.clip, x.id, round(0.5 / (1 + exp(-least(greatest((s - med) / ((mad + 1e
 def score_fusion(spark, d):
     e = timeline(spark, d, DET)
     other = F.when(F.col("id") % 4 > 0, (F.col("id") % 10) / 10.0)
-    return e.select("clip", "id", F.round(score.fuse(F.col("conf") / 500, other), 6).alias("conf"))
+    return e.select("clip", "id", rounded(score.fuse(F.col("conf") / 500, other), 6).alias("conf"))
 
 
 SQL["score_fusion"] = f"WITH {EV} SELECT clip, id, round(CASE WHEN id % 4 > 0 THEN 0.5 * conf / 500 + 0.5 * (id % 10) / 10.0 ELSE conf / 500 END, 6) AS conf FROM ev WHERE kind = '{DET}'"
@@ -175,7 +175,7 @@ SQL["score_fusion"] = f"WITH {EV} SELECT clip, id, round(CASE WHEN id % 4 > 0 TH
 def weighted_score(spark, d):
     x = _scored(spark, d).withColumn("slam", F.col("id") % 11 == 0)
     s = score.weighted_score({"score": 0.6, "attack_norm": 0.3, "e_high_ratio": 0.1}, {"slam": 0.25})
-    return x.select("clip", "id", F.round(s, 6).alias("score"))
+    return x.select("clip", "id", rounded(s, 6).alias("score"))
 
 
 SQL["weighted_score"] = f"WITH {EV} SELECT clip, id, round(0.6 * conf / 500 + 0.3 * (id % 7) / 7.0 + 0.1 * (id % 5) / 5.0 - CASE WHEN id % 11 = 0 THEN 0.25 ELSE 0 END, 6) AS score FROM ev WHERE kind = '{CAND}'"
@@ -240,7 +240,7 @@ def shell_features(spark, d):
     near = marks.withColumn("idx", F.explode(F.sequence(F.col("at"), F.col("at") + 11)))
     near = near.join(s.select("clip", "idx", "value"), ["clip", "idx"]).select("clip", "id", (F.col("idx") - F.col("at")).alias("idx"), (F.col("value") / 1999).alias("value"))
     out = score.shell_features(near, 4)
-    return out.select("clip", "id", *[F.round(F.col("features")[i], 6).alias(f"f{i}") for i in range(8)])
+    return out.select("clip", "id", *[rounded(F.col("features")[i], 6).alias(f"f{i}") for i in range(8)])
 
 
 SQL["shell_features"] = f"""WITH {EV}, x AS (SELECT clip, id, kind, row_number() OVER (PARTITION BY clip ORDER BY t, id) - 1 AS p, conf / 1999 AS v FROM ev), y AS (SELECT m.clip, m.id, x.p - m.p + 4 AS i, x.v FROM x m JOIN x ON x.clip = m.clip AND x.p BETWEEN m.p - 4 AND m.p + 7 WHERE m.kind = '{DET}'),
@@ -265,7 +265,7 @@ def calibration_score(spark, d):
     m = matching.match_order_preserving(timeline(spark, d, REF), timeline(spark, d, DET), TOL)
     n = timeline(spark, d, DET).groupBy("clip").agg(F.count("*").alias("n_det"))
     per = m.groupBy("clip").agg(F.count("*").alias("n_gt"), F.count("det_id").alias("n"), F.avg("dt").alias("mae")).join(n, "clip").withColumnRenamed("clip", "setting")
-    return search.calibration_score(per).select("setting", "n", F.round("score", 6).alias("score"), "best")
+    return search.calibration_score(per).select("setting", "n", rounded("score", 6).alias("score"), "best")
 
 
 from tidemark.plans.q_match import _BEHIND, _near, _walk_refs  # noqa: E402

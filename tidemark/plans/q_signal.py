@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import detect, kernels, signal
 from tidemark.shared import checkpoint
-from tidemark.plans.bind import BEEP, CAND, DET, EV, FRAMES, HOUR, REF, SERIES, frames, read, role, timeline
+from tidemark.plans.bind import BEEP, CAND, DET, EV, FRAMES, HOUR, REF, SERIES, frames, read, role, rounded, timeline
 
 QUERIES, SQL = {}, {}
 S = f"{EV}, {SERIES}"
@@ -24,7 +24,7 @@ def _s(spark, d) -> DataFrame:
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[rounded(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _average(k: int):
@@ -293,7 +293,7 @@ def _small():
 @query
 def stft_frames(spark, d):
     f = detect.stft_frames(_audio(spark, d), _small())
-    return f.select("clip", "idx", F.posexplode("mag").alias("bin", "mag")).select("clip", "idx", "bin", F.round("mag", 5).alias("mag"))
+    return f.select("clip", "idx", F.posexplode("mag").alias("bin", "mag")).select("clip", "idx", "bin", rounded("mag", 5).alias("mag"))
 
 
 _SIN = "list_sum(list_transform(range(16), lambda i: coalesce(xs[idx * 4 + i + 1], 0) * (0.5 - 0.5 * cos(2 * pi() * i / 15)) * {f}(2 * pi() * i * bin / 16)))"
@@ -304,7 +304,7 @@ SQL["stft_frames"] = f"WITH {_STFT} SELECT CAST(clip AS VARCHAR) AS clip, idx, C
 @query
 def onset_strength(spark, d):
     out = detect.onset_strength(_audio(spark, d), _small(), 100.0, 350.0)
-    return out.select("clip", "idx", F.round("onset", 5).alias("onset"))
+    return out.select("clip", "idx", rounded("onset", 5).alias("onset"))
 
 
 SQL["onset_strength"] = f"""WITH {_STFT}, r AS (SELECT clip, n, idx, lead(ln(1 + mag)) OVER (PARTITION BY clip, bin ORDER BY idx) - ln(1 + mag) AS up FROM st WHERE bin * 62.5 BETWEEN 100 AND 350),
@@ -338,7 +338,7 @@ def mel_patch(spark, d):
 def mel_training_set(spark, d):
     """Rows only, as mel_patch: the candidates from the first beep on, with their labels and patches."""
     p = detect.mel_training_set(_audio(spark, d), _places(spark, d, CAND), _places(spark, d, REF), _places(spark, d, BEEP), 20000, 20000, before=0.02, after=0.02, n_mels=16)
-    return p.select("clip", "id", "t", "label", F.transform(F.flatten("patch"), lambda v: F.round(v, 4)).alias("patch"))
+    return p.select("clip", "id", "t", "label", F.transform(F.flatten("patch"), lambda v: rounded(v, 4)).alias("patch"))
 
 
 @query
@@ -465,7 +465,7 @@ def improved_detector(spark, d):
     """Rows only: frames to shots in one composition, on sounds of tones and bursts, with a model of nine weights; tests compare it with plain loops."""
     model = {"weights": [0.9, 0.2, -0.1, 0.4, 1.2, -0.6, -0.3, -0.4, 0.2], "bias": -0.3, "mean": [2.0, 1.0, -1.0, 0.4, 0.4, 0.2, 0.1, 0.1, 6.0], "std": [1.0, 1.5, 1.0, 0.2, 0.3, 0.2, 1.0, 0.3, 3.0]}
     shots, _ = detect.shots_improved(_sounds(spark, d), model, least=0.3, decode=_sound)
-    return shots.select("clip", "id", "t", F.round("conf", 6).alias("conf"))
+    return shots.select("clip", "id", "t", rounded("conf", 6).alias("conf"))
 
 
 @query
@@ -473,7 +473,7 @@ def features_at_times(spark, d):
     """Rows only: the candidate features at every reference."""
     frames = checkpoint(detect.frame_features(_audio(spark, d), _small()))  # read four times
     out = detect.features_at(frames, _places(spark, d, REF))
-    return out.select("clip", "id", "t", "idx", *[F.round(c, 5).alias(c) for c in ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio")], "slam", "metal")
+    return out.select("clip", "id", "t", "idx", *[rounded(c, 5).alias(c) for c in ("onset_log", "r1_log", "r2_log", "flatness", "attack_norm", "e_low_ratio")], "slam", "metal")
 
 
 @query
