@@ -272,8 +272,14 @@ SQL["confidence_gate"] = f"WITH {EV}, {role('d', DET)} SELECT clip, id, conf FRO
 RATE = 1000.0
 
 
+def _dealt(spark, e: DataFrame) -> DataFrame:
+    """Events by clip, dealt to all tasks: what is made of a clip is far more work than its events' bytes tell."""
+    return e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip")
+
+
 def _audio(spark, d) -> DataFrame:
-    rows = timeline(spark, d).groupBy(F.col("clip").cast("string").alias("clip")).agg(F.array_sort(F.collect_list(F.struct("t", "id", "conf"))).alias("x"))
+    e = timeline(spark, d).select(F.col("clip").cast("string").alias("clip"), F.struct("t", "id", "conf").alias("x"))
+    rows = _dealt(spark, e).groupBy("clip").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return rows.select("clip", F.lit(RATE).alias("sr"), F.transform("x", lambda r: r["conf"]).alias("samples"))
 
 
@@ -427,8 +433,7 @@ def _sounds(spark, d) -> DataFrame:
     e = read(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     event = F.struct(at.alias("t"), F.col("event_id").alias("id"), F.col("value").alias("conf"), F.col("event_type").alias("kind"))
-    # a sound is far more work than its events' bytes tell, so clips are dealt to all tasks
-    rows = e.select(F.col("user_id").cast("string").alias("clip"), event.alias("x")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip")
+    rows = _dealt(spark, e.select(F.col("user_id").cast("string").alias("clip"), event.alias("x")))
     return rows.groupBy("clip").agg(F.array_sort(F.collect_list("x")).alias("samples")).select("clip", F.lit(SOUND).alias("sr"), "samples")
 
 
