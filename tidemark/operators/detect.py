@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.operators import dedup, kernels, matching, metrics, score
 from tidemark.operators.signal import candidate_features, features_of_means
@@ -22,6 +25,8 @@ from tidemark.shared import checkpoint
 SHOT = "clip string, id long, t long, conf double, value double"
 #: Rows that a task gathers from its clips before it hands them on.
 ROWS = 1 << 14
+#: Clips of a batch that are Python values at once.
+CLIPS = 16
 
 
 def _shots(clip, t: np.ndarray, conf: np.ndarray, value: np.ndarray) -> pd.DataFrame:
@@ -34,24 +39,39 @@ def _reported(seconds: float) -> int:
     return round(round(float(seconds), 4) * 1e6)
 
 
+def _cells(column: pa.Array) -> list:
+    """Python values of a column; lists of numbers are arrays (null: NaN), and a null list is None."""
+    if isinstance(column, (pa.ListArray, pa.LargeListArray)) and pa.types.is_floating(column.type.value_type) | pa.types.is_integer(column.type.value_type):
+        return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column]
+    return column.to_pylist()
+
+
+def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, a few at a time: a batch may hold the samples of ten thousand clips, which are many times larger as Python values."""
+    for batch in batches:
+        for a in range(0, len(batch), CLIPS):
+            yield from zip(*map(_cells, batch.slice(a, CLIPS).columns))
+
+
 def _each(kernel, audio: DataFrame, schema: str, columns: tuple[str, ...] = ("clip", "sr", "samples"), decode: Callable | None = None) -> DataFrame:
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for rows in it:
-            for row in rows.itertuples(index=False):
-                if decode is not None:
-                    row = tuple(decode(v) if c == "samples" else v for c, v in zip(columns, row))
-                out = kernel(*row)
-                if out is not None and len(out):
-                    held.append(out)
-                    n += len(out)
-                if n >= ROWS:
-                    yield pd.concat(held, ignore_index=True)
-                    held, n = [], 0
+        for row in _clips(batches):
+            if decode is not None:
+                row = tuple(decode(v) if c == "samples" else v for c, v in zip(columns, row))
+            out = kernel(*row)
+            if out is not None and len(out):
+                held.append(out)
+                n += len(out)
+            if n >= ROWS:
+                yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), kind, preserve_index=False)
+                held, n = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), kind, preserve_index=False)
 
-    return audio.select(*columns).mapInPandas(run, schema)
+    return audio.select(*columns).mapInArrow(run, schema)
 
 
 def stft_frames(audio: DataFrame, p: Stft = Stft()) -> DataFrame:
@@ -197,12 +217,15 @@ def _beep_envelope(x: np.ndarray, sr: float, p: Beep) -> np.ndarray:
     return kernels.moving_average(np.abs(kernels.bandpass(x, sr, p.low_hz, p.high_hz)), max(1, int(sr * p.smooth)))
 
 
-def _beep_candidates(s: np.ndarray, sr: float, p: Beep) -> np.ndarray:
-    """Times of the strong peaks: above the head's mean by some deviations, inside the searched range if any is, of at least a share of the highest."""
+def _beep_peaks(s: np.ndarray, sr: float, p: Beep) -> np.ndarray:
+    """Places of the peaks above the head's mean by some deviations."""
     head = s[: int(sr * p.head)]
-    if not len(head):
-        return np.zeros(0)
-    at = kernels.find_peaks(s, head.mean() + p.deviations * max(head.std(), 1e-12), int(sr * p.distance))
+    return kernels.find_peaks(s, head.mean() + p.deviations * max(head.std(), 1e-12), int(sr * p.distance)) if len(head) else np.zeros(0, np.int64)
+
+
+def _beep_candidates(s: np.ndarray, sr: float, p: Beep, at: np.ndarray | None = None) -> np.ndarray:
+    """Times of the strong peaks: of _beep_peaks those inside the searched range if any is, of at least a share of the highest."""
+    at = _beep_peaks(s, sr, p) if at is None else at
     t = at / sr
     early_enough = t <= min(p.search_to, len(s) / sr - 0.5)
     searched = early_enough & (t >= p.search_from)
@@ -241,7 +264,7 @@ def _scored_steps(x: np.ndarray, sr: float, p: Beep, score) -> tuple[np.ndarray,
     return t, np.asarray(score(np.stack([kernels.beep_patch(x, sr, v) for v in t])), float) if len(t) else np.zeros(0)
 
 
-def _one_beep(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score) -> float | None:
+def _one_beep(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score, peaks: np.ndarray | None = None) -> float | None:
     """The start beep: by the network's windows where it has any that is likely enough, else by rule; then looked for elsewhere if it lies where first shots lie."""
     t0, candidates = None, np.zeros(0)
     if score is not None:
@@ -254,7 +277,7 @@ def _one_beep(x: np.ndarray, sr: float, p: Beep, s: np.ndarray, score) -> float
             near = _nearest_beep(s, sr, t0, p.refine, p)
             t0 = t0 if near is None else near
     if t0 is None:
-        candidates = _beep_candidates(s, sr, p)
+        candidates = _beep_candidates(s, sr, p, peaks)
         if not len(candidates):
             return None
         gap = np.diff(candidates, prepend=-np.inf)
@@ -327,12 +350,15 @@ def beep_grid(audio: DataFrame, grid: list[Beep], decode: Callable | None = None
     """(clip, setting, t): the start beep by rule under every setting, its place in the grid."""
     def kernel(clip, sr, x):
         x = np.asarray(x, float)
-        envelopes, out = {}, []
+        envelopes, peaks, out = {}, {}, []
         for i, p in enumerate(grid):
             key = (p.low_hz, p.high_hz, p.smooth)
             if key not in envelopes:
                 envelopes[key] = _beep_envelope(x, sr, p)
-            t = _one_beep(x, sr, p, envelopes[key], None)
+            height = (*key, p.head, p.deviations, p.distance)
+            if height not in peaks:
+                peaks[height] = _beep_peaks(envelopes[key], sr, p)
+            t = _one_beep(x, sr, p, envelopes[key], None, peaks[height])
             if t is not None:
                 out.append((clip, i, _reported(t)))
         return pd.DataFrame(out, columns=["clip", "setting", "t"])
@@ -541,15 +567,16 @@ def network_at(audio: DataFrame, marks: DataFrame, load, patch=kernels.mel_patch
     """
     listed = marks.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("marks"))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_schema(StructType.fromDDL("clip string, id long, network double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = load()
-        for rows in it:
-            for clip, sr, x, found in rows.itertuples(index=False):
-                x = np.asarray(x if decode is None else decode(x), float)
-                p = score(np.stack([patch(x, sr, m["t"] / 1e6) for m in found]))
-                yield pd.DataFrame({"clip": clip, "id": [m["id"] for m in found], "network": np.asarray(p, float)})
+        for clip, sr, x, found in _clips(batches):
+            x = np.asarray(x if decode is None else decode(x), float)
+            p = score(np.stack([patch(x, sr, m["t"] / 1e6) for m in found]))
+            yield pa.RecordBatch.from_arrays([pa.array([clip] * len(found), pa.string()), pa.array([m["id"] for m in found], pa.int64()), pa.array(np.asarray(p, float))], schema=kind)
 
-    return audio.join(listed, "clip").select("clip", "sr", "samples", "marks").mapInPandas(run, "clip string, id long, network double")
+    return audio.join(listed, "clip").select("clip", "sr", "samples", "marks").mapInArrow(run, "clip string, id long, network double")
 
 
 def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[str, ...] | None = None, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), least: float | None = None, network: DataFrame | None = None, network_only: bool = False, extra: DataFrame | None = None, load=None, decode: Callable | None = None) -> tuple[DataFrame, DataFrame]:
