@@ -243,6 +243,38 @@ def test_similar_documents_of_the_table(docs):
     assert {r.doc_id: r.component_id for r in got} == similar_roots(rows)[0]
 
 
+def test_similar_documents_go_through_the_byte_index(spark, monkeypatch):
+    """The stage's first candidates are the sets within three bits, by brute force over all fingerprints."""
+    asked = []
+
+    def links(distinct):
+        asked.append({r.fp for r in distinct.collect()})
+        return index(distinct)
+
+    index = simhash.links
+    monkeypatch.setattr(simhash, "links", links)
+    source = [f"s{k}" for k in range(300)]
+    rows = near_copies(5) + [(9000 + k, " ".join([*source[:k], f"new{k}", *source[k + 1 :]])) for k in range(0, 300, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == similar_roots(rows)[0] and len(asked) == 1
+    sets = simhash._set_rows(docs, simhash.WIDTH, simhash.Fraction(4, 5)).dropDuplicates(["node"]).localCheckpoint()
+    fps = {r.tid: r.fp % (1 << 64) for r in sets.collect()}
+    assert {f - (1 << 64) if f >> 63 else f for f in fps.values()} == asked[0]
+    want = brute_components(fps)
+    root = {t: t for t in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in simhash._near(sets).collect():
+        x, y = find(r.a), find(r.b)
+        root[max(x, y)] = min(x, y)
+    assert {t: find(t) for t in fps} == want and len(set(want.values())) < len(fps) - 20
+
+
 def test_similar_odd_rows(odd, none):
     got = simhash.similar_documents(odd).collect()
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1} and len(got) == odd.count()

@@ -35,8 +35,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, root) for every node that has an edge in edges(a, b); root is the least node reachable.
 
-    Self-loops and repeated edges change nothing; no edges give no rows.  Each round is checkpointed, so a lost
-    executor costs at most one round.  Raises if `rounds` do not suffice (they grow with the logarithm of the size).
+    Self-loops and repeated edges change nothing; no edges give no rows.  Each star is checkpointed, so a lost
+    executor costs at most one, and the driver plans one at a time.  Raises if `rounds` do not suffice (they grow with the logarithm of the size).
     """
     now = checkpoint(_directed(edges))
     last = None
@@ -46,5 +46,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             # every node now hangs on its root
             return now.select("a", F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("a"), F.col("b").alias("root")).distinct())
         last = stats
-        now = checkpoint(small_star(large_star(now)))
+        # each star reads its edges several times, so the second one's plan would hold the first one's as often
+        now = checkpoint(small_star(checkpoint(large_star(now))))
     raise RuntimeError("star contraction did not settle")

@@ -234,22 +234,23 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_rows(docs: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """doc_id, tid (names the text), node (names the shingle set), n (its size), its prefix and its sketch (how many hashes have each remainder by SKETCH, 255 at most) of every row."""
+    """doc_id, tid (names the text), node (names the shingle set), n (its size), fp (its fingerprint), its prefix and its sketch (how many hashes have each remainder by SKETCH, 255 at most) of every row."""
     often = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, first, sketch = [], [], [], []
+            node, n, fp, first, sketch = [], [], [], [], []
             for x in batch.column(2).cast(pa.large_binary()):
                 h = shingle_hashes(x.as_py() or b"", width)
                 node.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
                 n.append(len(h))
+                fp.append(_signed(_majority(h)) if len(h) else 0)
                 first.append(prefix(h, *often.value, share).tobytes() if len(h) else b"")
                 sketch.append(np.minimum(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "tid", "node", "n", "first", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(first, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "tid", "node", "n", "fp", "first", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, node long, n long, first binary, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(run, f"doc_id {kind}, tid long, node long, n long, fp long, first binary, sketch binary")
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,24 +461,40 @@ def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int,
     return pairs.join(one, "a").join(two, "b").where(both * share.denominator >= total * share.numerator).select("a", "b")
 
 
+def _near(groups: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets by the index of positional bytes: each set with the least of its fingerprint, and these as `links` joins them."""
+    sets = groups.where("n > 0").select("fp", "tid")
+    least = checkpoint(sets.groupBy("fp").agg(F.min("tid").alias("least")))
+    # the fingerprint is rewritten (to itself), so that Spark can split a hot one of these joins
+    dealt = least.select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "least")
+    same = sets.join(dealt, "fp").select(F.col("least").alias("a"), F.col("tid").alias("b"))
+    near = links(least.select("fp"))
+    for c in "ab":
+        near = near.join(dealt.select(F.col("fp").alias(c), F.col("least").alias(f"t{c}")), c)
+    pairs = same.unionByName(near.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """(tid, root): the components of the sets of groups(tid, n, first, sketch), named by one text of each, linked at a Jaccard similarity of `share` or more.
+    """(tid, root): the components of the sets of groups(tid, n, fp, first, sketch), named by one text of each, linked at a Jaccard similarity of `share` or more.
 
-    First each entry of a list is paired with the one before it and with an elder, at most two pairs for each entry.  That joins the copies of a text, whose
+    First come the pairs within MAX_BITS bits, from the index of positional bytes.  Three bits cannot tell every pair at the similarity, so lists of shingles
+    give the rest: each entry of a list is paired with the one before it and with an elder, at most two pairs for each entry.  That joins the copies of a text, whose
     lists are long, to one component.  Then the lists of three entries or more that still hold several components give all pairs across them.
     """
     spark = docs.sparkSession
     posted = groups.where("n > 0").select("tid", "n", "first").mapInArrow(_posted, "h long, n int, tid long, place int")
     dealt = posted.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid")
     listed = checkpoint(dealt.mapInArrow(_chained(share), "a long, b long, h long, n long, place long"))
-    links = _verified(docs, groups, listed.where("h is null").select("a", "b").distinct(), width, share)
+    pairs = checkpoint(_near(groups).unionByName(listed.where("h is null").select("a", "b")).distinct())
+    links = _verified(docs, groups, pairs, width, share)
     first = checkpoint(components(links).withColumnRenamed("a", "tid"))
     give_back()
     entries = listed.where("h is not null").select("h", "n", F.col("a").alias("tid"), "place").join(first, "tid", "left").withColumn("label", F.coalesce("root", "tid")).drop("root")
     # the shingle is rewritten (to itself), so that Spark can split a hot one of this join
     mixed = entries.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"))
     entries = entries.join(mixed, "h", "left_semi").select("h", "n", "tid", "place", "label")
-    pairs = entries.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(_crossed(share), "a long, b long").distinct()
+    pairs = checkpoint(entries.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(_crossed(share), "a long, b long").distinct())
     links = _verified(docs, groups, pairs, width, share)
     for c in "ab":
         links = links.join(first.select(F.col("tid").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
@@ -490,15 +507,15 @@ def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fractio
 def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row: groups linked at this Jaccard similarity (above 0) of their shingle sets, or more.
 
-    Every pair at the similarity is found: such sets share a shingle of their prefixes (see prefix), which are the keys of
+    Candidates are the sets whose fingerprints the index of positional bytes links, and an exact way gives the rest.  Every pair at the similarity is found: such sets share a shingle of their prefixes (see prefix), which are the keys of
     lists; every pair of a list that may join two components is verified on the whole sets, unless its sketches rule it out.  Equal sets are one node, named by one of their texts.
     Null and wordless texts are one group; a very long text is one set; null doc_ids and repeated rows are as in near_duplicates.
     """
     give_back()
     share = Fraction(similarity).limit_denominator(10**6)
     rows = checkpoint(_set_rows(docs, width, share))
-    groups = checkpoint(rows.groupBy("node", "n", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
-    named = groups.select("node", "tid", "least").join(similar_roots(docs, groups, width, share), "tid")
+    groups = checkpoint(rows.groupBy("node", "n", "fp", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
+    named = checkpoint(groups.select("node", "tid", "least").join(similar_roots(docs, groups, width, share), "tid"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = named.select("node", "root").join(ids, "root").select("node", "component_id")
     return rows.select("doc_id", "node").join(whole, "node").select("doc_id", "component_id")
