@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable
 from dataclasses import replace
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect
-from tidemark.operators.matching import match_order_preserving
 from tidemark.operators.metrics import with_prf
 from tidemark.operators.ordered import each_key
 from tidemark.params import (
@@ -229,20 +229,82 @@ def calibration_grid() -> list[Legacy]:
     return out + [Legacy(smooth_ms=s, min_dist=d, prominence=p, coef=k) for s, d, p, k in every]
 
 
+def _in_turn_by_setting(refs: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
+    """(clip, setting, n_det, n, dt): what match_order_preserving of refs(clip, id, t) with each setting of found(clip, setting, id, t) comes to: detections, matches and
+    their total distance.  Settings without detections in a clip give no row.
+
+    A clip's references are held once for all settings, and each setting looks only at those within the tolerance of its detections: no other one can change what it matches.
+    """
+    def make(emit):
+        held: list[int] = []  # the references' times from the first on that a setting may still match
+        states: dict[int, list] = {}  # for each setting its free detections' times, its next reference, and n_det, n and dt
+
+        def settle(state: list, before: int | None) -> None:
+            """Decides the state's references whose tolerance ends before this time."""
+            free, k = state[0], state[1]
+            while free and k < len(held) and (before is None or held[k] + tolerance < before):
+                t = held[k]
+                del free[: bisect_left(free, t - tolerance)]
+                k += 1
+                i = bisect_left(free, t)
+                if i and (i == len(free) or t - free[i - 1] <= free[i] - t):
+                    i = bisect_left(free, free[i - 1])
+                if i < len(free) and abs(free[i] - t) <= tolerance:
+                    state[3] += 1
+                    state[4] += abs(free[i] - t)
+                    del free[: i + 1]
+            state[1] = k
+
+        rows = 0
+
+        def take(row) -> None:
+            nonlocal rows
+            t, side, _, setting = row
+            rows += 1
+            if side:
+                held.append(t)
+            else:
+                state = states.setdefault(setting, [[], 0, 0, 0, 0])
+                settle(state, t)
+                if not state[0]:
+                    state[1] = max(state[1], bisect_left(held, t - tolerance))
+                state[0].append(t)
+                state[2] += 1
+            if rows % LOOK == 0:
+                done = bisect_left(held, t - tolerance)
+                for state in states.values():
+                    settle(state, t)
+                    state[1] = max(0, state[1] - done)
+                    del state[0][: bisect_left(state[0], (held[done] if done < len(held) else t) - tolerance)]
+                del held[:done]
+
+        def end() -> None:
+            nonlocal rows
+            for setting, state in states.items():
+                settle(state, None)
+                emit((setting, *state[2:]))
+            states.clear()
+            held.clear()
+            rows = 0
+
+        return take, end
+
+    r = refs.select("clip", "t", F.lit(1).alias("side"), "id", F.lit(None).cast("int").alias("setting"))
+    both = r.unionByName(found.select("clip", "t", F.lit(0).alias("side"), "id", "setting"))
+    return each_key(both, ("clip",), ("t", "side", "id", "setting"), ("t", "side", "id", "setting"), make, "setting bigint, n_det bigint, n bigint, dt bigint")
+
+
 def calibrate(audio: DataFrame, refs: DataFrame, tolerance: int, grid: list[Legacy] | None = None) -> DataFrame:
     """The legacy detector under every setting of the grid against refs(clip, id, t): setting (its place), n_gt, n_det, n, mae (of all clips together), score and best.
 
-    A clip's samples are read once; clip and setting together are the clip of everything behind the detector.
+    A clip's samples are read once, and its references meet the detections of all settings in one pass.
     """
     grid = calibration_grid() if grid is None else grid
-    found = detect.legacy_grid(audio, grid)
-    places = F.explode(F.array(*[F.lit(i) for i in range(len(grid))]))
-    keyed = F.struct(F.col("clip").alias("clip"), F.col("setting").alias("setting")).alias("clip")
-    r = refs.withColumn("setting", places).select(keyed, "id", "t")
-    m = match_order_preserving(r, found, tolerance)
-    per = m.groupBy(F.col("clip.setting").alias("setting")).agg(F.count("*").alias("n_gt"), F.count("det_id").alias("n"), F.avg("dt").alias("mae"))
-    n = found.groupBy(F.col("clip.setting").alias("setting")).agg(F.count("*").alias("n_det"))
-    return calibration_score(per.join(n, "setting", "left").fillna(0, ["n_det"]))
+    found = detect.legacy_grid(audio, grid).select("clip.clip", "clip.setting", "id", "t")
+    sums = _in_turn_by_setting(refs, found, tolerance).groupBy("setting").agg(*[F.sum(c).alias(c) for c in ("n_det", "n", "dt")])
+    settings = refs.agg(F.count("*").alias("n_gt")).where("n_gt > 0").select(F.explode(F.array(*[F.lit(i) for i in range(len(grid))])).alias("setting"), "n_gt")
+    per = settings.join(sums, "setting", "left").fillna(0, ["n_det", "n"])
+    return calibration_score(per.select("setting", "n_gt", "n", (F.col("dt") / F.when(F.col("n") > 0, F.col("n"))).alias("mae"), "n_det"))
 
 
 def tune_beeps(audio: DataFrame, truth: DataFrame, base: Beep = Beep(), decode: Callable | None = None) -> DataFrame:
