@@ -1,4 +1,5 @@
 import io
+import itertools
 import json
 import wave
 
@@ -239,3 +240,19 @@ def test_records_and_overrides(spark, tmp_path):
     assert sinks.overlay_labels(labels, sure, labels.select("clip")).first().colour == "green"
     ocr = spark.createDataFrame([("9.99 x 1.25 2.5",)], "t string").select(parse.ocr_times(F.col("t"), F.lit(2)).alias("x")).first().x
     assert ocr == [1.25, 2.5]
+
+
+def test_a_moving_average_holds_a_long_signal_three_times():
+    import tracemalloc
+
+    for n, k in itertools.product((1, 2, 3, 7, 50), (1, 2, 3, 4, 9, 60)):
+        x = np.random.default_rng(n).normal(size=n)
+        before, after = ((k - 1) // 2, (k - 1) // 2) if k % 2 else (k // 2, k // 2 - 1)
+        total, i = np.concatenate([[0.0], np.cumsum(x)]), np.arange(n)
+        assert (kernels.moving_average(x, k) == (total[np.minimum(i + after + 1, n)] - total[np.maximum(i - before, 0)]) / k).all()
+    x = np.ones(1 << 20)
+    tracemalloc.start()
+    kernels.moving_average(x, 160)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * x.nbytes
