@@ -130,3 +130,30 @@ def test_odd_rows(spark, odd, none):
     assert decontaminate.decontaminate(odd, b).columns == odd.columns
     assert decontaminate.benchmark_matches(none, b).count() == 0
     assert decontaminate.benchmark_matches(odd, b.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_a_segment_is_hashed_in_parts(monkeypatch):
+    """The hashes of a segment in parts are those of the whole, whatever the parts, and hashing takes the memory of a part."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.llm._text import ALNUM, forget_powers, word_hashes
+
+    texts = [b"One two three", b"", b"  ", b"a" * 50, b"Four, five six." * 9, b"seven"] * 4
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    want = word_hashes(data, off, ALNUM, lower=True)
+    for size in (1, 40, 100, 1 << 20):
+        monkeypatch.setattr(decontaminate, "HASH_BYTES", size)
+        got = decontaminate._hashes(data, off)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    monkeypatch.undo()
+    data = np.frombuffer(b"some words here " * (1 << 19), np.uint8)
+    off = np.arange(0, len(data) + 1, 1 << 13)
+    forget_powers()
+    tracemalloc.start()
+    decontaminate._hashes(data, off)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150 << 20

@@ -318,3 +318,58 @@ def test_null_and_repeated_ids_lose_no_text(spark, case, drop):
     for i, t in got:
         key = " ".join((t or "").split())
         assert (i is None, i or 0) == min(groups[group.get(key, key)])
+
+
+def test_small_link_tables_settle_without_stars(spark, monkeypatch):
+    """The edges of one task are contracted there: a chain needs no round of stars.  Spread over tasks they give the same components."""
+    from tidemark.llm import components as module
+
+    rng = random.Random(9)
+    n = 300
+    edges = [(i, i + 1) for i in range(n) if i % 37] + [(rng.randrange(n), rng.randrange(n)) for _ in range(20)]
+    links = [(b - 150, a - 150) if rng.random() < 0.5 else (a - 150, b - 150) for a, b in edges]
+    root = {x: x for e in links for x in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    # nodes that only loop on themselves have no edge
+    want = {x: find(x) for e in links if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(links, "a long, b long")
+    stars, large = [], module.large_star
+    monkeypatch.setattr(module, "large_star", lambda edges: stars.append(1) or large(edges))
+    assert {r.a: r.root for r in module.components(df).collect()} == want and not stars
+    monkeypatch.setattr(module, "_directed", lambda edges, f=module._directed: f(edges).repartition(4))
+    monkeypatch.setattr(module, "HELD", 3)
+    assert {r.a: r.root for r in module.components(df).collect()} == want and stars
+    assert module.components(df.where("a > 1000")).count() == 0
+
+
+def test_few_pairs_are_verified_on_whole_sets(spark, monkeypatch):
+    """Of a group of near copies, each set's best pairs are verified and not all of its candidates; nothing of the working tables stays."""
+    import os
+
+    from tidemark.shared import shared_folder
+
+    asked, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda docs, pairs, *a: asked.append(pairs.count()) or verified(docs, pairs, *a))
+    candidates, first = [], simhash._first
+    monkeypatch.setattr(simhash, "_first", lambda likely: candidates.append(likely.count()) or first(likely))
+    rng = random.Random(4)
+    rows = []
+    for k in range(150):
+        w = [f"w{i}" for i in range(300)]
+        for p in rng.sample(range(300), 2):
+            w[p] = f"c{k}x{p}"
+        rows.append((k, " ".join(w)))
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 150
+    assert len(asked) == 2 and sum(asked) < candidates[0] and sum(asked) < 6 * 150
+    folder = shared_folder(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("similar-")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -27,6 +27,8 @@ from tidemark.llm._text import ALNUM, new_name, partitions, shared_folder, slice
 
 WINDOW = 10
 SEGMENT_BYTES = 8 << 20
+#: Bytes of a segment whose words are hashed at once.
+HASH_BYTES = 1 << 20
 #: Windows of a block.  Its index takes 40 bytes a window, its terms 80 at most, and its items their names.
 BLOCK_WINDOWS = 1 << 17
 #: Candidate positions tested at once.
@@ -35,6 +37,18 @@ CHUNK = 1 << 20
 SPANS = "spans array<struct<start:long,end:long>>"
 
 
+def _hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes of a segment's texts, HASH_BYTES of them at a time: hashing takes many times the bytes."""
+    hashes, first, a = [], [np.zeros(1, np.int64)], 0
+    while a < len(off) - 1:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + HASH_BYTES, "right")) - 1)
+        h, at = word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM, lower=True)
+        hashes.append(h)
+        first.append(at[1:] + first[-1][-1])
+        a = b
+    return np.concatenate(hashes), np.concatenate(first)
+
+
 def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The index of docs(doc_id, text), written to path (a new folder beside the checkpoints if None) and read again.
 
@@ -48,7 +62,7 @@ def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = S
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b, data, off in slices(batch, 2, segment_bytes):
-                h, first = word_hashes(data, off, ALNUM, lower=True)
+                h, first = _hashes(data, off)
                 order = np.argsort(h, kind="stable").astype(np.int32)
                 h = h[order]
                 begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)

@@ -9,17 +9,19 @@ verified by their differing bits, block after block.  A list holds distinct fing
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import checkpoint, give_back, mix, new_name, partitions
+from tidemark.llm._text import checkpoint, delete_folder, give_back, mix, new_name, partitions, shared_folder
 from tidemark.llm.components import components
 
 BYTES, MAX_BITS, SEED = 8, 3, 42
@@ -407,7 +409,7 @@ def _crossed(share: Fraction):
 
 
 def _possible(share: Fraction):
-    """Pairs whose sketches allow the similarity: the sets differ in as many shingles as the sketches, or more."""
+    """Pairs whose sketches allow the similarity, with what stands behind the sketches: the sets differ in as many shingles as the sketches, or more."""
     p, q = share.numerator, share.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +417,7 @@ def _possible(share: Fraction):
             n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
             near = np.abs(one - two).sum(1, dtype=np.int64) * (p + q) <= n * (q - p)
-            yield batch.select([0, 1]).filter(pa.array(near))
+            yield batch.select([0, 1, *range(6, batch.num_columns)]).filter(pa.array(near))
 
     return run
 
@@ -437,12 +439,18 @@ def _sets(bits, width: int):
     return run
 
 
-def _verified(docs: DataFrame, groups: DataFrame, pairs: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """Those of pairs(a, b) of sets whose Jaccard similarity is `share` or more: first by their sketches, which lose none, then by the whole sets."""
-    spark = docs.sparkSession
+def _likely(groups: DataFrame, pairs: DataFrame, share: Fraction) -> DataFrame:
+    """Those of pairs(a, b, ...) whose sketches allow the similarity; none that has it is lost."""
+    more = [f"{k} {t}" for k, t in pairs.dtypes if k not in "ab"]
+    names = [x.split()[0] for x in more]
     for c in "ab":
         pairs = pairs.join(groups.select(F.col("tid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
-    pairs = checkpoint(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(share), "a long, b long"))
+    return pairs.select("a", "b", "na", "nb", "sa", "sb", *names).mapInArrow(_possible(share), ", ".join(["a long", "b long", *more]))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Those of pairs(a, b) of sets whose Jaccard similarity is `share` or more, by the whole sets."""
+    spark = docs.sparkSession
     # a fixed number of bits names the texts of the pairs, so that no text is shuffled
     needed = pairs.select(F.explode(F.array("a", "b")).alias("tid"))
     at = needed.select(F.col("tid").bitwiseAND(F.lit(FILTER - 1)).alias("at"))
@@ -475,27 +483,47 @@ def _near(groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fraction) -> DataFrame:
+def _first(likely: DataFrame) -> DataFrame:
+    """The pairs (a, b) of likely(a, b, lists, near) that are verified first: the near ones, and for each set the one that it shares most lists with and those of least hash by two seeds.
+
+    Nearly every link is among these few, and what a set's other pairs would add is known once they have been followed.
+    """
+    ends = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "lists").unionByName(likely.select(F.col("b").alias("x"), F.col("a").alias("y"), "lists"))
+    hashed = ends.select("x", "y", "lists", F.xxhash64("y").alias("h"), F.xxhash64("y", F.lit(1)).alias("h1"))
+    best = hashed.groupBy("x").agg(F.max(F.struct("lists", "h", "y")).alias("most"), F.min(F.struct("h", "y")).alias("least"), F.min(F.struct("h1", "y")).alias("least1"))
+    own = best.select("x", F.explode(F.array("most.y", "least.y", "least1.y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return own.unionByName(likely.where("near").select("a", "b")).distinct()
+
+
+def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fraction, folder: str) -> DataFrame:
     """(tid, root): the components of the sets of groups(tid, n, fp, first, sketch), named by one text of each, linked at a Jaccard similarity of `share` or more.
 
-    First come the pairs within MAX_BITS bits, from the index of positional bytes.  Three bits cannot tell every pair at the similarity, so lists of shingles
-    give the rest: each entry of a list is paired with the one before it and with an elder, at most two pairs for each entry.  That joins the copies of a text, whose
-    lists are long, to one component.  Then the lists of three entries or more that still hold several components give all pairs across them.
+    Candidates are the pairs within MAX_BITS bits, from the index of positional bytes.  Three bits cannot tell every pair at the similarity, so lists of shingles
+    give the rest: each entry of a list is paired with the one before it and with an elder, at most two pairs for each entry.  A few pairs of each set are verified first (see _first).  That joins the copies of a text, whose
+    lists are long, to one component.  Then come the other candidates that still join two components, and with them all pairs across components of the lists of three entries or more that hold several.
     """
     spark = docs.sparkSession
     posted = groups.where("n > 0").select("tid", "n", "first").mapInArrow(_posted, "h long, n int, tid long, place int")
     dealt = posted.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid")
-    listed = checkpoint(dealt.mapInArrow(_chained(share), "a long, b long, h long, n long, place long"))
-    pairs = checkpoint(_near(groups).unionByName(listed.where("h is null").select("a", "b")).distinct())
-    links = _verified(docs, groups, pairs, width, share)
-    first = checkpoint(components(links).withColumnRenamed("a", "tid"))
+    listed = _written(dealt.mapInArrow(_chained(share), "a long, b long, h long, n long, place long"), f"{folder}/listed")
+    near = _near(groups).withColumn("near", F.lit(True)).unionByName(listed.where("h is null").select("a", "b", F.lit(False).alias("near")))
+    pairs = checkpoint(near.groupBy("a", "b").agg(F.count("*").alias("lists"), F.max("near").alias("near")))
+    likely = checkpoint(_likely(groups, pairs, share))
+    few = checkpoint(_first(likely))
+    first = checkpoint(components(_verified(docs, few, width, share)).withColumnRenamed("a", "tid"))
     give_back()
     entries = listed.where("h is not null").select("h", "n", F.col("a").alias("tid"), "place").join(first, "tid", "left").withColumn("label", F.coalesce("root", "tid")).drop("root")
     # the shingle is rewritten (to itself), so that Spark can split a hot one of this join
     mixed = entries.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").select(F.col("h").bitwiseXOR(F.lit(0)).alias("h"))
     entries = entries.join(mixed, "h", "left_semi").select("h", "n", "tid", "place", "label")
     pairs = checkpoint(entries.repartition(partitions(spark), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(_crossed(share), "a long, b long").distinct())
-    links = _verified(docs, groups, pairs, width, share)
+    delete_folder(spark, f"{folder}/listed")
+    rest = likely.join(few, ["a", "b"], "left_anti").select("a", "b")
+    for c in "ab":
+        rest = rest.join(first.select(F.col("tid").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    pairs = checkpoint(_likely(groups, pairs, share).unionByName(rest).distinct())
+    links = _verified(docs, pairs, width, share)
     for c in "ab":
         links = links.join(first.select(F.col("tid").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
     second = components(links).select(F.col("a").alias("root"), F.col("root").alias("_top"))
@@ -504,6 +532,42 @@ def similar_roots(docs: DataFrame, groups: DataFrame, width: int, share: Fractio
     return known.join(second, "root", "left").select("tid", F.coalesce("_top", "root").alias("root"))
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet, for what is deleted before the query ends: a checkpoint stays until the driver happens to collect its garbage, and takes several times the place."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each query's shuffle files go as it ends: all of them end in the shared folder, and nothing reads their shuffles again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _named(docs: DataFrame, width: int, similarity: float, rows_too: bool) -> tuple[DataFrame | None, DataFrame]:
+    """(doc_id, node) of every row, if asked for, and (node, root, least): each set's component and the smallest doc_id of its texts."""
+    give_back()
+    spark = docs.sparkSession
+    share = Fraction(similarity).limit_denominator(10**6)
+    folder = f"{shared_folder(spark)}/similar-{uuid.uuid4().hex}"
+    try:
+        with _shuffles_freed(spark):
+            rows = _written(_set_rows(docs, width, share), f"{folder}/rows")
+            groups = _written(rows.groupBy("node", "n", "fp", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")), f"{folder}/groups")
+            nodes = checkpoint(rows.select("doc_id", "node")) if rows_too else None
+            delete_folder(spark, f"{folder}/rows")
+            roots = similar_roots(docs, groups, width, share, folder)
+            return nodes, checkpoint(groups.select("node", "tid", "least").join(roots, "tid").select("node", "root", "least"))
+    finally:
+        delete_folder(spark, folder)
+
+
 def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row: groups linked at this Jaccard similarity (above 0) of their shingle sets, or more.
 
@@ -511,14 +575,15 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
     lists; every pair of a list that may join two components is verified on the whole sets, unless its sketches rule it out.  Equal sets are one node, named by one of their texts.
     Null and wordless texts are one group; a very long text is one set; null doc_ids and repeated rows are as in near_duplicates.
     """
-    give_back()
-    share = Fraction(similarity).limit_denominator(10**6)
-    rows = checkpoint(_set_rows(docs, width, share))
-    groups = checkpoint(rows.groupBy("node", "n", "fp", "first", "sketch").agg(F.min("doc_id").alias("least"), F.min("tid").alias("tid")))
-    named = checkpoint(groups.select("node", "tid", "least").join(similar_roots(docs, groups, width, share), "tid"))
+    nodes, named = _named(docs, width, similarity, True)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     whole = named.select("node", "root").join(ids, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(whole, "node").select("doc_id", "component_id")
+    return nodes.join(whole, "node").select("doc_id", "component_id")
+
+
+def similar_firsts(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """component_id of every group of similar_documents, once."""
+    return _named(docs, width, similarity, False)[1].groupBy("root").agg(F.min("least").alias("component_id")).select("component_id")
 
 
 def hex_digits(column):
@@ -526,7 +591,7 @@ def hex_digits(column):
 
 
 def first_of_groups(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One row of docs for each group that find(docs) links: that of the smallest doc_id, null the greatest, and then of the least hash of the text.
+    """One row of docs for each group that find(docs) names by its component_id, once or for each row: that of the smallest doc_id, null the greatest, and then of the least hash of the text.
 
     Rows are told apart by doc_id and text, so texts of equal or null doc_id that nothing links all stay; of rows that agree in
     both, the first by its other columns stays.
@@ -547,4 +612,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def drop_similar(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group that similar_documents links (see first_of_groups)."""
-    return first_of_groups(docs, lambda named: similar_documents(named, width, similarity))
+    return first_of_groups(docs, lambda named: similar_firsts(named, width, similarity))
