@@ -49,9 +49,9 @@ def nms_anchored(df: DataFrame, window: int | str) -> DataFrame:
     return _kept(df, lambda cur, anchor, x: (x[0] - anchor < window, more(x[2], cur[2])))
 
 
-def dedup_last_kept(df: DataFrame, gap: int) -> DataFrame:
-    """A row less than `gap` after the last survivor joins it and takes its place if its confidence is strictly higher."""
-    return _kept(df, lambda cur, anchor, x: (x[0] - cur[0] < gap, more(x[2], cur[2])))
+def dedup_last_kept(df: DataFrame, gap: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row less than `gap` after the last survivor joins it and takes its place if its confidence is strictly higher.  Columns `extra` come along."""
+    return _kept(df, lambda cur, anchor, x: (x[0] - cur[0] < gap, more(x[2], cur[2])), extra)
 
 
 def dedup_moving_best(df: DataFrame, gap: int, more_than: int = 5) -> DataFrame:

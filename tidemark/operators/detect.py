@@ -8,6 +8,7 @@ clip at a time, so that decoded sounds are never rows, and no batch holds those
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,13 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*map(_cells, batch.slice(a, CLIPS).columns))
 
 
+def _batch(held: list, kind: pa.Schema) -> pa.RecordBatch:
+    """What a kernel gave for some clips, frames or mappings of names to arrays, as one batch."""
+    if isinstance(held[0], pd.DataFrame):
+        return pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), kind, preserve_index=False)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[f.name] for h in held]), f.type, from_pandas=True) for f in kind], schema=kind)
+
+
 def _each(kernel, audio: DataFrame, schema: str, columns: tuple[str, ...] = ("clip", "sr", "samples"), decode: Callable | None = None) -> DataFrame:
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -62,14 +70,15 @@ def _each(kernel, audio: DataFrame, schema: str, columns: tuple[str, ...] = ("cl
             if decode is not None:
                 row = tuple(decode(v) if c == "samples" else v for c, v in zip(columns, row))
             out = kernel(*row)
-            if out is not None and len(out):
+            rows = 0 if out is None else len(out["clip"])
+            if rows:
                 held.append(out)
-                n += len(out)
+                n += rows
             if n >= ROWS:
-                yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), kind, preserve_index=False)
+                yield _batch(held, kind)
                 held, n = [], 0
         if held:
-            yield pa.RecordBatch.from_pandas(pd.concat(held, ignore_index=True), kind, preserve_index=False)
+            yield _batch(held, kind)
 
     return audio.select(*columns).mapInArrow(run, schema)
 
@@ -409,51 +418,63 @@ def mel_training_set(audio: DataFrame, candidates: DataFrame, refs: DataFrame, s
 FRAME = "clip string, idx long, rate double, before int, after int, onset double, threshold double, peak boolean, e_low double, e_mid double, e_high double, flatness double, attack double, mfcc double, frame_t long, onset_t long, envelope_t long"
 
 
-def _frame_kernel(stft: Stft, c: Candidates, s: Selection, mfcc: bool):
-    """The rows of FRAME of one clip."""
-    def kernel(clip, sr, x):
-        x = np.asarray(x, float)
-        m = kernels.stft(x, stft.n_fft, stft.hop)
-        n, rate = len(m), sr / stft.hop
-        frames = lambda seconds: int(sr * seconds / stft.hop)
-        freq = np.fft.rfftfreq(stft.n_fft, 1 / sr)
-        logs = np.log1p(m) * ((freq >= stft.low_hz) & (freq <= stft.high_hz))
-        onset = np.concatenate([[0.0], np.maximum(np.diff(logs, axis=0), 0).sum(1)])
-        onset = kernels.moving_average(onset, max(1, frames(0.01)))
-        if c.threshold == "mad":
-            limit = mad_curve(onset, rate, c.window, c.mad_k)
-        elif c.threshold == "multi":
-            limit = multi_curve(onset, rate)
-        else:
-            limit = np.full(n, np.percentile(onset, float(c.threshold)))
-        gap = max(1, frames(c.min_distance))
-        at = kernels.find_peaks(onset, distance=gap)
-        at = at[onset[at] >= limit[at]]
-        at = kernels.recover_second(onset, limit, at, c.recovery_ratio, max(1, frames(c.recovery_from)), min(n - 1, frames(c.recovery_to)), gap)
-        e = {k: (m[:, (freq >= a) & (freq < b)] ** 2).sum(1) for k, (a, b) in zip(("e_low", "e_mid", "e_high"), stft.bands)}
-        flat = flatness(m)
-        env = kernels.moving_average(np.abs(x), max(1, int(sr * c.envelope)))
-        slope = attack_curve(env, sr, c.attack)
-        pad = np.pad(slope, (0, max(0, n * stft.hop - len(slope))))[: n * stft.hop]
-        at_frame = np.array([_reported(i * stft.hop / sr) for i in range(n)])
-        moved = {k: at_frame.copy() for k in ("frame_t", "onset_t", "envelope_t")}
-        half = int(np.rint(sr * s.refine / 2))
-        for i in at:
-            t = round(i * stft.hop / sr, 4)
-            part, a = _around(env, int(np.rint(t * sr)), half)
-            first = np.flatnonzero(part >= s.onset_share * (part.max(initial=0) + 1e-12)) if s.onset_share > 0 else []
-            first = first[0] if len(first) else np.diff(part).argmax() if len(part) > 1 else 0
-            if len(part) >= 4:
-                moved["onset_t"][i] = _reported((a + first) / sr)
-            if len(part) >= 2:
-                moved["envelope_t"][i] = _reported((a + part.argmax()) / sr)
-        band = np.zeros(n)
-        if mfcc:
-            band[at] = [kernels.mfcc_band(x, sr, i * stft.hop / sr) for i in at]
-        around = {"before": max(1, frames(c.before)), "after": max(1, frames(c.after))}
-        return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": rate, **around, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **e, "flatness": flat, "attack": pad.reshape(n, stft.hop).max(1), "mfcc": band, **moved})
+def _band(n_fft: int, sr: float, low: float, high: float, closed: bool = False) -> slice:
+    """The bins of the frequencies in [low, high), or in [low, high] if closed."""
+    freq = np.fft.rfftfreq(n_fft, 1 / sr)
+    return slice(int(np.searchsorted(freq, low)), int(np.searchsorted(freq, high, "right" if closed else "left")))
+
+
+def _frame_peaks(x: np.ndarray, sr: float, stft: Stft, c: Candidates) -> tuple[np.ndarray, ...]:
+    """(magnitudes, onset, threshold, the frames that are peaks) of one clip."""
+    m = kernels.stft(x, stft.n_fft, stft.hop)
+    n, rate = len(m), sr / stft.hop
+    frames = lambda seconds: int(sr * seconds / stft.hop)
+    heard = _band(stft.n_fft, sr, stft.low_hz, stft.high_hz, True)
+    onset = np.zeros(n)
+    logs = np.zeros((min(n, kernels.FRAMES + 1), m.shape[1]))
+    rise = np.empty_like(logs)
+    for a in range(0, n - 1, kernels.FRAMES):
+        k = min(kernels.FRAMES, n - 1 - a)
+        np.log1p(m[a : a + k + 1, heard], out=logs[: k + 1, heard])
+        np.subtract(logs[1 : k + 1], logs[:k], out=rise[:k])
+        onset[a + 1 : a + k + 1] = np.maximum(rise[:k], 0, out=rise[:k]).sum(1)
+    onset = kernels.moving_average(onset, max(1, frames(0.01)))
+    if c.threshold == "mad":
+        limit = mad_curve(onset, rate, c.window, c.mad_k)
+    elif c.threshold == "multi":
+        limit = multi_curve(onset, rate)
+    else:
+        limit = np.full(n, np.percentile(onset, float(c.threshold)))
+    gap = max(1, frames(c.min_distance))
+    at = kernels.find_peaks(onset, distance=gap)
+    at = at[onset[at] >= limit[at]]
+    return m, onset, limit, kernels.recover_second(onset, limit, at, c.recovery_ratio, max(1, frames(c.recovery_from)), min(n - 1, frames(c.recovery_to)), gap)
+
+
+def _energies(m: np.ndarray, sr: float, stft: Stft) -> dict[str, np.ndarray]:
+    """The band energies and the flatness of frames."""
+    e = {k: (m[:, _band(stft.n_fft, sr, a, b)] ** 2).sum(1) for k, (a, b) in zip(("e_low", "e_mid", "e_high"), stft.bands)}
+    return e | {"flatness": flatness(m)}
+
 
-    return kernel
+def _marked(env: np.ndarray, sr: float, hop: int, at: np.ndarray, s: Selection) -> dict[str, list[int]]:
+    """The reported times of peaks, of their frames and moved to the onset and to the envelope's peak."""
+    moved = {k: [_reported(i * hop / sr) for i in at.tolist()] for k in ("frame_t", "onset_t", "envelope_t")}
+    half = int(np.rint(sr * s.refine / 2))
+    for k, centre in enumerate(np.rint(np.round(at * hop / sr, 4) * sr).astype(np.int64).tolist()):
+        part, a = _around(env, centre, half)
+        if len(part) >= 4:
+            loud = part >= s.onset_share * (part.max() + 1e-12) if s.onset_share > 0 else np.zeros(1, bool)
+            first = int(loud.argmax())
+            moved["onset_t"][k] = _reported((a + (first if loud[first] else int(np.diff(part).argmax()))) / sr)
+        if len(part) >= 2:
+            moved["envelope_t"][k] = _reported((a + int(part.argmax())) / sr)
+    return moved
+
+
+def _reach(sr: float, stft: Stft, c: Candidates) -> tuple[int, int]:
+    """The frames before and after a peak that its features span."""
+    return max(1, int(sr * c.before / stft.hop)), max(1, int(sr * c.after / stft.hop))
 
 
 def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
@@ -462,27 +483,69 @@ def frame_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candid
     rate is frames a second; before and after are a feature window's frames at the clip's own rate.  Reported times of a frame: its own, and
     for peaks those moved to the onset and to the envelope's peak.
     """
-    return _each(_frame_kernel(stft, c, s, mfcc), audio, FRAME, decode=decode)
+    def kernel(clip, sr, x):
+        x = np.asarray(x, float)
+        m, onset, limit, at = _frame_peaks(x, sr, stft, c)
+        n = len(m)
+        env = kernels.moving_average(np.abs(x), max(1, int(sr * c.envelope)))
+        frame_t = np.array([_reported(i * stft.hop / sr) for i in range(n)])
+        moved = {k: frame_t.copy() for k in ("frame_t", "onset_t", "envelope_t")}
+        for k, t in _marked(env, sr, stft.hop, at, s).items():
+            moved[k][at] = t
+        band = np.zeros(n)
+        if mfcc:
+            band[at] = kernels.mfcc_bands(x, sr, (at * stft.hop / sr).tolist())
+        before, after = _reach(sr, stft, c)
+        return pd.DataFrame({"clip": clip, "idx": np.arange(n), "rate": sr / stft.hop, "before": before, "after": after, "onset": onset, "threshold": limit, "peak": np.isin(np.arange(n), at), **_energies(m, sr, stft), "attack": attack_frames(env, sr, c.attack, stft.hop, n), "mfcc": band, **moved})
 
+    return _each(kernel, audio, FRAME, decode=decode)
 
-def peak_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
-    """The candidate features of every peak, with the columns of frame_features at it: a clip's frames stay in the task that makes them."""
-    frame = _frame_kernel(stft, c, s, mfcc)
 
+def peak_features(audio: DataFrame, stft: Stft = Stft(), c: Candidates = Candidates(), s: Selection = Selection(), mfcc: bool = False, decode: Callable | None = None) -> DataFrame:
+    """The candidate features of every peak, with the columns of frame_features at it: a clip's frames stay in the task that makes them,
+    and what only peaks need is made of the frames around them."""
     def kernel(clip, sr, x):
-        f = frame(clip, sr, x)
-        at = np.flatnonzero(f["peak"])
-        around = [slice(max(0, i - n), i + m + 1) for i, n, m in zip(at, f["before"].to_numpy()[at], f["after"].to_numpy()[at])]
-        means = {k: [f[k].to_numpy()[w].mean() for w in around] for k in ("e_low", "e_mid", "e_high", "flatness")}
-        attack = f["attack"].to_numpy()
-        return f.iloc[at].assign(**means, attack=[attack[w].max() for w in around], ref=np.percentile(attack, 99.5) if len(attack) else 0.0)
+        _keep_memory()
+        x = np.asarray(x, float)
+        m, onset, limit, at = _frame_peaks(x, sr, stft, c)
+        n, p = len(m), len(at)
+        if not p:
+            return None
+        env = kernels.moving_average(np.abs(x), max(1, int(sr * c.envelope)))
+        attack = attack_frames(env, sr, c.attack, stft.hop, n)
+        before, after = _reach(sr, stft, c)
+        low, high = np.maximum(at - before, 0), np.minimum(at + after + 1, n)
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high, -1)
+        near = np.cumsum(edge[:-1]) > 0
+        place = np.cumsum(near) - 1
+        means = {k: _by_window(np.add, v, place[low], place[high - 1] + 1) / (high - low) for k, v in _energies(m[near], sr, stft).items()}
+        return {
+            "clip": np.full(p, clip, object), "idx": at, "rate": np.full(p, sr / stft.hop), "before": np.full(p, before), "after": np.full(p, after), "onset": onset[at], "threshold": limit[at], "peak": np.ones(p, bool),
+            **means, "attack": _by_window(np.maximum, attack, low, high), "mfcc": kernels.mfcc_bands(x, sr, (at * stft.hop / sr).tolist()) if mfcc else np.zeros(p), **_marked(env, sr, stft.hop, at, s), "ref": np.full(p, np.percentile(attack, 99.5)),
+        }
 
     return features_of_means(_each(kernel, audio, f"{FRAME}, ref double", decode=decode), "ref")
 
 
+def _by_window(reduce: np.ufunc, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """x[low : high], which are not empty, reduced to a value each."""
+    return reduce.reduceat(np.append(x, 0), np.stack([low, high], 1).ravel())[::2]
+
+
+@lru_cache(maxsize=1)
+def _keep_memory() -> None:
+    """Once in a process, a large array is made and freed, untouched: the allocator then keeps what clips free up to twice its size, instead of asking for it anew for
+    every clip, whose pages take longer than much of what is done in them."""
+    np.empty(31 << 17)
+
+
 def flatness(m: np.ndarray) -> np.ndarray:
     """Of each frame, the geometric mean of the magnitudes that aren't silence over the mean of all."""
     ok = m > 1e-9
+    if ok.all():
+        return np.exp(np.log(m).sum(1) / m.shape[1]) / (m.mean(1) + 1e-9)
     logs = np.where(ok, np.log(np.where(ok, m, 1)), 0).sum(1) / np.maximum(ok.sum(1), 1)
     return np.where(ok.any(1), np.exp(logs) / (m.mean(1) + 1e-9), 0)
 
@@ -502,19 +565,39 @@ def attack_curve(env: np.ndarray, sr: float, seconds: float) -> np.ndarray:
     return slope
 
 
+def attack_frames(env: np.ndarray, sr: float, seconds: float, hop: int, n: int) -> np.ndarray:
+    """The greatest attack_curve in each of n frames of `hop` samples, 0 behind the end."""
+    k = max(1, int(sr * seconds))
+    begin = np.arange(n) * hop
+    low, high = np.maximum(begin, k), np.minimum(begin + hop, len(env))
+    out = np.zeros(n)
+    some = np.flatnonzero(low < high)
+    if len(some):
+        top = _by_window(np.maximum, np.diff(env), low[some] - k, high[some] - 1) / (k / sr)
+        whole = (begin[some] >= k) & (begin[some] + hop <= len(env))
+        out[some] = np.where(whole, top, np.maximum(top, 0))
+    return out
+
+
 def _windows(x: np.ndarray, step: int, w: int) -> tuple[np.ndarray, list[np.ndarray]]:
     at = np.arange(0, len(x), step)
     return at, [x[max(0, i - w // 2) : i + w // 2] for i in at]
 
 
+def _median(x: np.ndarray) -> float:
+    """np.median of a short array, of which it does the work alone."""
+    x = np.sort(x)
+    return x[-1] if np.isnan(x[-1]) else (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2
+
+
 def mad_curve(x: np.ndarray, rate: float, window: float, k: float) -> np.ndarray:
     """The adaptive threshold of one array: median + k deviations at every quarter window, interpolated."""
     w = max(10, min(int(rate * window), len(x) // 4))
     at, parts = _windows(x, max(1, w // 4), w)
     points = []
     for part in parts:
-        med = np.median(part)
-        mad = np.median(np.abs(part - med))
+        med = _median(part)
+        mad = _median(np.abs(part - med))
         points.append(med + k * (1.4826 * mad if mad > 0 else part.std()))
     return np.interp(np.arange(len(x)), at, points)
 
@@ -526,7 +609,7 @@ def multi_curve(x: np.ndarray, rate: float, short: float = 0.5, long: float = 3.
     curves = []
     for w, k in ((ws, k_short), (wl, k_long)):
         at, parts = _windows(x, max(1, wl // 4), w)
-        points = [np.median(p) + k * 1.4826 * (np.median(np.abs(p - np.median(p))) + 1e-12) for p in parts]
+        points = [(med := _median(p)) + k * 1.4826 * (_median(np.abs(p - med)) + 1e-12) for p in parts]
         curves.append(np.interp(np.arange(len(x)), at, points))
     return np.maximum(*curves)
 
@@ -613,15 +696,15 @@ def shots_improved(audio: DataFrame, model: dict | None = None, features: tuple[
         x = x.join(windows, "clip").join(three, "clip").withColumn("_window", F.when(F.col("_n") >= 3, F.col("window")).otherwise(float(window))).drop("window", "_n")
         window = F.col("_window")
     x = dedup.cluster_gap_chain(x, window).drop("_window")
-    x = x.withColumn("confidence", F.col("score")) if alone else score.fingerprint_confidence(x)
+    x = x.withColumn("confidence", F.col("score")) if alone else score.fingerprint_confidence(x, whole=True)
     candidates = x.withColumn("conf", F.col("score"))
     best = F.row_number().over(Window.partitionBy("clip", "cluster").orderBy(F.col("score").desc(), "t", "id"))
     win = candidates.withColumn("_n", best).where("_n = 1").where(~((F.col("attack_norm") < 0.05) & (F.col("e_high_ratio") < 0.08) & (F.col("flatness") < 0.02)))
     # what is reported is rounded first, and the rest decides on what is reported
     at = {"onset": "onset_t", "envelope_peak": "envelope_t", "none": "frame_t"}[s.align]
     win = win.withColumns({"t": F.col(at), "conf": F.round("confidence", 3), "score": F.round("score", 3)})
-    shots = dedup.dedup_last_kept(win, micros(s.hard_gap)) if s.hard_gap > 0 else win.select("clip", "id", "t", "conf")
-    shots = shots.join(win.select("clip", "id", "score", *["network"] * (network is not None)), ["clip", "id"])
+    along = ("score", *["network"] * (network is not None))
+    shots = dedup.dedup_last_kept(win, micros(s.hard_gap), along) if s.hard_gap > 0 else win.select("clip", "id", "t", "conf", *along)
     capped = dedup.rate_cap(shots.withColumn("_keep", F.col("conf")).withColumn("conf", F.col("score")), s.rate).withColumn("conf", F.col("_keep")).drop("_keep")
     if load is not None and not alone:
         capped = capped.join(network_at(audio, capped.select("clip", "id", "t"), load, decode=decode), ["clip", "id"])

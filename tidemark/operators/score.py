@@ -33,17 +33,27 @@ def choose_scorer(network: bool, network_only: bool, logreg: bool) -> str:
     return "network" if network_only and network else "logreg" if logreg else "none"
 
 
-def fingerprint_confidence(df: DataFrame) -> DataFrame:
+def fingerprint_confidence(df: DataFrame, whole: bool = False) -> DataFrame:
     """Adds confidence from score, attack_norm, e_high_ratio, e_low_ratio and cluster: half the sigmoid of the robust z of the
-    score with its bonus, half the sigmoid of its lead over the cluster's median in steps of 0.15."""
+    score with its bonus, half the sigmoid of its lead over the cluster's median in steps of 0.15.
+
+    With `whole`, the medians are taken where a clip's rows meet in one task, as those of a clip that came as one row may, so that rows are read and shuffled once, not for each
+    median and for what they are joined to.
+    """
     bonus = 0.08 * clip(F.col("attack_norm"), 0.0, 1.0) + 0.05 * clip(F.col("e_high_ratio"), 0.0, 1.0) + 0.05 * clip(F.col("e_low_ratio"), 0.0, 1.0)
     x = df.withColumn("score", F.col("score") + bonus)
-    med = x.groupBy("clip").agg(F.expr("percentile(score, 0.5)").alias("_med"))
-    x = x.join(med, "clip").withColumn("_dev", F.abs(F.col("score") - F.col("_med")))
-    mad = x.groupBy("clip").agg(F.expr("percentile(_dev, 0.5)").alias("_mad"))
-    inner = x.groupBy("clip", "cluster").agg(F.expr("percentile(score, 0.5)").alias("_inner"))
+    median = lambda c: F.expr(f"percentile({c}, 0.5)")
+    if whole:
+        own = Window.partitionBy("clip")
+        x = x.where("clip is not null").withColumn("_med", median("score").over(own)).withColumn("_dev", F.abs(F.col("score") - F.col("_med")))
+        x = x.withColumn("_mad", median("_dev").over(own)).withColumn("_inner", median("score").over(Window.partitionBy("clip", "cluster")))
+    else:
+        med = x.groupBy("clip").agg(median("score").alias("_med"))
+        x = x.join(med, "clip").withColumn("_dev", F.abs(F.col("score") - F.col("_med")))
+        mad = x.groupBy("clip").agg(median("_dev").alias("_mad"))
+        inner = x.groupBy("clip", "cluster").agg(median("score").alias("_inner"))
+        x = x.join(mad, "clip").join(inner, ["clip", "cluster"])
     z = (F.col("score") - F.col("_med")) / ((F.col("_mad") + 1e-9) * 1.4826 + 1e-9)
-    x = x.join(mad, "clip").join(inner, ["clip", "cluster"])
     conf = 0.5 * sigmoid(clip(z, -5.0, 5.0)) + 0.5 * sigmoid((F.col("score") - F.col("_inner")) / 0.15)
     return x.withColumn("confidence", conf).drop("_med", "_dev", "_mad", "_inner")
 

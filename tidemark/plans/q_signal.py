@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -416,18 +418,29 @@ def _sound(events) -> np.ndarray:
     The noise of an event comes from its id, so that every run hears the same."""
     step = int(SOUND * STEP)
     y = np.zeros(len(events) * step + int(0.6 * SOUND))
-    for i, e in enumerate(events):
-        r, a = np.random.default_rng(e["id"]), i * step
-        y[a : a + step] += r.normal(0, 0.001, step)
+    tone, fade = _shapes()
+    for i, (e, r) in enumerate(zip(events, kernels.generators([e["id"] for e in events]))):
+        a = i * step
+        noise = r.standard_normal(step)
+        noise *= 0.001
+        y[a : a + step] += noise
         if e["kind"] == BEEP:
-            n = int(0.3 * SOUND)
-            y[a : a + n] += 0.4 * np.sin(2 * np.pi * 3000 * np.arange(n) / SOUND)
+            y[a : a + len(tone)] += tone
         elif e["kind"] == DET:
-            n = int(0.1 * SOUND)
-            y[a : a + n] += e["conf"] / 200 * r.normal(0, 0.5, n) * np.exp(-np.arange(n) / (0.012 * SOUND))
+            noise = r.standard_normal(len(fade))
+            noise *= 0.5
+            noise *= e["conf"] / 200
+            noise *= fade
+            y[a : a + len(fade)] += noise
     return y
 
 
+@lru_cache(maxsize=1)
+def _shapes() -> tuple[np.ndarray, np.ndarray]:
+    """The tone of a beep, and how a detection's noise dies away."""
+    return 0.4 * np.sin(2 * np.pi * 3000 * np.arange(int(0.3 * SOUND)) / SOUND), np.exp(-np.arange(int(0.1 * SOUND)) / (0.012 * SOUND))
+
+
 def _sounds(spark, d) -> DataFrame:
     """(clip, sr, samples): a clip's events in order, of which _sound makes its samples."""
     e = read(spark, d, "events")
