@@ -1,6 +1,7 @@
 """The improved detector's work for a clip: done once, for peaks alone, and with the numbers of the plain way."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,31 @@ def test_confidence_by_windows_is_that_by_joins(spark, rows):
 def test_shots_without_a_hard_gap_keep_their_scores(spark):
     shots, _ = detect.shots_improved(q_signal._sounds(spark, SF), s=Selection(hard_gap=0.0), decode=q_signal._sound)
     assert shots.where(F.col("score").isNull()).count() == 0 and shots.count() > 50
+
+
+def test_silence_behind_a_sound_is_not_transformed(monkeypatch):
+    x = np.zeros(60000)
+    x[:20001] = np.random.default_rng(2).normal(size=20001)
+    view = np.lib.stride_tricks.sliding_window_view(x, 1024)[::256]
+    want, rows, plain = np.abs(np.fft.rfft(view * np.hanning(1024), axis=1)), [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda v, *a, **k: rows.append(len(v)) or plain(v, *a, **k))
+    np.testing.assert_array_equal(kernels.stft(x), want)
+    assert sum(rows) == 79  # of 231: the last one that begins within the sound begins at 78 x 256
+    assert kernels.stft(np.zeros(5000)).max() == 0 and sum(rows) == 79
+
+
+def test_lists_of_events_are_python_values():
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("conf", pa.float64()), ("kind", pa.string()), ("sure", pa.bool_())]))
+    one = [{"id": i, "conf": None if i == 4 else i / 3, "kind": "ab"[i % 2], "sure": i > 2} for i in range(7)]
+    for lists in ([one[:3], [], one[3:], one], [one, None, one[2:]], [[one[0], None], one], [[]]):
+        column = pa.array(lists, kind)
+        for part in (column, column.slice(1), column.slice(0, 1)):
+            got = detect._cells(part) if len(part) else []
+            assert got == part.to_pylist() and all(type(e["id"]) is int for x in got if x for e in x if e)
+
+
+def test_clips_are_dealt_to_some_tasks_for_each_core(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(detect, "shots_improved", lambda audio, *a, **k: (seen.append(audio.rdd.getNumPartitions()) or spark.createDataFrame([], detect.SHOT), None))
+    q_signal.improved_detector(spark, SF)
+    assert seen[0] >= 4 * spark.sparkContext.defaultParallelism > int(spark.conf.get("spark.sql.shuffle.partitions"))

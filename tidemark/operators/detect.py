@@ -42,9 +42,23 @@ def _reported(seconds: float) -> int:
 
 def _cells(column: pa.Array) -> list:
     """Python values of a column; lists of numbers are arrays (null: NaN), and a null list is None."""
-    if isinstance(column, (pa.ListArray, pa.LargeListArray)) and pa.types.is_floating(column.type.value_type) | pa.types.is_integer(column.type.value_type):
+    if not isinstance(column, (pa.ListArray, pa.LargeListArray)):
+        return column.to_pylist()
+    if _number(column.type.value_type):
         return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column]
-    return column.to_pylist()
+    rows = column.flatten()
+    if not pa.types.is_struct(rows.type) or column.null_count or rows.null_count:
+        return column.to_pylist()
+    # field by field, which takes a quarter of the time
+    names = [field.name for field in rows.type]
+    values = (v.to_numpy(zero_copy_only=False).tolist() if _number(v.type) and not v.null_count else v.to_pylist() for v in rows.flatten())
+    made = [dict(zip(names, row)) for row in zip(*values)]
+    edges = (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return [made[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _number(kind: pa.DataType) -> bool:
+    return pa.types.is_floating(kind) or pa.types.is_integer(kind)
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -459,7 +473,8 @@ def _energies(m: np.ndarray, sr: float, stft: Stft) -> dict[str, np.ndarray]:
 
 def _marked(env: np.ndarray, sr: float, hop: int, at: np.ndarray, s: Selection) -> dict[str, list[int]]:
     """The reported times of peaks, of their frames and moved to the onset and to the envelope's peak."""
-    moved = {k: [_reported(i * hop / sr) for i in at.tolist()] for k in ("frame_t", "onset_t", "envelope_t")}
+    own = [_reported(i * hop / sr) for i in at.tolist()]
+    moved = {k: own.copy() for k in ("frame_t", "onset_t", "envelope_t")}
     half = int(np.rint(sr * s.refine / 2))
     for k, centre in enumerate(np.rint(np.round(at * hop / sr, 4) * sr).astype(np.int64).tolist()):
         part, a = _around(env, centre, half)

@@ -274,9 +274,9 @@ SQL["confidence_gate"] = f"WITH {EV}, {role('d', DET)} SELECT clip, id, conf FRO
 RATE = 1000.0
 
 
-def _dealt(spark, e: DataFrame) -> DataFrame:
-    """Events by clip, dealt to all tasks: what is made of a clip is far more work than its events' bytes tell."""
-    return e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip")
+def _dealt(spark, e: DataFrame, least: int = 1) -> DataFrame:
+    """Events by clip, dealt to all tasks, `least` or more: what is made of a clip is far more work than its events' bytes tell."""
+    return e.repartition(max(least, int(spark.conf.get("spark.sql.shuffle.partitions"))), "clip")
 
 
 def _audio(spark, d) -> DataFrame:
@@ -419,19 +419,20 @@ def _sound(events) -> np.ndarray:
     step = int(SOUND * STEP)
     y = np.zeros(len(events) * step + int(0.6 * SOUND))
     tone, fade = _shapes()
+    faint, burst = np.empty(step), np.empty(len(fade))
     for i, (e, r) in enumerate(zip(events, kernels.generators([e["id"] for e in events]))):
         a = i * step
-        noise = r.standard_normal(step)
-        noise *= 0.001
-        y[a : a + step] += noise
+        r.standard_normal(out=faint)
+        np.multiply(faint, 0.001, out=faint)
+        y[a : a + step] += faint
         if e["kind"] == BEEP:
             y[a : a + len(tone)] += tone
         elif e["kind"] == DET:
-            noise = r.standard_normal(len(fade))
-            noise *= 0.5
-            noise *= e["conf"] / 200
-            noise *= fade
-            y[a : a + len(fade)] += noise
+            r.standard_normal(out=burst)
+            np.multiply(burst, 0.5, out=burst)
+            burst *= e["conf"] / 200
+            burst *= fade
+            y[a : a + len(fade)] += burst
     return y
 
 
@@ -441,12 +442,12 @@ def _shapes() -> tuple[np.ndarray, np.ndarray]:
     return 0.4 * np.sin(2 * np.pi * 3000 * np.arange(int(0.3 * SOUND)) / SOUND), np.exp(-np.arange(int(0.1 * SOUND)) / (0.012 * SOUND))
 
 
-def _sounds(spark, d) -> DataFrame:
-    """(clip, sr, samples): a clip's events in order, of which _sound makes its samples."""
+def _sounds(spark, d, least: int = 1) -> DataFrame:
+    """(clip, sr, samples): a clip's events in order, of which _sound makes its samples; in so many tasks at least."""
     e = read(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     event = F.struct(at.alias("t"), F.col("event_id").alias("id"), F.col("value").alias("conf"), F.col("event_type").alias("kind"))
-    rows = _dealt(spark, e.select(F.col("user_id").cast("string").alias("clip"), event.alias("x")))
+    rows = _dealt(spark, e.select(F.col("user_id").cast("string").alias("clip"), event.alias("x")), least)
     return rows.groupBy("clip").agg(F.array_sort(F.collect_list("x")).alias("samples")).select("clip", F.lit(SOUND).alias("sr"), "samples")
 
 
@@ -482,7 +483,9 @@ def tune_beeps(spark, d):
 def improved_detector(spark, d):
     """Rows only: frames to shots in one composition, on sounds of tones and bursts, with a model of nine weights; tests compare it with plain loops."""
     model = {"weights": [0.9, 0.2, -0.1, 0.4, 1.2, -0.6, -0.3, -0.4, 0.2], "bias": -0.3, "mean": [2.0, 1.0, -1.0, 0.4, 0.4, 0.2, 0.1, 0.1, 6.0], "std": [1.0, 1.5, 1.0, 0.2, 0.3, 0.2, 1.0, 0.3, 3.0]}
-    shots, _ = detect.shots_improved(_sounds(spark, d), model, least=0.3, decode=_sound)
+    # a task's clips take minutes in large tables: in some tasks for each core, so that none waits long for the last ones
+    sounds = _sounds(spark, d, 4 * spark.sparkContext.defaultParallelism)
+    shots, _ = detect.shots_improved(sounds, model, least=0.3, decode=_sound)
     return shots.select("clip", "id", "t", rounded("conf", 6).alias("conf"))
 
 
